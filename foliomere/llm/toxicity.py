@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Training counts in how many labelled texts each feature (a word, or the first five letters of
-a longer one) occurs, toxic and not, and takes log-odds under a Dirichlet prior in proportion to
+Training counts in how many labelled texts each feature (a word, or the first letters of a
+longer one) occurs, toxic and not, and takes log-odds under a Dirichlet prior in proportion to
 the corpus. Scanning gives each token its score less a drift and finds all maximal scoring
 segments in one pass. Segment scores of clean labelled texts follow an extreme-value law, whose
 parameters turn scores into expected numbers of chance segments; significant segments are added
@@ -34,7 +34,8 @@ PRIOR, Z = 100.0, 3.0
 DRIFT = 0.3
 #: Expected chance segments in a text below which a segment is significant.
 SIGNIFICANT = 0.05
-STEM = 5
+#: Lengths of the stems that stand for words not met in training, longest first.
+STEMS = (6, 5, 4)
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -58,8 +59,8 @@ class Model:
 def features(text: Column) -> Column:
     """Distinct features of a text, as the scan looks them up."""
     ws = F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
-    stems = F.transform(F.filter(ws, lambda w: F.length(w) > STEM), lambda w: F.concat(F.lit("^"), F.substring(w, 1, STEM)))
-    return F.array_distinct(F.concat(ws, stems))
+    stems = [F.transform(F.filter(ws, lambda w: F.length(w) > k), lambda w: F.concat(F.lit("^"), F.substring(w, 1, k))) for k in STEMS]
+    return F.array_distinct(F.concat(ws, *stems))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -78,7 +79,7 @@ class Scanner:
         s = self.model.scores
         own = s.get(w)
         if own is None:
-            own = s.get("^" + w[:STEM], 0.0) if len(w) > STEM else 0.0
+            own = next((s[x] for k in STEMS if len(w) > k and (x := "^" + w[:k]) in s), 0.0)
         if len(self.known) > 300_000:
             self.known.clear()
         self.known[w] = own = own - DRIFT
