@@ -99,19 +99,32 @@ def listed(classes: DataFrame) -> DataFrame:
     return rows.join(alone, "value")
 
 
+def possible(na: Column, ea: Column, nb: Column, eb: Column) -> Column:
+    """Whether sets of sizes n, of which e shingles are held by some other class too, can be similar enough."""
+    most = F.least(ea, eb)
+    return 100 * most >= PERCENT * (na + nb - most)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those whose full sets are similar enough."""
-    left = sets.select(F.col("class").alias("a"), F.col("sketch").alias("sa"), F.col("full").alias("fa"))
-    right = sets.select(F.col("class").alias("b"), F.col("sketch").alias("sb"), F.col("full").alias("fb"))
-    na, nb = F.size("fa"), F.size("fb")
-    short = (100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")) & (union_share(F.col("sa"), F.col("sb")) >= MIN_SHARE)
-    brief_l = left.select("a", "sa", na.alias("na"))
-    brief_r = right.select("b", "sb", nb.alias("nb"))
-    likely = pairs.join(brief_l, "a").join(brief_r, "b").filter(short).select("a", "b")
-    likely = stage_table(likely, "likely")
-    both = likely.join(left.select("a", "fa"), "a").join(right.select("b", "fb"), "b")
-    i = F.size(F.array_intersect("fa", "fb"))
-    return stage_table(both.filter(100 * i >= PERCENT * (na + nb - i)).select("a", "b"), "links")
+    side = lambda x, *cols: sets.select(F.col("class").alias(x), *(F.col(c).alias(c + x) for c in cols))
+    brief = pairs.join(side("a", "n", "e", "sketch"), "a").join(side("b", "n", "e", "sketch"), "b")
+    likely = brief.filter(possible(*map(F.col, ("na", "ea", "nb", "eb")))).filter(union_share(F.col("sketcha"), F.col("sketchb")) >= MIN_SHARE)
+    both = stage_table(likely.select("a", "b"), "likely").join(side("a", "full"), "a").join(side("b", "full"), "b")
+    i = F.size(F.array_intersect("fulla", "fullb"))
+    return stage_table(both.filter(100 * i >= PERCENT * (F.size("fulla") + F.size("fullb") - i)).select("a", "b"), "links")
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """class, sketch, full, n, e: e counts the shingles that some other of these classes has.
+
+    Classes that can't reach the similarity with so few go; they can't be anyone's partner."""
+    once = sets.select("class", F.explode("full").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("class").alias("class")).filter("df = 1")
+    lone = once.groupBy("class").agg(F.count("*").alias("lone"))
+    n = F.size("full")
+    rows = sets.select("class", "sketch", "full", n.alias("n")).join(lone, "class", "left")
+    rows = rows.withColumn("e", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
+    return stage_table(rows.filter(100 * F.col("e") >= PERCENT * F.col("n")), "sets")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,30 +162,32 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
     texts = docs.select(key.alias("_k"), "doc_id", "text").join(first, "_k", "left_semi")
     full = sketches(texts, True).join(wanted, "class", "left_semi").dropDuplicates(["class"])
     full = stage_table(full.select("class", "sketch", "full"), "sets")
-    # a class with too many shingles that no other listed class has can't reach a partner
-    once = full.select("class", F.explode("full").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("class").alias("class")).filter("df = 1")
-    lone = once.groupBy("class").agg(F.count("*").alias("lone"))
-    fit = full.select("class", F.size("full").alias("n")).join(lone, "class", "left").filter(100 * (F.col("n") - F.coalesce("lone", F.lit(0))) >= PERCENT * F.col("n")).select("class")
-    sets = stage_table(full.join(fit, "class", "left_semi"), "sets")
-    post = post.drop("m").join(sets.select("class"), "class", "left_semi")
+    # the second round counts among those that the first has left
+    sets = shared_shingles(shared_shingles(full).drop("n", "e"))
+    post = post.drop("m", "n").join(sets.select("class", "n", "e"), "class")
     ends = post.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).filter("m > 1")
     post = stage_table(post.join(ends, "value"), "lists")
     pivots = post.select("class", F.explode(F.array("lo", "hi")).alias("p")).filter("class != p")
     tried = stage_table(pivots.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct(), "tried")
     links = confirmed(tried, sets)
-    rooted = with_roots(post.select("value", "class", "n"), components(links))
+    rooted = with_roots(post.select("value", "class", "n", "e"), components(links))
     # lists with one component are done; of the others, the largest component needs no pairs of its own
     sizes = rooted.groupBy("value", "root").agg(F.count("*").alias("c"))
     top = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = stage_table(rooted.join(top.select("value", F.col("top.root").alias("main")), "value"), "open")
+    lists = rooted.groupBy("class").agg(F.array_agg("value").alias("mine"))  # K values at most
+    open_ = rooted.join(top.select("value", F.col("top.root").alias("main")), "value")
+    open_ = stage_table(open_.join(lists, "class").join(sets.select("class", "sketch"), "class"), "open")
     x, y = open_.filter("root != main").alias("x"), open_.alias("y")
-    rest = (
-        x.join(y, F.col("x.value") == F.col("y.value"))
-        .filter("x.root != y.root and (x.class < y.class or y.root = y.main) and 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)")
-        .select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
+    rest = x.join(
+        y,
+        (F.col("x.value") == F.col("y.value"))
+        & F.expr("x.root != y.root and (x.class < y.class or y.root = y.main)")
+        & possible(F.col("x.n"), F.col("x.e"), F.col("y.n"), F.col("y.e"))
+        # one of the lists that a pair shares speaks for it
+        & (F.col("x.value") == F.array_min(F.array_intersect("x.mine", "y.mine")))
+        & (union_share(F.col("x.sketch"), F.col("y.sketch")) >= MIN_SHARE),
+    ).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     return components(links.union(confirmed(stage_table(rest, "rest"), sets)))
 
 
