@@ -44,4 +44,4 @@ def whole_text(col: str | Column = "text") -> Column:
 
 def words(text: Column) -> Column:
     """Array of the runs of characters other than ASCII white space."""
-    return F.filter(F.split(text, r"[ \t\n\x0B\f\r]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+", -1), "")

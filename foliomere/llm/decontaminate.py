@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, words
 
-MASKS = ("1110111", "11010011", "1100101011")
+MASKS = ("111010111", "1101100111", "11100101011")
 #: Tokens compared around a hit (the item's length if shorter), and the share that must agree.
 WINDOW, PERCENT = 16, 75
+#: Tokens kept on either side of a hit.
+REACH = WINDOW
 #: Windows of the test set that one block may hold, about 50 MB.
 BLOCK_WINDOWS = 100_000
 
@@ -42,25 +44,32 @@ def _seeds(ws: Column, p: Column, n: Column) -> Column:
     return F.array(*out)
 
 
+def places(n: Column) -> Column:
+    """Where a window of the shortest mask can begin among n tokens; null if nowhere."""
+    last = n - min(map(len, MASKS))
+    return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """seed, item_id, q, n_item, around: one row for each window and mask of the items."""
-    rows = benchmark.select("item_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws")).filter("n > 0")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("q"))
+    rows = benchmark.select("item_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
+    rows = rows.select("*", F.explode(places(F.col("n"))).alias("q"))
     start = F.greatest(F.col("q") - WINDOW, F.lit(0))
     around = F.slice("ws", start + 1, 2 * WINDOW + max(map(len, MASKS)))
     rows = rows.select("item_id", "q", F.col("n").alias("n_item"), start.alias("from"), around.alias("around"), F.explode(_seeds(F.col("ws"), F.col("q"), F.col("n"))).alias("seed"))
     return rows.filter("seed is not null")
 
 
-def agreeing(ws: Column, p: Column, q: Column, n_item: Column, start: Column, around: Column) -> Column:
+def agreeing(near: Column, p: Column, q: Column, n_item: Column, start: Column, around: Column) -> Column:
     """Most tokens that agree in a window that begins at, is centred on or ends with the hit."""
     width = F.least(F.lit(WINDOW), n_item)
 
     def count(shift: Column) -> Column:
         first = F.least(F.greatest(q - shift, F.lit(0)), n_item - width)  # the window stays in the item
-        doc, item = p - q + first, first - start
+        # `near` begins REACH tokens before the hit, or at the text's start
+        doc, item = F.least(p, F.lit(REACH)) - q + first, first - start
         places = F.sequence(F.lit(0), width - 1)
-        same = F.filter(places, lambda i: (doc + i >= 0) & (F.get(ws, doc + i) == F.get(around, item + i)))
+        same = F.filter(places, lambda i: (doc + i >= 0) & (F.get(near, doc + i) == F.get(around, item + i)))
         return F.size(same)
 
     span = max(map(len, MASKS))
@@ -72,14 +81,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = item_windows(benchmark)
     blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
     rows = docs.select("doc_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
-    at = rows.filter(F.col("n") >= min(map(len, MASKS))).select("doc_id", "ws", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p"))
+    at = rows.select("doc_id", "ws", "n", F.explode(places(F.col("n"))).alias("p"))
     seeded = at.select("doc_id", "ws", "p", F.explode(_seeds(F.col("ws"), F.col("p"), F.col("n"))).alias("seed"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     out = None
     for k in range(blocks):
         block = windows.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
         hits = seeded.join(F.broadcast(block), "seed")  # at most about BLOCK_WINDOWS rows, by the count above
-        hits = hits.withColumn("agreeing", agreeing(F.col("ws"), F.col("p"), F.col("q"), F.col("n_item"), F.col("from"), F.col("around")))
+        # a hit takes along its surroundings, not the whole text
+        near = F.slice("ws", F.greatest(F.col("p") - REACH, F.lit(0)) + 1, 2 * REACH + WINDOW)
+        hits = hits.select("doc_id", "item_id", "p", "q", "n_item", "from", "around", F.explode(F.array(near)).alias("near"))
+        hits = hits.withColumn("agreeing", agreeing(F.col("near"), F.col("p"), F.col("q"), F.col("n_item"), F.col("from"), F.col("around")))
         good = hits.filter(100 * F.col("agreeing") >= PERCENT * width).select("doc_id", "item_id", "agreeing")
         out = good if out is None else out.union(good)
     return out.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"))

@@ -1,8 +1,9 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its lower-case words. Tokens are ordered by rarity: occurrences over all
-texts are counted in a fixed number of hash buckets, and a token's key puts its bucket's rank
-before the rest of its hash, so the order is total and fits a long. Two sets at the threshold
+texts are counted in a fixed number of hash buckets, and a token's key puts its bucket's class,
+then its length (of words that share a bucket's class the longer are rarer), before 54 bits of its
+hash, so the order is total and fits a long. Two sets at the threshold
 share a token in their prefixes; length and position bound the overlap that is still possible;
 what is left is verified on the whole sets. Equal sets are one class before any pair is made.
 
@@ -23,55 +24,59 @@ from .common import stage_table, whole_text, words
 
 #: Similarity of word sets, in percent.
 PERCENT = 90
-#: Buckets of the rarity count: its size does not depend on the corpus.
-BITS = 12
+#: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
+BITS = 14
 #: Documents whose ids may be broadcast to fetch candidate lines; more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 _MISSING = -(2**63)
 _PLACES = 2**31
 
 
-def rarity_ranks(docs: DataFrame) -> Column:
-    """Array literal: the rank of each bucket by occurrences of its tokens, rarest first."""
+def rarity_classes(docs: DataFrame) -> Column:
+    """Array literal: -8 to 7 for each bucket, by the power of two of its tokens' occurrences."""
     seen = docs.select(F.explode(words(F.lower(whole_text()))).alias("w"))
     counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(2**BITS - 1)).alias("b")).count().collect()  # 2**BITS rows at most
     n = {r["b"]: r["count"] for r in counts}
-    order = sorted(range(2**BITS), key=lambda b: (n.get(b, 0), b))
-    rank = [0] * 2**BITS
-    for k, b in enumerate(order):
-        rank[b] = k - 2 ** (BITS - 1)  # signed, as the key's upper bits
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
+    usual = sorted(n.values())[len(n) // 2].bit_length() if n else 0  # rare words share a bucket of about this size
+    classes = [max(-8, min(7, n.get(b, 0).bit_length() - usual - 1)) for b in range(2**BITS)]
+    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
-def token_set(line: Column, ranks: Column) -> Column:
-    """Sorted keys of a line's distinct words. A key holds all bits of the word's hash."""
-    hashes = F.array_distinct(F.transform(words(F.lower(line)), lambda w: F.xxhash64(w)))
-    bucket = lambda h: F.get(ranks, h.bitwiseAND(F.lit(2**BITS - 1)).cast("int"))
-    return F.array_sort(F.transform(hashes, lambda h: F.shiftleft(bucket(h), 64 - BITS).bitwiseOR(F.shiftrightunsigned(h, BITS))))
+def token_set(line: Column, classes: Column) -> Column:
+    """Sorted keys of a line's distinct words: class of rarity, length (the longer, the rarer), hash."""
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        rare = F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")), 60)
+        size = F.shiftleft(F.lit(63) - F.least(F.length(w), F.lit(63)).cast("long"), 54)
+        return rare.bitwiseOR(size).bitwiseOR(F.shiftrightunsigned(h, 10))
+
+    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), key)))
 
 
 def place(doc: str, line: str) -> Column:
     return (F.col(doc).cast("decimal(38,0)") * _PLACES + F.col(line)).cast("decimal(38,0)")
 
 
-def line_sets(docs: DataFrame, ranks: Column) -> DataFrame:
+def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
     """_d, line, s1, s2, n, prefix of every line with words; (s1, s2) names its set."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t"))
-    rows = rows.select("_d", "line", token_set(F.col("t"), ranks).alias("k"))
+    rows = rows.filter(F.regexp_like("t", F.lit(r"[^ \t\n\x0B\f\r]"))).select("_d", "line", token_set(F.col("t"), classes).alias("k"))
     n = F.size("k")
     length = n - F.ceil(PERCENT * n / 100).cast("int") + 1
     # a set that one more token would already part from all others has no prefix
     prefix = F.when(100 * n >= PERCENT * (n + 1), F.slice("k", 1, length))
-    return rows.filter(n > 0).select("_d", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"))
+    return rows.select("_d", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"))
 
 
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """Sets that share a prefix token and pass the length and position filters, each with its first place."""
-    post = (
-        lines.filter("prefix is not null")
-        .select("s1", "s2", "n", "_d", "line", F.posexplode("prefix").alias("at", "key"))
-        .groupBy("key", "s1", "s2", "n", "at").agg(F.min(place("_d", "line")).alias("first"))
-    )
+def distinct_sets(lines: DataFrame) -> DataFrame:
+    """s1, s2, n, prefix, first, c: each set once, with its first place and its lines."""
+    return lines.groupBy("s1", "s2", "n", "prefix").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
+
+
+def candidate_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs of sets that share a prefix token and pass the length and position filters."""
+    post = sets.filter("prefix is not null").select("s1", "s2", "n", F.posexplode("prefix").alias("at", "key"))
     a, b = post.alias("a"), post.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * PERCENT / (100 + PERCENT) - 1e-9)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
@@ -81,22 +86,26 @@ def candidate_pairs(lines: DataFrame) -> DataFrame:
         & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
         & (reach >= need)
     )
-    return a.join(b, join).select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2", "first"))).distinct()
+    return a.join(b, join).select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2"))).distinct()
 
 
-def similar_sets(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
+def similar_sets(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFrame:
     """s1, s2, other: both ways, each set and the first place of a set similar to it."""
-    pairs = stage_table(candidate_pairs(lines), "line-pairs")
-    side = lambda x: pairs.select(*(F.col(f"{x}_{c}").alias(c) for c in ("s1", "s2", "first")))
-    firsts = stage_table(side("a").union(side("b")).distinct(), "line-places")
-    firsts = firsts.select("s1", "s2", F.floor(F.col("first") / _PLACES).cast("long").alias("_d"), F.pmod("first", F.lit(_PLACES)).cast("int").alias("line"))
+    pairs = stage_table(candidate_pairs(sets), "line-pairs")
+    side = lambda x: pairs.select(F.col(f"{x}_s1").alias("s1"), F.col(f"{x}_s2").alias("s2"))
+    firsts = sets.select("s1", "s2", "first").join(side("a").union(side("b")).distinct(), ["s1", "s2"])
+    firsts = firsts.select("s1", "s2", "first", F.floor(F.col("first") / _PLACES).cast("long").alias("_d"), F.pmod("first", F.lit(_PLACES)).cast("int").alias("line"))
+    firsts = stage_table(firsts, "line-places")
     ids = firsts.select("_d").distinct()
     few = ids.count() <= BROADCAST_DOCS
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), whole_text().alias("_t"))
-    own = own.join(F.broadcast(ids) if few else ids, "_d", "left_semi")
-    got = own.join(firsts, "_d").select("s1", "s2", token_set(F.get(F.split("_t", "\n", -1), F.col("line")), ranks).alias("k"))
-    sets = stage_table(got.filter((F.xxhash64("k") == F.col("s1")) & (F.hash("k") == F.col("s2"))).dropDuplicates(["s1", "s2"]), "line-sets")
-    name = lambda x: sets.select(F.col("s1").alias(f"{x}_s1"), F.col("s2").alias(f"{x}_s2"), F.col("k").alias(f"{x}_k"))
+    # only the lines asked for leave their texts
+    asked = firsts.groupBy("_d").agg(F.collect_set("line").alias("asked"))
+    own = own.join(F.broadcast(asked) if few else asked, "_d")
+    got = own.select("_d", F.explode("asked").alias("line"), F.split("_t", "\n", -1).alias("_all")).select("_d", "line", F.get("_all", F.col("line")).alias("t"))
+    got = got.select(token_set(F.col("t"), classes).alias("k")).select(F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), "k")
+    keyed = stage_table(firsts.select("s1", "s2", "first").join(got, ["s1", "s2"]).dropDuplicates(["s1", "s2"]), "line-sets")
+    name = lambda x: keyed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("s1", "s2", "k", "first")))
     both = pairs.join(name("a"), ["a_s1", "a_s2"]).join(name("b"), ["b_s1", "b_s2"])
     i = F.size(F.array_intersect("a_k", "b_k"))
     good = both.filter(100 * i >= PERCENT * (F.size("a_k") + F.size("b_k") - i))
@@ -107,19 +116,19 @@ def similar_sets(docs: DataFrame, lines: DataFrame, ranks: Column) -> DataFrame:
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """_d, gone (sorted line numbers), n_links (similar sets of the document's lines)."""
-    ranks = rarity_ranks(docs)
-    lines = stage_table(line_sets(docs, ranks), "lines")
-    links = similar_sets(docs, lines, ranks)
+    classes = rarity_classes(docs)
+    lines = stage_table(line_sets(docs, classes), "lines")
+    sets = stage_table(distinct_sets(lines), "distinct-lines")
+    links = similar_sets(docs, sets, classes)
     near = links.groupBy("s1", "s2").agg(F.min("other").alias("other"), F.count("*").alias("links"))
-    own = lines.groupBy("s1", "s2").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
     limit = (
-        own.join(near, ["s1", "s2"], "left")
+        sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left")
         .filter("c > 1 or links > 0")
         .select("s1", "s2", F.least("first", "other").alias("limit"), F.coalesce("links", F.lit(0)).alias("links"))
     )
     hit = lines.select("_d", "line", "s1", "s2").join(limit, ["s1", "s2"])
-    gone = F.collect_set(F.when(place("_d", "line") > F.col("limit"), F.col("line")))
-    return hit.groupBy("_d").agg(F.array_sort(gone).alias("gone"), F.sum("links").alias("n_links"))
+    hit = hit.select("_d", F.when(place("_d", "line") > F.col("limit"), F.col("line")).alias("line"), "links")
+    return hit.groupBy("_d").agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sum("links").alias("n_links"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

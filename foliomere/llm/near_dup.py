@@ -81,7 +81,7 @@ def _unsigned(x: Column) -> Column:
 def union_share(a: Column, b: Column) -> Column:
     """Estimated similarity: the share of the union's sketch that both sketches hold."""
     both = F.array_union(a, b)
-    union = F.slice(F.array_sort(F.transform(both, _unsigned)), 1, K)
+    union = F.slice(F.sort_array(F.transform(both, _unsigned)), 1, K)
     shared = F.transform(F.array_intersect(a, b), _unsigned)
     return F.size(F.array_intersect(union, shared)) / F.greatest(F.size(union), F.lit(1))
 
@@ -93,7 +93,7 @@ def listed(classes: DataFrame) -> DataFrame:
     mine = post.join(shared, "value").groupBy("class", "n", "s").agg(F.collect_list(F.struct("df", "value")).alias("v"))
     # values that no other sketch has are the rarest: they take the first places
     length = F.col("s") - F.ceil(F.lit(MIN_SHARE) * F.col("s")) + 1 - (F.col("s") - F.size("v"))
-    kept = mine.filter(length > 0).select("class", "n", F.explode(F.slice(F.array_sort("v"), 1, F.greatest(length, F.lit(0)).cast("int"))).alias("x"))
+    kept = mine.filter(length > 0).select("class", "n", F.explode(F.slice(F.sort_array("v"), 1, F.greatest(length, F.lit(0)).cast("int"))).alias("x"))
     rows = kept.select(F.col("x.value").alias("value"), "class", "n")
     alone = rows.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
     return rows.join(alone, "value")

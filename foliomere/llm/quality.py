@@ -64,7 +64,7 @@ def repeated_window_words(ws: Column) -> Column:
 
     # the lambda argument binds the sorted array once
     return F.when(n < 4, F.lit(0)).otherwise(
-        F.get(F.transform(F.array(F.array_sort(keyed)), covered), F.lit(0))
+        F.get(F.transform(F.array(F.sort_array(keyed)), covered), F.lit(0))
     )
 
 

@@ -128,7 +128,7 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         if r.query():
             may = (F.col("doc_id").isNull() | F.array_contains(F.coalesce("rules", F.array().cast("array<string>")), r.name)) & may
         kinds.append(F.when(may, _named(spans(F.col("text"), r), k, r.name)).otherwise(F.array().cast("array<struct<start:int,kind:int,name:string,end:int>>")))
-    return rows.select("doc_id", "text", F.array_sort(F.concat(*kinds)).alias("found"))
+    return rows.select("doc_id", "text", F.sort_array(F.concat(*kinds)).alias("found"))
 
 
 def listing(found: Column) -> Column:
