@@ -1,6 +1,6 @@
 """Near-duplicate lines by an exact set-similarity join.
 
-A line is the set of its lower-case words. Tokens are ordered by rarity: occurrences over all
+A line is the set of its lower-case tokens, parted by spaces. Tokens are ordered by rarity: occurrences over all
 texts are counted in a fixed number of hash buckets, and a token's key puts its bucket's class,
 then its length (of words that share a bucket's class the longer are rarer), before 54 bits of its
 hash, so the order is total and fits a long. Two sets at the threshold
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text, words
+from .common import stage_table, whole_text
 
 #: Similarity of word sets, in percent.
 PERCENT = 90
@@ -34,7 +34,7 @@ _PLACES = 2**31
 
 def rarity_classes(docs: DataFrame) -> Column:
     """Array literal: -8 to 7 for each bucket, by the power of two of its tokens' occurrences."""
-    seen = docs.select(F.explode(words(F.lower(whole_text()))).alias("w"))
+    seen = docs.select(F.explode(F.array_remove(F.split(F.lower(whole_text()), "[ \n]+", -1), "")).alias("w"))
     counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(2**BITS - 1)).alias("b")).count().collect()  # 2**BITS rows at most
     n = {r["b"]: r["count"] for r in counts}
     usual = sorted(n.values())[len(n) // 2].bit_length() if n else 0  # rare words share a bucket of about this size
@@ -42,6 +42,11 @@ def rarity_classes(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
 
 
+def tokens(text: Column) -> Column:
+    """Lower-case runs of characters other than spaces; a tab is a character."""
+    return F.array_remove(F.split(F.lower(text), " ", -1), "")
+
+
 def token_set(line: Column, classes: Column) -> Column:
     """Sorted keys of a line's distinct words: class of rarity, length (the longer, the rarer), hash."""
 
@@ -51,7 +56,7 @@ def token_set(line: Column, classes: Column) -> Column:
         size = F.shiftleft(F.lit(63) - F.least(F.length(w), F.lit(63)).cast("long"), 54)
         return rare.bitwiseOR(size).bitwiseOR(F.shiftrightunsigned(h, 10))
 
-    return F.sort_array(F.array_distinct(F.transform(words(F.lower(line)), key)))
+    return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
 
 def place(doc: str, line: str) -> Column:
@@ -59,32 +64,39 @@ def place(doc: str, line: str) -> Column:
 
 
 def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """_d, line, s1, s2, n, prefix of every line with words; (s1, s2) names its set."""
+    """_d, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set.
+
+    ``bits`` has a bit for each token, which several may share."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t"))
-    rows = rows.filter(F.regexp_like("t", F.lit(r"[^ \t\n\x0B\f\r]"))).select("_d", "line", token_set(F.col("t"), classes).alias("k"))
+    rows = rows.filter(F.trim("t") != "").select("_d", "line", token_set(F.col("t"), classes).alias("k"))
     n = F.size("k")
     length = n - F.ceil(PERCENT * n / 100).cast("int") + 1
     # a set that one more token would already part from all others has no prefix
     prefix = F.when(100 * n >= PERCENT * (n + 1), F.slice("k", 1, length))
-    return rows.select("_d", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"))
+    bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+    return rows.select("_d", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"), F.when(prefix.isNotNull(), bits).alias("bits"))
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """s1, s2, n, prefix, first, c: each set once, with its first place and its lines."""
-    return lines.groupBy("s1", "s2", "n", "prefix").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
+    """s1, s2, n, prefix, bits, first, c: each set once, with its first place and its lines."""
+    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
 
 
 def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets that share a prefix token and pass the length and position filters."""
-    post = sets.filter("prefix is not null").select("s1", "s2", "n", F.posexplode("prefix").alias("at", "key"))
+    """Pairs of sets that share a prefix token and pass the length, position and bit filters."""
+    post = sets.filter("prefix is not null").select("s1", "s2", "n", "bits", F.posexplode("prefix").alias("at", "key"))
     a, b = post.alias("a"), post.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * PERCENT / (100 + PERCENT) - 1e-9)
     reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    # each bit of one side alone is a token that the other lacks
+    lacks = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits"))))
+    shared = F.least(F.col("a.n") - lacks("a", "b"), F.col("b.n") - lacks("b", "a"))
     join = (
         (F.col("a.key") == F.col("b.key"))
         & ((F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2"))))
         & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
         & (reach >= need)
+        & (shared >= need)
     )
     return a.join(b, join).select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2"))).distinct()
 
