@@ -14,7 +14,7 @@ def read_events(spark: SparkSession, folder: str, schema: StructType) -> DataFra
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum of values by window and type; rows later than the watermark are left out."""
-    rows = events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
