@@ -26,6 +26,8 @@ from .common import stage_table, whole_text
 PERCENT = 90
 #: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
 BITS = 14
+#: Buckets for telling tokens that many sets list, the count that is many, and the pivots of such a list.
+BUCKETS, HOT, PIVOTS = 65_536, 64, 8
 #: Documents whose ids may be broadcast to fetch candidate lines; more are joined by a shuffle.
 BROADCAST_DOCS = 500_000
 _MISSING = -(2**63)
@@ -82,34 +84,37 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
     return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
 
 
-def candidate_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of sets that share a prefix token and pass the length, position and bit filters."""
-    post = sets.filter("prefix is not null").select("s1", "s2", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-    a, b = post.alias("a"), post.alias("b")
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * PERCENT / (100 + PERCENT) - 1e-9)
-    reach = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+def postings(sets: DataFrame) -> DataFrame:
+    """key, at and the set's columns, for each token of its prefix."""
+    return sets.filter("prefix is not null").select("s1", "s2", "n", "bits", "first", F.posexplode("prefix").alias("at", "key"))
+
+
+def may_match(a: str, b: str) -> Column:
+    """Length, position and bit filters of two postings of one key."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    need = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
+    reach = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
     # each bit of one side alone is a token that the other lacks
     lacks = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits"))))
-    shared = F.least(F.col("a.n") - lacks("a", "b"), F.col("b.n") - lacks("b", "a"))
-    join = (
-        (F.col("a.key") == F.col("b.key"))
-        & ((F.col("a.s1") < F.col("b.s1")) | ((F.col("a.s1") == F.col("b.s1")) & (F.col("a.s2") < F.col("b.s2"))))
-        & (100 * F.least("a.n", "b.n") >= PERCENT * F.greatest("a.n", "b.n"))
-        & (reach >= need)
-        & (shared >= need)
-    )
-    return a.join(b, join).select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2"))).distinct()
+    shared = F.least(na - lacks(a, b), nb - lacks(b, a))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & (shared >= need)
+
 
+def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
+    """Pairs of sets (a, an earlier b) that share a key and may match."""
+    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.first") < F.col("a.first")) & may_match("a", "b")
+    pairs = later.alias("a").join(earlier.alias("b"), on)
+    return pairs.select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2"))).distinct()
 
-def similar_sets(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFrame:
-    """s1, s2, other: both ways, each set and the first place of a set similar to it."""
-    pairs = stage_table(candidate_pairs(sets), "line-pairs")
+
+def verified(docs: DataFrame, sets: DataFrame, classes: Column, pairs: DataFrame) -> DataFrame:
+    """s1, s2, other: sets a of ``pairs`` with the first place of a set b that is similar enough."""
+    pairs = stage_table(pairs, "line-pairs")
     side = lambda x: pairs.select(F.col(f"{x}_s1").alias("s1"), F.col(f"{x}_s2").alias("s2"))
     firsts = sets.select("s1", "s2", "first").join(side("a").union(side("b")).distinct(), ["s1", "s2"])
     firsts = firsts.select("s1", "s2", "first", F.floor(F.col("first") / _PLACES).cast("long").alias("_d"), F.pmod("first", F.lit(_PLACES)).cast("int").alias("line"))
     firsts = stage_table(firsts, "line-places")
-    ids = firsts.select("_d").distinct()
-    few = ids.count() <= BROADCAST_DOCS
+    few = firsts.select("_d").distinct().count() <= BROADCAST_DOCS
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), whole_text().alias("_t"))
     # only the lines asked for leave their texts
     asked = firsts.groupBy("_d").agg(F.collect_set("line").alias("asked"))
@@ -121,47 +126,62 @@ def similar_sets(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFrame
     both = pairs.join(name("a"), ["a_s1", "a_s2"]).join(name("b"), ["b_s1", "b_s2"])
     i = F.size(F.array_intersect("a_k", "b_k"))
     good = both.filter(100 * i >= PERCENT * (F.size("a_k") + F.size("b_k") - i))
-    good = stage_table(good.select("a_s1", "a_s2", "a_first", "b_s1", "b_s2", "b_first"), "line-links")
-    one = lambda x, y: good.select(F.col(f"{x}_s1").alias("s1"), F.col(f"{x}_s2").alias("s2"), F.col(f"{y}_first").alias("other"))
-    return one("a", "b").union(one("b", "a"))
+    return stage_table(good.select(F.col("a_s1").alias("s1"), F.col("a_s2").alias("s2"), F.col("b_first").alias("other")), "line-links")
+
+
+def earlier_matches(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFrame:
+    """s1, s2, other: each set that an earlier one matches, with such a set's first place.
+
+    Tokens that many sets list are told by a count over a fixed number of buckets. Their sets
+    meet the earliest of each of PIVOTS shares of the list first; only sets that none of those
+    matches meet all earlier ones. Whether a set has an earlier match is exact either way."""
+    post = postings(sets).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)).cast("int"))
+    counts = post.groupBy("bucket").count()
+    mean = counts.agg(F.avg("count")).first()[0] or 0.0
+    busy = stage_table(counts.filter(F.col("count") > HOT + 4 * mean).select("bucket"), "busy-tokens")
+    rare = post.join(F.broadcast(busy), "bucket", "left_anti")  # BUCKETS rows at most
+    often = stage_table(post.join(F.broadcast(busy), "bucket", "left_semi"), "often")
+    cols = ["s1", "s2", "n", "bits", "first", "at"]
+    share = F.pmod(F.col("s1"), F.lit(PIVOTS))
+    pivots = often.groupBy("key", share).agg(F.min(F.struct("first", *(c for c in cols if c != "first"))).alias("p")).select("key", "p.*")
+    found = verified(docs, sets, classes, joined(rare, rare).union(joined(often, pivots)))
+    left = often.join(found.select("s1", "s2").distinct(), ["s1", "s2"], "left_anti")
+    return found.union(verified(docs, sets, classes, joined(left, often)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """_d, gone (sorted line numbers), n_links (similar sets of the document's lines)."""
+    """_d, gone (sorted line numbers)."""
     classes = rarity_classes(docs)
     lines = stage_table(line_sets(docs, classes), "lines")
     sets = stage_table(distinct_sets(lines), "distinct-lines")
-    links = similar_sets(docs, sets, classes)
-    near = links.groupBy("s1", "s2").agg(F.min("other").alias("other"), F.count("*").alias("links"))
+    near = earlier_matches(docs, sets, classes).groupBy("s1", "s2").agg(F.min("other").alias("other"))
     limit = (
         sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left")
-        .filter("c > 1 or links > 0")
-        .select("s1", "s2", F.least("first", "other").alias("limit"), F.coalesce("links", F.lit(0)).alias("links"))
+        .filter("c > 1 or other is not null")
+        .select("s1", "s2", F.least("first", "other").alias("limit"))
     )
-    hit = lines.select("_d", "line", "s1", "s2").join(limit, ["s1", "s2"])
-    hit = hit.select("_d", F.when(place("_d", "line") > F.col("limit"), F.col("line")).alias("line"), "links")
-    return hit.groupBy("_d").agg(F.sort_array(F.collect_set("line")).alias("gone"), F.sum("links").alias("n_links"))
+    hit = lines.select("_d", "line", "s1", "s2").join(limit, ["s1", "s2"]).filter(place("_d", "line") > F.col("limit"))
+    return hit.groupBy("_d").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later matching lines taken out of ``text``, and _n_lines, _gone, _n_links beside."""
+    """``docs`` with later matching lines taken out of ``text``, and _n_lines, _gone beside."""
     gone = removed_lines(docs)
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)))
     rows = keyed.join(gone, "_d", "left").drop("_d")
-    out = rows.withColumn("_gone", F.coalesce("gone", F.array().cast("array<int>"))).withColumn("_n_links", F.coalesce("n_links", F.lit(0)))
+    out = rows.withColumn("_gone", F.coalesce("gone", F.array().cast("array<int>")))
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
     out = out.withColumn("_n_lines", n_lines)
-    return out.withColumn("text", F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("gone", "n_links")
+    return out.withColumn("text", F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("gone")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers), n_links, kept_sha256 of every document."""
+    """doc_id, n_lines, n_removed, removed (line numbers), kept_sha256 of every document."""
     return dedup_lines(docs.select("doc_id", "text")).select(
         "doc_id",
         F.col("_n_lines").cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_removed"),
         F.array_join("_gone", ",").alias("removed"),
-        F.col("_n_links").alias("n_links"),
         F.sha2(whole_text(), 256).alias("kept_sha256"),
     )
