@@ -33,6 +33,8 @@ K = 32
 MIN_SHARE = 0.375
 MIN_SHARED = 12
 PERCENT = 75
+#: For pairs left across components: a longer sketch, and the share that is five deviations below 0.75.
+LONG_K, LONG_SHARE = 128, 0.56
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -78,10 +80,10 @@ def _unsigned(x: Column) -> Column:
     return x.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
-def union_share(a: Column, b: Column) -> Column:
+def union_share(a: Column, b: Column, k: int = K) -> Column:
     """Estimated similarity: the share of the union's sketch that both sketches hold."""
     both = F.array_union(a, b)
-    union = F.slice(F.sort_array(F.transform(both, _unsigned)), 1, K)
+    union = F.slice(F.sort_array(F.transform(both, _unsigned)), 1, k)
     shared = F.transform(F.array_intersect(a, b), _unsigned)
     return F.size(F.array_intersect(union, shared)) / F.greatest(F.size(union), F.lit(1))
 
@@ -176,7 +178,7 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
     top = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     lists = rooted.groupBy("class").agg(F.array_agg("value").alias("mine"))  # K values at most
     open_ = rooted.join(top.select("value", F.col("top.root").alias("main")), "value")
-    open_ = stage_table(open_.join(lists, "class").join(sets.select("class", "sketch"), "class"), "open")
+    open_ = stage_table(open_.join(lists, "class").join(sets.select("class", F.slice("full", 1, LONG_K).alias("long")), "class"), "open")
     x, y = open_.filter("root != main").alias("x"), open_.alias("y")
     rest = x.join(
         y,
@@ -185,7 +187,7 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
         & possible(F.col("x.n"), F.col("x.e"), F.col("y.n"), F.col("y.e"))
         # one of the lists that a pair shares speaks for it
         & (F.col("x.value") == F.array_min(F.array_intersect("x.mine", "y.mine")))
-        & (union_share(F.col("x.sketch"), F.col("y.sketch")) >= MIN_SHARE),
+        & (union_share(F.col("x.long"), F.col("y.long"), LONG_K) >= LONG_SHARE),
     ).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
     return components(links.union(confirmed(stage_table(rest, "rest"), sets)))
