@@ -301,7 +301,7 @@ def rebase(t: Ledger) -> DataFrame:
 
 @query("""WITH r AS (SELECT instrument_id, trade_date, close_cents / lag(close_cents) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM prices),
  k AS (SELECT * FROM r WHERE r IS NOT NULL AND instrument_id < 12)
- SELECT a.instrument_id AS left_id, b.instrument_id AS right_id, round(COALESCE(corr(a.r, b.r), 0), 4) AS correlation FROM k a JOIN k b USING (trade_date) GROUP BY ALL""")
+ SELECT a.instrument_id AS left_id, b.instrument_id AS right_id, round(COALESCE(CASE WHEN stddev_pop(a.r) > 0 AND stddev_pop(b.r) > 0 THEN corr(a.r, b.r) END, 0), 4) AS correlation FROM k a JOIN k b USING (trade_date) GROUP BY ALL""")
 def correlation(t: Ledger) -> DataFrame:
     r = series.pct_change("close_cents", ["instrument_id"], "trade_date")
     return series.correlation(t.prices().select("instrument_id", "trade_date", r.alias("r")).filter("r is not null and instrument_id < 12"))
