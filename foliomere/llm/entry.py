@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, pii, quality, secrets, token_file, toxicity, warc
+from . import decontaminate, line_dedup, near_dup, packing, pii, quality, secrets, sql, token_file, toxicity, warc
 from .common import table
 
 
@@ -55,4 +55,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_quality": sql.quality(), "op7_near_dup": sql.near_duplicates()}

@@ -347,3 +347,10 @@ def test_queries_run_whole(spark, name):
     whole = {"op1_warc": 50, "op3_decontaminate": None, "op10_packing": None}
     if whole.get(name, 200):
         assert n == whole.get(name, 200)
+
+
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
+def test_equals_sql(spark, name):
+    from oracle import compare, connect
+
+    assert compare(entry.queries()[name](spark, SF), connect(SF), entry.oracle_sql()[name]) == ""
