@@ -6,9 +6,11 @@ names the reason before any difference is looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomere.functions.movements import NON_CASH
+
 from .asof import assign_interval
 
 
@@ -82,3 +84,12 @@ def initial_positions(statements: DataFrame, positions: DataFrame, moves: DataFr
 
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def cash_at(moves: DataFrame, at: Column) -> DataFrame:
+    """account_id, currency, balance, missing: cash moved by a date; types without cash do not count.
+
+    ``missing`` counts movements whose effect is unknown."""
+    rows = moves.filter((F.col("cash_effective_date") <= at) & ~F.col("txn_type").isin(*NON_CASH))
+    total = F.sum(F.coalesce(F.col("net_amount"), F.lit(0))).alias("balance")
+    return rows.groupBy("account_id", "currency").agg(total, F.count_if(F.col("net_amount").isNull()).alias("missing"))

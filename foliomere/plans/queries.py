@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomere.functions import movements, text
-from foliomere.operators import asof, checkpoints, lineage, listing, reconcile, series, transfers
+from foliomere.functions import keys, movements, text
+from foliomere.operators import activity, asof, checkpoints, lineage, listing, lots, market, reconcile, series, transfers
 from foliomere.sources.ledger import Ledger
 
 from .sql import sql
@@ -432,3 +432,93 @@ def performance_total(t: Ledger) -> DataFrame:
 def page_lines(t: Ledger) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != "")
     return t.raw("documents").select("doc_id", F.size(lines).cast("long").alias("lines"), (F.length(F.trim("text")) < 20).alias("image_only"))
+
+
+@query("SELECT row_id, trade_date, txn_type, concat('S', instrument_id) AS symbol, quantity, CAST(net_amount AS DOUBLE) AS amount FROM transactions WHERE txn_type IN ('buy','sell','dividend')")
+def activity_parse(t: Ledger) -> DataFrame:
+    """Movements printed as statement lines without years, up to two months late, and parsed back."""
+    verb = F.when(F.col("txn_type") == "buy", "BOUGHT").when(F.col("txn_type") == "sell", "SOLD").otherwise("DIVIDEND")
+    cash = F.format_number(F.abs("net_amount"), 2)
+    printed = F.when(F.col("net_amount") < 0, F.concat(F.lit("("), cash, F.lit(")"))).otherwise(F.concat(F.lit("$"), cash))
+    line = F.concat_ws(" ", F.date_format("trade_date", "MMM d"), verb, F.concat(F.lit("S"), "instrument_id"), F.format_number("quantity", 2), printed)
+    ends = F.last_day(F.add_months("trade_date", F.col("account_id").cast("int") % 3))
+    lines = t.transactions().filter("txn_type in ('buy', 'sell', 'dividend')").select("row_id", line.alias("line"), ends.alias("period_end"))
+    return activity.parsed(lines).select("row_id", "trade_date", "txn_type", "symbol", F.col("quantity").cast("double"), F.col("amount").cast("double"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice ELSE p_retailprice + 1 END AS price FROM part")
+def provider_merge(t: Ledger) -> DataFrame:
+    p = t.raw("part").select("p_partkey", F.col("p_retailprice").alias("price"))
+    return market.first_provider([p.filter("p_partkey % 3 != 0"), p.withColumn("price", F.col("price") + 1)], ["p_partkey"])
+
+
+@query("""WITH a AS (SELECT l_suppkey AS id, year(l_shipdate) AS y, SUM(l_quantity) AS volume, COUNT(*) AS n FROM lineitem GROUP BY ALL),
+ b AS (SELECT id, y + 1 AS y, CASE WHEN id % 2 = 0 THEN volume + 1 END AS volume FROM a)
+ SELECT id, y, COALESCE(b.volume, a.volume) AS volume, n FROM a FULL JOIN b USING (id, y)""")
+def statement_fields(t: Ledger) -> DataFrame:
+    rows = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("id"), F.year("l_shipdate").alias("y"))
+    a = rows.agg(F.sum("l_quantity").alias("volume"), F.count("*").alias("n"))
+    b = a.select("id", (F.col("y") + 1).alias("y"), F.when(F.col("id") % 2 == 0, F.col("volume") + 1).alias("volume"))
+    return market.merged_fields([a, b], ["id", "y"], ["volume", "n"])
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), c AS (SELECT * FROM (VALUES ('1d', 1), ('1w', 7), ('1m', 30), ('3m', 90), ('6m', 180), ('1y', 365), ('ytd', NULL)) v(code, n))
+ SELECT day, code, COALESCE(day - CAST(n AS INTEGER), CAST(date_trunc('year', day) AS DATE)) AS start FROM d CROSS JOIN c""")
+def period_starts(t: Ledger) -> DataFrame:
+    codes = F.explode(F.array(*map(F.lit, ("1d", "1w", "1m", "3m", "6m", "1y", "ytd"))))
+    days = t.raw("orders").select(F.to_date("o_orderdate").alias("day")).distinct().select("day", codes.alias("code"))
+    return days.select("day", "code", market.period_start(F.col("day"), F.col("code")).alias("start"))
+
+
+@query(f"""WITH x AS (SELECT instrument_id, max_by(close_cents, trade_date) FILTER (trade_date <= DATE '{AS_OF}') AS a, max_by(close_cents, trade_date) FILTER (trade_date <= DATE '{LATER}') AS b FROM prices GROUP BY 1)
+ SELECT COALESCE(sector, 'Unknown') AS sector, COUNT(*) AS n, round(AVG(b / a - 1), 6) AS mean_return FROM x LEFT JOIN instruments USING (instrument_id) WHERE a > 0 GROUP BY 1""")
+def sector_returns(t: Ledger) -> DataFrame:
+    rows = market.period_return(t.prices(), day(AS_OF), day(LATER)).join(F.broadcast(t.instruments()), "instrument_id", "left")
+    return rows.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count("*").alias("n"), F.round(F.avg("change"), 6).alias("mean_return"))
+
+
+@query("WITH " + _hold_sql(AS_OF) + _PRICED + f""", totals AS (SELECT currency, CAST(SUM(value_cents) AS BIGINT) AS value_cents FROM valued GROUP BY 1),
+ rate AS (SELECT max_by(rate_cents, rate_date) AS r FROM fx WHERE rate_date <= DATE '{AS_OF}')
+ SELECT currency, target, value_cents, CAST(round(CASE WHEN currency = target THEN value_cents WHEN target = 'CAD' THEN value_cents * r / 100 ELSE value_cents * 100 / r END) AS BIGINT) AS combined_cents
+ FROM totals CROSS JOIN (VALUES ('CAD'), ('USD')) v(target) CROSS JOIN rate""")
+def combined_totals(t: Ledger) -> DataFrame:
+    """The two currencies' totals in each of them; only USD in CAD has a rate of its own."""
+    totals = checkpoints.native_totals(_valued(t)).select("currency", "value_cents")
+    rates = t.fx().select(F.lit("USD").alias("base"), F.lit("CAD").alias("quote"), "rate_date", "rate_cents")
+    both = market.combined(totals, rates, "CAD", day(AS_OF)).unionByName(market.combined(totals, rates, "USD", day(AS_OF)))
+    return both.select("currency", "target", "value_cents", "combined_cents")
+
+
+@query(f"""SELECT account_id, currency, CAST(SUM(COALESCE(net_amount, 0)) AS DOUBLE) AS balance, COUNT(*) FILTER (net_amount IS NULL) AS missing FROM transactions
+WHERE cash_effective_date <= DATE '{AS_OF}' AND txn_type NOT IN ('stock_split', 'journal') GROUP BY ALL""")
+def cash_at(t: Ledger) -> DataFrame:
+    return reconcile.cash_at(t.transactions(), day(AS_OF)).withColumn("balance", F.col("balance").cast("double"))
+
+
+@query("""WITH lots AS (SELECT DISTINCT o_custkey, l_partkey, l_quantity, l_discount, l_tax FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+ SELECT o_custkey AS account_id, l_partkey AS instrument_id, COUNT(*) AS lots, SUM(l_quantity) AS quantity, CASE WHEN COUNT(*) FILTER (l_tax = 0) = 0 THEN SUM(l_quantity) END AS book_value,
+ CASE WHEN max(l_discount) - min(l_discount) <= 1e-9 THEN min(l_discount) END AS price FROM lots GROUP BY ALL""")
+def lot_merge(t: Ledger) -> DataFrame:
+    rows = t.raw("lineitem").join(t.raw("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.select(
+        F.col("o_custkey").alias("account_id"), F.col("l_partkey").alias("instrument_id"), F.concat_ws(" ", "l_quantity", "l_discount", "l_tax").alias("raw_line"),
+        F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("price"), F.when(F.col("l_tax") != 0, F.col("l_quantity")).alias("book_value"),
+    )
+    return lots.merge_lots(rows, ["account_id", "instrument_id"])
+
+
+@query("SELECT p_partkey, MIN(p_partkey) OVER (PARTITION BY p_brand, p_size) AS kept_id FROM part")
+def instrument_dedup(t: Ledger) -> DataFrame:
+    return lots.oldest_ids(t.raw("part").select("p_partkey", "p_brand", "p_size"), ["p_brand", "p_size"], "p_partkey")
+
+
+@query("""SELECT statement_id, concat('sk1:', sha256(concat('{"account_id":', account_id, ',"currency":"', currency, '","period_end":"', period_end, '","period_start":"', period_start, '"}'))) AS statement_key,
+ substr(sha256(CAST(account_id AS VARCHAR)), 1, 16) AS redacted FROM statements""")
+def statement_keys(t: Ledger) -> DataFrame:
+    fields = {c: F.col(c) for c in ("account_id", "currency", "period_start", "period_end")}
+    return t.statements().select("statement_id", keys.statement_key(fields).alias("statement_key"), keys.redacted(F.col("account_id").cast("string")).alias("redacted"))
+
+
+@query("""SELECT doc_id, CAST(CAST(concat('0x', substr(sha256(concat(COALESCE(lang, ''), chr(0), doc_id)), 1, 16)) AS UBIGINT) % 9223372036854775808 AS BIGINT) AS occurrence_id FROM documents""")
+def occurrence_ids(t: Ledger) -> DataFrame:
+    return t.raw("documents").select("doc_id", keys.occurrence_id(F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string")).alias("occurrence_id"))

@@ -4,8 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from foliomere.functions import movements, text
-from foliomere.operators import asof, checkpoints, lineage, listing, transfers
+from foliomere.functions import keys, movements, text
+from foliomere.operators import activity, asof, checkpoints, lineage, listing, lots, market, reconcile, transfers
 from foliomere.sources import dumps
 
 D = dt.date
@@ -94,3 +94,49 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(120)
     batch = resample.windowed(src)
     assert spark.table("w").count() == batch.count() > 0
+
+
+def test_activity_lines(spark):
+    rows = [("Dec 31 BOUGHT S1 10 (1,250.50)", D(2024, 1, 31)), ("Jan5 SOLD SHORT AB.C 3 $9", D(2024, 1, 31)), ("Opening balance", D(2024, 1, 31)), (None, None), ("Feb 30 SOLD X 1 1", D(2024, 3, 31))]
+    got = activity.parsed(spark.createDataFrame(rows, "line string, period_end date"))
+    found = {r.line: (r.trade_date, r.txn_type, r.symbol, r.quantity and float(r.quantity), r.amount and float(r.amount)) for r in got.collect()}
+    assert found["Dec 31 BOUGHT S1 10 (1,250.50)"] == (D(2023, 12, 31), "buy", "S1", 10.0, -1250.5)
+    assert found["Jan5 SOLD SHORT AB.C 3 $9"] == (D(2024, 1, 5), "short_sell", "AB.C", 3.0, 9.0)
+    assert found["Opening balance"] == (None,) * 5 and found["Feb 30 SOLD X 1 1"][0] is None
+    assert activity.rejected(got).count() == 3
+
+
+def test_later_frames_win_where_they_are_set(spark):
+    a = spark.createDataFrame([(1, 5.0, 1), (2, 6.0, 2)], "k int, x double, y int")
+    b = spark.createDataFrame([(1, None), (2, 7.0), (3, 8.0)], "k int, x double")
+    got = {r.k: (r.x, r.y) for r in market.merged_fields([a, b], ["k"], ["x", "y"]).collect()}
+    assert got == {1: (5.0, 1), 2: (7.0, 2), 3: (8.0, None)}
+    first = {r.k: r.x for r in market.first_provider([a.select("k", "x"), b], ["k"]).collect()}
+    assert first == {1: 5.0, 2: 6.0, 3: 8.0}
+
+
+def test_combined_totals_take_direct_then_inverse_rates(spark):
+    totals = spark.createDataFrame([("CAD", 100), ("USD", 200), ("EUR", 300)], "currency string, value_cents long")
+    rates = spark.createDataFrame([("USD", "CAD", D(2024, 1, 1), 125), ("USD", "CAD", D(2024, 3, 1), 999)], "base string, quote string, rate_date date, rate_cents long")
+    at = F.lit("2024-02-01").cast("date")
+    assert {r.currency: r.combined_cents for r in market.combined(totals, rates, "CAD", at).collect()} == {"CAD": 100, "USD": 250, "EUR": None}
+    assert {r.currency: r.combined_cents for r in market.combined(totals, rates, "USD", at).collect()} == {"CAD": 80, "USD": 200, "EUR": None}
+
+
+def test_lots_merge_and_unknown_stays_unknown(spark):
+    rows = [(1, "a", 1.0, 2.0, 5.0), (1, "a", 1.0, 2.0, 5.0), (1, "b", 3.0, 2.0, None), (2, "c", 1.0, 1.0, 1.0), (2, "d", 1.0, 4.0, 1.0)]
+    out = lots.merge_lots(spark.createDataFrame(rows, "k int, raw_line string, quantity double, price double, book_value double"), ["k"])
+    assert {r.k: (r.lots, r.quantity, r.book_value, r.price) for r in out.collect()} == {1: (2, 4.0, None, 2.0), 2: (2, 2.0, 2.0, None)}
+    ids = spark.createDataFrame([(3, "x", None), (1, "x", None), (2, "x", "y")], "id int, a string, b string")
+    assert {r.id: r.kept_id for r in lots.oldest_ids(ids, ["a", "b"], "id").collect()} == {3: 1, 1: 1, 2: 2}
+
+
+def test_cash_at_counts_unknown_effects(spark):
+    rows = [(1, "CAD", D(2024, 1, 1), "buy", -5.0), (1, "CAD", D(2024, 1, 2), "sell", None), (1, "CAD", D(2024, 1, 2), "journal", 9.0), (1, "CAD", D(2024, 2, 1), "sell", 7.0)]
+    moves = spark.createDataFrame(rows, "account_id int, currency string, cash_effective_date date, txn_type string, net_amount double")
+    assert [(r.balance, r.missing) for r in reconcile.cash_at(moves, F.lit("2024-01-31").cast("date")).collect()] == [(-5.0, 1)]
+
+
+def test_iso_dates(spark):
+    rows = spark.createDataFrame([("2024-02-29",), ("2024-2-9",), ("2023-02-29",), (None,)], "x string")
+    assert [r.ok for r in rows.select(keys.is_iso_date(F.col("x")).alias("ok")).collect()] == [True, False, False, False]
