@@ -150,15 +150,27 @@ def with_roots(rows: DataFrame, label: DataFrame) -> DataFrame:
     return rows.join(label, "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` after further links between its components: only their roots are spread anew."""
+    if links.isEmpty():
+        return label
+    tops = with_roots(links.select(F.col("a").alias("class"), "b"), label).select(F.col("root").alias("a"), F.col("b").alias("class"))
+    tops = with_roots(tops, label).select("a", F.col("root").alias("b"))
+    over = components(tops.distinct())
+    alone = over.join(label, "class", "left_anti").select("class", F.col("class").alias("root"))
+    up = over.select(F.col("class").alias("root"), F.col("root").alias("over"))
+    known = label.select("class", "root").union(alone)
+    return known.join(up, "root", "left").select("class", F.coalesce("over", "root").alias("root"))
+
+
 def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
     """class, root of all linked classes."""
-    empty = made.sparkSession.createDataFrame([], "a binary, b binary")
     classes = made.filter(F.col("class").isNotNull()).groupBy("class", F.col("n_shingles").alias("n")).agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
     post = stage_table(listed(stage_table(classes, "classes")), "lists")
     # the full sets of listed classes alone: one text each, by the smallest id
     wanted = post.select("class").distinct()
     if wanted.isEmpty():
-        return components(empty)
+        return made.sparkSession.createDataFrame([], "class binary, root binary")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     first = made.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_k")).select("_k").distinct()
     texts = docs.select(key.alias("_k"), "doc_id", "text").join(first, "_k", "left_semi")
@@ -172,7 +184,8 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
     pivots = post.select("class", F.explode(F.array("lo", "hi")).alias("p")).filter("class != p")
     tried = stage_table(pivots.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct(), "tried")
     links = confirmed(tried, sets)
-    rooted = with_roots(post.select("value", "class", "n", "e"), components(links))
+    label = components(links)
+    rooted = with_roots(post.select("value", "class", "n", "e"), label)
     # lists with one component are done; of the others, the largest component needs no pairs of its own
     sizes = rooted.groupBy("value", "root").agg(F.count("*").alias("c"))
     top = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
@@ -190,7 +203,7 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
         & (union_share(F.col("x.long"), F.col("y.long"), LONG_K) >= LONG_SHARE),
     ).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
     rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    return components(links.union(confirmed(stage_table(rest, "rest"), sets)))
+    return merged(label, confirmed(stage_table(rest, "rest"), sets))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

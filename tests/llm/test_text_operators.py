@@ -240,6 +240,22 @@ def test_near_duplicates(spark, odd, docs):
     assert near_dup.keep_first(odd).columns == odd.columns
 
 
+def test_merged_components(spark):
+    """Links between components, to classes without any, and none at all."""
+    frame = lambda rows: spark.createDataFrame([(a.encode(), b.encode()) for a, b in rows], "a binary, b binary")
+    label = near_dup.components(frame([("a", "b"), ("b", "c"), ("d", "e"), ("g", "h")]))
+    groups = lambda out: sorted("".join(sorted(bytes(r["class"]).decode() for r in rows)) for rows in _by_root(out).values())
+    assert groups(near_dup.merged(label, frame([]))) == ["abc", "de", "gh"]
+    assert groups(near_dup.merged(label, frame([("c", "e"), ("e", "i"), ("j", "k")]))) == ["abcdei", "gh", "jk"]
+
+
+def _by_root(label) -> dict:
+    out = {}
+    for r in label.collect():
+        out.setdefault(bytes(r["root"]), []).append(r)
+    return out
+
+
 def test_encoder_equals_library(docs):
     e = tokens.Encoder(tokens.vocabulary())
     rng = random.Random(5)
