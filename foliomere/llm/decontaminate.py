@@ -2,15 +2,20 @@
 
 A mask such as 1101 looks at some token places and ignores the others, so a substitution at an
 ignored place leaves the hash as it was. Every window of every test item and of every document
-is hashed under a few fixed masks and joined; around each hit the aligned tokens are compared,
-and a hit counts if enough of a window agree.
+is hashed under a few fixed masks and joined; around each hit the aligned tokens are compared
+in every window that holds the hit, and a hit counts if enough of a window agree.
+
+The masks are sets that leave no gap: however the tolerated substitutions lie in a window (or
+in an item shorter than one), some mask fits between them. Items are seeded by the set of their
+length, so short ones have lighter masks; documents are hashed under the masks that the test
+set's items ask for.
 
 The test set is the stated query side. It is split into blocks by a count of its windows, so
 what a task holds of it is bounded; documents are never shuffled.
 
-Edge cases: null and empty texts have no windows and are clean; an item shorter than a mask is
-not seen by that mask, and one shorter than all masks matches nothing; repeated rows and items
-give one pair; null ids form a pair of their own; extra columns are passed over.
+Edge cases: null and empty texts have no windows and are clean; of an item of three tokens or
+fewer all must agree; repeated rows and items give one pair; null ids form a pair of their own;
+extra columns are passed over.
 """
 
 from __future__ import annotations
@@ -22,11 +27,23 @@ from pyspark.sql import functions as F
 
 from .common import whole_text, words
 
-MASKS = ("111010111", "1101100111", "11100101011")
 #: Tokens compared around a hit (the item's length if shorter), and the share that must agree.
 WINDOW, PERCENT = 16, 75
-#: Tokens kept on either side of a hit.
-REACH = WINDOW
+#: Masks of items that have so many tokens at least. 16 tokens with 4 substituted and 15 with 3 share a set.
+MASKS = {
+    15: ("111011", "1100001011", "111000010001"),
+    12: ("111011", "110100011", "11001011", "110111"),
+    9: ("11101", "100111"),
+    8: ("111", "1101"),
+    7: ("11011",),
+    6: ("111",),
+    4: ("11",),
+    3: ("111",),
+    2: ("11",),
+    1: ("1",),
+}
+#: Tokens on either side of a hit that a window with it can hold.
+REACH = WINDOW - 1
 #: Windows of the test set that one block may hold, about 50 MB.
 BLOCK_WINDOWS = 100_000
 
@@ -35,63 +52,80 @@ def tokens(text: Column) -> Column:
     return words(F.lower(text))
 
 
-def _seeds(ws: Column, p: Column, n: Column) -> Column:
-    """Hashes of the window at ``p`` under each mask it fits, with the mask's number mixed in."""
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks of an item of n tokens."""
+    return next((m for least, m in MASKS.items() if n >= least), ())
+
+
+def asked_masks(items: DataFrame) -> list[str]:
+    """Every mask that some item (its length is ``n``) has."""
+    lengths = items.filter("n > 0").select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()  # WINDOW rows at most
+    return sorted({m for r in lengths for m in masks_of(r["n"])})
+
+
+def _seeds(ws: Column, p: Column, n: Column, masks: list[str], own: bool = False) -> Column:
+    """Hashes of the window at ``p`` under each mask it fits (and that an item of n tokens has, if ``own``), with the mask mixed in."""
     out = []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
         taken = [F.get(ws, p + i) for i, c in enumerate(mask) if c == "1"]
-        out.append(F.when(p + len(mask) <= n, F.xxhash64(F.lit(k), *taken)))
+        fits = p + len(mask) <= n
+        if own:
+            fits &= F.least(n, F.lit(WINDOW)).isin([k for k in range(1, WINDOW + 1) if mask in masks_of(k)])
+        out.append(F.when(fits, F.xxhash64(F.lit(mask), *taken)))
     return F.array(*out)
 
 
-def places(n: Column) -> Column:
+def places(n: Column, masks: list[str]) -> Column:
     """Where a window of the shortest mask can begin among n tokens; null if nowhere."""
-    last = n - min(map(len, MASKS))
+    last = n - min(map(len, masks))
     return F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
+def surroundings(ws: Column, p: Column) -> Column:
+    """The token at ``p`` with up to REACH on either side: ``p`` has the place least(p, REACH) in it."""
+    return F.slice(ws, F.greatest(p - REACH, F.lit(0)) + 1, F.least(p, F.lit(REACH)) + 1 + REACH)
+
+
+def item_windows(items: DataFrame, masks: list[str]) -> DataFrame:
     """seed, item_id, q, n_item, around: one row for each window and mask of the items."""
-    rows = benchmark.select("item_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
-    rows = rows.select("*", F.explode(places(F.col("n"))).alias("q"))
-    start = F.greatest(F.col("q") - WINDOW, F.lit(0))
-    around = F.slice("ws", start + 1, 2 * WINDOW + max(map(len, MASKS)))
-    rows = rows.select("item_id", "q", F.col("n").alias("n_item"), start.alias("from"), around.alias("around"), F.explode(_seeds(F.col("ws"), F.col("q"), F.col("n"))).alias("seed"))
+    rows = items.select("*", F.explode(places(F.col("n"), masks)).alias("q"))
+    seeds = _seeds(F.col("ws"), F.col("q"), F.col("n"), masks, own=True)
+    rows = rows.select("item_id", "q", F.col("n").alias("n_item"), surroundings(F.col("ws"), F.col("q")).alias("around"), F.explode(seeds).alias("seed"))
     return rows.filter("seed is not null")
 
 
-def agreeing(near: Column, p: Column, q: Column, n_item: Column, start: Column, around: Column) -> Column:
-    """Most tokens that agree in a window that begins at, is centred on or ends with the hit."""
-    width = F.least(F.lit(WINDOW), n_item)
+def agreeing(near: Column, p: Column, around: Column, q: Column) -> Column:
+    """Most tokens that agree in a window that holds the hit.
+
+    Places outside either text agree nowhere, so windows that leave the item never count more."""
 
-    def count(shift: Column) -> Column:
-        first = F.least(F.greatest(q - shift, F.lit(0)), n_item - width)  # the window stays in the item
-        # `near` begins REACH tokens before the hit, or at the text's start
-        doc, item = F.least(p, F.lit(REACH)) - q + first, first - start
-        places = F.sequence(F.lit(0), width - 1)
-        same = F.filter(places, lambda i: (doc + i >= 0) & (F.get(near, doc + i) == F.get(around, item + i)))
-        return F.size(same)
+    def bit(acc: Column, k: Column) -> Column:
+        same = F.get(near, F.least(p, F.lit(REACH)) + k) == F.get(around, F.least(q, F.lit(REACH)) + k)
+        return acc.bitwiseOR(F.when(same, F.call_function("shiftleft", F.lit(1).cast("long"), k + REACH)).otherwise(F.lit(0).cast("long")))
 
-    span = max(map(len, MASKS))
-    return F.greatest(count(F.lit(0)), count(F.lit((WINDOW - span) // 2)), count(width - span))
+    bits = F.aggregate(F.sequence(F.lit(-REACH), F.lit(REACH)), F.lit(0).cast("long"), bit)
+    most = lambda b: F.greatest(*(F.bit_count(F.shiftright(b, k).bitwiseAND(F.lit(2**WINDOW - 1).cast("long"))) for k in range(WINDOW)))
+    return F.get(F.transform(F.array(bits), most), F.lit(0))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, agreeing: each document and item that overlap, and the most tokens that agree."""
-    windows = item_windows(benchmark)
+    items = benchmark.select("item_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
+    masks = asked_masks(items) or ["1"]  # any mask will do where no item has a token
+    windows = item_windows(items, masks)
     blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
     rows = docs.select("doc_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
-    at = rows.select("doc_id", "ws", "n", F.explode(places(F.col("n"))).alias("p"))
-    seeded = at.select("doc_id", "ws", "p", F.explode(_seeds(F.col("ws"), F.col("p"), F.col("n"))).alias("seed"))
+    at = rows.select("doc_id", "ws", "n", F.explode(places(F.col("n"), masks)).alias("p"))
+    seeded = at.select("doc_id", "ws", "p", F.explode(_seeds(F.col("ws"), F.col("p"), F.col("n"), masks)).alias("seed"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     out = None
     for k in range(blocks):
         block = windows.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
         hits = seeded.join(F.broadcast(block), "seed")  # at most about BLOCK_WINDOWS rows, by the count above
         # a hit takes along its surroundings, not the whole text
-        near = F.slice("ws", F.greatest(F.col("p") - REACH, F.lit(0)) + 1, 2 * REACH + WINDOW)
-        hits = hits.select("doc_id", "item_id", "p", "q", "n_item", "from", "around", F.explode(F.array(near)).alias("near"))
-        hits = hits.withColumn("agreeing", agreeing(F.col("near"), F.col("p"), F.col("q"), F.col("n_item"), F.col("from"), F.col("around")))
+        near = surroundings(F.col("ws"), F.col("p"))
+        hits = hits.select("doc_id", "item_id", "p", "q", "n_item", "around", F.explode(F.array(near)).alias("near"))
+        hits = hits.withColumn("agreeing", agreeing(F.col("near"), F.col("p"), F.col("around"), F.col("q")))
         good = hits.filter(100 * F.col("agreeing") >= PERCENT * width).select("doc_id", "item_id", "agreeing")
         out = good if out is None else out.union(good)
     return out.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"))

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import io
+import itertools
 import random
 import re
 import struct
@@ -130,6 +131,40 @@ def test_decontaminate_takes_substitutions_and_leaves_others(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(df, bench).collect()} == {3, 4}
 
 
+def test_masks_leave_no_gap():
+    """Every choice of tolerated substitutions, in items of every length up to a window, leaves some mask a place."""
+    for n in range(1, decontaminate.WINDOW + 1):
+        for places in itertools.combinations(range(n), n * (100 - decontaminate.PERCENT) // 100):
+            free = lambda m, at: all(c == "0" or at + i not in places for i, c in enumerate(m))
+            assert any(free(m, at) for m in decontaminate.masks_of(n) for at in range(n - len(m) + 1)), (n, places)
+
+
+def test_decontaminate_equals_all_windows(spark):
+    rng = random.Random(8)
+    items = {k: [f"i{k}_{j}" for j in range(n)] for k, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 12, 14, 15, 16, 40])}
+    rows = []
+    for d in range(400):
+        k = rng.randrange(len(items))
+        n, own = len(items[k]), list(items[k])
+        if d % 3:  # about as many substitutions as are still tolerated
+            first = rng.randrange(max(1, n - 15))
+            own = own[first : first + 16]
+            for j in rng.sample(range(len(own)), min(len(own), len(own) // 4 + d % 2)):
+                own[j] = "other"
+        rows.append((d, ["x"] * rng.randrange(20) + own + ["y"] * rng.randrange(20)))
+
+    def plain(doc, item):
+        w = min(16, len(item))
+        counts = (sum(0 <= at + i < len(doc) and doc[at + i] == item[f + i] for i in range(w)) for f in range(len(item) - w + 1) for at in range(-w, len(doc)))
+        best = max(counts)
+        return best if 100 * best >= 75 * w else None
+
+    want = {(d, k): n for d, ws in rows for k, item in items.items() if (n := plain(ws, item)) is not None}
+    docs = spark.createDataFrame([(d, " ".join(ws)) for d, ws in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.agreeing for r in decontaminate.overlaps(docs, bench).collect()} == want and len(want) > 200
+
+
 def secrets_plain(t):
     rules = (("assign", secrets.BASE[0].regex, 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))
     found = sorted((m.start(), k, n, m.end()) for k, (n, x, g, least) in enumerate(rules) for m in re.finditer(x, t) if len(m[g]) >= least)
