@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomere.functions import text
+
 LIMIT, MOST = 5000, 50_000
 
 
@@ -50,3 +52,24 @@ def weighted_average(rows: DataFrame, keys: list[str], value: str, weight: str)
     total = F.sum(F.abs(weight))
     avg = F.when(F.count_if(F.col(value).isNull()) == 0, F.try_divide(F.sum(F.col(value) * F.abs(weight)), total))
     return rows.groupBy(*keys).agg(avg.alias("average"))
+
+
+def similar_names(rows: DataFrame) -> DataFrame:
+    """left_id, right_id, score of all pairs with a score above 0. ``rows``: id, t (distinct tokens).
+
+    Names are compared once for each two token arrays. A score asks for equal sets, two tokens
+    in common or one long first word, so arrays meet by these, and none is missed."""
+    known = rows.filter(F.size("t") > 0).select("id", "t", F.array_join("t", " ").alias("s"))
+    names = known.select("s", "t").distinct()
+    own = F.array_sort("t")
+    pairs = F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("2"), x, y))))
+    first = F.when(F.length(F.get("t", F.lit(0))) >= 5, F.concat_ws(" ", F.lit("1"), F.get("t", F.lit(0))))
+    keys = F.array_compact(F.concat(pairs, F.array(F.concat_ws(" ", F.lit("0"), own), first)))
+    keyed = names.select("s", "t", F.explode(keys).alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.s") < F.col("b.s"))).select(F.col("a.s").alias("s"), F.col("b.s").alias("z"), F.col("a.t").alias("x"), F.col("b.t").alias("y")).distinct()
+    scored = met.select("s", "z", text.name_similarity(F.col("x"), F.col("y")).alias("score")).filter("score > 0")
+    scored = scored.unionByName(names.select("s", F.col("s").alias("z"), F.lit(1.0).alias("score")))
+    left, right = known.select(F.col("id").alias("i"), "s"), known.select(F.col("id").alias("j"), F.col("s").alias("z"))
+    out = scored.join(left, "s").join(right, "z").filter((F.col("s") != F.col("z")) | (F.col("i") < F.col("j")))
+    return out.select(F.least("i", "j").alias("left_id"), F.greatest("i", "j").alias("right_id"), "score")

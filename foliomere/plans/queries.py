@@ -85,9 +85,11 @@ def asof_price_each(t: Ledger) -> DataFrame:
 @query("""SELECT e.event_id, f.rate_cents FROM (SELECT event_id, CAST(ts AS DATE) AS d FROM events) e LEFT JOIN
 (SELECT max(rate_date) AS rd, max_by(rate_cents, rate_date) AS rate_cents FROM fx) f ON f.rd <= e.d""")
 def asof_fx(t: Ledger) -> DataFrame:
-    last = t.fx().agg(F.max("rate_date").alias("rd"), F.max_by("rate_cents", "rate_date").alias("rate_cents"))
     events = t.raw("events").select("event_id", F.to_date("ts").alias("d"))
-    return events.join(F.broadcast(last), F.col("rd") <= F.col("d"), "left").select("event_id", "rate_cents")
+    # days are few whatever the events: each meets the rates once, then its events meet the day
+    days = events.filter("d is not null").select("d").distinct()
+    rates = asof.asof_join(days, t.fx(), [], "d", "rate_date", ["rate_cents"])
+    return events.join(rates, "d", "left").select("event_id", "rate_cents")
 
 
 def _changes(t: Ledger) -> DataFrame:
@@ -307,6 +309,15 @@ def correlation(t: Ledger) -> DataFrame:
     return series.correlation(t.prices().select("instrument_id", "trade_date", r.alias("r")).filter("r is not null and instrument_id < 12"))
 
 
+@query("""WITH r AS (SELECT instrument_id, trade_date, close_cents / lag(close_cents) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM prices),
+ k AS (SELECT * FROM r WHERE r IS NOT NULL)
+ SELECT a.instrument_id AS left_id, b.instrument_id AS right_id, round(COALESCE(CASE WHEN stddev_pop(a.r) > 0 AND stddev_pop(b.r) > 0 THEN corr(a.r, b.r) END, 0), 4) AS correlation FROM k a JOIN k b USING (trade_date) GROUP BY ALL""")
+def correlation_all(t: Ledger) -> DataFrame:
+    """``correlation`` of all instruments."""
+    r = series.pct_change("close_cents", ["instrument_id"], "trade_date")
+    return series.correlation(t.prices().select("instrument_id", "trade_date", r.alias("r")).filter("r is not null"))
+
+
 @query("""WITH days AS (SELECT trade_date, close_cents AS bench FROM prices WHERE instrument_id = 1),
  grid AS (SELECT i.instrument_id, d.trade_date, d.bench, p.close_cents AS c FROM (SELECT DISTINCT instrument_id FROM prices) i CROSS JOIN days d LEFT JOIN prices p ON p.instrument_id = i.instrument_id AND p.trade_date = d.trade_date),
  f AS (SELECT *, last_value(c IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) / bench AS rs FROM grid),
@@ -341,6 +352,12 @@ def name_similarity(t: Ledger) -> DataFrame:
     return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), text.name_similarity(F.col("a.t"), F.col("b.t")).alias("score"))
 
 
+@query()
+def name_similarity_all(t: Ledger) -> DataFrame:
+    """``name_similarity`` of all parts; pairs of score 0 have no row."""
+    return listing.similar_names(t.raw("part").select(F.col("p_partkey").alias("id"), text.name_tokens(F.col("p_name")).alias("t")))
+
+
 @query("SELECT c_custkey AS account_id, concat(upper(trim(c_mktsegment)), ':', c_nationkey) AS identity_key FROM customer")
 def instrument_key(t: Ledger) -> DataFrame:
     return t.raw("customer").select(F.col("c_custkey").alias("account_id"), F.concat_ws(":", text.identity_token(F.col("c_mktsegment")), "c_nationkey").alias("identity_key"))

@@ -140,3 +140,37 @@ def test_cash_at_counts_unknown_effects(spark):
 def test_iso_dates(spark):
     rows = spark.createDataFrame([("2024-02-29",), ("2024-2-9",), ("2023-02-29",), (None,)], "x string")
     assert [r.ok for r in rows.select(keys.is_iso_date(F.col("x")).alias("ok")).collect()] == [True, False, False, False]
+
+
+def test_events_take_the_rate_of_their_day(spark):
+    from foliomere.plans import queries
+
+    class Tables:
+        def fx(self):
+            return spark.createDataFrame([(D(2024, 1, 1), 120), (D(2024, 1, 3), 130)], "rate_date date, rate_cents long")
+
+        def raw(self, name):
+            days = [(1, "2023-12-31"), (2, "2024-01-01"), (3, "2024-01-02"), (4, "2024-01-03"), (5, "2024-02-01"), (6, None)]
+            return spark.createDataFrame(days, "event_id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    assert {r.event_id: r.rate_cents for r in queries.asof_fx(Tables()).collect()} == {1: None, 2: 120, 3: 120, 4: 130, 5: 130, 6: None}
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    import itertools
+
+    words = ["LARGE", "SMALL", "RED", "HOT", "RING", "BOLT"]
+    names = ["", *words, *(" ".join(x) for n in (2, 3) for x in itertools.permutations(words[:5], n)), "RED HOT", "RED RED"]
+    rows = spark.createDataFrame([(1000 - k, x) for k, x in enumerate(names)], "id int, x string").select("id", text.name_tokens(F.col("x")).alias("t"))
+    a, b = rows.alias("a"), rows.alias("b")
+    every = a.join(b, F.col("a.id") < F.col("b.id")).select("a.id", "b.id", text.name_similarity(F.col("a.t"), F.col("b.t")).alias("score")).filter("score > 0")
+    got = listing.similar_names(rows).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, every.collect())) and got
+
+
+def test_whole_queries_reach_all_ids(spark):
+    from foliomere.plans import queries
+
+    got = queries.QUERIES["correlation_all"](spark, "/root/testdata/sf0.001").agg(F.max("left_id").alias("high"), F.count("*").alias("n")).first()
+    assert got.high == 49 and got.n > 144
+    assert queries.QUERIES["name_similarity_all"](spark, "/root/testdata/sf0.01").agg(F.max("right_id")).first()[0] > 1900
