@@ -7,16 +7,21 @@ hash, so the order is total and fits a long. Two sets at the threshold
 share a token in their prefixes; length and position bound the overlap that is still possible;
 what is left is verified on the whole sets. Equal sets are one class before any pair is made.
 
-A line goes if an earlier line, by (doc_id, line), is equal or similar enough, whether that one
-stays or not. Lines without words stay and match nothing.
+A line goes if an earlier line, by (doc_id, text hash, line), is equal or similar enough, whether
+that one stays or not. Lines without words stay and match nothing.
 
-Edge cases: a null text stays null; an empty one has no lines with words; rows with one doc_id
-count as one place, so repeated rows are treated alike; null ids come first; an empty table gives
-no rows; extra columns are kept.
+A row is known by its doc_id and 64 bits of its text's hash, so texts that share an id (or have
+none) lose their own lines alone; 32 of these bits order the texts of one id.
+
+Edge cases: a null text stays null; an empty one has no lines with words; rows with one doc_id and
+one text count as one place, so repeated rows are treated alike; null ids come first; an empty
+table gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +37,7 @@ BUCKETS, HOT, PIVOTS = 65_536, 64, 8
 BROADCAST_DOCS = 500_000
 _MISSING = -(2**63)
 _PLACES = 2**31
+_ROWS = Decimal(2**63)
 
 
 def rarity_classes(docs: DataFrame) -> Column:
@@ -61,27 +67,38 @@ def token_set(line: Column, classes: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
 
 
-def place(doc: str, line: str) -> Column:
-    return (F.col(doc).cast("decimal(38,0)") * _PLACES + F.col(line)).cast("decimal(38,0)")
+def row_key() -> tuple[Column, Column]:
+    """_d and _r: the id, null as the least, and the hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), F.xxhash64(whole_text()).alias("_r")
+
+
+def order_part(r: Column) -> Column:
+    """The 32 bits of a text's hash that order the texts of one id."""
+    return r.bitwiseAND(F.lit(2**32 - 1))
+
+
+def place() -> Column:
+    """One number for (_d, 32 bits of _r, line), in that order; its size is at most 2**126."""
+    return (F.col("_d").cast("decimal(38,0)") * _ROWS + (order_part(F.col("_r")) * _PLACES + F.col("line"))).cast("decimal(38,0)")
 
 
 def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """_d, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set.
+    """_d, _r, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set.
 
     ``bits`` has a bit for each token, which several may share."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t"))
-    rows = rows.filter(F.trim("t") != "").select("_d", "line", token_set(F.col("t"), classes).alias("k"))
+    rows = docs.select(*row_key(), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t"))
+    rows = rows.filter(F.trim("t") != "").select("_d", "_r", "line", token_set(F.col("t"), classes).alias("k"))
     n = F.size("k")
     length = n - F.ceil(PERCENT * n / 100).cast("int") + 1
     # a set that one more token would already part from all others has no prefix
     prefix = F.when(100 * n >= PERCENT * (n + 1), F.slice("k", 1, length))
     bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("_d", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"), F.when(prefix.isNotNull(), bits).alias("bits"))
+    return rows.select("_d", "_r", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"), F.when(prefix.isNotNull(), bits).alias("bits"))
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
     """s1, s2, n, prefix, bits, first, c: each set once, with its first place and its lines."""
-    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min(place("_d", "line")).alias("first"), F.count("*").alias("c"))
+    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min(place()).alias("first"), F.count("*").alias("c"))
 
 
 def postings(sets: DataFrame) -> DataFrame:
@@ -112,14 +129,17 @@ def verified(docs: DataFrame, sets: DataFrame, classes: Column, pairs: DataFrame
     pairs = stage_table(pairs, "line-pairs")
     side = lambda x: pairs.select(F.col(f"{x}_s1").alias("s1"), F.col(f"{x}_s2").alias("s2"))
     firsts = sets.select("s1", "s2", "first").join(side("a").union(side("b")).distinct(), ["s1", "s2"])
-    firsts = firsts.select("s1", "s2", "first", F.floor(F.col("first") / _PLACES).cast("long").alias("_d"), F.pmod("first", F.lit(_PLACES)).cast("int").alias("line"))
+    low = F.pmod(F.col("first"), F.lit(_ROWS))
+    firsts = firsts.select("s1", "s2", "first", ((F.col("first") - low) / _ROWS).cast("long").alias("_d"), low.cast("long").alias("_low"))
+    firsts = firsts.select("s1", "s2", "first", "_d", F.shiftright("_low", 31).alias("_o"), F.col("_low").bitwiseAND(F.lit(_PLACES - 1)).cast("int").alias("line"))
     firsts = stage_table(firsts, "line-places")
-    few = firsts.select("_d").distinct().count() <= BROADCAST_DOCS
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)).alias("_d"), whole_text().alias("_t"))
+    few = firsts.select("_d", "_o").distinct().count() <= BROADCAST_DOCS
+    d, h = row_key()
+    own = docs.select(d, order_part(h).alias("_o"), whole_text().alias("_t"))
     # only the lines asked for leave their texts
-    asked = firsts.groupBy("_d").agg(F.collect_set("line").alias("asked"))
-    own = own.join(F.broadcast(asked) if few else asked, "_d")
-    got = own.select("_d", F.explode("asked").alias("line"), F.split("_t", "\n", -1).alias("_all")).select("_d", "line", F.get("_all", F.col("line")).alias("t"))
+    asked = firsts.groupBy("_d", "_o").agg(F.collect_set("line").alias("asked"))
+    own = own.join(F.broadcast(asked) if few else asked, ["_d", "_o"])
+    got = own.select(F.explode("asked").alias("line"), F.split("_t", "\n", -1).alias("_all")).select(F.get("_all", F.col("line")).alias("t"))
     got = got.select(token_set(F.col("t"), classes).alias("k")).select(F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), "k")
     keyed = stage_table(firsts.select("s1", "s2", "first").join(got, ["s1", "s2"]).dropDuplicates(["s1", "s2"]), "line-sets")
     name = lambda x: keyed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("s1", "s2", "k", "first")))
@@ -150,7 +170,7 @@ def earlier_matches(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFr
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """_d, gone (sorted line numbers)."""
+    """_d, _r, gone (sorted line numbers)."""
     classes = rarity_classes(docs)
     lines = stage_table(line_sets(docs, classes), "lines")
     sets = stage_table(distinct_sets(lines), "distinct-lines")
@@ -160,15 +180,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         .filter("c > 1 or other is not null")
         .select("s1", "s2", F.least("first", "other").alias("limit"))
     )
-    hit = lines.select("_d", "line", "s1", "s2").join(limit, ["s1", "s2"]).filter(place("_d", "line") > F.col("limit"))
-    return hit.groupBy("_d").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    hit = lines.select("_d", "_r", "line", "s1", "s2").join(limit, ["s1", "s2"]).filter(place() > F.col("limit"))
+    return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("gone"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later matching lines taken out of ``text``, and _n_lines, _gone beside."""
     gone = removed_lines(docs)
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_MISSING)))
-    rows = keyed.join(gone, "_d", "left").drop("_d")
+    rows = docs.select("*", *row_key()).join(gone, ["_d", "_r"], "left").drop("_d", "_r")
     out = rows.withColumn("_gone", F.coalesce("gone", F.array().cast("array<int>")))
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))

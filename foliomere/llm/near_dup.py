@@ -55,8 +55,8 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, with_sets: bool = False) -> DataFrame:
-    """doc_id, n_shingles, class (fingerprint of the whole set; null if empty), sketch (and set)."""
-    schema = "doc_id long, n_shingles long, class binary, sketch array<long>" + ", full array<long>" * with_sets
+    """doc_id, row (hash of the text), n_shingles, class (fingerprint of the whole set; null if empty), sketch (and set)."""
+    schema = "doc_id long, row long, n_shingles long, class binary, sketch array<long>" + ", full array<long>" * with_sets
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -65,14 +65,14 @@ def sketches(docs: DataFrame, with_sets: bool = False) -> DataFrame:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 rows = []
-                for doc, text in zip(part["doc_id"].tolist(), part["_t"].tolist(), strict=True):
+                for doc, row, text in zip(part["doc_id"].tolist(), part["row"].tolist(), part["_t"].tolist(), strict=True):
                     s = shingle_hashes(text)
                     name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     signed = s.view(np.int64)
-                    rows.append([doc, len(s), name, signed[:K]] + [signed] * with_sets)
-                yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "sketch"] + ["full"] * with_sets).astype({"doc_id": "Int64"})
+                    rows.append([doc, row, len(s), name, signed[:K]] + [signed] * with_sets)
+                yield pd.DataFrame(rows, columns=["doc_id", "row", "n_shingles", "class", "sketch"] + ["full"] * with_sets).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("_t")).mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("row"), whole_text().alias("_t")).mapInPandas(run, schema)
 
 
 def _unsigned(x: Column) -> Column:
@@ -206,20 +206,28 @@ def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
     return merged(label, confirmed(stage_table(rest, "rest"), sets))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document."""
+def near_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, row, n_shingles, component_id, kept, leads of every document.
+
+    ``leads`` tells one class of each component, of the smallest id (null is the largest)."""
     made = stage_table(sketches(docs), "sketches")
     roots = stage_table(link_classes(docs, made), "component-roots")
     own = made.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
     low = with_roots(own, roots)
-    least = low.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = low.join(least, "root").select("class", "component_id")
-    out = made.select("doc_id", "n_shingles", "class").join(named, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    top = F.min(F.struct(F.col("low").isNull(), F.col("low"), F.col("class").alias("top")))["top"]
+    least = low.groupBy("root").agg(F.min("low").alias("component_id"), top.alias("top"))
+    named = low.join(least, "root").select("class", "component_id", (F.col("class") == F.col("top")).alias("leads"))
+    out = made.select("doc_id", "row", "n_shingles", "class").join(named, "class", "left")
+    out = out.select("doc_id", "row", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document."""
+    return near_rows(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that no other document of their component precedes."""
-    later = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("_later")).distinct()
-    return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
+    """Rows of ``docs`` that no other document of their component precedes, told by id and text; repeated rows stay together."""
+    later = near_rows(docs).filter("not (kept and leads)").select(F.col("doc_id").alias("_later"), F.col("row").alias("_row")).distinct()
+    return docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("_later")) & (F.xxhash64(whole_text()) == F.col("_row")), "left_anti")

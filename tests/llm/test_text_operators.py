@@ -131,6 +131,23 @@ def test_decontaminate_takes_substitutions_and_leaves_others(spark):
     assert {r.doc_id for r in decontaminate.remove_contaminated(df, bench).collect()} == {3, 4}
 
 
+def test_line_dedup_by_row(spark):
+    """Texts under one id, or under none, lose their own lines alone, also where equal lines have one number."""
+    for d in (None, 5, -3, 2**63 - 1):
+        rows = [(d, "alone one\nboth share\nlast a"), (d, "other two\nboth share\nlast b"), (d, "third three\nfourth four\nlast c"), (d, "third three\nfourth four\nlast c")]
+        out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = [r.text for r in out.collect()]
+        assert sorted(x for t in got for x in t.split("\n")) == sorted(["alone one", "last a", "other two", "last b", "both share", *["third three", "fourth four", "last c"] * 2])
+
+
+def test_keep_first_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b), (None, c), (None, c + " more"), (None, b + " more"), (None, "lone words"), (7, a + " more"), (7, None)]
+    got = near_dup.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = {(r.doc_id, r.text) for r in got}
+    assert {(3, b), (5, a), (None, "lone words"), (7, None)} <= left and len(left & {(None, c), (None, c + " more")}) == 1 and len(got) == 5
+
+
 def test_masks_leave_no_gap():
     """Every choice of tolerated substitutions, in items of every length up to a window, leaves some mask a place."""
     for n in range(1, decontaminate.WINDOW + 1):
