@@ -174,3 +174,42 @@ def test_whole_queries_reach_all_ids(spark):
     got = queries.QUERIES["correlation_all"](spark, "/root/testdata/sf0.001").agg(F.max("left_id").alias("high"), F.count("*").alias("n")).first()
     assert got.high == 49 and got.n > 144
     assert queries.QUERIES["name_similarity_all"](spark, "/root/testdata/sf0.01").agg(F.max("right_id")).first()[0] > 1900
+
+
+def test_transfers_equal_the_plain_greedy_choice(spark):
+    import random
+
+    rng = random.Random(9)
+    moves = [(k, f"{k}{n:04}", rng.choice([1, 2, 3, 4, None]), D(2024, 1, 1) + dt.timedelta(rng.randrange(span)), rng.choice([-5.0, 5.0, -7.0, 7.0])) for k, span in (("a", 30), ("b", 300), ("c", 900)) for n in range(300)]
+    want = {}
+    for k in "abc":
+        for size in (5.0, 7.0):
+            own = sorted((m[3], m[1], m[2], m[4]) for m in moves if m[0] == k and abs(m[4]) == size)
+            free = [m for m in own if m[3] > 0]
+            for day, o, account, q in own:
+                if q > 0:
+                    continue
+                near = sorted((abs((d - day).days), i) for d, i, a, _ in free if (a is None or a != account) and abs((d - day).days) <= 7)
+                if not near:
+                    want[o] = (None, None, "unmatched")
+                elif len(near) > 1 and near[0][0] == near[1][0]:
+                    want[o] = (None, near[0][0], "ambiguous")
+                else:
+                    want[o] = (near[0][1], near[0][0], "paired")
+                    free = [m for m in free if m[1] != near[0][1]]
+    df = spark.createDataFrame(moves, "k string, row_id string, account_id int, day date, quantity double")
+    assert {r.out_id: (r.in_id, r.days, r.status) for r in transfers.pair_transfers(df, ["k"]).collect()} == want
+    assert {x[2] for x in want.values()} == {"unmatched", "ambiguous", "paired"}
+
+
+def test_transfers_hold_counts_of_a_few_days_alone():
+    """A chain without gaps passes in many batches, and its length does not slow a row."""
+    import time
+
+    import pandas as pd
+
+    start, days = time.time(), 100_000
+    rows = [x for d in range(days) for x in (("g", d, 0, "1", f"i{d}", 1), ("g", d, 1, "2", f"o{d}", 0))]
+    parts = (pd.DataFrame(rows[k : k + 1000], columns=["g", "day", "side", "account", "row_id", "n"]) for k in range(0, len(rows), 1000))
+    got = pd.concat(transfers.greedy(parts))
+    assert len(got) == days and (got.status == "paired").all() and time.time() - start < 60
