@@ -7,6 +7,10 @@ kind and the length alone, so equal values get equal pseudonyms in every documen
 values of one kind and length get the same. (A date with the month first, read so only when day
 first is no date, is permuted among all days and may meet another's day-first pseudonym.)
 
+Card numbers are looked for among the groups of a run of digits, from each group on the longest
+span that passes, so figures beside a number (a security code, an expiry) do not hide it. Account
+numbers may hold capital letters, which stay; what follows one in its candidate is searched for cards.
+
 Edge cases: a null text is empty; values that fail validation stay; ids and repeated rows pass
 through; an empty table gives no rows; extra columns are passed over.
 """
@@ -24,12 +28,12 @@ ROUNDS = 8
 #: Candidate patterns, tried in this order at each place.
 PATTERNS = {
     "mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?\d{4}){3,7}(?:\x20?\d{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])(?!\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w])(?![/.-]\d)",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])\+\d{1,3}[\x20.-]?\(?\d{2,4}\)?(?:[\x20.-]?\d{2,4}){2,4}(?![\w])|(?<![\w(])\(\d{3}\)\x20?\d{3}[-.\x20]\d{4}(?![\w])|(?<![\w-])\d{3}[-.]\d{3}[-.]\d{4}(?![\w-])",
-    "card": r"(?<![\w])\d(?:[\x20-]?\d){12,18}(?![\w])",
+    "card": r"(?<![\w])\d(?:[\x20-]?\d){12,}(?![\w])",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: The Gregorian calendar repeats after so many days: 146097 = 189 * 773.
@@ -104,25 +108,86 @@ def mod97(digits: Column) -> Column:
     return F.aggregate(parts, F.lit(0).cast("long"), step)
 
 
-def _country(m: Column) -> Column:
-    """The two letters of an account number as digits, A = 10."""
-    number = lambda k: (F.ascii(F.substring(m, k, 1)) - 55).cast("string")
-    return F.concat(number(1), number(2))
+def _numbers(x: Column) -> Column:
+    """Digits with each capital letter as two, A = 10."""
+    number = lambda c: F.when(F.regexp_like(c, F.lit("^[A-Z]$")), (F.ascii(c) - 55).cast("string")).otherwise(c)
+    return F.array_join(F.transform(F.split(x, ""), number), "")
+
+
+def _groups(m: Column) -> Column:
+    """The groups of a candidate, each but the first with the separator before it."""
+    return F.split(m, "(?=[\\x20-])")
+
+
+def _span(groups: Column, i: Column, j: Column) -> Column:
+    return F.array_join(F.slice(groups, i + 1, j - i + 1), "")
+
+
+def _account_ok(m: Column) -> Column:
+    bare = F.regexp_replace(m, "\\x20", "")
+    body = F.substr(bare, F.lit(5))
+    return F.length(body).between(11, 30) & (F.length(only_digits(body)) >= 2) & (mod97(_numbers(F.concat(body, F.substring(bare, 1, 4)))) == 1)
+
+
+def _account(m: Column) -> Column:
+    """An account number with its digits permuted and its check digits made anew."""
+    country, rest = F.substring(m, 1, 2), F.substr(m, F.lit(5))
+    check = lambda b: F.lpad((98 - mod97(_numbers(F.concat(F.regexp_replace(b, "\\x20", ""), country, F.lit("00"))))).cast("string"), 2, "0")
+    return _once(refill(rest, permute_digits(only_digits(rest), "iban")), lambda b: F.concat(country, check(b), b))
+
+
+def _accounts(m: Column) -> Column:
+    """struct<valid, made, n>. The longest span from the start that is an account number; cards are sought in what follows."""
+
+    def cut(g: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda j: _account_ok(_span(g, F.lit(0), j)))
+        return _once(F.array_max(ends), lambda j: F.struct(_span(g, F.lit(0), j).alias("own"), _span(g, F.coalesce(j, F.lit(-1)) + 1, F.size(g) - 1).alias("rest")))
+
+    def both(x: Column) -> Column:
+        own = F.when(x["own"].isNotNull(), _account(x["own"])).otherwise("")
+        return _once(cards(x["rest"]), lambda c: F.struct(x["own"].isNotNull().alias("valid"), F.concat(own, c["out"]).alias("made"), c["n"].alias("n")))
+
+    return _once(_once(_groups(m), cut), both)
 
 
 def _iban(m: Column) -> tuple[Column, Column]:
-    d = only_digits(m)  # two check digits, then the account
-    body = F.substr(d, F.lit(3))
-    valid = mod97(F.concat(body, _country(m), F.substring(d, 1, 2))) == 1
-    made = _once(permute_digits(body, "iban"), lambda b: F.concat(F.lpad((98 - mod97(F.concat(b, _country(m), F.lit("00")))).cast("string"), 2, "0"), b))
-    return valid & F.length(body).between(12, 30), F.concat(F.substring(m, 1, 2), refill(F.substr(m, F.lit(3)), made))
+    out = _accounts(m)
+    return out["valid"], out["made"]
 
 
-def _card(m: Column) -> tuple[Column, Column]:
+def _card_number(m: Column) -> Column:
     d = only_digits(m)
     body = F.substr(d, F.lit(1), F.length(d) - 1)
-    made = _once(permute_digits(body, "card"), lambda b: F.concat(b, luhn_digit(b)))
-    return luhn_ok(d), refill(m, made)
+    return refill(m, _once(permute_digits(body, "card"), lambda b: F.concat(b, luhn_digit(b))))
+
+
+def cards(m: Column) -> Column:
+    """struct<skip, n, out>: the text with the card numbers among its groups made anew, and how many."""
+
+    def scan(g: Column) -> Column:
+        def ok(x: Column) -> Column:
+            d = only_digits(x)
+            return F.length(d).between(13, 19) & F.regexp_like(x, F.lit(r"^[\x20-]?[0-9][0-9\x20-]*$")) & luhn_ok(d)
+
+        def step(s: Column, i: Column) -> Column:
+            # a span has 19 groups at most
+            ends = F.filter(F.sequence(i, F.least(i + 18, F.size(g) - 1)), lambda j: ok(_span(g, i, j)))
+
+            def turn(j: Column) -> Column:
+                new = F.when(j.isNull(), F.get(g, i)).otherwise(_card_number(_span(g, i, j)))
+                return F.struct((F.coalesce(j, i) + 1).alias("skip"), (s["n"] + F.when(j.isNull(), 0).otherwise(1)).alias("n"), F.concat(s["out"], new).alias("out"))
+
+            return F.when(i < s["skip"], s).otherwise(_once(F.array_max(ends), turn))
+
+        start = F.struct(F.lit(0).alias("skip"), F.lit(0).alias("n"), F.lit("").alias("out"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step)
+
+    return _once(_groups(m), scan)
+
+
+def _card(m: Column) -> tuple[Column, Column]:
+    out = cards(m)
+    return out["n"] > 0, out["out"]
 
 
 def _phone(m: Column) -> tuple[Column, Column]:
@@ -211,13 +276,17 @@ RULES = {"mail": _mail, "iban": _iban, "ip": _ip, "date": _date, "social": _soci
 
 
 def replaced(m: Column) -> Column:
-    """struct<kind, made> of one candidate; kind is null if no validator takes it."""
+    """struct<kind, made, cards> of one candidate; kind is null if no validator takes it."""
     kind, made = F.lit(None).cast("string"), m
     for name, rule in reversed(RULES.items()):
         valid, new = rule(m)
         test = F.regexp_like(m, F.lit("^(?:" + PATTERNS[name] + ")$")) & valid
         kind, made = F.when(test, F.lit(name)).otherwise(kind), F.when(test, new).otherwise(made)
-    return F.struct(kind.alias("kind"), made.alias("made"))
+    # what an account number leaves of its candidate, or all of one that is none, may hold cards
+    run = F.regexp_like(m, F.lit("^(?:" + PATTERNS["iban"] + ")$"))
+    made = F.when(run, _iban(m)[1]).otherwise(made)
+    n = F.when(run, _accounts(m)["n"]).when(kind == "card", cards(m)["n"]).otherwise(0)
+    return F.struct(kind.alias("kind"), made.alias("made"), n.alias("cards"))
 
 
 def pseudonyms(docs: DataFrame) -> DataFrame:
@@ -231,5 +300,6 @@ def pseudonyms(docs: DataFrame) -> DataFrame:
         "doc_id", "_t", "_g", F.when(F.col("_g").isNotNull(), F.transform(found, replaced)).alias("_f")
     )
     parts = F.transform(F.col("_g"), lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_f"), i)["made"], F.lit(""))))
-    count = lambda k: F.when(F.col("_f").isNull(), 0).otherwise(F.size(F.filter("_f", lambda x: x["kind"] == k))).cast("long").alias(f"n_{k}")
+    number = lambda k: F.aggregate("_f", F.lit(0), lambda n, x: n + x["cards"]) if k == "card" else F.size(F.filter("_f", lambda x: x["kind"] == k))
+    count = lambda k: F.when(F.col("_f").isNull(), 0).otherwise(number(k)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", *map(count, RULES), F.coalesce(F.array_join(parts, ""), F.col("_t")).alias("text"))

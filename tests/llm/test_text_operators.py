@@ -404,6 +404,26 @@ def test_pseudonyms(spark):
     assert got[3].text == "" and got[None].text == ""
 
 
+def test_numbers_beside_others_and_with_letters(spark):
+    card, other = "4111 1111 1111 1111", "5500-0000-0000-0004"
+    runs = [f"{card} 123", f"{card} 12/27", f"77 {card}", f"12 34 56 78 90 12 {card}", f"{card} {other}", f"BE68 5390 0754 7034 {card}", f"AB12 {card}"]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "NO93 8601 1117 947", "BE68 5390 0754 7034 PAID"]
+    texts = runs + ibans + ["GB83 WEST 1234 5698 7654 32", "4111 1111 1111 1112 12"]
+    got = {r.doc_id: r for r in pii.pseudonyms(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, t in enumerate(runs):
+        new = got[k].text
+        assert card not in new and other not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t), new
+        assert (got[k].n_card, got[k].n_iban) == (1 + (other in t), int(t.startswith("BE"))), t
+    shown = [re.search(r"\d{4} \d{4} \d{4} \d{4}", got[k].text)[0] for k in (0, 1)]
+    assert shown[0] == shown[1] and luhn(shown[0].replace(" ", ""))
+    for k, t in enumerate(ibans, len(runs)):
+        new = got[k].text
+        assert got[k].n_iban == 1 and new != t and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", t), new
+        bare = new.removesuffix(" PAID").replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1, new
+    assert all(got[k].text == texts[k] for k in (len(texts) - 2, len(texts) - 1))
+
+
 def test_permutation_is_one_to_one(spark):
     df = spark.range(10_000).select(F.lpad(F.col("id").cast("string"), 4, "0").alias("d"))
     assert df.select(pii.permute_digits(F.col("d"), "card").alias("p")).distinct().filter("p rlike '^[0-9]{4}$'").count() == 10_000
