@@ -1,9 +1,10 @@
 """Secret scan through a trigram inverted index.
 
-Each rule's regex is compiled into a Boolean query over lower-case trigrams that any match
-must hold: an OR of ANDs. Postings (trigram, document) are made for the trigrams that some
+Beside each rule's regex stand, given by hand, the literals of which any match must hold one; they
+become a Boolean query over lower-case trigrams, an OR of ANDs. No regex is read for them: whoever
+edits one must edit its literals, or matches are lost. Postings (trigram, document) are made for the trigrams that some
 query asks for; intersecting them gives each document's candidate rules, and the regex is
-verified there alone. Rules without a mandatory trigram scan every document.
+verified there alone. Rules without literals scan every document.
 
 Edge cases: a null text is empty; null ids are verified by every rule, as they can't be joined;
 repeated ids share their candidates and are verified each by its own text; an empty table gives
