@@ -278,14 +278,16 @@ RULES = {"mail": _mail, "iban": _iban, "ip": _ip, "date": _date, "social": _soci
 def replaced(m: Column) -> Column:
     """struct<kind, made, cards> of one candidate; kind is null if no validator takes it."""
     kind, made = F.lit(None).cast("string"), m
+    account, card = _accounts(m), cards(m)  # built once: they are large
+    built = {"iban": (account["valid"], account["made"]), "card": (card["n"] > 0, card["out"])}
     for name, rule in reversed(RULES.items()):
-        valid, new = rule(m)
+        valid, new = built.get(name) or rule(m)
         test = F.regexp_like(m, F.lit("^(?:" + PATTERNS[name] + ")$")) & valid
         kind, made = F.when(test, F.lit(name)).otherwise(kind), F.when(test, new).otherwise(made)
     # what an account number leaves of its candidate, or all of one that is none, may hold cards
     run = F.regexp_like(m, F.lit("^(?:" + PATTERNS["iban"] + ")$"))
-    made = F.when(run, _iban(m)[1]).otherwise(made)
-    n = F.when(run, _accounts(m)["n"]).when(kind == "card", cards(m)["n"]).otherwise(0)
+    made = F.when(run, account["made"]).otherwise(made)
+    n = F.when(run, account["n"]).when(kind == "card", card["n"]).otherwise(0)
     return F.struct(kind.alias("kind"), made.alias("made"), n.alias("cards"))
 
 
