@@ -1,21 +1,22 @@
 """Near-duplicate lines by an exact set-similarity join.
 
 A line is the set of its lower-case tokens, parted by spaces. Tokens are ordered by rarity: occurrences over all
-texts are counted in a fixed number of hash buckets, and a token's key puts its bucket's class,
-then its length (of words that share a bucket's class the longer are rarer), before 54 bits of its
-hash, so the order is total and fits a long. Two sets at the threshold
-share a token in their prefixes; length and position bound the overlap that is still possible;
-what is left is verified on the whole sets. Equal sets are one class before any pair is made.
+texts are counted in a fixed number of hash buckets, and a token's key puts the power of two of its bucket's
+count before 57 bits of its hash, so the order is total and fits a long. Two sets at the threshold
+share a token in their prefixes; length, position and a bit signature bound the overlap that is still
+possible; what is left is verified on the whole sets. Equal sets are one class before any pair is made.
 
 A line goes if an earlier line, by (doc_id, text hash, line), is equal or similar enough, whether
-that one stays or not. Lines without words stay and match nothing.
+that one stays or not. So a set is done once one earlier match is known: in lists of more than SHORT
+sets all meet a few early ones first, and only those without a match so far meet the others.
+Lines without words stay and match nothing.
 
 A row is known by its doc_id and 64 bits of its text's hash, so texts that share an id (or have
 none) lose their own lines alone; 32 of these bits order the texts of one id.
 
 Edge cases: a null text stays null; an empty one has no lines with words; rows with one doc_id and
 one text count as one place, so repeated rows are treated alike; null ids come first; an empty
-table gives no rows; extra columns are kept.
+table gives no rows; extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -30,41 +31,49 @@ from .common import stage_table, whole_text
 #: Similarity of word sets, in percent.
 PERCENT = 90
 #: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
-BITS = 14
-#: Buckets for telling tokens that many sets list, the count that is many, and the pivots of such a list.
-BUCKETS, HOT, PIVOTS = 65_536, 64, 8
-#: Documents whose ids may be broadcast to fetch candidate lines; more are joined by a shuffle.
-BROADCAST_DOCS = 500_000
+BITS = 16
+#: Sets of a token's list up to which all are paired at once, and the early ones that the sets of longer lists meet first.
+SHORT, PIVOTS = 16, 4
+#: From so many tokens on a set has one in 4 of them in its signature, from 4 times as many on one in 16.
+LARGE = 64
+#: Lines whose places may be broadcast to fetch their words; more are joined by a shuffle.
+BROADCAST_LINES = 500_000
 _MISSING = -(2**63)
 _PLACES = 2**31
 _ROWS = Decimal(2**63)
 
 
-def rarity_classes(docs: DataFrame) -> Column:
-    """Array literal: -8 to 7 for each bucket, by the power of two of its tokens' occurrences."""
-    seen = docs.select(F.explode(F.array_remove(F.split(F.lower(whole_text()), "[ \n]+", -1), "")).alias("w"))
-    counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(2**BITS - 1)).alias("b")).count().collect()  # 2**BITS rows at most
-    n = {r["b"]: r["count"] for r in counts}
-    usual = sorted(n.values())[len(n) // 2].bit_length() if n else 0  # rare words share a bucket of about this size
-    classes = [max(-8, min(7, n.get(b, 0).bit_length() - usual - 1)) for b in range(2**BITS)]
-    return F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")
+def tokens(text: Column) -> Column:
+    """Lower-case runs of characters other than spaces; a tab is a character. Some are empty."""
+    return F.split(F.lower(text), " ", -1)
 
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of characters other than spaces; a tab is a character."""
-    return F.array_remove(F.split(F.lower(text), " ", -1), "")
+def token_hashes(line: Column) -> Column:
+    """Hashes of a line's distinct words."""
+    hashes = F.array_distinct(F.transform(tokens(line), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
 
+def bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")
 
-def token_set(line: Column, classes: Column) -> Column:
-    """Sorted keys of a line's distinct words: class of rarity, length (the longer, the rarer), hash."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        rare = F.shiftleft(F.get(classes, h.bitwiseAND(F.lit(2**BITS - 1)).cast("int")), 60)
-        size = F.shiftleft(F.lit(63) - F.least(F.length(w), F.lit(63)).cast("long"), 54)
-        return rare.bitwiseOR(size).bitwiseOR(F.shiftrightunsigned(h, 10))
+def rarity_classes(docs: DataFrame) -> DataFrame:
+    """One row, ``classes``: for each bucket the power of two of its tokens' occurrences."""
+    lines = docs.select(F.explode(F.split(whole_text(), "\n", -1)).alias("t"))
+    seen = lines.select(F.explode(tokens(F.col("t"))).alias("w"))
+    counts = seen.groupBy(bucket(F.xxhash64("w")).alias("b")).count()
+    every = docs.sparkSession.range(2**BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
+    power = F.ceil(F.log2(F.sum("count") + 1)).cast("tinyint").alias("c")
+    filled = every.union(counts).groupBy("b").agg(power)  # 2**BITS rows, whatever the corpus
+    row = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("classes"))
+    return stage_table(row, "rarity")
 
-    return F.sort_array(F.array_distinct(F.transform(tokens(line), key)))
+
+def keys(hashes: Column, classes: Column) -> Column:
+    """Sorted keys of token hashes, the rarest first."""
+    rare = lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), 57)
+    return F.sort_array(F.transform(hashes, lambda h: rare(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
 def row_key() -> tuple[Column, Column]:
@@ -82,28 +91,45 @@ def place() -> Column:
     return (F.col("_d").cast("decimal(38,0)") * _ROWS + (order_part(F.col("_r")) * _PLACES + F.col("line"))).cast("decimal(38,0)")
 
 
-def line_sets(docs: DataFrame, classes: Column) -> DataFrame:
-    """_d, _r, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set.
+def share(n: Column) -> Column:
+    """One in how many of n tokens a signature holds; all of many tokens would fill it."""
+    return F.when(n < LARGE, 1).when(n < 4 * LARGE, 4).otherwise(16)
+
+
+def signature(k: Column, n: Column) -> Column:
+    """A bit for each token held, which several may share."""
+    some = lambda m: F.filter(k, lambda x: x.bitwiseAND(F.lit(m - 1)) == 0)
+    held = F.when(n < LARGE, k).when(n < 4 * LARGE, some(4)).otherwise(some(16))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 4).bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
-    ``bits`` has a bit for each token, which several may share."""
-    rows = docs.select(*row_key(), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t"))
-    rows = rows.filter(F.trim("t") != "").select("_d", "_r", "line", token_set(F.col("t"), classes).alias("k"))
+
+def named(k: Column) -> tuple[Column, Column]:
+    """s1 and s2, the name of a set."""
+    return F.xxhash64(k).alias("s1"), F.hash(k).alias("s2")
+
+
+def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """_d, _r, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set."""
+    rows = docs.select(*row_key(), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t")).filter(F.trim("t") != "")
+    rows = rows.withColumn("_c", classes.scalar()).select("_d", "_r", "line", keys(token_hashes(F.col("t")), F.col("_c")).alias("k"))
     n = F.size("k")
-    length = n - F.ceil(PERCENT * n / 100).cast("int") + 1
     # a set that one more token would already part from all others has no prefix
-    prefix = F.when(100 * n >= PERCENT * (n + 1), F.slice("k", 1, length))
-    bits = F.aggregate("k", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    return rows.select("_d", "_r", "line", F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), n.alias("n"), prefix.alias("prefix"), F.when(prefix.isNotNull(), bits).alias("bits"))
+    listed = 100 * n >= PERCENT * (n + 1)
+    prefix = F.slice("k", 1, n - F.ceil(PERCENT * n / 100).cast("int") + 1)
+    return rows.select("_d", "_r", "line", *named(F.col("k")), n.alias("n"), F.when(listed, prefix).alias("prefix"), F.when(listed, signature(F.col("k"), n)).alias("bits"))
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """s1, s2, n, prefix, bits, first, c: each set once, with its first place and its lines."""
-    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min(place()).alias("first"), F.count("*").alias("c"))
+    """s1, s2, n, prefix, bits, d, first, c: each set once, with its first place, the id there, and its lines."""
+    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min("_d").alias("d"), F.min(place()).alias("first"), F.count("*").alias("c"))
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, at and the set's columns, for each token of its prefix."""
-    return sets.filter("prefix is not null").select("s1", "s2", "n", "bits", "first", F.posexplode("prefix").alias("at", "key"))
+    """key, s1, d, n, at, bits, m: for each token that m > 1 prefixes hold, those sets."""
+    post = sets.filter("prefix is not null").select("s1", "d", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    held = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    return post.join(held, "key").select("key", "s1", "d", "n", "at", "bits", "m")
 
 
 def may_match(a: str, b: str) -> Column:
@@ -114,93 +140,94 @@ def may_match(a: str, b: str) -> Column:
     # each bit of one side alone is a token that the other lacks
     lacks = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits"))))
     shared = F.least(na - lacks(a, b), nb - lacks(b, a))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & (shared >= need)
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & ((shared >= need) | (share(na) != share(nb)))
 
 
 def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs of sets (a, an earlier b) that share a key and may match."""
-    on = (F.col("a.key") == F.col("b.key")) & (F.col("b.first") < F.col("a.first")) & may_match("a", "b")
-    pairs = later.alias("a").join(earlier.alias("b"), on)
-    return pairs.select(*(F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ab" for c in ("s1", "s2"))).distinct()
-
-
-def verified(docs: DataFrame, sets: DataFrame, classes: Column, pairs: DataFrame) -> DataFrame:
-    """s1, s2, other: sets a of ``pairs`` with the first place of a set b that is similar enough."""
-    pairs = stage_table(pairs, "line-pairs")
-    side = lambda x: pairs.select(F.col(f"{x}_s1").alias("s1"), F.col(f"{x}_s2").alias("s2"))
-    firsts = sets.select("s1", "s2", "first").join(side("a").union(side("b")).distinct(), ["s1", "s2"])
-    low = F.pmod(F.col("first"), F.lit(_ROWS))
-    firsts = firsts.select("s1", "s2", "first", ((F.col("first") - low) / _ROWS).cast("long").alias("_d"), low.cast("long").alias("_low"))
-    firsts = firsts.select("s1", "s2", "first", "_d", F.shiftright("_low", 31).alias("_o"), F.col("_low").bitwiseAND(F.lit(_PLACES - 1)).cast("int").alias("line"))
-    firsts = stage_table(firsts, "line-places")
-    few = firsts.select("_d", "_o").distinct().count() <= BROADCAST_DOCS
-    d, h = row_key()
-    own = docs.select(d, order_part(h).alias("_o"), whole_text().alias("_t"))
+    """a, b: sets that share a key and may match, where the id of b is smaller or theirs is one."""
+    before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.s1") < F.col("a.s1")))
+    on = (F.col("a.key") == F.col("b.key")) & before & may_match("a", "b")
+    return later.alias("a").join(earlier.alias("b"), on).select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
+
+
+def words_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
+    """s1, s2, first, h: sets called ``names`` (s1) with their tokens' hashes, from the lines at their first places."""
+    low = F.pmod(F.col("first"), F.lit(_ROWS)).cast("long")
+    line = low.bitwiseAND(F.lit(_PLACES - 1)).cast("int")
+    places = sets.join(names, "s1", "left_semi").select(F.col("d").alias("_d"), F.shiftright(low, 31).alias("_o"), F.struct(line.alias("line"), "s1", "s2", "first").alias("x"))
+    places = stage_table(places, "line-places")
+    few = places.count() <= BROADCAST_LINES
+    asked = places.groupBy("_d", "_o").agg(F.collect_list("x").alias("asked"))
+    d, r = row_key()
+    own = docs.select(d, order_part(r).alias("_o"), whole_text().alias("_t")).join(F.broadcast(asked) if few else asked, ["_d", "_o"])
     # only the lines asked for leave their texts
-    asked = firsts.groupBy("_d", "_o").agg(F.collect_set("line").alias("asked"))
-    own = own.join(F.broadcast(asked) if few else asked, ["_d", "_o"])
-    got = own.select(F.explode("asked").alias("line"), F.split("_t", "\n", -1).alias("_all")).select(F.get("_all", F.col("line")).alias("t"))
-    got = got.select(token_set(F.col("t"), classes).alias("k")).select(F.xxhash64("k").alias("s1"), F.hash("k").alias("s2"), "k")
-    keyed = stage_table(firsts.select("s1", "s2", "first").join(got, ["s1", "s2"]).dropDuplicates(["s1", "s2"]), "line-sets")
-    name = lambda x: keyed.select(*(F.col(c).alias(f"{x}_{c}") for c in ("s1", "s2", "k", "first")))
-    both = pairs.join(name("a"), ["a_s1", "a_s2"]).join(name("b"), ["b_s1", "b_s2"])
-    i = F.size(F.array_intersect("a_k", "b_k"))
-    good = both.filter(100 * i >= PERCENT * (F.size("a_k") + F.size("b_k") - i))
-    return stage_table(good.select(F.col("a_s1").alias("s1"), F.col("a_s2").alias("s2"), F.col("b_first").alias("other")), "line-links")
-
-
-def earlier_matches(docs: DataFrame, sets: DataFrame, classes: Column) -> DataFrame:
-    """s1, s2, other: each set that an earlier one matches, with such a set's first place.
-
-    Tokens that many sets list are told by a count over a fixed number of buckets. Their sets
-    meet the earliest of each of PIVOTS shares of the list first; only sets that none of those
-    matches meet all earlier ones. Whether a set has an earlier match is exact either way."""
-    post = postings(sets).withColumn("bucket", F.pmod("key", F.lit(BUCKETS)).cast("int"))
-    counts = post.groupBy("bucket").count()
-    mean = counts.agg(F.avg("count")).first()[0] or 0.0
-    busy = stage_table(counts.filter(F.col("count") > HOT + 4 * mean).select("bucket"), "busy-tokens")
-    rare = post.join(F.broadcast(busy), "bucket", "left_anti")  # BUCKETS rows at most
-    often = stage_table(post.join(F.broadcast(busy), "bucket", "left_semi"), "often")
-    cols = ["s1", "s2", "n", "bits", "first", "at"]
-    share = F.pmod(F.col("s1"), F.lit(PIVOTS))
-    pivots = often.groupBy("key", share).agg(F.min(F.struct("first", *(c for c in cols if c != "first"))).alias("p")).select("key", "p.*")
-    found = verified(docs, sets, classes, joined(rare, rare).union(joined(often, pivots)))
-    left = often.join(found.select("s1", "s2").distinct(), ["s1", "s2"], "left_anti")
-    return found.union(verified(docs, sets, classes, joined(left, often)))
+    own = own.select(F.split("_t", "\n", -1).alias("_all"), "asked")
+    own = own.select(F.explode(F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("_all", x["line"]).alias("t")))).alias("y"))
+    got = own.select("y.x.s1", "y.x.s2", "y.x.first", token_hashes(F.col("y.t")).alias("h")).withColumn("_c", classes.scalar())
+    # another text of that id and order is told by the name
+    s1, s2 = named(keys(F.col("h"), F.col("_c")))
+    return stage_table(got.filter((s1 == F.col("s1")) & (s2 == F.col("s2"))).drop("_c").dropDuplicates(["s1", "s2"]), "line-words")
+
+
+def matched(docs: DataFrame, sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """s1, s2: of each of ``pairs`` that is similar enough, the later set."""
+    pairs = stage_table(pairs.distinct(), "line-pairs")
+    names = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+    whole = words_of(docs, sets, classes, names)
+    side = lambda x: whole.select(F.col("s1").alias(x), F.struct("first", "s1", "s2").alias(f"{x}_set"), F.col("h").alias(f"{x}_h"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    i = F.size(F.array_intersect("a_h", "b_h"))
+    good = both.filter(100 * i >= PERCENT * (F.size("a_h") + F.size("b_h") - i))
+    return stage_table(good.select(F.greatest("a_set", "b_set").alias("x")).select("x.s1", "x.s2").distinct(), "line-links")
+
+
+def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """s1, s2: the sets that an earlier one matches.
+
+    In a list of more than SHORT all sets meet the earliest of each of PIVOTS shares of it, and
+    those that none of these matches meet all earlier ones. Whether a set has a match is exact either way."""
+    lists = stage_table(postings(sets), "line-lists")
+    short, long = lists.filter(F.col("m") <= SHORT), lists.filter(F.col("m") > SHORT)
+    early = F.min(F.struct("d", "s1", "n", "at", "bits"))
+    pivots = long.groupBy("key", F.pmod("s1", F.lit(PIVOTS)).alias("part")).agg(early.alias("p")).select("key", "p.*")
+    found = matched(docs, sets, classes, joined(short, short).union(joined(long, pivots)))
+    left = long.join(found.select("s1"), "s1", "left_anti")
+    return found.union(matched(docs, sets, classes, joined(left, long)))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """_d, _r, gone (sorted line numbers)."""
+    """_d, _r, _gone (sorted line numbers)."""
     classes = rarity_classes(docs)
     lines = stage_table(line_sets(docs, classes), "lines")
     sets = stage_table(distinct_sets(lines), "distinct-lines")
-    near = earlier_matches(docs, sets, classes).groupBy("s1", "s2").agg(F.min("other").alias("other"))
-    limit = (
-        sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left")
-        .filter("c > 1 or other is not null")
-        .select("s1", "s2", F.least("first", "other").alias("limit"))
-    )
-    hit = lines.select("_d", "_r", "line", "s1", "s2").join(limit, ["s1", "s2"]).filter(place() > F.col("limit"))
-    return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    near = earlier_matches(docs, sets, classes).distinct().withColumn("near", F.lit(True))
+    last = sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left").filter("c > 1 or near")
+    hit = lines.select("_d", "_r", "line", "s1", "s2").join(last.drop("c"), ["s1", "s2"]).filter(F.col("near").isNotNull() | (place() > F.col("first")))
+    return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
+
+
+def deduped(docs: DataFrame) -> DataFrame:
+    """_row (the row of ``docs``, later matching lines taken out of its text), _gone (their numbers), _n_lines."""
+    rows = docs.select(F.struct("*").alias("_row"), *row_key()).join(removed_lines(docs), ["_d", "_r"], "left")
+    gone = F.coalesce("_gone", F.array().cast("array<int>"))
+    lines = F.split(F.col("_row.text"), "\n", -1)
+    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(left)
+    n = F.when(F.col("_row.text").isNull(), 0).otherwise(F.size(lines))
+    return rows.select(F.col("_row").withField("text", text).alias("_row"), gone.alias("_gone"), n.alias("_n_lines"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with later matching lines taken out of ``text``, and _n_lines, _gone beside."""
-    gone = removed_lines(docs)
-    rows = docs.select("*", *row_key()).join(gone, ["_d", "_r"], "left").drop("_d", "_r")
-    out = rows.withColumn("_gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1)))
-    out = out.withColumn("_n_lines", n_lines)
-    return out.withColumn("text", F.when(F.size("_gone") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("gone")
+    """``docs`` with later matching lines taken out of ``text``."""
+    return deduped(docs).select("_row.*")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, removed (line numbers), kept_sha256 of every document."""
-    return dedup_lines(docs.select("doc_id", "text")).select(
-        "doc_id",
+    return deduped(docs.select("doc_id", "text")).select(
+        "_row.doc_id",
         F.col("_n_lines").cast("long").alias("n_lines"),
         F.size("_gone").cast("long").alias("n_removed"),
         F.array_join("_gone", ",").alias("removed"),
-        F.sha2(whole_text(), 256).alias("kept_sha256"),
+        F.sha2(whole_text("_row.text"), 256).alias("kept_sha256"),
     )
