@@ -20,9 +20,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that an earlier line matches. n_chars follows the text."""
     from pyspark.sql import functions as F
 
-    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
-    n = F.when(F.size("_gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n).select(*COLUMNS)
+    out = line_dedup.deduped(docs.select(*COLUMNS))
+    n = F.when(F.size("_gone") > 0, F.length("_row.text").cast("long")).otherwise(F.col("_row.n_chars"))
+    return out.select("_row.*", n.alias("_n")).withColumn("n_chars", F.col("_n")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
