@@ -6,8 +6,9 @@
    MIN_SHARED of K values but for chance below 1e-6, so it shares one of a sketch's
    K - MIN_SHARED + 1 rarest. Only those are listed, and only classes whose sets can still
    reach a partner (enough shingles that some other listed class has) stay.
-3. In each list all classes are compared with a few pivots; links found join components.
-   Then only pairs across components of a list are left, and all of those are compared.
+3. In each list all classes are compared with two pivots; links found join components. This
+   is repeated with pivots of the components met, while long lists stay open. Then only pairs
+   across components of a list are left, and all of those are compared.
 4. A pair is estimated on the sketch of the union, then confirmed on the full sets.
 
 Edge cases: texts without words (null, empty, blanks) are linked with nothing; with fewer
@@ -33,8 +34,12 @@ K = 32
 MIN_SHARE = 0.375
 MIN_SHARED = 12
 PERCENT = 75
-#: For pairs left across components: a longer sketch, and the share that is five deviations below 0.75.
-LONG_K, LONG_SHARE = 128, 0.56
+#: The longer sketch, for pairs left across components.
+LONG_K = 128
+#: Rounds of comparisons with pivots at most; another follows while a list has more than SHORT classes outside of its main component.
+ROUNDS, SHORT = 4, 16
+#: Ids of texts that may be broadcast to fetch full sets; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -76,16 +81,23 @@ def sketches(docs: DataFrame, with_sets: bool = False) -> DataFrame:
 
 
 def _unsigned(x: Column) -> Column:
-    """Orders signed longs as the unsigned hashes that they hold."""
+    """Turns signed longs, which hold unsigned hashes, into ones of the same order."""
     return x.bitwiseXOR(F.lit(-(2**63)).cast("long"))
 
 
 def union_share(a: Column, b: Column, k: int = K) -> Column:
-    """Estimated similarity: the share of the union's sketch that both sketches hold."""
-    both = F.array_union(a, b)
-    union = F.slice(F.sort_array(F.transform(both, _unsigned)), 1, k)
-    shared = F.transform(F.array_intersect(a, b), _unsigned)
-    return F.size(F.array_intersect(union, shared)) / F.greatest(F.size(union), F.lit(1))
+    """Estimated similarity of ascending sketches: the share of the union's sketch that both sketches hold."""
+    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.size(F.array_intersect(union, F.array_intersect(a, b))) / F.greatest(F.size(union), F.lit(1))
+
+
+def least_share(na: Column, nb: Column, k: int) -> Column:
+    """What the estimate of a link falls below by chance only: five deviations of k values drawn from the union.
+
+    The union of a link has (na + nb) / 1.75 shingles at most; where k is no less, the estimate is the similarity itself."""
+    wanted = PERCENT / 100
+    left = F.greatest(F.lit(0.0), 1 - k * (1 + wanted) / (na + nb))
+    return wanted - 5 * F.sqrt(wanted * (1 - wanted) / k * left) - 1e-9
 
 
 def listed(classes: DataFrame) -> DataFrame:
@@ -107,26 +119,40 @@ def possible(na: Column, ea: Column, nb: Column, eb: Column) -> Column:
     return 100 * most >= PERCENT * (na + nb - most)
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, marks: DataFrame, full: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes those whose full sets are similar enough."""
-    side = lambda x, *cols: sets.select(F.col("class").alias(x), *(F.col(c).alias(c + x) for c in cols))
-    brief = pairs.join(side("a", "n", "e", "sketch"), "a").join(side("b", "n", "e", "sketch"), "b")
-    likely = brief.filter(possible(*map(F.col, ("na", "ea", "nb", "eb")))).filter(union_share(F.col("sketcha"), F.col("sketchb")) >= MIN_SHARE)
-    both = stage_table(likely.select("a", "b"), "likely").join(side("a", "full"), "a").join(side("b", "full"), "b")
+    side = lambda rows, x, *cols: rows.select(F.col("class").alias(x), *(F.col(c).alias(c + x) for c in cols))
+    brief = pairs
+    for x in "ab":
+        brief = brief.join(side(marks, x, "n", "e", "sketch"), x)
+    sizes = [F.col(c) for c in ("na", "ea", "nb", "eb")]
+    near = union_share(F.col("sketcha"), F.col("sketchb")) >= least_share(F.col("na"), F.col("nb"), K)
+    both = stage_table(brief.filter(possible(*sizes)).filter(near).select("a", "b"), "likely")
+    for x in "ab":
+        both = both.join(side(full, x, "full"), x)
     i = F.size(F.array_intersect("fulla", "fullb"))
     return stage_table(both.filter(100 * i >= PERCENT * (F.size("fulla") + F.size("fullb") - i)).select("a", "b"), "links")
 
 
+def full_sets(docs: DataFrame, made: DataFrame, wanted: DataFrame) -> DataFrame:
+    """class, full of the ``wanted`` classes, from one text each, by the smallest id."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    first = made.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_k")).select("_k").distinct()
+    first = stage_table(first, "set-ids")
+    few = first.count() <= BROADCAST_IDS
+    texts = docs.select(key.alias("_k"), "doc_id", "text").join(F.broadcast(first) if few else first, "_k", "left_semi")
+    full = sketches(texts, True).join(wanted, "class", "left_semi").dropDuplicates(["class"])
+    return stage_table(full.select("class", "full"), "sets")
+
+
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """class, sketch, full, n, e: e counts the shingles that some other of these classes has.
+    """class, n, e: e counts the shingles that some other of these classes has.
 
     Classes that can't reach the similarity with so few go; they can't be anyone's partner."""
     once = sets.select("class", F.explode("full").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("class").alias("class")).filter("df = 1")
     lone = once.groupBy("class").agg(F.count("*").alias("lone"))
-    n = F.size("full")
-    rows = sets.select("class", "sketch", "full", n.alias("n")).join(lone, "class", "left")
-    rows = rows.withColumn("e", F.col("n") - F.coalesce("lone", F.lit(0))).drop("lone")
-    return stage_table(rows.filter(100 * F.col("e") >= PERCENT * F.col("n")), "sets")
+    rows = sets.select("class", F.size("full").alias("n")).join(lone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("e"))
+    return stage_table(rows.filter(100 * F.col("e") >= PERCENT * F.col("n")), "shared")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -163,47 +189,78 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return known.join(up, "root", "left").select("class", F.coalesce("over", "root").alias("root"))
 
 
-def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
-    """class, root of all linked classes."""
-    classes = made.filter(F.col("class").isNotNull()).groupBy("class", F.col("n_shingles").alias("n")).agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    post = stage_table(listed(stage_table(classes, "classes")), "lists")
-    # the full sets of listed classes alone: one text each, by the smallest id
-    wanted = post.select("class").distinct()
-    if wanted.isEmpty():
-        return made.sparkSession.createDataFrame([], "class binary, root binary")
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    first = made.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_k")).select("_k").distinct()
-    texts = docs.select(key.alias("_k"), "doc_id", "text").join(first, "_k", "left_semi")
-    full = sketches(texts, True).join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    full = stage_table(full.select("class", "sketch", "full"), "sets")
-    # the second round counts among those that the first has left
-    sets = shared_shingles(shared_shingles(full).drop("n", "e"))
-    post = post.drop("m", "n").join(sets.select("class", "n", "e"), "class")
-    ends = post.groupBy("value").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("m")).filter("m > 1")
-    post = stage_table(post.join(ends, "value"), "lists")
-    pivots = post.select("class", F.explode(F.array("lo", "hi")).alias("p")).filter("class != p")
-    tried = stage_table(pivots.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct(), "tried")
-    links = confirmed(tried, sets)
-    label = components(links)
-    rooted = with_roots(post.select("value", "class", "n", "e"), label)
-    # lists with one component are done; of the others, the largest component needs no pairs of its own
-    sizes = rooted.groupBy("value", "root").agg(F.count("*").alias("c"))
-    top = sizes.groupBy("value").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    lists = rooted.groupBy("class").agg(F.array_agg("value").alias("mine"))  # K values at most
-    open_ = rooted.join(top.select("value", F.col("top.root").alias("main")), "value")
-    open_ = stage_table(open_.join(lists, "class").join(sets.select("class", F.slice("full", 1, LONG_K).alias("long")), "class"), "open")
-    x, y = open_.filter("root != main").alias("x"), open_.alias("y")
-    rest = x.join(
-        y,
+def open_lists(post: DataFrame, label: DataFrame | None) -> DataFrame:
+    """value, main, pivot, low, others: the lists with classes of several components.
+
+    ``main`` is the component that most of a list's classes are in, ``pivot`` its class of which
+    the largest share is held by others too (the middle of a group of copies has them all),
+    ``low`` the least class of the list, ``others`` counts those outside of ``main``."""
+    rooted = post.withColumn("root", F.col("class")) if label is None else with_roots(post, label)
+    best = F.max(F.struct((F.col("e") / F.col("n")).alias("held"), "class")).alias("best")
+    parts = rooted.groupBy("value", "root").agg(F.count("*").alias("c"), best, F.min("class").alias("low"))
+    top = F.max(F.struct("c", F.col("best.held").alias("held"), "root", F.col("best.class").alias("pivot"))).alias("top")
+    lists = parts.groupBy("value").agg(top, F.min("low").alias("low"), F.sum("c").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
+    return lists.select("value", F.col("top.root").alias("main"), F.col("top.pivot").alias("pivot"), "low", (F.col("c") - F.col("top.c")).alias("others"))
+
+
+def pivot_pairs(post: DataFrame, lists: DataFrame, label: DataFrame | None) -> DataFrame:
+    """a, b: the classes outside of a list's main component with its pivot, and all with its least class."""
+    rows = post.select("value", "class").join(lists, "value")
+    rows = rows.withColumn("root", F.col("class")) if label is None else with_roots(rows, label)
+    ends = F.when(F.col("root") != F.col("main"), F.array("pivot", "low")).otherwise(F.array("low"))
+    pairs = rows.select("class", F.explode(ends).alias("p")).filter("class != p")
+    return pairs.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
+
+
+def rest_pairs(post: DataFrame, lists: DataFrame, label: DataFrame, full: DataFrame) -> DataFrame:
+    """a, b: the pairs across components of open lists that the longer sketch leaves."""
+    mine = post.groupBy("class").agg(F.array_agg("value").alias("mine"))  # K values at most
+    long = full.select("class", F.transform(F.slice("full", 1, LONG_K), _unsigned).alias("long"))
+    rooted = with_roots(post.join(lists.select("value", "main"), "value"), label)
+    rows = stage_table(rooted.join(mine, "class").join(long, "class"), "open")
+    x, y = rows.filter("root != main").alias("x"), rows.alias("y")
+    on = (
         (F.col("x.value") == F.col("y.value"))
         & F.expr("x.root != y.root and (x.class < y.class or y.root = y.main)")
         & possible(F.col("x.n"), F.col("x.e"), F.col("y.n"), F.col("y.e"))
         # one of the lists that a pair shares speaks for it
         & (F.col("x.value") == F.array_min(F.array_intersect("x.mine", "y.mine")))
-        & (union_share(F.col("x.long"), F.col("y.long"), LONG_K) >= LONG_SHARE),
-    ).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    rest = rest.distinct().join(tried, ["a", "b"], "left_anti")
-    return merged(label, confirmed(stage_table(rest, "rest"), sets))
+        & (union_share(F.col("x.long"), F.col("y.long"), LONG_K) >= least_share(F.col("x.n"), F.col("y.n"), LONG_K))
+    )
+    pairs = x.join(y, on).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
+    return pairs.distinct()
+
+
+def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """class, root of all linked classes."""
+    none = docs.sparkSession.createDataFrame([], "class binary, root binary")
+    own = made.filter(F.col("class").isNotNull()).groupBy("class", F.col("n_shingles").alias("n")).agg(F.first("sketch").alias("sketch"))
+    classes = stage_table(own, "classes")
+    post = stage_table(listed(classes).select("value", "class"), "lists")
+    wanted = post.select("class").distinct()
+    if wanted.isEmpty():
+        return none
+    full = full_sets(docs, made, wanted)
+    # the second round counts among those that the first has left
+    marks = shared_shingles(full.join(shared_shingles(full).select("class"), "class", "left_semi"))
+    sketch = classes.select("class", F.transform("sketch", _unsigned).alias("sketch"))
+    marks = stage_table(marks.join(sketch, "class"), "marks")
+    post = post.join(marks.select("class", "n", "e"), "class")
+    post = stage_table(post.join(post.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1").select("value"), "value"), "lists")
+    label, done = None, None
+    for _ in range(ROUNDS):
+        lists = stage_table(open_lists(post, label), "open-lists")
+        pairs = pivot_pairs(post, lists, label)
+        pairs = stage_table(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pivot-pairs")
+        done = pairs if done is None else done.union(pairs)
+        links = confirmed(pairs, marks, full)
+        label = components(links) if label is None else merged(label, links)
+        # a round that finds nothing, or leaves short lists alone, is the last
+        if links.isEmpty() or lists.filter(F.col("others") > SHORT).isEmpty():
+            break
+    lists = stage_table(open_lists(post, label), "open-lists")
+    rest = stage_table(rest_pairs(post, lists, label, full).join(done, ["a", "b"], "left_anti"), "rest")
+    return merged(label, confirmed(rest, marks, full))
 
 
 def near_rows(docs: DataFrame) -> DataFrame:
