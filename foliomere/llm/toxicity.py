@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,10 +25,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import stage_table, whole_text
 
 #: Labelled texts that training reads at most, chosen by a hash of their ids.
 SAMPLE = 20_000
+#: Parts of the sample: one is calibrated on, the others are counted.
+FOLDS = 5
 #: Strength of the Dirichlet prior, in texts, and the z-value from which a feature counts.
 PRIOR, Z = 100.0, 3.0
 #: Taken from each token, so that chance segments stay short.
@@ -130,11 +133,10 @@ class Scanner:
         return sure, self.model.lam * total - math.log(self.model.k * max(n, 1) + 1e-9)
 
 
-def _decay(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(lam * score)) = 1 over background tokens."""
-    if not len(scores) or scores.max() <= 0 or scores.mean() >= 0:
+def _decay(values: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of mean(exp(lam * score)) = 1 over background tokens, whose scores occur ``counts`` times."""
+    if not counts.sum() or values.max() <= 0 or (values * counts).sum() >= 0:
         return 1.0
-    values, counts = np.unique(scores, return_counts=True)
     low, high = 0.0, 1.0
     mean = lambda lam: float((counts * np.exp(np.minimum(700, lam * values))).sum() / counts.sum())
     while mean(high) < 1 and high < 100:
@@ -145,45 +147,73 @@ def _decay(scores: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Counts on Spark, over the sample's texts; calibration on per-text figures of the same rows."""
-    rows = training_rows(docs, labels, sample)
-    texts = docs.select("doc_id", whole_text().alias("_t")).join(rows, "doc_id").select("doc_id", "_t", "toxic")
-    n1, n0 = texts.agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1))).first()
+def sample_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """_t, toxic, fold of the sample's texts, read once and written; fold 0 is calibrated on, the others are counted.
+
+    The sample is bounded, so its ids are broadcast; documents are not shuffled."""
+    ids = rows.select(F.col("doc_id").cast("long").alias("_id"), "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), whole_text().alias("_t")).join(F.broadcast(ids), "_id")
+    fold = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
+    return stage_table(texts.select("_t", (F.col("toxic") > 0).cast("int").alias("toxic"), fold.alias("fold")), "toxicity-sample")
+
+
+def log_odds(counted: DataFrame) -> tuple[dict[str, float], int, int]:
+    """Scores of the features that pass the z-test, and how many texts are toxic and not."""
+    n1, n0 = counted.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
     if not n1 or not n0:
-        return Model(prior=1.0 if n1 else 0.0, middle=-1e9 if n1 else 1e9)
-    toxic = (F.col("toxic") > 0).cast("long")
-    counts = texts.select(toxic.alias("y"), F.explode(features(F.col("_t"))).alias("f")).groupBy("f").agg(F.sum("y").alias("c1"), F.sum(1 - F.col("y")).alias("c0"))
-    c, a = F.col("c1") + F.col("c0"), PRIOR * (F.col("c1") + F.col("c0")) / (n1 + n0)
+        return {}, n1, n0
+    seen = counted.select("toxic", F.explode(features(F.col("_t"))).alias("f"))
+    counts = seen.groupBy("f").agg(F.sum("toxic").alias("c1"), F.sum(1 - F.col("toxic")).alias("c0"))
+    a = PRIOR * (F.col("c1") + F.col("c0")) / (n1 + n0)
     y1, y0 = F.col("c1") + a + 0.01, F.col("c0") + a + 0.01
     odds = F.log(y1 / (n1 + PRIOR - y1 + 0.02)) - F.log(y0 / (n0 + PRIOR - y0 + 0.02))
-    kept = counts.select("f", odds.alias("odds"), F.sqrt(1 / y1 + 1 / y0).alias("sd"), "c1")
-    # features that pass the z-test: their number is bounded by the sample's
-    found = {r["f"]: float(r["odds"]) for r in kept.filter((F.col("odds") >= Z * F.col("sd")) & (F.col("c1") >= 3)).select("f", "odds").collect()}
-    model = Model(found, prior=n1 / (n1 + n0))
+    kept = counts.filter("c1 >= 3").select("f", odds.alias("odds"), F.sqrt(1 / y1 + 1 / y0).alias("sd"))
+    # the sample bounds the number of features that pass
+    found = {r["f"]: float(r["odds"]) for r in kept.filter(F.col("odds") >= Z * F.col("sd")).select("f", "odds").collect()}
+    return found, n1, n0
 
-    schema = "toxic int, n long, best double, total double, tokens array<double>"
 
-    def figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """Counts on Spark, over the sample's texts; the chance of segments and the probability on a fold that is not counted.
+
+    Where a part of the sample lacks a label, all of it is counted and calibrated on."""
+    texts = sample_texts(docs, training_rows(docs, labels, sample))
+    found, n1, n0 = log_odds(texts.filter("fold > 0"))
+    tested = texts.filter("fold = 0")
+    if not n1 or not n0 or tested.select("toxic").distinct().count() < 2:
+        found, n1, n0 = log_odds(texts)
+        tested = texts
+    if not n1 or not n0:
+        return Model(prior=1.0 if n1 else 0.0, middle=-1e9 if n1 else 1e9)
+    model = Model(found, prior=n1 / (n1 + n0))
+
+    def clean_figures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scan = Scanner(model)
         for b in batches:
-            out = []
-            for t, y in zip(b["_t"], b["toxic"], strict=True):
-                s = scan.tokens(t)
-                seg = [x for *_, x in scan.segments(s)]
-                few = sorted(x for x in s if x > -DRIFT)  # the others are all -DRIFT
-                out.append([int(y > 0), len(s), max(seg, default=0.0), sum(seg), few if not y > 0 else []])
-            yield pd.DataFrame(out, columns=["toxic", "n", "best", "total", "tokens"])
-
-    seen = texts.mapInPandas(figures, schema).toPandas()  # one row for each text of the bounded sample
-    clean = seen[(seen.toxic == 0) & (seen.n > 0)]
-    few = np.concatenate([np.empty(0), *clean.tokens.map(np.asarray)])
-    rest = int(clean.n.sum()) - len(few)
-    model.lam = _decay(np.concatenate([few, np.full(rest, -DRIFT)])) if rest else 1.0
+            texts = [scan.tokens(t) for t in b["_t"]]
+            best = [max((x for *_, x in scan.segments(s)), default=0.0) for s in texts]
+            high = Counter(round(x, 9) for s in texts for x in s if x > -DRIFT)  # the others are all -DRIFT
+            yield pd.DataFrame({"n": [len(s) for s in texts], "best": best, "high": [high if k == 0 else {} for k in range(len(texts))]})
+
+    # a row for each clean text of the bounded sample; the scores' counts are bounded by the features
+    clean = tested.filter("toxic = 0").select("_t").mapInPandas(clean_figures, "n long, best double, high map<double,long>").toPandas()
+    clean = clean[clean.n > 0] if len(clean) else clean
+    high = Counter()
+    for c in clean.high if len(clean) else ():
+        high.update(dict(c))
+    rest = int(clean.n.sum()) - sum(high.values()) if len(clean) else 0
+    model.lam = _decay(np.array([*high, -DRIFT]), np.array([*high.values(), rest])) if rest else 1.0
     # K by the mean of the largest scores: mean = (log(K n) + 0.5772) / lam
     model.k = float(np.clip(np.exp(np.mean(model.lam * clean.best - 0.5772 - np.log(clean.n))), 1e-9, 1.0)) if len(clean) else 0.1
-    stat = model.lam * np.maximum(seen.best, np.where(model.k * seen.n * np.exp(-np.minimum(700, model.lam * seen.best)) <= SIGNIFICANT, seen.total, 0)) - np.log(model.k * np.maximum(seen.n, 1) + 1e-9)
-    model.middle, model.slope = _calibrate(stat.to_numpy(), seen.toxic.to_numpy())
+
+    def statistics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scan = Scanner(model)
+        for b in batches:
+            yield pd.DataFrame({"toxic": b["toxic"], "stat": [scan.passages(t)[1] for t in b["_t"]]})
+
+    # the statistic that texts are scored by, now that lambda and K are known
+    seen = tested.select("_t", "toxic").mapInPandas(statistics, "toxic int, stat double").toPandas()
+    model.middle, model.slope = _calibrate(seen.stat.to_numpy(), seen.toxic.to_numpy())
     return model
 
 
