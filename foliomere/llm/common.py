@@ -4,31 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the only characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder URI below ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is empty (tests, a single machine) a local folder is set."""
+    Where the setting is empty a local folder is set, but on a single machine only (tests):
+    executors of a cluster would each write to a disk of their own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="foliomere-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/foliomere/{name}-{uuid.uuid4().hex}"
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables that are staged within, but for those to keep, are deleted at the end."""
+    path = shared_dir(spark, name)
+    token = _SCRATCH.set(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again.
 
     This cuts lineage in a way that outlives any executor."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
+    spark, inside = df.sparkSession, _SCRATCH.get()
+    path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside and not keep else shared_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

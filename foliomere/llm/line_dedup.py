@@ -26,7 +26,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text
+from .common import scratch, stage_table, whole_text
 
 #: Similarity of word sets, in percent.
 PERCENT = 90
@@ -34,8 +34,8 @@ PERCENT = 90
 BITS = 16
 #: Sets of a token's list up to which all are paired at once, and the early ones that the sets of longer lists meet first.
 SHORT, PIVOTS = 16, 4
-#: From so many tokens on a set has one in 4 of them in its signature, from 4 times as many on one in 16.
-LARGE = 64
+#: One in so many tokens is in the second signature of a set; all are in the first, which large sets fill.
+FEW = 4
 #: Lines whose places may be broadcast to fetch their words; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
 _MISSING = -(2**63)
@@ -91,17 +91,10 @@ def place() -> Column:
     return (F.col("_d").cast("decimal(38,0)") * _ROWS + (order_part(F.col("_r")) * _PLACES + F.col("line"))).cast("decimal(38,0)")
 
 
-def share(n: Column) -> Column:
-    """One in how many of n tokens a signature holds; all of many tokens would fill it."""
-    return F.when(n < LARGE, 1).when(n < 4 * LARGE, 4).otherwise(16)
-
-
-def signature(k: Column, n: Column) -> Column:
-    """A bit for each token held, which several may share."""
-    some = lambda m: F.filter(k, lambda x: x.bitwiseAND(F.lit(m - 1)) == 0)
-    held = F.when(n < LARGE, k).when(n < 4 * LARGE, some(4)).otherwise(some(16))
+def signature(k: Column) -> Column:
+    """64 bits, one for each of the tokens, which several may share."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 4).bitwiseAND(F.lit(63)).cast("int"))
-    return F.aggregate(held, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
+    return F.aggregate(k, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
 def named(k: Column) -> tuple[Column, Column]:
@@ -110,26 +103,28 @@ def named(k: Column) -> tuple[Column, Column]:
 
 
 def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """_d, _r, line, s1, s2, n, prefix, bits of every line with tokens; (s1, s2) names its set."""
+    """_d, _r, line, s1, s2, n, prefix, bits, few of every line with tokens; (s1, s2) names its set."""
     rows = docs.select(*row_key(), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t")).filter(F.trim("t") != "")
     rows = rows.withColumn("_c", classes.scalar()).select("_d", "_r", "line", keys(token_hashes(F.col("t")), F.col("_c")).alias("k"))
     n = F.size("k")
     # a set that one more token would already part from all others has no prefix
     listed = 100 * n >= PERCENT * (n + 1)
     prefix = F.slice("k", 1, n - F.ceil(PERCENT * n / 100).cast("int") + 1)
-    return rows.select("_d", "_r", "line", *named(F.col("k")), n.alias("n"), F.when(listed, prefix).alias("prefix"), F.when(listed, signature(F.col("k"), n)).alias("bits"))
+    some = F.filter("k", lambda x: x.bitwiseAND(F.lit(FEW - 1)) == 0)
+    marks = [F.when(listed, c).alias(name) for name, c in (("prefix", prefix), ("bits", signature(F.col("k"))), ("few", signature(some)))]
+    return rows.select("_d", "_r", "line", *named(F.col("k")), n.alias("n"), *marks)
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """s1, s2, n, prefix, bits, d, first, c: each set once, with its first place, the id there, and its lines."""
-    return lines.groupBy("s1", "s2", "n", "prefix", "bits").agg(F.min("_d").alias("d"), F.min(place()).alias("first"), F.count("*").alias("c"))
+    """s1, s2, n, prefix, bits, few, d, first, c: each set once, with its first place, the id there, and its lines."""
+    return lines.groupBy("s1", "s2", "n", "prefix", "bits", "few").agg(F.min("_d").alias("d"), F.min(place()).alias("first"), F.count("*").alias("c"))
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, s1, d, n, at, bits, m: for each token that m > 1 prefixes hold, those sets."""
-    post = sets.filter("prefix is not null").select("s1", "d", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    """key, s1, d, n, at, bits, few, m: for each token that m > 1 prefixes hold, those sets."""
+    post = sets.filter("prefix is not null").select("s1", "d", "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
     held = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    return post.join(held, "key").select("key", "s1", "d", "n", "at", "bits", "m")
+    return post.join(held, "key").select("key", "s1", "d", "n", "at", "bits", "few", "m")
 
 
 def may_match(a: str, b: str) -> Column:
@@ -138,9 +133,9 @@ def may_match(a: str, b: str) -> Column:
     need = F.ceil((na + nb) * PERCENT / (100 + PERCENT) - 1e-9)
     reach = F.least(na - F.col(f"{a}.at"), nb - F.col(f"{b}.at"))
     # each bit of one side alone is a token that the other lacks
-    lacks = lambda x, y: F.bit_count(F.col(f"{x}.bits").bitwiseAND(F.bitwise_not(F.col(f"{y}.bits"))))
-    shared = F.least(na - lacks(a, b), nb - lacks(b, a))
-    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & ((shared >= need) | (share(na) != share(nb)))
+    lacks = lambda x, y, c: F.bit_count(F.col(f"{x}.{c}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{c}"))))
+    shared = lambda c: F.least(na - lacks(a, b, c), nb - lacks(b, a, c))
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & (shared("bits") >= need) & (shared("few") >= need)
 
 
 def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
@@ -188,7 +183,7 @@ def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> Dat
     those that none of these matches meet all earlier ones. Whether a set has a match is exact either way."""
     lists = stage_table(postings(sets), "line-lists")
     short, long = lists.filter(F.col("m") <= SHORT), lists.filter(F.col("m") > SHORT)
-    early = F.min(F.struct("d", "s1", "n", "at", "bits"))
+    early = F.min(F.struct("d", "s1", "n", "at", "bits", "few"))
     pivots = long.groupBy("key", F.pmod("s1", F.lit(PIVOTS)).alias("part")).agg(early.alias("p")).select("key", "p.*")
     found = matched(docs, sets, classes, joined(short, short).union(joined(long, pivots)))
     left = long.join(found.select("s1"), "s1", "left_anti")
@@ -200,7 +195,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     classes = rarity_classes(docs)
     lines = stage_table(line_sets(docs, classes), "lines")
     sets = stage_table(distinct_sets(lines), "distinct-lines")
-    near = earlier_matches(docs, sets, classes).distinct().withColumn("near", F.lit(True))
+    with scratch(docs.sparkSession, "line-matches"):
+        near = stage_table(earlier_matches(docs, sets, classes).distinct(), "line-matches", keep=True)
+    near = near.withColumn("near", F.lit(True))
     last = sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left").filter("c > 1 or near")
     hit = lines.select("_d", "_r", "line", "s1", "s2").join(last.drop("c"), ["s1", "s2"]).filter(F.col("near").isNotNull() | (place() > F.col("first")))
     return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("_gone"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage_table, whole_text
+from .common import scratch, stage_table, whole_text
 
 SHINGLE = 5
 K = 32
@@ -268,7 +268,8 @@ def near_rows(docs: DataFrame) -> DataFrame:
 
     ``leads`` tells one class of each component, of the smallest id (null is the largest)."""
     made = stage_table(sketches(docs), "sketches")
-    roots = stage_table(link_classes(docs, made), "component-roots")
+    with scratch(docs.sparkSession, "near-dup"):
+        roots = stage_table(link_classes(docs, made), "component-roots", keep=True)
     own = made.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min("doc_id").alias("low"))
     low = with_roots(own, roots)
     top = F.min(F.struct(F.col("low").isNull(), F.col("low"), F.col("class").alias("top")))["top"]

@@ -1,10 +1,9 @@
 """Secret scan through a trigram inverted index.
 
-Beside each rule's regex stand, given by hand, the literals of which any match must hold one; they
-become a Boolean query over lower-case trigrams, an OR of ANDs. No regex is read for them: whoever
-edits one must edit its literals, or matches are lost. Postings (trigram, document) are made for the trigrams that some
+From each rule's regex a Boolean query over lower-case trigrams is derived, an OR of ANDs that every
+match satisfies. Postings (trigram, document) are made for the trigrams that some
 query asks for; intersecting them gives each document's candidate rules, and the regex is
-verified there alone. Rules without literals scan every document.
+verified there alone. Rules without mandatory trigrams scan every document.
 
 Edge cases: a null text is empty; null ids are verified by every rule, as they can't be joined;
 repeated ids share their candidates and are verified each by its own text; an empty table gives
@@ -19,24 +18,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
+from .trigram_query import query_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``needs``: literals in lower case, any one of which stands in every match (none: full scan).
-
-    ``group`` and ``least``: a match counts if that group has as many characters."""
+    """A match counts if ``group`` has ``least`` characters."""
 
     name: str
     regex: str
-    needs: tuple[str, ...] = ()
     group: int = 0
     least: int = 1
 
     def query(self) -> list[list[str]]:
-        """OR of ANDs of trigrams; empty if some literal is too short to have one."""
-        found = [sorted({x[k : k + 3] for k in range(len(x) - 2)}) for x in self.needs]
-        return [] if any(not x for x in found) else found
+        """OR of ANDs of trigrams; empty if a match need hold none."""
+        return query_of(self.regex)
 
 
 def either_case(word: str) -> str:
@@ -49,22 +45,21 @@ BASE = (
     Rule(
         "assign",
         "(" + "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
-        ("password", "passwd", "secret", "token", "api_key", "apikey"),
         2,
         12,
     ),
-    Rule("access", "AKIA[A-Z0-9]{14,}", ("akia",)),
+    Rule("access", "AKIA[A-Z0-9]{14,}"),
     Rule("hex", "[0-9a-f]{16,}"),
 )
 EXTRA = (
-    Rule("temporary", "ASIA[A-Z0-9]{14,}", ("asia",)),
-    Rule("forge", "(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
-    Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", ("eyj",)),
-    Rule("private_key", "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----", ("private key-----",)),
-    Rule("maps", "AIza[A-Za-z0-9_-]{35}", ("aiza",)),
-    Rule("bearer", "[Bb]earer\\x20+[A-Za-z0-9+/_.=-]{20,}", ("bearer",)),
-    Rule("in_url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{6,}@", ("://",)),
+    Rule("temporary", "ASIA[A-Z0-9]{14,}"),
+    Rule("forge", "(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
+    Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("signed", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("private_key", "-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
+    Rule("maps", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("bearer", "[Bb]earer\\x20+[A-Za-z0-9+/_.=-]{20,}"),
+    Rule("in_url", r"[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]{6,}@"),
 )
 RULES = BASE + EXTRA
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from foliomere.llm import decontaminate, entry, line_dedup, near_dup, packing, pii, quality, secrets, token_file, tokens, toxicity, warc
 from foliomere.llm.common import table
+from foliomere.llm.trigram_query import query_of
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -197,13 +198,47 @@ def test_secrets(spark, odd, docs):
     assert "forge:" in secrets.secrets(df).filter("doc_id = 100").first().spans
 
 
+def sample_of(tokens, rng):
+    """A random text that a parsed pattern matches."""
+    out = []
+    for op, value in tokens:
+        match str(op):
+            case "LITERAL":
+                out.append(chr(value))
+            case "IN" if str(value[0][0]) == "NEGATE":
+                out.append(rng.choice("xyzXYZ019"))
+            case "IN":
+                op, v = rng.choice([x for x in value if str(x[0]) in ("LITERAL", "RANGE")])
+                out.append(chr(v if str(op) == "LITERAL" else rng.randint(*v)))
+            case "BRANCH":
+                out.append(sample_of(rng.choice(value[1]), rng))
+            case "SUBPATTERN":
+                out.append(sample_of(value[3], rng))
+            case "MAX_REPEAT":
+                out.extend(sample_of(value[2], rng) for _ in range(rng.randint(value[0], min(int(value[1]), value[0] + 3))))
+            case "ANY":
+                out.append(rng.choice("aB3 "))
+            case other:
+                raise ValueError(other)
+    return "".join(out)
+
+
+MADE = ["a(bc|de)?fgh", "x{3}y+z", "(foo|ba[rz]|q.x)end", "[ab][cd][ef]g*hij", "(ab|a)(bc|c)(cd|d)", "no(thing)*here", "[A-Z]{2,}", "(?:abc)+def", "(abc|d)e", "((x|yy)z){2}w"]
+
+
 def test_trigram_queries_hold_for_every_match():
-    samples = {"assign": "API_key=abcdefghijkl", "access": "AKIA" + "A" * 16, "private_key": "-----BEGIN RSA PRIVATE KEY-----", "in_url": "ftp://me:secret1@host", "signed": "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + "." + "c" * 9}
-    for r in secrets.RULES:
-        if r.name in samples:
-            s = samples[r.name]
-            assert re.search(r.regex, s) and any(all(t in s.lower() for t in one) for one in r.query())
+    rng = random.Random(9)
+    for regex in [r.regex for r in secrets.RULES] + MADE:
+        query = query_of(regex)
+        for _ in range(300):
+            s = sample_of(re._parser.parse(regex), rng)
+            assert re.fullmatch(regex, s), (regex, s)
+            assert not query or any(all(t in s.lower() for t in one) for one in query), (regex, s, query)
     assert [r.name for r in secrets.RULES if not r.query()] == ["hex"]
+    asked = {r.name: r.query() for r in secrets.RULES}
+    assert asked["access"] == [["aki", "kia"]] and asked["in_url"] == [["://"]] and asked["signed"] == [[".ey", "eyj"]]
+    assert query_of("(abc|d)e") == [] and query_of("no(thing)*here") == [["ere", "her"]] and query_of("(?:abc)+def")[0] == ["abc", "bcd", "cde", "def"]
+    assert len(asked["assign"]) == 6 and all(set("BEGIN"[k : k + 3].lower() for k in range(3)) <= set(b) for b in asked["private_key"])
 
 
 def test_segments_are_maximal():
