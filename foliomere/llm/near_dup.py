@@ -34,10 +34,10 @@ K = 32
 MIN_SHARE = 0.375
 MIN_SHARED = 12
 PERCENT = 75
-#: The longer sketch, for pairs left across components.
-LONG_K = 128
+#: The longer sketch, for pairs left across components; classes of a list compared at once, and of either side in one cell.
+LONG_K, BLOCK, CELL = 256, 256, 1024
 #: Rounds of comparisons with pivots at most; another follows while a list has more than SHORT classes outside of its main component.
-ROUNDS, SHORT = 4, 16
+ROUNDS, SHORT = 2, 16
 #: Ids of texts that may be broadcast to fetch full sets; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -60,8 +60,8 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, with_sets: bool = False) -> DataFrame:
-    """doc_id, row (hash of the text), n_shingles, class (fingerprint of the whole set; null if empty), sketch (and set)."""
-    schema = "doc_id long, row long, n_shingles long, class binary, sketch array<long>" + ", full array<long>" * with_sets
+    """doc_id, row (hash of the text), n_shingles, class (fingerprint of the whole set; null if empty), sketch (and set, and its least hashes cut to 32 bits)."""
+    schema = "doc_id long, row long, n_shingles long, class binary, sketch array<long>" + ", full array<long>, least binary" * with_sets
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -74,8 +74,10 @@ def sketches(docs: DataFrame, with_sets: bool = False) -> DataFrame:
                     s = shingle_hashes(text)
                     name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
                     signed = s.view(np.int64)
-                    rows.append([doc, row, len(s), name, signed[:K]] + [signed] * with_sets)
-                yield pd.DataFrame(rows, columns=["doc_id", "row", "n_shingles", "class", "sketch"] + ["full"] * with_sets).astype({"doc_id": "Int64"})
+                    sets = [signed, np.unique((s[:LONG_K] >> np.uint64(32)).astype(np.uint32)).tobytes()] if with_sets else []
+                    rows.append([doc, row, len(s), name, signed[:K], *sets])
+                names = ["doc_id", "row", "n_shingles", "class", "sketch"] + ["full", "least"] * with_sets
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(whole_text()).alias("row"), whole_text().alias("_t")).mapInPandas(run, schema)
 
@@ -135,14 +137,14 @@ def confirmed(pairs: DataFrame, marks: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, made: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, full of the ``wanted`` classes, from one text each, by the smallest id."""
+    """class, full, least of the ``wanted`` classes, from one text each, by the smallest id."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     first = made.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_k")).select("_k").distinct()
     first = stage_table(first, "set-ids")
     few = first.count() <= BROADCAST_IDS
     texts = docs.select(key.alias("_k"), "doc_id", "text").join(F.broadcast(first) if few else first, "_k", "left_semi")
     full = sketches(texts, True).join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    return stage_table(full.select("class", "full"), "sets")
+    return stage_table(full.select("class", "full", "least"), "sets")
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def merged(label: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_lists(post: DataFrame, label: DataFrame | None) -> DataFrame:
-    """value, main, pivot, low, others: the lists with classes of several components.
+    """value, main, pivot, low, c, others: the lists with classes of several components.
 
     ``main`` is the component that most of a list's classes are in, ``pivot`` its class of which
     the largest share is held by others too (the middle of a group of copies has them all),
@@ -200,7 +202,7 @@ def open_lists(post: DataFrame, label: DataFrame | None) -> DataFrame:
     parts = rooted.groupBy("value", "root").agg(F.count("*").alias("c"), best, F.min("class").alias("low"))
     top = F.max(F.struct("c", F.col("best.held").alias("held"), "root", F.col("best.class").alias("pivot"))).alias("top")
     lists = parts.groupBy("value").agg(top, F.min("low").alias("low"), F.sum("c").alias("c"), F.count("*").alias("parts")).filter("parts > 1")
-    return lists.select("value", F.col("top.root").alias("main"), F.col("top.pivot").alias("pivot"), "low", (F.col("c") - F.col("top.c")).alias("others"))
+    return lists.select("value", F.col("top.root").alias("main"), F.col("top.pivot").alias("pivot"), "low", "c", (F.col("c") - F.col("top.c")).alias("others"))
 
 
 def pivot_pairs(post: DataFrame, lists: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -212,23 +214,91 @@ def pivot_pairs(post: DataFrame, lists: DataFrame, label: DataFrame | None) -> D
     return pairs.select(F.least("class", "p").alias("a"), F.greatest("class", "p").alias("b")).distinct()
 
 
+class Block:
+    """Classes of a list: their ids and components as longs, set sizes, and the least of their hashes, cut to 32 bits."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.name, self.n = rows["class"].to_numpy(), rows["n"].to_numpy()
+        self.id, self.root, self.main = rows["id"].to_numpy(), rows["root"].to_numpy(), rows["in_main"].to_numpy()
+        self.least = [np.frombuffer(s, np.uint32) for s in rows["least"]]
+        # up to here a set's hashes are known
+        self.reach = np.array([s[-1] if n > len(s) else 2**32 - 1 for s, n in zip(self.least, self.n, strict=True)], np.uint32)
+        self.values = np.concatenate(self.least)
+        self.rows = np.repeat(np.arange(len(self.least)), [len(s) for s in self.least])
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        """A row for each class, a column for each of the ascending values: 1 where it is held."""
+        at = np.minimum(np.searchsorted(values, self.values), len(values) - 1)
+        hit = values[at] == self.values
+        out = np.zeros((len(self.least), len(values)), np.float32)
+        out[self.rows[hit], at[hit]] = 1
+        return out
+
+    def known(self, reach: np.ndarray) -> np.ndarray:
+        """How many of each class's hashes are known up to each of ``reach``."""
+        return np.array([np.searchsorted(s, reach, "right") for s in self.least])
+
+
+def likely_pairs(x: Block, y: Block) -> list[tuple[bytes, bytes]]:
+    """Pairs across components that the estimate leaves.
+
+    Where a class is surely similar to some of a component, the likeliest of these speaks for all."""
+    values = np.intersect1d(x.values, y.values)
+    if not len(values):
+        return []
+    shared = x.holds(values) @ y.holds(values).T
+    seen = x.known(y.reach) + y.known(x.reach).T - shared
+    share = shared / seen
+    # the sample is part of the union, which has (n + n) / 1.75 shingles at most in a link; two may share 32 bits
+    left = np.maximum(0, 1 - seen * (100 + PERCENT) / 100 / (x.n[:, None] + y.n[None, :]))
+    slack = 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / seen * left) + 2 / seen
+    may = (share >= PERCENT / 100 - slack) & (x.root[:, None] != y.root[None, :]) & ((x.id[:, None] < y.id[None, :]) | y.main[None, :])
+    out = []
+    for i in np.flatnonzero(may.any(axis=1)):
+        js = np.flatnonzero(may[i])
+        sure = js[share[i, js] >= PERCENT / 100 + slack[i, js]]
+        sure = sure[np.argsort(-share[i, sure], kind="stable")]
+        roots, first = np.unique(y.root[sure], return_index=True)
+        js = np.concatenate([sure[first], js[~np.isin(y.root[js], roots)]])
+        out.extend((min(x.name[i], y.name[j]), max(x.name[i], y.name[j])) for j in js)
+    return out
+
+
+def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Likely pairs of each cell's two sides; rows come by cell, its few left ones first."""
+    cell, lefts = None, []
+    for b in batches:
+        found, start = set(), 0
+        names = b["cell"].to_numpy()
+        ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1), len(b)]
+        for end in ends:
+            rows = b.iloc[start:end]
+            if names[start] != cell:
+                cell, lefts = names[start], []
+            left, right = rows[rows["side"] == 0], rows[rows["side"] == 1]
+            lefts.extend(Block(left.iloc[k : k + BLOCK]) for k in range(0, len(left), BLOCK))
+            for k in range(0, len(right), BLOCK):
+                y = Block(right.iloc[k : k + BLOCK])
+                for x in lefts:
+                    found.update(likely_pairs(x, y))
+            start = end
+        yield pd.DataFrame(sorted(found), columns=["a", "b"])
+
+
 def rest_pairs(post: DataFrame, lists: DataFrame, label: DataFrame, full: DataFrame) -> DataFrame:
-    """a, b: the pairs across components of open lists that the longer sketch leaves."""
-    mine = post.groupBy("class").agg(F.array_agg("value").alias("mine"))  # K values at most
-    long = full.select("class", F.transform(F.slice("full", 1, LONG_K), _unsigned).alias("long"))
-    rooted = with_roots(post.join(lists.select("value", "main"), "value"), label)
-    rows = stage_table(rooted.join(mine, "class").join(long, "class"), "open")
-    x, y = rows.filter("root != main").alias("x"), rows.alias("y")
-    on = (
-        (F.col("x.value") == F.col("y.value"))
-        & F.expr("x.root != y.root and (x.class < y.class or y.root = y.main)")
-        & possible(F.col("x.n"), F.col("x.e"), F.col("y.n"), F.col("y.e"))
-        # one of the lists that a pair shares speaks for it
-        & (F.col("x.value") == F.array_min(F.array_intersect("x.mine", "y.mine")))
-        & (union_share(F.col("x.long"), F.col("y.long"), LONG_K) >= least_share(F.col("x.n"), F.col("y.n"), LONG_K))
-    )
-    pairs = x.join(y, on).select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b"))
-    return pairs.distinct()
+    """a, b: the pairs across components of open lists that a longer sketch leaves.
+
+    A list is a grid of cells: classes outside of its main component by all of its classes, CELL of
+    either at about the most, so no task holds a list."""
+    rows = with_roots(post.join(lists.select("value", "main", "others", "c"), "value"), label).join(full.select("class", "least"), "class")
+    rows = rows.select("value", "class", "n", "least", "others", "c", F.xxhash64("class").alias("id"), F.xxhash64("root").alias("root"), (F.col("root") == F.col("main")).alias("in_main"))
+    rows = stage_table(rows, "open")
+    parts = lambda n: F.ceil(F.col(n) / CELL).cast("int")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), parts(n) - 1))
+    left = rows.filter("not in_main").select("*", F.lit(0).alias("side"), F.pmod("id", parts("others")).cast("int").alias("row"), cells("c").alias("column"))
+    right = rows.select("*", F.lit(1).alias("side"), cells("others").alias("row"), F.pmod("id", parts("c")).cast("int").alias("column"))
+    both = left.unionByName(right).withColumn("cell", F.concat_ws(" ", "value", "row", "column")).drop("value", "others", "c", "row", "column")
+    return both.repartition("cell").sortWithinPartitions("cell", "side").mapInPandas(compared, "a binary, b binary").distinct()
 
 
 def link_classes(docs: DataFrame, made: DataFrame) -> DataFrame:
