@@ -24,8 +24,8 @@ def name_tokens(x: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(F.upper(F.coalesce(x, F.lit(""))), r"[^A-Z0-9]+", -1), ""))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """Score of two token arrays: equal 1.0, subset of two or more 0.97, close 0.9, same long first word 0.86."""
+def name_similarity(a: Column, b: Column, generic: tuple[str, ...] = ()) -> Column:
+    """Score of two token arrays: equal 1.0, subset of two or more 0.97, close 0.9, same long first word 0.86 (but for generic ones)."""
     both, joined = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
     small = F.least(F.size(a), F.size(b))
     first = F.get(a, F.lit(0))
@@ -34,18 +34,25 @@ def name_similarity(a: Column, b: Column) -> Column:
         .when(F.array_sort(a) == F.array_sort(b), 1.0)
         .when((both >= 2) & (both == small), 0.97)
         .when((100 * both >= 55 * joined) & (100 * both >= 75 * small), 0.9)
-        .when((first == F.get(b, F.lit(0))) & (F.length(first) >= 5), 0.86)
+        .when((first == F.get(b, F.lit(0))) & (F.length(first) >= 5) & ~first.isin(*generic), 0.86)
         .otherwise(0.0)
     )
 
 
 def parse_money(x: Column) -> Column:
-    """Amount of a printed figure: $ and commas dropped, brackets or a trailing or leading minus negate, dashes are null."""
-    bare = F.regexp_replace(x, r"[$,\s]", "")
-    negative = F.regexp_like(bare, F.lit(r"^\(.*\)$|^[-–−].*\d|\d[-–−]$"))
-    digits = F.regexp_replace(bare, r"[()–−-]", "")
-    value = digits.try_cast("decimal(18,4)")
-    return F.when(negative, -value).otherwise(value)
+    """Amount of a printed figure; null if it is not one.
+
+    $ and commas are dropped; brackets, or a leading or trailing dash, negate; no other dash may stand in it."""
+    bare = F.trim(F.regexp_replace(x, "[$,]", ""))
+    dash, number = "[-\u2013\u2212]", r"(?:\d+\.?\d*|\.\d+)"
+    form = rf"^(?:{dash}?\s*{number}\s*{dash}?|\(\s*{dash}?\s*{number}\s*{dash}?\s*\))$"
+    value = F.regexp_replace(bare, r"[()\s\u2013\u2212-]", "").try_cast("decimal(18,4)")
+    return F.when(F.regexp_like(bare, F.lit(form)), F.when(F.regexp_like(bare, F.lit(rf"^\(|{dash}")), -value).otherwise(value))
+
+
+def parse_percent(x: Column) -> Column:
+    """A printed percentage as a number; a lone dash is null."""
+    return parse_money(F.regexp_replace(x, "%", ""))
 
 
 def third_friday(year: Column, month: Column) -> Column:
@@ -55,6 +62,46 @@ def third_friday(year: Column, month: Column) -> Column:
     return F.date_add(first, F.pmod(F.lit(6) - F.dayofweek(first), F.lit(7)) + 14)
 
 
+#: Printed date forms in the order in which they are tried.
+DATE_FORMS = ("yyyy-M-d", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy", "M/d/yy", "d/M/yyyy")
+# Two-letter months of option contracts.
+OPTION_MONTHS = {"JA": 1, "FE": 2, "FB": 2, "MR": 3, "AP": 4, "MY": 5, "JN": 6, "JL": 7, "AU": 8, "SP": 9, "OC": 10, "NV": 11, "DC": 12}
+
+
+def title_months(x: Column) -> Column:
+    """Words with a capital first letter alone, as date forms ask for."""
+    return F.initcap(F.lower(x))
+
+
+def parse_date(x: Column, year: Column | None = None) -> Column:
+    """A printed date in any of DATE_FORMS, else a month and day of the given year; null if none fits."""
+    bare = title_months(F.rtrim(F.trim(x), F.lit(",")))
+    found = [F.try_to_date(bare, form) for form in DATE_FORMS]
+    if year is not None:
+        month, day = (F.regexp_extract(bare, r"^([A-Za-z]{3})[a-z]*[ .-]+(\d{1,2})\b", k) for k in (1, 2))
+        found.append(F.try_to_date(F.concat_ws(" ", year.cast("string"), month, day), "yyyy MMM d"))
+    return F.coalesce(*found)
+
+
+def option_month(x: Column) -> Column:
+    """Number of a two- or three-letter month."""
+    out = F.month(F.try_to_date(F.concat(F.lit("2000 "), F.when(F.length(x) == 3, title_months(x)), F.lit(" 1")), "yyyy MMM d"))
+    for name, k in OPTION_MONTHS.items():
+        out = F.when(F.upper(x) == name, k).otherwise(out)
+    return out
+
+
+def option_expiry(x: Column) -> Column:
+    """Expiry of a contract: m/d/y as it is; a year and month in either order mean the third Friday."""
+    token = F.trim(x)
+    day = F.coalesce(F.try_to_date(token, "M/d/yyyy"), F.try_to_date(token, "M/d/yy"))
+    part = lambda form, k: F.nullif(F.regexp_extract(token, form, k), F.lit(""))
+    first, last = r"^(\d{2})\s*([A-Za-z]{2,3})$", r"^([A-Za-z]{2,3})\s*(\d{2})$"
+    year = F.coalesce(part(first, 1), part(last, 2)).cast("int") + 2000
+    month = option_month(F.coalesce(part(first, 2), part(last, 1)))
+    return F.coalesce(day, F.when(year.isNotNull() & month.isNotNull(), third_friday(year, month)))
+
+
 def provider_symbol(symbol: Column, exchange: Column) -> Column:
     """Market data symbol of a listing: .TO for Toronto exchanges, points become dashes."""
     base = F.regexp_replace(symbol, r"\.", "-")

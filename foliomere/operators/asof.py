@@ -38,6 +38,7 @@ def assign_interval(moves: DataFrame, points: DataFrame, keys: list[str], move_d
     m = moves.withColumn("_t", F.col(move_date)).withColumn("_m", F.struct(*moves.columns))
     m = m.select(*keys, "_t", F.lit(0).alias("_o"), "_m", F.lit(None).cast(points.schema[value].dataType).alias(value))
     p = points.select(*keys, F.col(point_date).alias("_t"), F.lit(1).alias("_o"), F.lit(None).cast(m.schema["_m"].dataType).alias("_m"), value)
-    w = Window.partitionBy(*keys).orderBy("_t", "_o").rowsBetween(0, Window.unboundedFollowing)
-    both = m.unionByName(p).withColumn(value, F.first(value, ignorenulls=True).over(w))
+    # backwards in time, so the frame only grows and each row is looked at once
+    w = Window.partitionBy(*keys).orderBy(F.desc("_t"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    both = m.unionByName(p).withColumn(value, F.last(value, ignorenulls=True).over(w))
     return both.filter(F.col("_m").isNotNull() & F.col(value).isNotNull()).select("_m.*", value)

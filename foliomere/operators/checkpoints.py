@@ -7,21 +7,24 @@ from pyspark.sql import functions as F
 
 from .asof import latest_at
 
+#: What a checkpoint covers: the anchor of one scope says nothing of another.
+SCOPE = ["account_id", "currency"]
+
 
 def canonical(statements: DataFrame) -> DataFrame:
     """Of statements reissued for one account and period, the newest."""
-    return statements.groupBy("account_id", "period_start", "period_end").agg(F.max("statement_id").alias("statement_id"))
+    return statements.groupBy(*SCOPE, "period_start", "period_end").agg(F.max("statement_id").alias("statement_id"))
 
 
 def anchors(statements: DataFrame, at: Column) -> DataFrame:
     """Latest complete checkpoint of each account and currency at a date."""
     rows = statements.filter(F.col("completeness") == "complete")
-    return latest_at(rows, ["account_id", "currency"], "period_end", ["statement_id"], at)
+    return latest_at(rows, SCOPE, "period_end", ["statement_id"], at)
 
 
 def latest_observed(statements: DataFrame, at: Column) -> DataFrame:
     """Latest checkpoint of any completeness."""
-    return latest_at(statements, ["account_id", "currency"], "period_end", ["statement_id", "completeness"], at)
+    return latest_at(statements, SCOPE, "period_end", ["statement_id", "completeness"], at)
 
 
 def holdings_at(statements: DataFrame, positions: DataFrame, moves: DataFrame, at: Column) -> DataFrame:
@@ -31,21 +34,21 @@ def holdings_at(statements: DataFrame, positions: DataFrame, moves: DataFrame, a
     marks the holding incomplete. Holdings of nothing are left out."""
     anchor = anchors(statements, at).withColumnRenamed("period_end", "anchor_date")
     base = positions.join(anchor.select("statement_id", "anchor_date"), "statement_id").select("account_id", "currency", "instrument_id", F.col("quantity").alias("q"), F.lit(0).alias("moved"), F.lit(0).alias("unknown"))
-    later = moves.filter(F.col("trade_date") <= at).join(anchor.select("account_id", "anchor_date"), "account_id", "left")
+    later = moves.filter(F.col("trade_date") <= at).join(anchor.select(*SCOPE, "anchor_date"), SCOPE, "left")
     later = later.filter(F.col("anchor_date").isNull() | (F.col("trade_date") > F.col("anchor_date")))
     step = later.select("account_id", "currency", "instrument_id", F.coalesce("position_delta", F.lit(0.0)).alias("q"), F.lit(1).alias("moved"), F.col("position_delta").isNull().cast("int").alias("unknown"))
     total = base.unionByName(step).groupBy("account_id", "currency", "instrument_id").agg(F.sum("q").alias("quantity"), F.sum("moved").alias("movements"), F.max("unknown").alias("unknown"))
-    rows = total.filter(F.abs("quantity") > 1e-9).join(anchor.select("account_id", "anchor_date"), "account_id", "left")
+    rows = total.filter(F.abs("quantity") > 1e-9).join(anchor.select(*SCOPE, "anchor_date"), SCOPE, "left")
     state = F.when(F.col("unknown") > 0, "incomplete").when(F.col("anchor_date") == at, "reported").when(F.col("anchor_date").isNull(), "movements_only").otherwise("reconstructed")
     return rows.select("account_id", "currency", "instrument_id", "quantity", "movements", "anchor_date", state.alias("state"))
 
 
 def quality_flags(holdings: DataFrame, statements: DataFrame, at: Column) -> DataFrame:
     """Holdings with a warning where a later checkpoint than the anchor is incomplete."""
-    seen = latest_observed(statements, at).select("account_id", F.col("period_end").alias("seen_date"), F.col("completeness").alias("seen"))
-    rows = holdings.join(seen, "account_id", "left")
+    seen = latest_observed(statements, at).select(*SCOPE, F.col("period_end").alias("seen_date"), F.col("completeness").alias("seen"))
+    rows = holdings.join(seen, SCOPE, "left")
     stale = (F.col("seen") != "complete") & (F.coalesce(F.col("seen_date") >= F.col("anchor_date"), F.lit(True)))
-    return rows.select("account_id", "instrument_id", "state", F.coalesce(stale, F.lit(False)).alias("incomplete_scope"), (F.col("movements") > 0).alias("cost_stale"))
+    return rows.select(*SCOPE, "instrument_id", "state", F.coalesce(stale, F.lit(False)).alias("incomplete_scope"), (F.col("movements") > 0).alias("cost_stale"))
 
 
 def priced(holdings: DataFrame, prices: DataFrame, at: Column) -> DataFrame:

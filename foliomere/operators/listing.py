@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from foliomere.functions import text
 
+from .checkpoints import SCOPE
+
 LIMIT, MOST = 5000, 50_000
 
 
@@ -33,9 +35,26 @@ def page(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return rows.orderBy(F.desc("trade_date"), F.desc("row_id")).limit(max(1, min(limit, MOST)))
 
 
+def with_initial(moves: DataFrame, initial: DataFrame) -> DataFrame:
+    """Movements and initial positions as one list; what either side lacks is null. ``initial``: account_id, instrument_id, as_of, quantity."""
+    first = initial.select(
+        F.lit("initial").alias("row_kind"), F.concat_ws("-", F.lit("initial:"), "account_id", "instrument_id").alias("row_id"), "account_id", "instrument_id",
+        F.col("as_of").alias("trade_date"), F.lit("initial_position").alias("txn_type"), "quantity",
+    )
+    return moves.withColumn("row_kind", F.lit("transaction")).unionByName(first, allowMissingColumns=True)
+
+
+def counted_page(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """The newest rows with total_count (of all) and has_more. The limit is kept between 1 and MOST."""
+    n = max(1, min(limit, MOST))
+    total = rows.agg(F.count("*").alias("total_count"))  # one row
+    ordered = rows.orderBy(F.desc("trade_date"), F.desc("row_id"), "txn_type").limit(n)
+    return ordered.withColumn("total_count", total.scalar()).withColumn("has_more", F.col("total_count") > n)
+
+
 def statement_counters(statements: DataFrame, moves: DataFrame, results: DataFrame) -> DataFrame:
     """Movements, unknown effects and unreconciled positions of each statement, in one pass over each input."""
-    keys = ["account_id", "period_start"]
+    keys = [*SCOPE, "period_start"]
     by = moves.withColumn("period_start", F.trunc("trade_date", "month")).groupBy(*keys).agg(F.count("*").alias("movements"), F.count_if(F.col("position_delta").isNull()).alias("unknown"))
     bad = results.groupBy("statement_id").agg(F.count_if(F.col("status") == "unexplained").alias("unexplained"))
     rows = statements.join(by, keys, "left").join(bad, "statement_id", "left").fillna(0, ["movements", "unknown", "unexplained"])

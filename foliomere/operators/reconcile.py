@@ -12,17 +12,18 @@ from pyspark.sql import functions as F
 from foliomere.functions.movements import NON_CASH
 
 from .asof import assign_interval
+from .checkpoints import SCOPE
 
 
 def interval_moves(moves: DataFrame, statements: DataFrame) -> DataFrame:
     """Moves with the statement whose interval (previous end, end] holds them."""
-    points = statements.select("account_id", "period_end", "statement_id")
-    return assign_interval(moves, points, ["account_id"], "trade_date", "period_end", "statement_id")
+    points = statements.select(*SCOPE, "period_end", "statement_id")
+    return assign_interval(moves, points, SCOPE, "trade_date", "period_end", "statement_id")
 
 
 def position_rollforward(statements: DataFrame, positions: DataFrame, moves: DataFrame) -> DataFrame:
     """statement, instrument, expected, reported, status: prior position plus movements against the printed one."""
-    w = Window.partitionBy("account_id").orderBy("period_end")
+    w = Window.partitionBy(*SCOPE).orderBy("period_end")
     scope = statements.select(
         "account_id", "statement_id", "completeness", "period_start",
         F.lag("statement_id").over(w).alias("prior_id"), F.lag("completeness").over(w).alias("prior_completeness"), F.lag("period_end").over(w).alias("prior_end"),
@@ -58,28 +59,28 @@ def position_links(statements: DataFrame, moves: DataFrame) -> DataFrame:
 def cash_activity(statements: DataFrame, moves: DataFrame) -> DataFrame:
     """Cash effective within each statement's period: sum, rows, and rows of an unknown amount."""
     by_month = moves.withColumn("period_start", F.trunc("cash_effective_date", "month"))
-    sums = by_month.groupBy("account_id", "period_start").agg(F.sum("net_amount").alias("moved"), F.count("*").alias("components"), F.count_if(F.col("net_amount").isNull()).alias("unknown"))
-    rows = statements.select("statement_id", "account_id", "period_start").join(sums, ["account_id", "period_start"], "left")
+    sums = by_month.groupBy(*SCOPE, "period_start").agg(F.sum("net_amount").alias("moved"), F.count("*").alias("components"), F.count_if(F.col("net_amount").isNull()).alias("unknown"))
+    rows = statements.select("statement_id", *SCOPE, "period_start").join(sums, [*SCOPE, "period_start"], "left")
     return rows.select("statement_id", F.coalesce(F.col("moved").cast("double"), F.lit(0.0)).alias("moved"), F.coalesce("components", F.lit(0)).alias("components"), F.coalesce("unknown", F.lit(0)).alias("unknown"))
 
 
 def continuity(statements: DataFrame) -> DataFrame:
     """Whether each statement follows on its predecessor."""
-    w = Window.partitionBy("account_id").orderBy("period_end")
+    w = Window.partitionBy(*SCOPE).orderBy("period_end")
     gap = F.datediff("period_start", F.lag("period_end").over(w))
     status = F.when(gap.isNull(), "missing_prior").when(gap == 1, "adjacent").otherwise("non_adjacent")
     return statements.select("statement_id", status.alias("status"))
 
 
 def initial_positions(statements: DataFrame, positions: DataFrame, moves: DataFrame) -> DataFrame:
-    """Opening quantities: the first complete checkpoint less all movements up to it, dated the day before the first move."""
+    """Opening quantities: the first complete checkpoint less all movements up to it, dated the day before that checkpoint."""
     complete = statements.filter(F.col("completeness") == "complete")
-    first = complete.groupBy("account_id").agg(F.min_by("statement_id", "period_end").alias("statement_id"), F.min("period_end").alias("as_of"))
-    have = positions.join(first.select("statement_id", "as_of"), "statement_id").select("account_id", "instrument_id", "as_of", F.col("quantity").alias("q"))
-    moved = moves.join(first.select("account_id", "as_of"), "account_id").filter(F.col("trade_date") <= F.col("as_of"))
-    step = moved.select("account_id", "instrument_id", "as_of", (-F.coalesce("position_delta", F.lit(0.0))).alias("q"))
-    total = have.unionByName(step).groupBy("account_id", "instrument_id", "as_of").agg(F.sum("q").alias("quantity"))
-    return total.filter(F.abs("quantity") >= 1e-9)
+    first = complete.groupBy(*SCOPE).agg(F.min_by("statement_id", "period_end").alias("statement_id"), F.min("period_end").alias("as_of"))
+    have = positions.join(first.select("statement_id", "as_of"), "statement_id").select(*SCOPE, "instrument_id", "as_of", F.col("quantity").alias("q"))
+    moved = moves.join(first.select(*SCOPE, "as_of"), SCOPE).filter(F.col("trade_date") <= F.col("as_of"))
+    step = moved.select(*SCOPE, "instrument_id", "as_of", (-F.coalesce("position_delta", F.lit(0.0))).alias("q"))
+    total = have.unionByName(step).groupBy(*SCOPE, "instrument_id", "as_of").agg(F.sum("q").alias("quantity"))
+    return total.filter(F.abs("quantity") >= 1e-9).withColumn("as_of", F.date_sub("as_of", 1))
 
 
 def status_counts(results: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def day(x: str):
     return F.lit(x).cast("date")
 
 
-@query("SELECT account_id, period_start, period_end, MAX(statement_id) AS statement_id FROM statements GROUP BY ALL")
+@query("SELECT account_id, currency, period_start, period_end, MAX(statement_id) AS statement_id FROM statements GROUP BY ALL")
 def canonical_statement(t: Ledger) -> DataFrame:
     return checkpoints.canonical(t.statements())
 
@@ -113,20 +113,22 @@ def validity_join(t: Ledger) -> DataFrame:
     return lineage.valid_prices(prices, lineage.segments(_changes(t))).select("root", "symbol", "trade_date", "close_cents")
 
 
-_INTERVALS = """WITH spans AS (SELECT statement_id, account_id, completeness, period_start, period_end,
+# every month with a movement of an account and currency has a statement, so ``owned`` may join on the month's end
+_INTERVALS = """WITH spans AS (SELECT statement_id, account_id, currency, completeness, period_start, period_end,
  lag(period_end) OVER w AS prior_end, lag(statement_id) OVER w AS prior_id, lag(completeness) OVER w AS prior_completeness
- FROM statements WINDOW w AS (PARTITION BY account_id ORDER BY period_end))"""
+ FROM statements WINDOW w AS (PARTITION BY account_id, currency ORDER BY period_end)),
+ moved_month AS (SELECT account_id, currency, instrument_id, trade_date, position_delta, last_day(trade_date) AS month_end FROM transactions),
+ owned AS (SELECT s.statement_id, t.instrument_id, t.position_delta FROM moved_month t JOIN spans s ON t.account_id = s.account_id AND t.currency = s.currency AND t.month_end = s.period_end)"""
 
 
 @query(_INTERVALS + """ SELECT s.statement_id, t.instrument_id, COUNT(*) AS n, SUM(COALESCE(t.position_delta, 0)) AS moved FROM transactions t JOIN spans s
-ON t.account_id = s.account_id AND t.trade_date <= s.period_end AND (s.prior_end IS NULL OR t.trade_date > s.prior_end) GROUP BY ALL""")
+ON t.account_id = s.account_id AND t.currency = s.currency AND t.trade_date <= s.period_end AND (s.prior_end IS NULL OR t.trade_date > s.prior_end) GROUP BY ALL""")
 def interval_movements(t: Ledger) -> DataFrame:
     rows = reconcile.interval_moves(t.transactions(), t.statements())
     return rows.groupBy("statement_id", "instrument_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("position_delta", F.lit(0.0))).alias("moved"))
 
 
-_ROLL = _INTERVALS + """, sums AS (SELECT s.statement_id, t.instrument_id, SUM(COALESCE(t.position_delta, 0)) AS moved, COUNT(*) FILTER (t.position_delta IS NULL) AS unknown
- FROM transactions t JOIN spans s ON t.account_id = s.account_id AND t.trade_date <= s.period_end AND (s.prior_end IS NULL OR t.trade_date > s.prior_end) GROUP BY ALL),
+_ROLL = _INTERVALS + """, sums AS (SELECT statement_id, instrument_id, SUM(COALESCE(position_delta, 0)) AS moved, COUNT(*) FILTER (position_delta IS NULL) AS unknown FROM owned GROUP BY ALL),
  printed AS (SELECT statement_id, instrument_id, quantity AS reported FROM positions),
  prior AS (SELECT s.statement_id, p.instrument_id, p.quantity AS prior FROM spans s JOIN positions p ON p.statement_id = s.prior_id),
  roll AS (SELECT statement_id, instrument_id, COALESCE(prior, 0) + COALESCE(moved, 0) AS expected, COALESCE(reported, 0) AS reported,
@@ -150,24 +152,24 @@ def status_counts(t: Ledger) -> DataFrame:
     return reconcile.status_counts(_roll(t))
 
 
-@query(_ROLL + """, per AS (SELECT account_id, CAST(date_trunc('month', trade_date) AS DATE) AS period_start, COUNT(*) AS movements, COUNT(*) FILTER (position_delta IS NULL) AS unknown FROM transactions GROUP BY ALL),
+@query(_ROLL + """, per AS (SELECT account_id, currency, CAST(date_trunc('month', trade_date) AS DATE) AS period_start, COUNT(*) AS movements, COUNT(*) FILTER (position_delta IS NULL) AS unknown FROM transactions GROUP BY ALL),
  bad AS (SELECT statement_id, COUNT(*) FILTER (status = 'unexplained') AS unexplained FROM roll GROUP BY 1)
  SELECT statement_id, COALESCE(movements, 0) AS movements, COALESCE(unknown, 0) AS unknown, COALESCE(unexplained, 0) AS unexplained, completeness <> 'complete' AS incomplete
- FROM statements LEFT JOIN per USING (account_id, period_start) LEFT JOIN bad USING (statement_id)""")
+ FROM statements LEFT JOIN per USING (account_id, currency, period_start) LEFT JOIN bad USING (statement_id)""")
 def quality_counters(t: Ledger) -> DataFrame:
     return listing.statement_counters(t.statements(), t.transactions(), _roll(t))
 
 
-@query("""WITH points AS (SELECT account_id, statement_id, period_end, lag(period_end) OVER (PARTITION BY account_id ORDER BY period_end) AS prior FROM statements WHERE completeness = 'complete')
-SELECT statement_id, row_id FROM transactions t JOIN points p ON t.account_id = p.account_id AND t.trade_date <= p.period_end AND (p.prior IS NULL OR t.trade_date > p.prior)
+@query("""WITH points AS (SELECT account_id, currency, statement_id, period_end, lag(period_end) OVER (PARTITION BY account_id, currency ORDER BY period_end) AS prior FROM statements WHERE completeness = 'complete')
+SELECT statement_id, row_id FROM transactions t JOIN points p ON t.account_id = p.account_id AND t.currency = p.currency AND t.trade_date <= p.period_end AND (p.prior IS NULL OR t.trade_date > p.prior)
 WHERE abs(position_delta) > 1e-9""")
 def position_links(t: Ledger) -> DataFrame:
     return reconcile.position_links(t.statements(), t.transactions())
 
 
-@query("""WITH sums AS (SELECT account_id, CAST(date_trunc('month', cash_effective_date) AS DATE) AS period_start, SUM(net_amount) AS moved, COUNT(*) AS components,
+@query("""WITH sums AS (SELECT account_id, currency, CAST(date_trunc('month', cash_effective_date) AS DATE) AS period_start, SUM(net_amount) AS moved, COUNT(*) AS components,
  COUNT(*) FILTER (net_amount IS NULL) AS unknown FROM transactions GROUP BY ALL)
-SELECT statement_id, COALESCE(CAST(moved AS DOUBLE), 0) AS moved, COALESCE(components, 0) AS components, COALESCE(unknown, 0) AS unknown FROM statements LEFT JOIN sums USING (account_id, period_start)""")
+SELECT statement_id, COALESCE(CAST(moved AS DOUBLE), 0) AS moved, COALESCE(components, 0) AS components, COALESCE(unknown, 0) AS unknown FROM statements LEFT JOIN sums USING (account_id, currency, period_start)""")
 def cash_activity(t: Ledger) -> DataFrame:
     return reconcile.cash_activity(t.statements(), t.transactions())
 
@@ -184,14 +186,15 @@ def statement_totals(t: Ledger) -> DataFrame:
 
 def _hold_sql(at: str, tag: str = "") -> str:
     d = f"DATE '{at}'"
-    return f"""anchor{tag} AS (SELECT account_id, max(period_end) AS anchor_date, max_by(statement_id, period_end) AS statement_id FROM statements
-  WHERE completeness = 'complete' AND period_end <= {d} GROUP BY 1),
+    return f"""anchor{tag} AS (SELECT account_id, currency, max(period_end) AS anchor_date, max_by(statement_id, period_end) AS statement_id FROM statements
+  WHERE completeness = 'complete' AND period_end <= {d} GROUP BY ALL),
  parts{tag} AS (SELECT account_id, currency, instrument_id, quantity AS q, 0 AS moved, 0 AS unknown FROM positions WHERE statement_id IN (SELECT statement_id FROM anchor{tag})
-  UNION ALL SELECT t.account_id, currency, instrument_id, COALESCE(position_delta, 0), 1, CASE WHEN position_delta IS NULL THEN 1 ELSE 0 END FROM transactions t LEFT JOIN anchor{tag} a ON a.account_id = t.account_id
-  WHERE trade_date <= {d} AND (anchor_date IS NULL OR trade_date > anchor_date)),
- hold{tag} AS (SELECT p.account_id, currency, instrument_id, quantity, movements, anchor_date, CASE WHEN unknown > 0 THEN 'incomplete' WHEN anchor_date = {d} THEN 'reported'
+  UNION ALL SELECT t.account_id, t.currency, instrument_id, COALESCE(position_delta, 0), 1, CASE WHEN position_delta IS NULL THEN 1 ELSE 0 END FROM transactions t
+  LEFT JOIN anchor{tag} a ON a.account_id = t.account_id AND a.currency = t.currency WHERE trade_date <= {d} AND (anchor_date IS NULL OR trade_date > anchor_date)),
+ hold{tag} AS (SELECT p.account_id, p.currency, instrument_id, quantity, movements, anchor_date, CASE WHEN unknown > 0 THEN 'incomplete' WHEN anchor_date = {d} THEN 'reported'
   WHEN anchor_date IS NULL THEN 'movements_only' ELSE 'reconstructed' END AS state FROM
-  (SELECT account_id, currency, instrument_id, SUM(q) AS quantity, SUM(moved) AS movements, MAX(unknown) AS unknown FROM parts{tag} GROUP BY ALL HAVING abs(SUM(q)) > 1e-9) p LEFT JOIN anchor{tag} a ON a.account_id = p.account_id)"""
+  (SELECT account_id, currency, instrument_id, SUM(q) AS quantity, SUM(moved) AS movements, MAX(unknown) AS unknown FROM parts{tag} GROUP BY ALL HAVING abs(SUM(q)) > 1e-9) p
+  LEFT JOIN anchor{tag} a ON a.account_id = p.account_id AND a.currency = p.currency)"""
 
 
 def _hold(t: Ledger, at: str = AS_OF) -> DataFrame:
@@ -203,8 +206,8 @@ def holdings_at(t: Ledger) -> DataFrame:
     return _hold(t)
 
 
-@query("WITH " + _hold_sql(AS_OF) + f""", seen AS (SELECT account_id, max(period_end) AS seen_date, max_by(completeness, period_end) AS seen FROM statements WHERE period_end <= DATE '{AS_OF}' GROUP BY 1)
- SELECT h.account_id, instrument_id, state, COALESCE(seen <> 'complete' AND COALESCE(seen_date >= anchor_date, true), false) AS incomplete_scope, movements > 0 AS cost_stale FROM hold h LEFT JOIN seen USING (account_id)""")
+@query("WITH " + _hold_sql(AS_OF) + f""", seen AS (SELECT account_id, currency, max(period_end) AS seen_date, max_by(completeness, period_end) AS seen FROM statements WHERE period_end <= DATE '{AS_OF}' GROUP BY ALL)
+ SELECT h.account_id, h.currency, instrument_id, state, COALESCE(seen <> 'complete' AND COALESCE(seen_date >= anchor_date, true), false) AS incomplete_scope, movements > 0 AS cost_stale FROM hold h LEFT JOIN seen s ON s.account_id = h.account_id AND s.currency = h.currency""")
 def holdings_quality_flags(t: Ledger) -> DataFrame:
     return checkpoints.quality_flags(_hold(t), t.statements(), day(AS_OF))
 
@@ -241,10 +244,10 @@ def monthly_diff(t: Ledger) -> DataFrame:
     return checkpoints.difference(_hold(t), _hold(t, LATER))
 
 
-@query("""WITH first AS (SELECT account_id, min_by(statement_id, period_end) AS statement_id, min(period_end) AS as_of FROM statements WHERE completeness = 'complete' GROUP BY 1),
- parts AS (SELECT p.account_id, instrument_id, as_of, quantity AS q FROM positions p JOIN first USING (statement_id)
- UNION ALL SELECT t.account_id, instrument_id, as_of, -COALESCE(position_delta, 0) FROM transactions t JOIN first f ON f.account_id = t.account_id AND trade_date <= as_of)
- SELECT account_id, instrument_id, as_of, SUM(q) AS quantity FROM parts GROUP BY ALL HAVING abs(SUM(q)) >= 1e-9""")
+@query("""WITH first AS (SELECT account_id, currency, min_by(statement_id, period_end) AS statement_id, min(period_end) AS as_of FROM statements WHERE completeness = 'complete' GROUP BY ALL),
+ parts AS (SELECT p.account_id, p.currency, instrument_id, as_of, quantity AS q FROM positions p JOIN first f ON p.statement_id = f.statement_id
+ UNION ALL SELECT t.account_id, t.currency, instrument_id, as_of, -COALESCE(position_delta, 0) FROM transactions t JOIN first f ON f.account_id = t.account_id AND f.currency = t.currency AND trade_date <= as_of)
+ SELECT account_id, currency, instrument_id, as_of - 1 AS as_of, SUM(q) AS quantity FROM parts GROUP BY ALL HAVING abs(SUM(q)) >= 1e-9""")
 def initial_positions(t: Ledger) -> DataFrame:
     return reconcile.initial_positions(t.statements(), t.positions(), t.transactions())
 
@@ -301,12 +304,15 @@ def rebase(t: Ledger) -> DataFrame:
     return t.prices().select("instrument_id", "trade_date", F.round(series.rebase("close_cents", ["instrument_id"], "trade_date"), 4).alias("rebased"))
 
 
-@query("""WITH r AS (SELECT instrument_id, trade_date, close_cents / lag(close_cents) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM prices),
- k AS (SELECT * FROM r WHERE r IS NOT NULL AND instrument_id < 12)
+@query("WITH " + _hold_sql(LATER) + f""", r AS (SELECT instrument_id, trade_date, close_cents / lag(close_cents) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM prices WHERE trade_date BETWEEN DATE '{AS_OF}' AND DATE '{LATER}'),
+ k AS (SELECT * FROM r WHERE r IS NOT NULL AND instrument_id IN (SELECT instrument_id FROM hold GROUP BY 1 HAVING SUM(quantity) > 0))
  SELECT a.instrument_id AS left_id, b.instrument_id AS right_id, round(COALESCE(CASE WHEN stddev_pop(a.r) > 0 AND stddev_pop(b.r) > 0 THEN corr(a.r, b.r) END, 0), 4) AS correlation FROM k a JOIN k b USING (trade_date) GROUP BY ALL""")
 def correlation(t: Ledger) -> DataFrame:
+    """Returns between two dates of the instruments held at the later one."""
+    held = _hold(t, LATER).groupBy("instrument_id").agg(F.sum("quantity").alias("q")).filter("q > 0").select("instrument_id")
     r = series.pct_change("close_cents", ["instrument_id"], "trade_date")
-    return series.correlation(t.prices().select("instrument_id", "trade_date", r.alias("r")).filter("r is not null and instrument_id < 12"))
+    prices = t.prices().filter(F.col("trade_date").between(AS_OF, LATER)).select("instrument_id", "trade_date", r.alias("r")).filter("r is not null")
+    return series.correlation(prices.join(held, "instrument_id", "left_semi"))
 
 
 @query("""WITH r AS (SELECT instrument_id, trade_date, close_cents / lag(close_cents) OVER (PARTITION BY instrument_id ORDER BY trade_date) - 1 AS r FROM prices),
@@ -342,14 +348,13 @@ def name_tokens(t: Ledger) -> DataFrame:
     return t.raw("customer").select(F.col("c_custkey").alias("account_id"), F.array_join(text.name_tokens(F.col("c_name")), " ").alias("tokens"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS id, list_distinct(list_filter(regexp_split_to_array(upper(p_name), '[^A-Z0-9]+'), lambda x: x <> '')) AS t, upper(regexp_extract(p_name, '[A-Za-z0-9]+')) AS f FROM part WHERE p_partkey <= 200),
- p AS (SELECT a.id AS left_id, b.id AS right_id, a.t AS x, b.t AS y, a.f AS fx, b.f AS fy, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM a JOIN a b ON a.id < b.id)
- SELECT left_id, right_id, CASE WHEN n = 0 OR m = 0 THEN 0.0 WHEN list_sort(x) = list_sort(y) THEN 1.0 WHEN i >= 2 AND i = least(n, m) THEN 0.97
-  WHEN 100 * i >= 55 * (n + m - i) AND 100 * i >= 75 * least(n, m) THEN 0.9 WHEN fx = fy AND length(fx) >= 5 THEN 0.86 ELSE 0.0 END::DOUBLE AS score FROM p""")
+@query("""WITH a AS (SELECT n_nationkey AS id, list_distinct(list_filter(regexp_split_to_array(upper(n_name), '[^A-Z0-9]+'), lambda x: x <> '')) AS t, upper(regexp_extract(n_name, '[A-Za-z0-9]+')) AS f FROM nation),
+ p AS (SELECT a.id AS left_id, b.id AS right_id, a.t AS x, b.t AS y, a.f AS fx, b.f AS fy, len(list_intersect(a.t, b.t)) AS i, len(a.t) AS n, len(b.t) AS m FROM a JOIN a b ON a.id < b.id),
+ s AS (SELECT left_id, right_id, CASE WHEN n = 0 OR m = 0 THEN 0.0 WHEN list_sort(x) = list_sort(y) THEN 1.0 WHEN i >= 2 AND i = least(n, m) THEN 0.97
+  WHEN 100 * i >= 55 * (n + m - i) AND 100 * i >= 75 * least(n, m) THEN 0.9 WHEN fx = fy AND length(fx) >= 5 THEN 0.86 ELSE 0.0 END::DOUBLE AS score FROM p) SELECT * FROM s WHERE score > 0""")
 def name_similarity(t: Ledger) -> DataFrame:
-    p = t.raw("part").filter("p_partkey <= 200").select(F.col("p_partkey").alias("id"), text.name_tokens(F.col("p_name")).alias("t"))
-    a, b = p.alias("a"), F.broadcast(p).alias("b")
-    return a.join(b, F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), text.name_similarity(F.col("a.t"), F.col("b.t")).alias("score"))
+    """Similar names among those of all institutions."""
+    return listing.similar_names(t.raw("nation").select(F.col("n_nationkey").cast("long").alias("id"), text.name_tokens(F.col("n_name")).alias("t")))
 
 
 @query()
@@ -507,7 +512,7 @@ def combined_totals(t: Ledger) -> DataFrame:
 
 
 @query(f"""SELECT account_id, currency, CAST(SUM(COALESCE(net_amount, 0)) AS DOUBLE) AS balance, COUNT(*) FILTER (net_amount IS NULL) AS missing FROM transactions
-WHERE cash_effective_date <= DATE '{AS_OF}' AND txn_type NOT IN ('stock_split', 'journal') GROUP BY ALL""")
+WHERE cash_effective_date <= DATE '{AS_OF}' AND txn_type NOT IN ('stock_split') GROUP BY ALL""")
 def cash_at(t: Ledger) -> DataFrame:
     return reconcile.cash_at(t.transactions(), day(AS_OF)).withColumn("balance", F.col("balance").cast("double"))
 

@@ -16,17 +16,15 @@ transactions AS (SELECT o_custkey AS account_id, l_partkey % 50 AS instrument_id
   concat_ws('-', 'transaction:', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
   CASE txn_type WHEN 'buy' THEN abs(l_quantity) WHEN 'transfer_in' THEN abs(l_quantity) WHEN 'sell' THEN -abs(l_quantity)
     WHEN 'journal' THEN l_quantity WHEN 'dividend' THEN 0 END AS position_delta,
-  CASE WHEN o_custkey % 2 = 0 THEN 'CAD' ELSE 'USD' END AS currency FROM typed),
+  CASE WHEN (o_custkey + l_partkey % 50) % 2 = 0 THEN 'CAD' ELSE 'USD' END AS currency FROM typed),
 statement_months AS (SELECT DISTINCT account_id, currency, CAST(date_trunc('month', trade_date) AS DATE) AS period_start FROM transactions),
-statements AS (SELECT account_id * 1000 + (year(period_start) - 1990) * 12 + month(period_start) AS statement_id, account_id, currency, period_start,
-  last_day(period_start) AS period_end,
-  CASE WHEN (account_id * 1000 + (year(period_start) - 1990) * 12 + month(period_start)) % 11 = 0 THEN 'unknown' ELSE 'complete' END AS completeness
-  FROM statement_months),
-monthly_moves AS (SELECT account_id, instrument_id, CAST(date_trunc('month', trade_date) AS DATE) AS m, SUM(COALESCE(position_delta, 0)) AS d
+statements AS (SELECT number AS statement_id, account_id, currency, period_start, last_day(period_start) AS period_end, CASE WHEN number % 11 = 0 THEN 'unknown' ELSE 'complete' END AS completeness
+  FROM (SELECT *, (account_id * 1000 + (year(period_start) - 1990) * 12 + month(period_start)) * 2 + CASE WHEN currency = 'USD' THEN 1 ELSE 0 END AS number FROM statement_months)),
+monthly_moves AS (SELECT account_id, currency, instrument_id, CAST(date_trunc('month', trade_date) AS DATE) AS m, SUM(COALESCE(position_delta, 0)) AS d
   FROM transactions GROUP BY ALL),
 positions AS (SELECT s.statement_id, s.account_id, s.currency, s.period_start, s.period_end, s.completeness, v.instrument_id,
   SUM(v.d) + MAX(CASE WHEN s.statement_id % 7 = 0 THEN 1.0 ELSE 0.0 END) AS quantity
-  FROM statements s JOIN monthly_moves v ON v.account_id = s.account_id AND v.m <= s.period_start GROUP BY ALL),
+  FROM statements s JOIN monthly_moves v ON v.account_id = s.account_id AND v.currency = s.currency AND v.m <= s.period_start GROUP BY ALL),
 prices AS (SELECT l_partkey % 50 AS instrument_id, CAST(l_shipdate AS DATE) AS trade_date,
   CAST(floor(CAST(SUM(CAST(ROUND(l_extendedprice, 2) AS DECIMAL(18,2))) AS DOUBLE) / SUM(l_quantity) * 100) AS BIGINT) AS close_cents,
   SUM(l_quantity) AS volume FROM lineitem GROUP BY ALL),

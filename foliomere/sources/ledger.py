@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomere.functions.movements import position_delta
@@ -66,29 +66,32 @@ class Ledger:
             F.concat_ws("-", F.lit("transaction:"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
             position_delta(F.col("txn_type"), F.col("l_quantity")).alias("position_delta"),
         )
-        return rows.join(F.broadcast(self.currencies()), F.col("account_id") % 2 == F.col("parity")).drop("parity")
-
-    def currencies(self) -> DataFrame:
-        """Two rows: the currency of odd and even accounts."""
-        return self.spark.createDataFrame([(0, "CAD"), (1, "USD")], "parity int, currency string")
+        # every account holds instruments of both currencies
+        currency = F.when((F.col("account_id") + F.col("instrument_id")) % 2 == 0, "CAD").otherwise("USD")
+        return rows.withColumn("currency", currency)
 
     def statements(self) -> DataFrame:
-        """One for each account and month with a trade."""
+        """One for each account, currency and month with a trade."""
         month = F.trunc("trade_date", "month")
         rows = self.transactions().select("account_id", "currency", month.alias("period_start")).distinct()
-        number = F.col("account_id") * 1000 + (F.year("period_start") - 1990) * 12 + F.month("period_start")
+        number = (F.col("account_id") * 1000 + (F.year("period_start") - 1990) * 12 + F.month("period_start")) * 2 + (F.col("currency") == "USD").cast("int")
         return rows.select(
             number.alias("statement_id"), "account_id", "currency", "period_start", F.last_day("period_start").alias("period_end"),
             F.when(number % 11 == 0, "unknown").otherwise("complete").alias("completeness"),
         )
 
     def positions(self) -> DataFrame:
-        """Printed position of each instrument at each statement's end; every seventh statement is off by one."""
-        moves = self.transactions().select("account_id", "instrument_id", F.trunc("trade_date", "month").alias("m"), F.coalesce("position_delta", F.lit(0.0)).alias("d"))
-        moves = moves.groupBy("account_id", "instrument_id", "m").agg(F.sum("d").alias("d"))
-        joined = self.statements().join(moves, "account_id").filter(F.col("m") <= F.col("period_start"))
-        total = joined.groupBy("statement_id", "account_id", "currency", "period_start", "period_end", "completeness", "instrument_id").agg(F.sum("d").alias("q"))
-        return total.withColumn("quantity", F.col("q") + F.when(F.col("statement_id") % 7 == 0, 1.0).otherwise(0.0)).drop("q")
+        """Printed position of each instrument at each statement's end; every seventh statement is off by one.
+
+        A running sum holds from its month to the next one with movements, so a statement meets each instrument once."""
+        keys = ["account_id", "currency", "instrument_id"]
+        moves = self.transactions().groupBy(*keys, F.trunc("trade_date", "month").alias("m")).agg(F.sum(F.coalesce("position_delta", F.lit(0.0))).alias("d"))
+        w = Window.partitionBy(*keys).orderBy("m")
+        runs = moves.select(*keys, "m", F.sum("d").over(w).alias("q"), F.lead("m").over(w).alias("until"))
+        rows = self.statements().join(runs, ["account_id", "currency"])
+        rows = rows.filter((F.col("m") <= F.col("period_start")) & (F.col("until").isNull() | (F.col("period_start") < F.col("until"))))
+        quantity = F.col("q") + F.when(F.col("statement_id") % 7 == 0, 1.0).otherwise(0.0)
+        return rows.select("statement_id", "account_id", "currency", "period_start", "period_end", "completeness", "instrument_id", quantity.alias("quantity"))
 
     def prices(self) -> DataFrame:
         amount = F.sum(F.round("l_extendedprice", 2).cast("decimal(18,2)"))

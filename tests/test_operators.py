@@ -4,18 +4,33 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from foliomere.functions import keys, movements, text
-from foliomere.operators import activity, asof, checkpoints, lineage, listing, lots, market, reconcile, transfers
+from foliomere.functions import identity, keys, movements, names, text
+from foliomere.operators import activity, asof, checkpoints, lineage, listing, lots, market, merge, reconcile, replay, transfers, validation
 from foliomere.sources import dumps
 
 D = dt.date
 
 
 def test_movement_rules(spark):
-    rows = spark.createDataFrame([("buy", 5.0), ("sell", 5.0), ("option_exercise", 2.0), ("journal", -3.0), ("dividend", 9.0), ("stock_split", 4.0), ("buy", None)], "k string, q double")
-    got = rows.select(movements.quantity_delta(F.col("k"), F.col("q")).alias("a"), movements.position_delta(F.col("k"), F.col("q")).alias("b")).collect()
-    assert [r.a for r in got] == [5, -5, -2, -3, 0, 0, 0]
-    assert [r.b for r in got] == [5, -5, -2, -3, 0, None, None]
+    """Every type, with and without a sign."""
+    adds = ("buy", "buy_to_cover", "transfer_in", "reinvest_dividend", "stock_split_credit", "option_buy_to_open", "option_buy_to_close")
+    takes = ("sell", "short_sell", "transfer_out", "stock_split_debit", "option_sell_to_open", "option_sell_to_close")
+    want = {k: (abs, abs) for k in adds} | {k: (lambda q: -abs(q),) * 2 for k in takes}
+    want |= {k: (lambda q: -q,) * 2 for k in ("option_assignment", "option_exercise", "option_expiration")} | {"journal": (lambda q: q,) * 2, "dividend": (lambda q: 0,) * 2}
+    want |= {k: (lambda q: 0, lambda q: None) for k in ("stock_split", "name_change", "spinoff", "merger")}
+    rows = spark.createDataFrame([(k, q) for k in want for q in (5.0, -5.0, None)], "k string, q double")
+    k, q = F.col("k"), F.col("q")
+    got = rows.select("k", "q", movements.quantity_delta(k, q).alias("a"), movements.position_delta(k, q).alias("b"), movements.affects_position(k).alias("c")).collect()
+    for r in got:
+        legacy, known = want[r.k]
+        assert r.a == (0 if r.q is None else legacy(r.q)) and r.b == (None if r.q is None else known(r.q)) and r.c == (r.k != "dividend"), r
+    assert set(movements.NON_CASH) == {"reinvest_dividend", "stock_split", "stock_split_credit", "stock_split_debit", "name_change", "spinoff", "merger"}
+
+
+def test_closing_rows_go_towards_zero():
+    f = movements.closing_delta
+    assert f("option_expiration", 2.0, -5.0, -2.0) == 2.0 and f("option_exercise", -2.0, 5.0, 2.0) == -2.0
+    assert f("option_expiration", 9.0, 5.0, -9.0) == -9.0 and f("option_expiration", 2.0, 0.0, None) is None and f("sell", 2.0, 5.0, -2.0) == -2.0 and f("option_exercise", None, 5.0, None) is None
 
 
 def test_hollow_stored_effect_stays_unknown(spark):
@@ -25,8 +40,8 @@ def test_hollow_stored_effect_stays_unknown(spark):
 
 
 def test_money_and_dates(spark):
-    rows = spark.createDataFrame([("$1,234.50",), ("(12.00)",), ("7.25-",), ("–3",), ("—",), (None,)], "x string")
-    assert [r.v for r in rows.select(text.parse_money(F.col("x")).cast("double").alias("v")).collect()] == [1234.5, -12.0, -7.25, -3.0, None, None]
+    rows = spark.createDataFrame([("$1,234.50",), ("(12.00)",), ("7.25-",), ("–3",), ("—",), (None,), ("1-2",), ("2021-03-05",), ("(-4)",), ("$ 5",), ("N/A",), ("--",), (".5",), ("1 2",)], "x string")
+    assert [r.v for r in rows.select(text.parse_money(F.col("x")).cast("double").alias("v")).collect()] == [1234.5, -12.0, -7.25, -3.0, None, None, None, None, -4.0, 5.0, None, None, 0.5, None]
     assert spark.range(1).select(text.third_friday(F.lit(2024), F.lit(3)).alias("d")).first().d == D(2024, 3, 15)
 
 
@@ -134,7 +149,7 @@ def test_lots_merge_and_unknown_stays_unknown(spark):
 def test_cash_at_counts_unknown_effects(spark):
     rows = [(1, "CAD", D(2024, 1, 1), "buy", -5.0), (1, "CAD", D(2024, 1, 2), "sell", None), (1, "CAD", D(2024, 1, 2), "journal", 9.0), (1, "CAD", D(2024, 2, 1), "sell", 7.0)]
     moves = spark.createDataFrame(rows, "account_id int, currency string, cash_effective_date date, txn_type string, net_amount double")
-    assert [(r.balance, r.missing) for r in reconcile.cash_at(moves, F.lit("2024-01-31").cast("date")).collect()] == [(-5.0, 1)]
+    assert [(r.balance, r.missing) for r in reconcile.cash_at(moves, F.lit("2024-01-31").cast("date")).collect()] == [(4.0, 1)]
 
 
 def test_iso_dates(spark):
@@ -213,3 +228,199 @@ def test_transfers_hold_counts_of_a_few_days_alone():
     parts = (pd.DataFrame(rows[k : k + 1000], columns=["g", "day", "side", "account", "row_id", "n"]) for k in range(0, len(rows), 1000))
     got = pd.concat(transfers.greedy(parts))
     assert len(got) == days and (got.status == "paired").all() and time.time() - start < 60
+
+
+def test_currencies_of_one_account_stay_apart(spark):
+    st = spark.createDataFrame(
+        [(1, 1, "CAD", D(2024, 1, 1), D(2024, 1, 31), "complete"), (2, 1, "USD", D(2024, 1, 1), D(2024, 1, 31), "complete"), (3, 1, "USD", D(2024, 2, 1), D(2024, 2, 29), "unknown")],
+        "statement_id int, account_id int, currency string, period_start date, period_end date, completeness string",
+    )
+    pos = spark.createDataFrame([(1, 1, "CAD", 5, 3.0), (2, 1, "USD", 6, 4.0)], "statement_id int, account_id int, currency string, instrument_id int, quantity double")
+    mv = spark.createDataFrame([(1, "CAD", 5, D(2024, 2, 5), 9.0)], "account_id int, currency string, instrument_id int, trade_date date, position_delta double")
+    at = F.lit("2024-02-29").cast("date")
+    held = checkpoints.holdings_at(st, pos, mv, at)
+    assert {(r.currency, r.instrument_id, r.quantity) for r in held.collect()} == {("CAD", 5, 12.0), ("USD", 6, 4.0)}
+    flags = {r.currency: r.incomplete_scope for r in checkpoints.quality_flags(held, st, at).collect()}
+    assert flags == {"CAD": False, "USD": True}
+
+
+def replay_frames(spark, moves, anchors=(), positions=(), initial=(), changes=(), lineage_rows=()):
+    frame = spark.createDataFrame
+    return (
+        frame(list(anchors), "account_id long, currency string, scope_key string, as_of date"),
+        frame(list(positions), "account_id long, currency string, scope_key string, instrument string, quantity double"),
+        frame(list(initial), "account_id long, currency string, instrument string, quantity double, as_of date"),
+        frame(moves, "account_id long, currency string, instrument string, trade_date date, move_id long, txn_type string, quantity double, effect double"),
+        frame(list(changes), "move_id long, successor string, ratio double"),
+        frame(list(lineage_rows), "instrument string, root string"),
+    )
+
+
+def test_replay_takes_direction_scope_and_ticker_changes_in_order(spark):
+    d = lambda n: D(2024, 3, n)
+    moves = [
+        (1, "CAD", "opt", d(2), 1, "option_sell_to_open", 5.0, -5.0), (1, "CAD", "opt", d(3), 2, "option_expiration", 2.0, -2.0), (1, "CAD", "opt", d(1), 3, "buy", 9.0, 9.0),
+        (1, "CAD", "A", d(4), 4, "buy", 10.0, 10.0), (1, "CAD", "A", d(5), 5, "name_change", None, None), (1, "CAD", "B", d(6), 6, "sell", 4.0, -4.0),
+        (1, "CAD", "x", d(7), 7, "merger", 1.0, None), (1, "CAD", "x", d(8), 8, "buy", 1.0, 1.0), (1, "CAD", None, d(9), 9, "buy", 1.0, 1.0), (1, "CAD", "x", d(30), 10, "buy", 99.0, 99.0),
+        (2, "USD", "A", d(4), 11, "buy", 2.0, 2.0), (3, "USD", "A", d(4), 12, "buy", 2.0, 2.0), (4, "CAD", "i", d(4), 13, "sell", 1.0, -1.0),
+    ]
+    anchors = [(1, "CAD", "default", d(1)), (2, "USD", "margin", d(1)), (2, "USD", "cash", d(1))]
+    positions = [(1, "CAD", "default", "A", 20.0), (2, "USD", "margin", "A", 7.0)]
+    initial = [(4, "CAD", "i", 3.0, d(1)), (4, "CAD", "i", 5.0, d(2)), (1, "CAD", "z", 8.0, d(1))]
+    frames = replay_frames(spark, moves, anchors, positions, initial, [(5, "B", 2.0)], [("A", "A"), ("B", "A")])
+    got = {(r.account_id, r.instrument): (r.quantity, r.warnings) for r in replay.replayed(*frames, "2024-03-20").collect()}
+    lost = "unresolved_position_transaction"
+    assert got == {
+        (1, "opt"): (-3.0, [lost]), (1, "B"): (56.0, [lost]), (1, "x"): (1.0, ["missing_position_delta", lost]),
+        (2, "A"): (7.0, ["ambiguous_position_scope_transaction"]), (3, "A"): (2.0, []), (4, "i"): (4.0, []),
+    }
+    held = {(r.account_id, r.root): r.quantity for r in replay.by_lineage(replay.replayed(*frames, "2024-03-20")).collect()}
+    assert held[(1, "A")] == 56.0
+    assert replay.replayed(*(f.limit(0) for f in frames), "2024-03-20").count() == 0
+
+
+def test_replay_equals_the_plain_fold(spark):
+    import random
+
+    rng = random.Random(3)
+    kinds = ("buy", "sell", "option_expiration", "option_assignment", "option_sell_to_open", "merger", "dividend")
+    moves, want = [], {}
+    for n in range(800):
+        k, q = rng.choice(kinds), rng.choice([1.0, 2.0, -3.0, None])
+        effect = None if q is None or k == "merger" else {"buy": abs(q), "sell": -abs(q), "option_sell_to_open": -abs(q), "dividend": 0.0}.get(k, -q)
+        moves.append((rng.randrange(3), rng.choice(["CAD", "USD"]), f"i{rng.randrange(4)}", D(2024, 1, 1) + dt.timedelta(rng.randrange(60)), n, k, q, effect))
+    for a, c, i, _, _, k, q, e in sorted(moves, key=lambda m: (m[3], m[4])):
+        step = movements.closing_delta(k, q, want.get((a, c, i), 0.0), e)
+        want[(a, c, i)] = want.get((a, c, i), 0.0) + (step or 0.0)
+    got = {(r.account_id, r.currency, r.instrument): r.quantity for r in replay.replayed(*replay_frames(spark, moves), "2025-01-01").collect()}
+    assert got == {k: q for k, q in want.items() if abs(q) > 1e-9}
+
+
+def test_names_and_keys(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("v")).first().v
+    assert get(names.name_words(F.lit("Bought BMO  Rty Income ETF 20 yr 1000 AB-123456 10 $5.00 50.00 rest"))) == ["BMO", "REALTY", "INCOME", "20", "YEAR"]
+    assert get(names.strip_leading(F.lit(" Dividend:  BOUGHT  Acme  corp"))) == "Acme corp" and get(names.made_symbol(F.lit("SOLD ACME Corp. of the north 1,000.5"))) == "ACME_CORP_OF_THE"
+    assert get(names.made_symbol(F.lit(None).cast("string"))) == "UNKNOWN" and get(names.layout_text(F.lit("a\u00a0\u2013  b"))) == "a - b" and get(names.shares_hint(F.lit("div on 1,200 shs"))) == 1200.0
+    rules = [("GOLD", "G", "equity"), ("BARRICK", "ABX", "equity")]
+    assert get(names.resolved(F.lit("Barrick  gold"), rules)).ticker == "ABX" and get(names.resolved(F.lit("silver"), rules)) is None
+    key = lambda **kw: get(identity.instrument_key(*(F.lit(v) for v in kw.values())))
+    assert key(kind="equity", symbol=" brk b", currency="usd") == "ik1|EQUITY|BRKB|USD"
+    full = identity.instrument_key(F.lit("option"), F.lit("x"), F.lit("USD"), F.lit(" t d"), F.lit("2024-01-19"), F.lit("80.50").cast("decimal(18,4)"), F.lit("call"))
+    assert get(full) == "ik1|OPTION|TD|USD|2024-01-19|80.5|CALL|100" and get(identity.quoted_token(F.lit("a  b*c~d/e+"))) == "A%20B%2AC~D%2FE%2B"
+    assert [get(c) for c in identity.ledger_symbol(F.lit("brk-b.to"))] == ["BRK.B", "TSX"]
+    assert get(text.parse_date(F.lit("SEPT 5"), F.lit(2024))) == D(2024, 9, 5) and get(text.parse_date(F.lit("13/02/2024"))) == D(2024, 2, 13) and get(text.parse_date(F.lit("02/03/2024,"))) == D(2024, 2, 3)
+    assert get(text.option_expiry(F.lit("25 JA"))) == D(2025, 1, 17) and get(text.option_expiry(F.lit("1/17/25"))) == D(2025, 1, 17) and get(text.option_expiry(F.lit("XX 25"))) is None
+
+
+def test_merges_and_facts(spark):
+    old = spark.createDataFrame([(1, "a", "x", 0, "k"), (2, "b", None, 1, "k")], "id int, name string, nick string, flag int, first string")
+    new = spark.createDataFrame([(1, None, None, 1, "n"), (3, "c", "z", 0, "n")], "id int, name string, nick string, flag int, first string")
+    rules = {"name": merge.TAKE_NEW, "nick": merge.KEEP_SET, "flag": merge.LARGEST, "first": merge.KEEP_OLD}
+    assert {tuple(r) for r in merge.merged(old, new, ["id"], rules).collect()} == {(1, None, "x", 1, "k"), (2, "b", None, 1, "k"), (3, "c", "z", 0, "n")}
+    row = lambda v, filed, form="10-K": {"end": "2023-12-31", "val": v, "form": form, "fp": "FY", "filed": filed}
+    import json
+
+    doc = json.dumps({"facts": {"gaap": {"Revenues": {"units": {"USD": [row(5.0, "2024-02-01"), row(6.0, "2024-05-01"), row(9.0, "2024-09-01", "8-K")]}}}}})
+    facts = merge.company_facts(spark.createDataFrame([("S", doc), ("T", None), ("U", "{")], "symbol string, json string")).collect()
+    assert [(r.symbol, r.tag, r.value) for r in facts] == [("S", "Revenues", 6.0)]
+
+
+def test_instrument_rules_and_quarantine(spark):
+    cols = "id string, asset_type string, symbol string, currency string, row_currency string, root string, expiry string, strike double, option_type string, multiplier int"
+    rows = [("ok", "option", "X", "CAD", "CAD", "X", "2024-01-19", 5.0, "call", 100), ("bad", "option", "", "EUR", "CAD", "X", "soon", None, "both", 0), ("kind", "gold", "G", "USD", None, None, None, None, None, None)]
+    got = validation.issues(spark.createDataFrame(rows, cols), validation.instrument_rules(), "id").collect()
+    broken = {"missing_symbol", "invalid_currency", "instrument_currency_mismatch", "incomplete_option_identity", "invalid_option_type", "invalid_option_expiry", "invalid_option_multiplier", "missing_numeric"}
+    assert {(r.subject, r.issue) for r in got} == {("bad", k) for k in broken} | {("kind", "invalid_asset_type")}
+    dated = spark.createDataFrame([(D(2024, 1, 5),), (D(2024, 2, 5),), (None,)], "d date").withColumns({"a": F.lit(D(2024, 1, 1)), "z": F.lit(D(2024, 1, 31))})
+    kept, out = validation.split_quarantine(dated, "a", "z", "d")
+    assert kept.count() == 1 and {r.reason for r in out.collect()} == {"no date", "date outside period"}
+
+
+def test_trades_by_name_equal_all_pairs(spark):
+    import itertools
+    import random
+
+    from foliomere.operators import resolve
+
+    rng = random.Random(5)
+    words = ["BARRICK", "GOLD", "MINING", "GLOBAL", "ENERGY", "NORTH", "RES", "BOND"]
+    line = lambda: " ".join(rng.sample(words, rng.randrange(1, 4)))
+    trades = [(k, rng.randrange(3), D(2024, 1, rng.randrange(1, 28)), line()) for k in range(60)]
+    held = [(rng.randrange(3), rng.randrange(12), D(2024, 1, rng.randrange(1, 28)), line()) for _ in range(40)]
+    a = spark.createDataFrame(trades, "row_id int, account_id int, trade_date date, line string")
+    b = spark.createDataFrame(held, "account_id int, instrument int, as_of date, line string")
+    full = {"RES": "RESOURCES"}
+
+    def score(x, y):
+        x, y = ([full.get(w, w) for w in s.split()] for s in (x, y))
+        both, either = len(set(x) & set(y)), len(set(x) | set(y))
+        distinct = len(set(x) & set(y) - {"GLOBAL"})
+        if set(x) == set(y):
+            return 1.0, distinct
+        if both >= 2 and both == min(len(x), len(y)):
+            return 0.97, distinct
+        if both >= 2 and both / either >= 0.55 and both / min(len(x), len(y)) >= 0.75:
+            return 0.9, distinct
+        return (0.86 if x[0] == y[0] and x[0] != "GLOBAL" and len(x[0]) >= 5 else 0.0), distinct
+
+    want = {}
+    for k, account, day, text_ in trades:
+        best = {}
+        for other, instrument, at, name in held:
+            s, n = score(text_, name)
+            if (other == account and s >= 0.85) or (other != account and s >= 0.97 and n >= 2):
+                best[instrument] = max(best.get(instrument, (False, 0, 0)), (other == account, s, -abs((day - at).days)))
+        if any(own for own, *_ in best.values()):
+            best = {i: v for i, v in best.items() if v[0]}
+        order = sorted(best.items(), key=lambda x: (-x[1][1], -x[1][2], x[0]))
+        if order:
+            clear = len(order) == 1 or round(order[0][1][1] - order[1][1][1], 6) >= 0.1
+            want[k] = (order[0][0] if clear else None, order[0][1][1], "resolved" if clear else "ambiguous")
+    got = {r.row_id: (r.instrument, r.score, r.status) for r in resolve.by_name(a, b).collect()}
+    assert got == want and {v[2] for v in want.values()} == {"resolved", "ambiguous"}
+    assert any(True for _ in itertools.islice(got, 1))
+
+
+def test_best_holding_of_the_statement(spark):
+    from foliomere.operators import resolve
+
+    trades = spark.createDataFrame([(1, 9, "DIVIDEND Acme Corp Energy ON 40 SHS", None, "CAD"), (2, 9, "nothing alike", 1.0, "CAD")], "row_id int, statement_id int, line string, quantity double, currency string")
+    held = spark.createDataFrame([(9, 5, "ACME ENERGY", "AE", 40.0, "CAD", True), (9, 6, "ACME MINING", "AM", 7.0, "USD", False)], "statement_id int, instrument int, name string, symbol string, quantity double, currency string, plain boolean")
+    assert [(r.row_id, r.instrument, r.score) for r in resolve.by_holdings(trades, held).collect()] == [(1, 5, 12 + 35 + 25 + 8 + 8)]
+
+
+def test_evidence_places_and_boxes(spark):
+    from foliomere.operators import evidence
+
+    pages = spark.createDataFrame([("a", 1, "abc"), ("a", 2, "defg")], "relpath string, page int, text string")
+    offsets = evidence.page_offsets(pages)
+    assert {(r.page, r.first, r.last) for r in offsets.collect()} == {(1, 0, 3), (2, 4, 8)}
+    spans = spark.createDataFrame([("a", 1, 0, 2), ("a", 2, 2, 5)], "relpath string, span_id int, first int, last int")
+    assert {r.span_id: r.pages for r in evidence.pages_of(spans, offsets).collect()} == {1: [1], 2: [1, 2]}
+    box = lambda *v: dict(zip(("x0", "top", "x1", "bottom"), v, strict=True))
+    row = spark.createDataFrame([([box(1.0, 2.0, 3.0, 4.0), box(5.0, 1.0, 6.0, 4.5)], ["a", "b", "a", "c"])], "w array<struct<x0:double,top:double,x1:double,bottom:double>>, t array<string>")
+    got = row.select(evidence.union_box(F.col("w"), F.lit(0), F.lit(2)).alias("b"), evidence.subsequence_at(F.array(F.lit("a"), F.lit("c")), F.col("t")).alias("k"), evidence.subsequence_at(F.array(F.lit("z")), F.col("t")).alias("n")).first()
+    assert tuple(got.b) == (1.0, 1.0, 6.0, 4.5) and got.k == 2 and got.n is None
+    lines = spark.createDataFrame([("a", 1, 1, "Same line"), ("a", 2, 1, "same  LINE"), ("a", 2, 2, "A much longer line here")], "relpath string, page int, line int, text string")
+    asked = spark.createDataFrame([("a", 1, "same line", None, None), ("a", 2, "same line", 2, None), ("a", 3, "much longer line", None, None), ("a", 4, "other", None, None)], "relpath string, row_id int, raw string, page_hint int, line_hint int")
+    assert {r.row_id: (r.page, r.line, r.method) for r in evidence.located(asked, lines).collect()} == {1: (None, None, "ambiguous"), 2: (2, 1, "exact"), 3: (2, 2, "contained"), 4: (None, None, "unmatched")}
+
+
+def test_sinks(spark, tmp_path):
+    from foliomere.sinks import files
+
+    rows = spark.createDataFrame([(2, "b", "secret"), (1, "a", None)], "k int, x string, raw string")
+    files.write_index(rows, str(tmp_path / "i"), ["k"], ("raw",))
+    shown = [r.value for r in spark.read.text(str(tmp_path / "i")).collect()]
+    assert sorted(shown)[0] == '{"k":1,"raw_ref":null,"x":"a"}' and "secret" not in "".join(shown)
+    docs = spark.createDataFrame([("f", f"d{k}") for k in range(5)] + [("g", "e")], "folder string, relpath string")
+    assert {(r.folder, r.relpath) for r in files.sampled(docs, "folder", "relpath").collect()} == {("f", "d0"), ("f", "d2"), ("f", "d4"), ("g", "e")}
+    for price in (1.0, 2.0):
+        files.write_market(spark.createDataFrame([("A", price)] + ([("B", price)] if price == 1 else []), "symbol string, close double"), str(tmp_path / "m"))
+    assert {(r.symbol, r.close) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("A", 2.0), ("B", 1.0)}
+    files.write_dumps(spark.createDataFrame([("x.txt", ["one", "two"])], "relpath string, pages array<string>"), str(tmp_path / "d"), "---")
+    assert [r.value for r in spark.read.text(str(tmp_path / "d"), wholetext=True).collect()][0].strip() == "one\n---\ntwo"
+    files.append_log(rows, str(tmp_path / "l"))
+    files.append_log(rows, str(tmp_path / "l"))
+    assert spark.read.text(str(tmp_path / "l")).count() == 4
