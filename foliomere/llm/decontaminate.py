@@ -87,11 +87,14 @@ def surroundings(ws: Column, p: Column) -> Column:
 
 
 def item_windows(items: DataFrame, masks: list[str]) -> DataFrame:
-    """seed, item_id, q, n_item, around: one row for each window and mask of the items."""
+    """seed, item_id, q, n_item, around: the windows of the items under each mask; q is the place in ``around``.
+
+    Windows of an item that look alike as far as they reach (as in repeated words) are one."""
     rows = items.select("*", F.explode(places(F.col("n"), masks)).alias("q"))
     seeds = _seeds(F.col("ws"), F.col("q"), F.col("n"), masks, own=True)
-    rows = rows.select("item_id", "q", F.col("n").alias("n_item"), surroundings(F.col("ws"), F.col("q")).alias("around"), F.explode(seeds).alias("seed"))
-    return rows.filter("seed is not null")
+    around = surroundings(F.col("ws"), F.col("q")).alias("around")
+    rows = rows.select("item_id", F.least("q", F.lit(REACH)).alias("q"), F.col("n").alias("n_item"), around, F.explode(seeds).alias("seed"))
+    return rows.filter("seed is not null").distinct()
 
 
 def agreeing(near: Column, p: Column, around: Column, q: Column) -> Column:
@@ -100,7 +103,7 @@ def agreeing(near: Column, p: Column, around: Column, q: Column) -> Column:
     Places outside either text agree nowhere, so windows that leave the item never count more."""
 
     def bit(acc: Column, k: Column) -> Column:
-        same = F.get(near, F.least(p, F.lit(REACH)) + k) == F.get(around, F.least(q, F.lit(REACH)) + k)
+        same = F.get(near, F.least(p, F.lit(REACH)) + k) == F.get(around, q + k)
         return acc.bitwiseOR(F.when(same, F.call_function("shiftleft", F.lit(1).cast("long"), k + REACH)).otherwise(F.lit(0).cast("long")))
 
     bits = F.aggregate(F.sequence(F.lit(-REACH), F.lit(REACH)), F.lit(0).cast("long"), bit)
@@ -120,10 +123,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     out = None
     for k in range(blocks):
-        block = windows.filter(F.pmod(F.xxhash64("seed"), F.lit(blocks)) == k)
+        # whole rows are dealt out, so a seed of many items is spread too
+        block = windows.filter(F.pmod(F.xxhash64("seed", "item_id", "around"), F.lit(blocks)) == k)
         hits = seeded.join(F.broadcast(block), "seed")  # at most about BLOCK_WINDOWS rows, by the count above
         # a hit takes along its surroundings, not the whole text
         near = surroundings(F.col("ws"), F.col("p"))
+        # within a run of one token, a place that looks as the one before it tells nothing new
+        alike = (F.col("p") > REACH) & (near == surroundings(F.col("ws"), F.col("p") - 1))
+        hits = hits.filter(~alike)
         hits = hits.select("doc_id", "item_id", "p", "q", "n_item", "around", F.explode(F.array(near)).alias("near"))
         hits = hits.withColumn("agreeing", agreeing(F.col("near"), F.col("p"), F.col("around"), F.col("q")))
         good = hits.filter(100 * F.col("agreeing") >= PERCENT * width).select("doc_id", "item_id", "agreeing")

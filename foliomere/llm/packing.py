@@ -28,14 +28,15 @@ CAPACITY = 2048
 RUN = 10_000
 
 
-def pieces(docs: DataFrame, vocab: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocab: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, by_chunk: bool | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) of the pieces of each text."""
+    by_chunk = vocab is None if by_chunk is None else by_chunk
     vocab = vocab or vocabulary()
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(vocab), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(vocab, by_chunk), np.array([end_id], "<u4").tobytes()
         for b in batches:
             for k in range(0, len(b), 500):
                 rows = []
@@ -108,12 +109,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = plan(counts, capacity)
     # a length may hold any share of the rows, so it is ranked in buckets
     buckets = 64 + n // 250_000
-    salted = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    salted = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(buckets)))
     base = (
         salted.groupBy("length", "_b").agg(F.count("*").alias("_n"))
         .select("length", "_b", (F.sum("_n").over(Window.partitionBy("length").orderBy("_b")) - F.col("_n")).alias("_base"))
     )
-    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start"))
+    within = F.row_number().over(Window.partitionBy("length", "_b").orderBy("doc_id", "piece", "start", "ids_crc32"))
     ranked = salted.withColumn("_r", within).join(base, ["length", "_b"])
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_r") - 1).drop("_b", "_r", "_base")
     planned = spark.createDataFrame(runs, "length long, rank long, count long, sequence long, each long, offset long")
@@ -127,8 +128,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.join(slots, ["length", "_rank"]).drop("_rank")
 
 
-def best_fit(docs: DataFrame, vocab: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def best_fit(docs: DataFrame, vocab: str | None = None, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = False, by_chunk: bool | None = None) -> DataFrame:
     """Pieces of all documents with their places."""
-    cut = stage_table(pieces(docs, vocab, end_id, capacity, with_ids), "pieces")
+    cut = stage_table(pieces(docs, vocab, end_id, capacity, with_ids, by_chunk), "pieces")
     extra = ["ids"] * with_ids
     return pack(cut, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *extra)

@@ -17,12 +17,16 @@ through; an empty table gives no rows; extra columns are passed over.
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import whole_text
 
-KEY = "foliomere-public-demo-key"
+#: For demonstrations alone: whoever knows the key can undo pseudonyms. Pass your own.
+DEMO_KEY = "foliomere-public-demo-key"
+_KEY: ContextVar[str] = ContextVar("key", default=DEMO_KEY)
 ROUNDS = 8
 
 #: Candidate patterns, tried in this order at each place.
@@ -72,7 +76,7 @@ def permute_digits(digits: Column, kind: str) -> Column:
     u = F.floor(n / 2).cast("int")
     v = n - u
     power = lambda k: F.element_at(F.array(*(F.lit(10**i).cast("long") for i in range(19))), k + 1)
-    key = F.concat_ws("|", F.lit(KEY), F.lit(kind), n.cast("string"))
+    key = F.concat_ws("|", F.lit(_KEY.get()), F.lit(kind), n.cast("string"))
     mixed = feistel(F.substr(digits, F.lit(1), u).cast("long"), F.substr(digits, u + 1), power(u), power(v), key)
     return _once(mixed, lambda s: F.concat(F.lpad(s["a"].cast("string"), u, "0"), F.lpad(s["b"].cast("string"), v, "0")))
 
@@ -201,7 +205,7 @@ def _phone(m: Column) -> tuple[Column, Column]:
 def _ip(m: Column) -> tuple[Column, Column]:
     parts = F.transform(F.split(m, r"\."), lambda p: p.cast("long"))
     half = lambda i: F.get(parts, F.lit(i)) * 256 + F.get(parts, F.lit(i + 1))
-    mixed = feistel(half(0), half(2), F.lit(65536), F.lit(65536), F.lit(f"{KEY}|ip"))
+    mixed = feistel(half(0), half(2), F.lit(65536), F.lit(65536), F.lit(f"{_KEY.get()}|ip"))
     text = lambda s: F.concat_ws(".", F.floor(s["a"] / 256), s["a"] % 256, F.floor(s["b"] / 256), s["b"] % 256)
     return F.forall(parts, lambda p: p <= 255), _once(mixed, text)
 
@@ -211,7 +215,7 @@ def _social(m: Column) -> tuple[Column, Column]:
     valid = (area > 0) & (area != 666) & (area < 900) & (F.substring(m, 5, 2) != "00") & (F.substring(m, 8, 4) != "0000")
     # areas without 666 are numbered from 0, groups and serials from 0
     left = F.when(area > 666, area - 2).otherwise(area - 1) * 99 + F.substring(m, 5, 2).cast("int") - 1
-    mixed = feistel(left, F.substring(m, 8, 4).cast("int") - 1, F.lit(898 * 99), F.lit(9999), F.lit(f"{KEY}|social"))
+    mixed = feistel(left, F.substring(m, 8, 4).cast("int") - 1, F.lit(898 * 99), F.lit(9999), F.lit(f"{_KEY.get()}|social"))
 
     def text(s: Column) -> Column:
         k = F.floor(s["a"] / 99)
@@ -234,7 +238,7 @@ def _date(m: Column) -> tuple[Column, Column]:
     found = F.when(year_first, iso).otherwise(F.coalesce(dmy, mdy))
     order = F.when(year_first, F.lit("yyyyMMdd")).when(dmy.isNotNull(), F.lit("ddMMyyyy")).otherwise(F.lit("MMddyyyy"))
     day = F.datediff(found, F.lit(FIRST_DAY).cast("date"))
-    mixed = feistel(F.floor(day / RIGHT), day % RIGHT, F.lit(LEFT), F.lit(RIGHT), F.lit(f"{KEY}|date"))
+    mixed = feistel(F.floor(day / RIGHT), day % RIGHT, F.lit(LEFT), F.lit(RIGHT), F.lit(f"{_KEY.get()}|date"))
 
     def text(s: Column) -> Column:
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * RIGHT + s["b"]).cast("int"))
@@ -264,7 +268,7 @@ def _mail(m: Column) -> tuple[Column, Column]:
 
     def one_way(s: Column, tag: str) -> Column:
         def step(out: Column, c: Column) -> Column:
-            return F.concat(out, shift(c, F.pmod(_noise(F.lit(f"{KEY}|mail|{tag}"), out, F.length(out)), F.lit(26 * 10).cast("long"))))
+            return F.concat(out, shift(c, F.pmod(_noise(F.lit(f"{_KEY.get()}|mail|{tag}"), out, F.length(out)), F.lit(26 * 10).cast("long"))))
 
         return F.aggregate(F.split(s, ""), F.lit(""), step)
 
@@ -291,8 +295,18 @@ def replaced(m: Column) -> Column:
     return F.struct(kind.alias("kind"), made.alias("made"), n.alias("cards"))
 
 
-def pseudonyms(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of each kind, the rewritten text."""
+def pseudonyms(docs: DataFrame, key: str = DEMO_KEY) -> DataFrame:
+    """doc_id, counts of each kind, the rewritten text.
+
+    The key becomes part of the query's plan, so who may read plans and event logs may read it."""
+    token = _KEY.set(key)
+    try:
+        return _pseudonyms(docs)
+    finally:
+        _KEY.reset(token)
+
+
+def _pseudonyms(docs: DataFrame) -> DataFrame:
     text = whole_text()
     rows = docs.select("doc_id", text.alias("_t"))
     gaps = F.when(F.regexp_like("_t", F.lit(PATTERN)), F.split("_t", PATTERN, -1))

@@ -136,19 +136,20 @@ class Reader:
             held, have, start = [joined[n:]], have - n, start + n
 
 
-def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int = 1) -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, vocab: str | None = None, end_id: int = 1, by_chunk: bool | None = None) -> DataFrame:
     """Encode whole texts and write them in ascending ``doc_id``; one row for each file.
 
     A range exchange orders the corpus, so file k holds smaller ids than file k + 1. A task
     writes under a name of its own and renames at the end, so a repeated attempt of a lost
     task leaves one whole file."""
+    by_chunk = vocab is None if by_chunk is None else by_chunk
     vocab = vocab or vocabulary()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         from pyspark import TaskContext
 
-        encode, out = encoder(vocab), None
+        encode, out = encoder(vocab, by_chunk), None
         end = np.array([end_id], np.uint32)
         task = TaskContext.get()
         for b in batches:
@@ -208,7 +209,7 @@ def read_ids(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame
     return based.select("path", "base", "part").repartition(n_files, "part").mapInPandas(read, schema)
 
 
-def token_files(docs: DataFrame, vocab: str | None = None, end_id: int = 1) -> DataFrame:
+def token_files(docs: DataFrame, vocab: str | None = None, end_id: int = 1, by_chunk: bool | None = None) -> DataFrame:
     """Write and read back: the round trip of the whole corpus."""
     folder = shared_dir(docs.sparkSession, "ids")
-    return read_ids(write_ids(docs, folder, vocab, end_id), folder)
+    return read_ids(write_ids(docs, folder, vocab, end_id, by_chunk), folder)

@@ -3,8 +3,8 @@
 The default vocabulary lower-cases, drops white space and never joins characters across it,
 so a text's ids are those of its blank-parted chunks in order. Chunks repeat far more than
 texts do: each Python worker keeps a table of chunks already encoded. The table is emptied
-when full, which changes speed only. Vocabularies of which this does not hold take
-``by_chunk=False``.
+when full, which changes speed only. Any other vocabulary is used as it is unless
+``by_chunk=True`` says that this holds of it too.
 """
 
 from __future__ import annotations

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -89,9 +90,11 @@ def directory(source) -> dict[str, tuple[int, int]]:
     size = source.size()
     tail_at = max(0, size - 65_557)  # the end record and the longest comment
     tail = read_range(source, tail_at, size - tail_at)
-    at = tail.rfind(_END)
-    if at < 0:
+    # a comment may hold the signature too: the record's comment must end where the file does
+    ends = [at for at in (m.start() for m in re.finditer(re.escape(_END), tail)) if at + _END_F.size <= len(tail) and at + _END_F.size + _END_F.unpack_from(tail, at)[-1] == len(tail)]
+    if not ends:
         raise ValueError("not a ZIP file")
+    at = ends[-1]
     _, _, _, _, n, length, start, _ = _END_F.unpack_from(tail, at)
     if n == 0xFFFF or length == _MAX or start == _MAX:
         _, _, at64, _ = _LOCATOR_F.unpack(read_range(source, tail_at + at - _LOCATOR_F.size, _LOCATOR_F.size))
