@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,11 +86,9 @@ def parse_date(x: Column, year: Column | None = None) -> Column:
 
 
 def option_month(x: Column) -> Column:
-    """Number of a two- or three-letter month."""
-    out = F.month(F.try_to_date(F.concat(F.lit("2000 "), F.when(F.length(x) == 3, title_months(x)), F.lit(" 1")), "yyyy MMM d"))
-    for name, k in OPTION_MONTHS.items():
-        out = F.when(F.upper(x) == name, k).otherwise(out)
-    return out
+    """Number of a two- or three-letter month; null if it is none."""
+    names = OPTION_MONTHS | {calendar.month_abbr[k].upper(): k for k in range(1, 13)}
+    return F.element_at(F.create_map(*(F.lit(v) for pair in names.items() for v in pair)), F.upper(x))
 
 
 def option_expiry(x: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomere.functions import identity, names, text
-from foliomere.operators import asof, cash, checkpoints, evidence, listing, merge, replay, resolve, validation
+from foliomere.operators import asof, cash, checkpoints, evidence, listing, merge, replay, resolve, statements, validation
 from foliomere.sources.ledger import Ledger
 
 from .queries import AS_OF, day, query
@@ -384,3 +384,34 @@ def trade_names(t: Ledger) -> DataFrame:
     trades = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("account_id"), F.lit("2024-01-31").cast("date").alias("trade_date"), F.concat(F.lit("BOUGHT "), "p_name", F.lit(" 10 5.00 50.00")).alias("line"))
     held = p.filter("p_size % 2 = 1").select(F.col("p_brand").alias("account_id"), F.col("p_partkey").alias("instrument"), F.date_sub(F.lit("2024-01-31").cast("date"), F.col("p_size")).alias("as_of"), F.col("p_name").alias("line"))
     return resolve.by_name(trades, held)
+
+
+def _statement_texts(t: Ledger) -> DataFrame:
+    """relpath, page, line, text: each statement printed with its headings and movements."""
+    s = t.statements().select(F.col("statement_id").alias("relpath"), *cash.SCOPE, "period_start", "period_end")
+    shown = lambda c: F.date_format(c, "MMMM d, yyyy")
+    code = F.when(F.col("currency") == "CAD", "Canadian dollar account").otherwise("U.S. dollar account")
+    heads = F.array(F.concat(F.lit("Account number: A-"), "account_id"), F.concat(F.lit("Period: "), shown("period_start"), F.lit(" to "), shown("period_end")), code, F.lit("Activity"))
+    top = s.select("relpath", F.posexplode(heads).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    moves = t.transactions().filter("txn_type in ('buy', 'sell', 'dividend')").withColumn("period_end", F.last_day("trade_date"))
+    verb = F.when(F.col("txn_type") == "buy", "BOUGHT").when(F.col("txn_type") == "sell", "SOLD").otherwise("DIVIDEND")
+    printed = F.concat_ws(" ", F.date_format("trade_date", "MMM d"), verb, F.concat(F.lit("S"), "instrument_id"), F.format_number("quantity", 2), F.format_number(F.abs("net_amount"), 2))
+    rows = moves.join(s, [*cash.SCOPE, "period_end"]).select("relpath", printed.alias("text"))
+    rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("relpath").orderBy("text")) + 4)
+    return top.unionByName(rows).select("relpath", F.lit(1).alias("page"), "line", "text")
+
+
+@query("""SELECT s.statement_id AS relpath, concat('A-', s.account_id) AS account, s.currency, s.period_end, trade_date, txn_type, quantity, CAST(net_amount AS DOUBLE) AS net_amount
+ FROM transactions t JOIN statements s ON t.account_id = s.account_id AND t.currency = s.currency AND last_day(trade_date) = s.period_end WHERE txn_type IN ('buy', 'sell', 'dividend')""")
+def statement_parse(t: Ledger) -> DataFrame:
+    """Statement texts read back: headings carried to the lines below them, rows by the patterns of their section."""
+    layout = statements.Layout()
+    rows = statements.activity(statements.carried(_statement_texts(t), layout), layout)
+    return rows.select("relpath", "account", "currency", "period_end", "trade_date", "txn_type", F.col("quantity").cast("double"), F.col("net_amount").cast("double"))
+
+
+@query("SELECT statement_id AS relpath, concat('A-', account_id) AS account, currency, unnest(['positions', 'cash']) AS section, 'unknown' AS completeness FROM statements")
+def statement_scopes(t: Ledger) -> DataFrame:
+    """The scopes of texts without holdings or balances: nothing in them is complete."""
+    layout = statements.Layout()
+    return statements.scopes(statements.carried(_statement_texts(t), layout), layout)

@@ -424,3 +424,55 @@ def test_sinks(spark, tmp_path):
     files.append_log(rows, str(tmp_path / "l"))
     files.append_log(rows, str(tmp_path / "l"))
     assert spark.read.text(str(tmp_path / "l")).count() == 4
+
+
+STATEMENT = """Account number: AB-123
+Period: Jan 1, 2024 to Jan 31, 2024
+Canadian dollar account
+Holdings
+Acme Corp (ACM) 10 5.00 40.00 50.00
+CALL ACM JA 25 12.5 -2 1.00 (200.00)
+Broken row 1 2
+Total holdings (150.00)
+Activity
+Opening balance $1,000.00
+Jan 5 BOUGHT Acme Corp 10 5.00 50.00
+Jan6 SOLD CALL ACM JA 25 -2 1.00 200.00
+Jan 9 TRANSFER IN Beta 7 0.00
+Feb 2 DIVIDEND Acme 3.00
+Jan 10 GIFT of things 9.00
+Closing balance $1,150.00
+U.S. dollar account
+Activity
+Jan 3 FEE monthly 5.00
+Important information
+Jan 4 BOUGHT nothing 1 1.00 1.00"""
+
+
+def test_statement_text_to_rows(spark):
+    from foliomere.operators import statements
+
+    lines = spark.createDataFrame([("a.txt", 1, k + 1, t) for k, t in enumerate(STATEMENT.split("\n"))], "relpath string, page int, line int, text string")
+    layout = statements.Layout()
+    rows = statements.carried(lines, layout)
+    held = statements.holdings(rows, layout).orderBy("line").collect()
+    assert [(r.asset_type, r.symbol, float(r.quantity), float(r.market_value), r.account, r.currency) for r in held] == [("equity", "ACM", 10.0, 50.0, "AB-123", "CAD"), ("option", "ACM", -2.0, -200.0, "AB-123", "CAD")]
+    assert held[1].option_expiry == D(2025, 1, 17) and held[1].option_strike == 12.5 and held[0].period_end == D(2024, 1, 31)
+    acts = {r.line: (r.trade_date, r.txn_type, r.quantity and float(r.quantity), float(r.net_amount), r.currency) for r in statements.activity(rows, layout).collect()}
+    assert acts[11] == (D(2024, 1, 5), "buy", 10.0, -50.0, "CAD") and acts[12] == (D(2024, 1, 6), "option_sell_to_open", -2.0, 200.0, "CAD")
+    assert acts[13] == (D(2024, 1, 9), "transfer_in", 7.0, 0.0, "CAD") and acts[19] == (D(2024, 1, 3), "fee", None, -5.0, "USD") and 21 not in acts
+    money = {r.currency: (r.opening and float(r.opening), r.closing and float(r.closing), r.holdings_total and float(r.holdings_total)) for r in statements.balances(rows, layout).filter("currency is not null").collect()}
+    assert money == {"CAD": (1000.0, 1150.0, -150.0), "USD": (None, None, None)}
+    assert {(r.line, r.reason) for r in statements.quarantined(rows, layout).collect()} == {(7, "unreadable holding"), (14, "date outside period"), (15, "unknown activity")}
+    assert {(r.currency, r.section): r.completeness for r in statements.scopes(rows, layout).collect()} == {("CAD", "positions"): "partial", ("CAD", "cash"): "partial", ("USD", "positions"): "unknown", ("USD", "cash"): "unknown"}
+    assert statements.activity(statements.carried(lines.limit(0), layout), layout).count() == 0
+    change = spark.range(1).select(*statements.ticker_change(F.lit("Symbol change: from abc.a into XYZ"))).first()
+    assert tuple(change) == ("ABC.A", "XYZ")
+
+
+def test_words_to_visual_lines(spark):
+    from foliomere.operators import statements
+
+    words = [("b", 20.0, 10.5, 25.0, 12.0), ("a", 1.0, 11.0, 5.0, 13.0), ("c", 1.0, 12.6, 5.0, 14.0), ("d", 9.0, 13.0, 12.0, 15.0)]
+    df = spark.createDataFrame([("f", 1, *w) for w in words], "relpath string, page int, text string, x0 double, top double, x1 double, bottom double")
+    assert {(r.line, r.text, r.box.x1) for r in statements.visual_lines(df).collect()} == {(1, "a b", 25.0), (2, "c d", 12.0)}
