@@ -104,7 +104,8 @@ def named(k: Column) -> tuple[Column, Column]:
 
 def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """_d, _r, line, s1, s2, n, prefix, bits, few of every line with tokens; (s1, s2) names its set."""
-    rows = docs.select(*row_key(), F.posexplode(F.split(whole_text(), "\n", -1)).alias("line", "t")).filter(F.trim("t") != "")
+    own = docs.select(*row_key(), whole_text().alias("_t"))  # hashed once, not for each line
+    rows = own.select("_d", "_r", F.posexplode(F.split("_t", "\n", -1)).alias("line", "t")).filter(F.trim("t") != "")
     rows = rows.withColumn("_c", classes.scalar()).select("_d", "_r", "line", keys(token_hashes(F.col("t")), F.col("_c")).alias("k"))
     n = F.size("k")
     # a set that one more token would already part from all others has no prefix
