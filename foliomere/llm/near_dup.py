@@ -247,7 +247,7 @@ def likely_pairs(x: Block, y: Block) -> list[tuple[bytes, bytes]]:
     if not len(values):
         return []
     shared = x.holds(values) @ y.holds(values).T
-    seen = x.known(y.reach) + y.known(x.reach).T - shared
+    seen = np.maximum(1, x.known(y.reach) + y.known(x.reach).T - shared)
     share = shared / seen
     # the sample is part of the union, which has (n + n) / 1.75 shingles at most in a link; two may share 32 bits
     left = np.maximum(0, 1 - seen * (100 + PERCENT) / 100 / (x.n[:, None] + y.n[None, :]))

@@ -327,6 +327,32 @@ def test_near_duplicates(spark, odd, docs):
     assert near_dup.keep_first(odd).columns == odd.columns
 
 
+def test_a_group_that_no_pivot_joins(spark):
+    """Copies with so many changes that only some reach each other; lists stay open and go through the grid."""
+    rng = random.Random(11)
+    base = [f"v{k}" for k in range(60)]
+    rows = []
+    for d in range(260):
+        ws = list(base)
+        for at in rng.sample(range(0, 60, 4), rng.randrange(2, 5)):
+            ws[at] = f"x{at}" if rng.random() < 0.6 else f"u{rng.randrange(10**6)}"
+        rows.append((d, " ".join(ws)))
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = classes_plain(rows)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == want and len({low for _, _, low in want}) > 5
+
+
+def test_blocks_leave_no_similar_pair():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 700, np.uint64, endpoint=False)
+    sets = [np.unique(np.concatenate([base[: rng.integers(100, 700)], rng.integers(0, 2**64, rng.integers(0, 60), np.uint64)])) for _ in range(80)]
+    rows = [(k.to_bytes(2), k, k, k % 7 == 0, len(s), np.unique((s[: near_dup.LONG_K] >> np.uint64(32)).astype(np.uint32)).tobytes()) for k, s in enumerate(sets)]
+    block = near_dup.Block(near_dup.pd.DataFrame(rows, columns=["class", "id", "root", "in_main", "n", "least"]))
+    got = set(near_dup.likely_pairs(block, block))
+    near = {(a.to_bytes(2), b.to_bytes(2)) for a in range(80) for b in range(a + 1, 80) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert near <= got and len(near) > 100 and len(got) < 80 * 79 / 2
+
+
 def test_merged_components(spark):
     """Links between components, to classes without any, and none at all."""
     frame = lambda rows: spark.createDataFrame([(a.encode(), b.encode()) for a, b in rows], "a binary, b binary")
