@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomere.functions import text
@@ -73,6 +73,15 @@ def weighted_average(rows: DataFrame, keys: list[str], value: str, weight: str)
     return rows.groupBy(*keys).agg(avg.alias("average"))
 
 
+def meeting_keys(t: Column) -> Column:
+    """Keys of which two token arrays share one if they can be alike: the equal set, two tokens in common, a long first word."""
+    own = F.array_sort(t)
+    pairs = F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("2"), x, y))))
+    word = F.get(t, F.lit(0))
+    first = F.when(F.length(word) >= 5, F.concat_ws(" ", F.lit("1"), word))
+    return F.array_compact(F.concat(pairs, F.array(F.concat_ws(" ", F.lit("0"), own), first)))
+
+
 def similar_names(rows: DataFrame) -> DataFrame:
     """left_id, right_id, score of all pairs with a score above 0. ``rows``: id, t (distinct tokens).
 
@@ -80,11 +89,7 @@ def similar_names(rows: DataFrame) -> DataFrame:
     in common or one long first word, so arrays meet by these, and none is missed."""
     known = rows.filter(F.size("t") > 0).select("id", "t", F.array_join("t", " ").alias("s"))
     names = known.select("s", "t").distinct()
-    own = F.array_sort("t")
-    pairs = F.flatten(F.transform(own, lambda x: F.transform(F.filter(own, lambda y: y > x), lambda y: F.concat_ws(" ", F.lit("2"), x, y))))
-    first = F.when(F.length(F.get("t", F.lit(0))) >= 5, F.concat_ws(" ", F.lit("1"), F.get("t", F.lit(0))))
-    keys = F.array_compact(F.concat(pairs, F.array(F.concat_ws(" ", F.lit("0"), own), first)))
-    keyed = names.select("s", "t", F.explode(keys).alias("key"))
+    keyed = names.select("s", "t", F.explode(meeting_keys(F.col("t"))).alias("key"))
     a, b = keyed.alias("a"), keyed.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.s") < F.col("b.s"))).select(F.col("a.s").alias("s"), F.col("b.s").alias("z"), F.col("a.t").alias("x"), F.col("b.t").alias("y")).distinct()
     scored = met.select("s", "z", text.name_similarity(F.col("x"), F.col("y")).alias("score")).filter("score > 0")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from foliomere.functions import names
 from foliomere.functions.text import name_similarity
 
+from .listing import meeting_keys
+
 #: Scores from which a name counts in the row's own account, and in any other; by how much the best must lead.
 ACCOUNT, PORTFOLIO, MARGIN = 0.85, 0.97, 0.10
 
@@ -38,15 +40,14 @@ def by_name(trades: DataFrame, observed: DataFrame) -> DataFrame:
     """row_id, instrument, score, scope, status of trades that print a name only.
 
     ``trades``: row_id, account_id, trade_date, line; ``observed``: account_id, instrument, as_of, line of
-    holdings. Names meet by the words that they share, and each two names are scored once."""
+    holdings. Names meet by what a score asks for, and each two names are scored once."""
     asked = trades.select("row_id", "account_id", "trade_date", names.name_words(F.col("line")).alias("w")).filter(F.size("w") > 0)
     known = observed.select("account_id", "instrument", "as_of", names.name_words(F.col("line")).alias("w")).filter(F.size("w") > 0).distinct()
     asked, known = (df.withColumn("s", F.array_join("w", " ")) for df in (asked, known))
     telling = lambda w: ~w.isin(*names.GENERIC)
-    # a score asks for equal sets, two words in common or a telling first word: any of the shared words will do
-    a = asked.select("s", "w").distinct().withColumn("word", F.explode("w"))
-    b = known.select(F.col("s").alias("z"), F.col("w").alias("v")).distinct().withColumn("word", F.explode("v"))
-    met = a.join(b, "word").select("s", "w", "z", "v").distinct()
+    a = asked.select("s", "w").distinct().withColumn("key", F.explode(meeting_keys(F.col("w"))))
+    b = known.select(F.col("s").alias("z"), F.col("w").alias("v")).distinct().withColumn("key", F.explode(meeting_keys(F.col("v"))))
+    met = a.join(b, "key").select("s", "w", "z", "v").distinct()
     scores = met.withColumn("score", name_similarity(F.col("w"), F.col("v"), names.GENERIC)).filter(f"score >= {ACCOUNT}")
     scores = scores.select("s", "z", "score", F.size(F.filter(F.array_intersect("w", "v"), telling)).alias("distinct_words"))
     rows = asked.join(scores, "s").join(known.select("instrument", "as_of", F.col("account_id").alias("held_by"), F.col("s").alias("z")), "z")
