@@ -31,9 +31,9 @@ from .common import scratch, stage_table, whole_text
 #: Similarity of word sets, in percent.
 PERCENT = 90
 #: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
-BITS = 18
+BITS = 16
 #: Sets of a token's list up to which all are paired at once, and the early ones that the sets of longer lists meet first.
-SHORT, PIVOTS = 64, 4
+SHORT, PIVOTS = 16, 4
 #: One in so many tokens is in the second signature of a set; all are in the first, which large sets fill.
 FEW = 4
 #: Lines whose places may be broadcast to fetch their words; more are joined by a shuffle.
