@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: ASCII white space: the only characters that part words.
 SPACES = " \t\n\x0b\x0c\r"
+#: Groups with this share of all rows, and so many rows at least, are joined by broadcast.
+HOT_GROUPS, HOT_ROWS = 10_000, 1_000
 _SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
@@ -66,3 +68,16 @@ def whole_text(col: str | Column = "text") -> Column:
 def words(text: Column) -> Column:
     """Array of the runs of characters other than ASCII white space."""
     return F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+", -1), "")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` with the columns of their group; ``groups`` has one row for each of their keys and the group's ``size``.
+
+    Groups of a ten-thousandth of the rows or more number 10,000 at most: these are broadcast, so no
+    task takes a large group; all others meet by a shuffle. Keys are not null."""
+    groups = stage_table(groups, "groups")
+    n = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) >= max(HOT_ROWS, n / HOT_GROUPS)
+    first = rows.join(F.broadcast(groups.filter(large)), keys, "left")
+    rest = first.filter(F.col(size).isNull()).select(*rows.columns).join(groups.filter(~large), keys)
+    return first.filter(F.col(size).isNotNull()).select(*rest.columns).union(rest)

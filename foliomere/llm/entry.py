@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, pii, quality, secrets, sql, token_file, toxicity, warc
+from . import decontaminate, exact_dedup, lexical_search, line_dedup, near_dup, packing, pii, quality, secrets, sql, token_file, toxicity, vector_codes, warc
 from .common import table
 
 
@@ -49,10 +49,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    ops = (op1_warc, op2_line_dedup, op3_decontaminate, op4_secrets, op5_toxicity, op6_quality, op7_near_dup, op8_token_file, op9_pii, op10_packing)
+    ops = (
+        op1_warc, op2_line_dedup, op3_decontaminate, op4_secrets, op5_toxicity, op6_quality, op7_near_dup, op8_token_file, op9_pii, op10_packing,
+        op11_exact_dedup, op12_vector_codes, op13_lexical_search,
+    )
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality": sql.quality(), "op7_near_dup": sql.near_duplicates()}
+    return {
+        "op6_quality": sql.quality(),
+        "op7_near_dup": sql.near_duplicates(),
+        "op11_exact_dedup": sql.exact_duplicates(),
+        "op12_vector_codes": sql.vector_codes(),
+        "op13_lexical_search": sql.lexical_search(),
+    }

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from . import lexical_search as lexical
 from . import near_dup
+from . import vector_codes as vc
 from .common import SPACES
 from .quality import RULES, STOP_WORDS, SYMBOLS
 
@@ -57,3 +59,48 @@ def near_duplicates() -> str:
  reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
  least_ids AS (SELECT a AS doc_id, MIN(b) AS low FROM reach GROUP BY 1)
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, COALESCE(low, doc_id)) AS component_id, doc_id = least(doc_id, COALESCE(low, doc_id)) AS kept FROM sets LEFT JOIN least_ids USING (doc_id)"""
+
+
+def exact_duplicates() -> str:
+    return """WITH rows AS (SELECT doc_id, sha256(COALESCE(text, '')) AS text_sha256 FROM documents),
+ seen AS (SELECT *, MAX(doc_id) OVER w AS keep_id, COUNT(*) OVER w AS group_size FROM rows WINDOW w AS (PARTITION BY text_sha256))
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM seen"""
+
+
+def vector_codes() -> str:
+    """The rounds written out; squared distances of whole numbers are exact in doubles."""
+    parts, scale, rounds = vc.PARTS, vc.SCALE, vc.ROUNDS
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"parts AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) t(p))",
+        f"book0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS y FROM parts QUALIFY e < {vc.ENTRIES})",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"near{k} AS MATERIALIZED (SELECT r, p, x, any_value(vec_id) AS vec_id, min(d * 256 + e) AS de FROM (SELECT r, vec_id, parts.p, x, e, list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS d FROM parts JOIN book{k} b ON parts.p = b.p) GROUP BY r, p, x)")
+        if k < rounds:
+            steps.append(f"at{k} AS (SELECT p, de % 256 AS e, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM near{k})")
+            steps.append(f"mean{k} AS (SELECT p, e, list(f ORDER BY i) AS y FROM (SELECT p, e, i, floor(SUM(c) / COUNT(*)) AS f FROM at{k} GROUP BY ALL) GROUP BY p, e)")
+            steps.append(f"book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, COALESCE(m.y, b.y) AS y FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.e = m.e)")
+    steps += [
+        f"codes AS (SELECT vec_id, string_agg(printf('%02x', CAST(de % 256 AS BIGINT)), '' ORDER BY p) AS code, CAST(SUM(floor(de / 256)) AS BIGINT) AS error FROM near{rounds} GROUP BY vec_id)",
+        f"digest AS (SELECT sha256(string_agg(array_to_string(list_transform(y, lambda c: CAST(c AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})",
+    ]
+    return "WITH " + ",\n ".join(steps) + """
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN kept USING (vec_id), digest"""
+
+
+def _terms(text: str) -> str:
+    lower = f"translate(COALESCE({text}, ''), '{ascii_uppercase}', '{ascii_lowercase}')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def lexical_search() -> str:
+    return f"""WITH docs AS MATERIALIZED (SELECT doc_id, {_terms("text")} AS ts FROM documents),
+ items AS (SELECT item_id, unnest(list_distinct({_terms("text")})) AS t FROM benchmark),
+ totals AS (SELECT COUNT(*) AS n_docs, CAST(SUM(len(ts)) AS BIGINT) AS n_terms FROM docs WHERE len(ts) > 0),
+ held AS MATERIALIZED (SELECT doc_id, n, t, COUNT(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM docs) WHERE t IN (SELECT t FROM items) GROUP BY ALL),
+ weights AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM (SELECT t, COUNT(*) AS df FROM held GROUP BY t), totals),
+ impacts AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))) AS s FROM held JOIN weights USING (t), totals),
+ scores AS (SELECT item_id, doc_id, CAST(SUM(s) AS BIGINT) AS score FROM items JOIN impacts USING (t) GROUP BY ALL HAVING SUM(s) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores QUALIFY rank <= {lexical.TOP}"""
