@@ -270,7 +270,7 @@ def codes(vectors: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarr
         if k < rounds:
             for r in changes(state.select("entries", "counts", "sums")):
                 counts[r["entries"]] += r["n"]
-                sums[r["entries"]] += [x["s"] or 0 for x in r["sums"]][:width]
+                sums[r["entries"]] += np.array([x["s"] or 0 for x in r["sums"]][:width], dtype=np.int64)
             entries = book.entries.copy()
             for p in range(PARTS):
                 own = slice(p * ENTRIES, p * ENTRIES + entries.shape[1])
