@@ -91,6 +91,11 @@ def place() -> Column:
     return (F.col("_d").cast("decimal(38,0)") * _ROWS + (order_part(F.col("_r")) * _PLACES + F.col("line"))).cast("decimal(38,0)")
 
 
+def within_id() -> Column:
+    """The part of ``first`` that orders the lines of one id."""
+    return F.pmod(F.col("first"), F.lit(_ROWS)).cast("long")
+
+
 def signature(k: Column) -> Column:
     """64 bits, one for each of the tokens, which several may share."""
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 4).bitwiseAND(F.lit(63)).cast("int"))
@@ -122,10 +127,10 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, s1, d, n, at, bits, few, m: for each token that m > 1 prefixes hold, those sets."""
-    post = sets.filter("prefix is not null").select("s1", "d", "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
+    """key, s1, d, low, n, at, bits, few, m: for each token that m > 1 prefixes hold, those sets; (d, low) orders them by first place."""
+    post = sets.filter("prefix is not null").select("s1", "d", within_id().alias("low"), "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
     held = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    return post.join(held, "key").select("key", "s1", "d", "n", "at", "bits", "few", "m")
+    return post.join(held, "key").select("key", "s1", "d", "low", "n", "at", "bits", "few", "m")
 
 
 def may_match(a: str, b: str) -> Column:
@@ -140,15 +145,17 @@ def may_match(a: str, b: str) -> Column:
 
 
 def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """a, b: sets that share a key and may match, where the id of b is smaller or theirs is one."""
-    before = (F.col("b.d") < F.col("a.d")) | ((F.col("b.d") == F.col("a.d")) & (F.col("b.s1") < F.col("a.s1")))
+    """a, b: sets that share a key and may match, where b has the earlier first place."""
+    same_id = F.col("b.d") == F.col("a.d")
+    # equal places (texts of one id whose hashes share 32 bits) are told apart by name, as ``matched`` does
+    before = (F.col("b.d") < F.col("a.d")) | (same_id & (F.col("b.low") < F.col("a.low"))) | (same_id & (F.col("b.low") == F.col("a.low")) & (F.col("b.s1") < F.col("a.s1")))
     on = (F.col("a.key") == F.col("b.key")) & before & may_match("a", "b")
     return later.alias("a").join(earlier.alias("b"), on).select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
 
 
 def words_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
     """s1, s2, first, h: sets called ``names`` (s1) with their tokens' hashes, from the lines at their first places."""
-    low = F.pmod(F.col("first"), F.lit(_ROWS)).cast("long")
+    low = within_id()
     line = low.bitwiseAND(F.lit(_PLACES - 1)).cast("int")
     places = sets.join(names, "s1", "left_semi").select(F.col("d").alias("_d"), F.shiftright(low, 31).alias("_o"), F.struct(line.alias("line"), "s1", "s2", "first").alias("x"))
     places = stage_table(places, "line-places")
@@ -184,7 +191,7 @@ def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> Dat
     those that none of these matches meet all earlier ones. Whether a set has a match is exact either way."""
     lists = stage_table(postings(sets), "line-lists")
     short, long = lists.filter(F.col("m") <= SHORT), lists.filter(F.col("m") > SHORT)
-    early = F.min(F.struct("d", "s1", "n", "at", "bits", "few"))
+    early = F.min(F.struct("d", "low", "s1", "n", "at", "bits", "few"))
     pivots = long.groupBy("key", F.pmod("s1", F.lit(PIVOTS)).alias("part")).agg(early.alias("p")).select("key", "p.*")
     found = matched(docs, sets, classes, joined(short, short).union(joined(long, pivots)))
     left = long.join(found.select("s1"), "s1", "left_anti")
