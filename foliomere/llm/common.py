@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Groups with this share of all rows, and so many rows at least, are joined by broadcast.
 HOT_GROUPS, HOT_ROWS = 10_000, 1_000
+#: Names of rows (id and text hash) that may be broadcast, 20 MB; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+_KEPT: list[str] = []
 _SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
@@ -42,8 +45,20 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
         yield
     finally:
         _SCRATCH.reset(token)
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the tables that earlier results still read, and says how many; call it once these results are written."""
+    n = len(_KEPT)
+    while _KEPT:
+        _delete(spark, _KEPT.pop())
+    return n
 
 
 def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -52,6 +67,8 @@ def stage_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     This cuts lineage in a way that outlives any executor."""
     spark, inside = df.sparkSession, _SCRATCH.get()
     path = f"{inside}/{name}-{uuid.uuid4().hex}" if inside and not keep else shared_dir(spark, name)
+    if not path.startswith(f"{inside}/"):
+        _KEPT.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,3 +98,17 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     first = rows.join(F.broadcast(groups.filter(large)), keys, "left")
     rest = first.filter(F.col(size).isNull()).select(*rows.columns).join(groups.filter(~large), keys)
     return first.filter(F.col(size).isNotNull()).select(*rest.columns).union(rest)
+
+
+def row_key() -> tuple[Column, Column]:
+    """_id and _r: a row is known by its id and the hash of its text."""
+    return F.col("doc_id").cast("long").alias("_id"), F.xxhash64(whole_text()).alias("_r")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not named in ``gone`` (_id, _r); other columns may have any name."""
+    gone = stage_table(gone.select("_id", "_r").distinct(), "rows-gone")
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    rows = docs.select(F.struct("*").alias("_row"), *row_key()).alias("a")
+    same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._r") == F.col("b._r"))
+    return rows.join(side.alias("b"), same, "left_anti").select("_row.*")

@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text, words
+from .common import whole_text, without_rows, words
 
 #: Tokens compared around a hit (the item's length if shorter), and the share that must agree.
 WINDOW, PERCENT = 16, 75
@@ -111,15 +111,16 @@ def agreeing(near: Column, p: Column, around: Column, q: Column) -> Column:
     return F.get(F.transform(F.array(bits), most), F.lit(0))
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, agreeing: each document and item that overlap, and the most tokens that agree."""
+def row_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, _r, item_id, agreeing: each row (told by its id and its text's hash) and item that overlap, and the most tokens that agree."""
     items = benchmark.select("item_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
     masks = asked_masks(items) or ["1"]  # any mask will do where no item has a token
     windows = item_windows(items, masks)
     blocks = max(1, math.ceil(windows.count() / BLOCK_WINDOWS))
-    rows = docs.select("doc_id", tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
-    at = rows.select("doc_id", "ws", "n", F.explode(places(F.col("n"), masks)).alias("p"))
-    seeded = at.select("doc_id", "ws", "p", F.explode(_seeds(F.col("ws"), F.col("p"), F.col("n"), masks)).alias("seed"))
+    own = F.xxhash64(whole_text()).alias("_r")
+    rows = docs.select("doc_id", own, tokens(whole_text()).alias("ws")).withColumn("n", F.size("ws"))
+    at = rows.select("doc_id", "_r", "ws", "n", F.explode(places(F.col("n"), masks)).alias("p"))
+    seeded = at.select("doc_id", "_r", "ws", "p", F.explode(_seeds(F.col("ws"), F.col("p"), F.col("n"), masks)).alias("seed"))
     width = F.least(F.lit(WINDOW), F.col("n_item"))
     out = None
     for k in range(blocks):
@@ -131,14 +132,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         # within a run of one token, a place that looks as the one before it tells nothing new
         alike = (F.col("p") > REACH) & (near == surroundings(F.col("ws"), F.col("p") - 1))
         hits = hits.filter(~alike)
-        hits = hits.select("doc_id", "item_id", "p", "q", "n_item", "around", F.explode(F.array(near)).alias("near"))
+        hits = hits.select("doc_id", "_r", "item_id", "p", "q", "n_item", "around", F.explode(F.array(near)).alias("near"))
         hits = hits.withColumn("agreeing", agreeing(F.col("near"), F.col("p"), F.col("around"), F.col("q")))
-        good = hits.filter(100 * F.col("agreeing") >= PERCENT * width).select("doc_id", "item_id", "agreeing")
+        good = hits.filter(100 * F.col("agreeing") >= PERCENT * width).select("doc_id", "_r", "item_id", "agreeing")
         out = good if out is None else out.union(good)
-    return out.groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"))
+    return out.groupBy("doc_id", "_r", "item_id").agg(F.max("agreeing").alias("agreeing"))
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, agreeing: each document and item that overlap, and the most tokens that agree."""
+    return row_overlaps(docs, benchmark).groupBy("doc_id", "item_id").agg(F.max("agreeing").alias("agreeing"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that overlap no item, with all their columns."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of ``docs`` that overlap no item, with all their columns; rows that share an id with one that does stay."""
+    return without_rows(docs, row_overlaps(docs, benchmark).select(F.col("doc_id").cast("long").alias("_id"), "_r"))

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stage_table, whole_text
+from .common import scratch, stage_table, whole_text, without_rows
 
 SHINGLE = 5
 K = 32
@@ -357,5 +357,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` that no other document of their component precedes, told by id and text; repeated rows stay together."""
-    later = near_rows(docs).filter("not (kept and leads)").select(F.col("doc_id").alias("_later"), F.col("row").alias("_row")).distinct()
-    return docs.join(later, F.col("doc_id").cast("long").eqNullSafe(F.col("_later")) & (F.xxhash64(whole_text()) == F.col("_row")), "left_anti")
+    later = near_rows(docs).filter("not (kept and leads)").select(F.col("doc_id").cast("long").alias("_id"), F.col("row").alias("_r"))
+    return without_rows(docs, later)

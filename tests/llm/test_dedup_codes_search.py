@@ -8,10 +8,11 @@ import re
 
 import numpy as np
 import pytest
-from test_text_operators import ODD, SF
+from pyspark.sql import functions as F
+from test_text_operators import ODD, SF, lines_plain
 
-from foliomere.llm import exact_dedup, lexical_search, vector_codes
-from foliomere.llm.common import join_groups, table
+from foliomere.llm import decontaminate, exact_dedup, lexical_search, line_dedup, near_dup, vector_codes
+from foliomere.llm.common import drop_staged, join_groups, table
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -150,7 +151,67 @@ def test_lexical_search_equals_plain_ranking(spark, monkeypatch):
 
 
 def test_documents_under_one_id_are_ranked_each(spark):
-    docs = spark.createDataFrame([(7, "x " * (k % 5 + 1) + "y" * (k % 3)) for k in range(3000)], "doc_id long, text string")
+    rows = [(7, "x " * (k % 5 + 1) + "y" * (k % 3)) for k in range(3000)] + [(k, "z") for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = search_got(docs, spark.createDataFrame([(1, "x")], "item_id long, text string"))
     want = search_plain([(r.doc_id, r.text) for r in docs.collect()], [(1, "x")])
     assert got == want and len(got) == 50
+
+
+def related_lines(rnd, n, common):
+    """Lines of one topic: some share most of their words, all share the rare ones."""
+    base = [f"w{k}" for k in range(24)]
+    out = []
+    for k in range(n):
+        words = [*common, *base] if k % 3 else [*common, *(f"x{k}-{j}" for j in range(24))]
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(len(common), len(words))] = f"y{rnd.randrange(40)}"
+        rnd.shuffle(words)
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_long_lists_inside_one_document(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    topics = [f"z{k}" for k in range(4)]
+    lines = related_lines(rnd, 90, topics)
+    filler = [(100 + k, " ".join(f"w{j}" for j in range(24)) + f" f{k}") for k in range(60)]
+    one = [(5, "\n".join(lines)), *filler]
+    each = [(10 + k, x) for k, x in enumerate(lines)] + [(d + 1000, t) for d, t in filler]
+    same_id = [(7, x) for x in lines]
+    for rows in (one, each):
+        got = {r.doc_id: r.removed for r in line_dedup.line_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        want = lines_plain(rows, line_dedup.PERCENT)
+        assert {d: [int(x) for x in g.split(",") if x] for d, g in got.items()} == {d: sorted(want[d]) for d, _ in rows}
+        assert sum(map(len, want.values())) > 30
+    # texts of one id, or of none, come in the order of 32 bits of their hashes
+    ordered = spark.createDataFrame(same_id, "doc_id long, text string").select("text", line_dedup.order_part(F.xxhash64("text")).alias("o")).orderBy("o").collect()
+    want = lines_plain([(k, r.text) for k, r in enumerate(ordered)], line_dedup.PERCENT)
+    for d in (7, None):
+        got = {r.kept_sha256 for r in line_dedup.line_report(spark.createDataFrame([(d, x) for x in lines], "doc_id long, text string")).collect() if r.n_removed}
+        gone = collections.Counter(bool(want[k]) for k in range(len(ordered)))
+        report = line_dedup.line_report(spark.createDataFrame([(d, x) for x in lines], "doc_id long, text string")).collect()
+        assert sum(r.n_removed for r in report) == gone[True] and len(got) == 1
+
+
+def test_clean_rows_that_share_an_id_stay(spark):
+    item = " ".join(f"b{k}" for k in range(40))
+    rows = [(None, item), (None, "clean one"), (None, "clean two"), (7, item + " more"), (7, "clean text"), (8, "x")]
+    docs = spark.createDataFrame([(d, t, "r", 1) for d, t in rows], "doc_id long, text string, _row string, _r int")
+    left = decontaminate.remove_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(r.text for r in left) == ["clean one", "clean text", "clean two", "x"] and left[0]._row == "r"
+    near = [(1, item), (2, item + " more"), (2, "other"), (None, item + " again"), (None, "own")]
+    docs = spark.createDataFrame([(d, t, "r", 1, 2) for d, t in near], "doc_id long, text string, _row string, _later int, _id int")
+    kept = near_dup.keep_first(docs).collect()
+    assert sorted(r.text for r in kept) == sorted([item, "other", "own"]) and docs.columns == near_dup.keep_first(docs).columns
+
+
+def test_staged_tables_can_be_dropped(spark):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    out = exact_dedup.exact_duplicates(docs)
+    assert out.count() == len(ODD)
+    left = drop_staged(spark)
+    assert left > 0 and drop_staged(spark) == 0
+    with pytest.raises(Exception):
+        out.count()
