@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import calendar
+import functools
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +17,32 @@ def identity_token(x: Column, compact: bool = False) -> Column:
     return F.upper(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"\s+", gap))
 
 
+@functools.cache
+def _single_forms() -> tuple[str, str]:
+    """Characters whose compatibility form (NFKC) is one other character, and those forms."""
+    forms = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(128, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    single = [(a, b) for a, b in forms if a != b and len(b) == 1]
+    return "".join(a for a, _ in single), "".join(b for _, b in single)
+
+
+def compatible(x: Column) -> Column:
+    """Text with each character's compatibility form where that is one character; others stay."""
+    return F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), F.translate(x, *_single_forms())).otherwise(x)
+
+
+def layout_text(x: Column) -> Column:
+    """Printed text for comparing: compatibility forms, plain dashes, single spaces."""
+    # Dashes that count as a hyphen.
+    dashes = "\u2010\u2011\u2012\u2013\u2014\u2212"
+    plain = F.translate(compatible(F.coalesce(x, F.lit(""))), "\u00a0" + dashes, " " + "-" * len(dashes))
+    return F.trim(F.regexp_replace(plain, r"(?U)\s+", " "))
+
+
+def layout_tokens(x: Column) -> Column:
+    """Upper-case runs of letters and digits, with single points or dashes within."""
+    return F.regexp_extract_all(F.upper(x), F.lit(r"([A-Z0-9]+(?:[.\-][A-Z0-9]+)*)"), 1)
+
+
 def decimal_token(x: Column) -> Column:
     """Plain decimal notation without trailing zeros; empty for null."""
     text = x.cast("decimal(38,10)").cast("string")

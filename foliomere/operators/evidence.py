@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from foliomere.functions.names import plain_line
 
+from .locator import contained
+
 
 def page_offsets(pages: DataFrame) -> DataFrame:
     """relpath, page, first, last: the places that each page's characters take in the joined text, one between pages."""
@@ -37,7 +39,9 @@ def located(rows: DataFrame, lines: DataFrame) -> DataFrame:
     same = same.withColumn("rank", rank).withColumn("top", F.min("rank").over(Window.partitionBy("row_id"))).filter("rank = top")
     exact = same.groupBy("row_id").agg(F.count("*").alias("n"), F.min(F.struct("page", "line")).alias("at")).withColumn("method", F.lit("exact"))
     left = asked.join(exact.select("row_id"), "row_id", "left_anti").filter((F.length("t") >= 12) & (F.size(F.split("t", " ")) >= 3))
-    inside = left.join(shown, (left["relpath"] == shown["relpath"]) & F.contains(shown["s"], left["t"]))
+    pairs = contained(left.select("relpath", F.col("t").alias("s")).distinct(), shown.select("relpath", F.col("s").alias("t")).distinct(), "relpath")
+    on = pairs.select("relpath", F.col("s").alias("t"), F.col("t").alias("s"))
+    inside = left.join(on, ["relpath", "t"]).join(shown, ["relpath", "s"])
     held = inside.groupBy("row_id").agg(F.count("*").alias("n"), F.min(F.struct("page", "line")).alias("at")).withColumn("method", F.lit("contained"))
     found = exact.unionByName(held)
     one = F.col("n") == 1
@@ -49,14 +53,15 @@ def located(rows: DataFrame, lines: DataFrame) -> DataFrame:
 def coverage(lines: DataFrame, used: DataFrame) -> DataFrame:
     """relpath, lines, matched: how many of a document's lines some row accounts for.
 
-    A line counts if a row has its text, or holds it or is held by it where both have more than 12 characters."""
-    shown = lines.select("relpath", "page", "line", plain_line(F.col("text")).alias("s")).filter("s != ''")
+    A line counts if it stands in a row's text, or holds one of more than 12 characters."""
+    shown = lines.select("relpath", plain_line(F.col("text")).alias("s")).filter("s != ''")
+    each = shown.groupBy("relpath", "s").agg(F.count("*").alias("n"))
     rows = used.select("relpath", plain_line(F.col("raw")).alias("t")).filter("t != ''").distinct()
-    texts = rows.groupBy("relpath").agg(F.collect_list("t").alias("ts"))  # the rows of one document
-    long = lambda c: F.length(c) > 12
-    fits = lambda t: (t == F.col("s")) | (long(t) & long(F.col("s")) & (F.contains(t, F.col("s")) | F.contains(F.col("s"), t)))
-    met = shown.join(texts, "relpath", "left").withColumn("hit", F.exists(F.coalesce("ts", F.array().cast("array<string>")), fits))
-    return met.groupBy("relpath").agg(F.count("*").alias("lines"), F.count_if("hit").alias("matched"))
+    texts = each.select("relpath", "s")
+    held = contained(texts, rows, "relpath").select("relpath", "s")
+    holds = contained(rows.filter(F.length("t") > 12).withColumnRenamed("t", "s"), texts.withColumnRenamed("s", "t"), "relpath").select("relpath", F.col("t").alias("s"))
+    met = held.union(holds).distinct().withColumn("hit", F.lit(True))
+    return each.join(met, ["relpath", "s"], "left").groupBy("relpath").agg(F.sum("n").alias("lines"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched"))
 
 
 def subsequence_at(needle: Column, hay: Column) -> Column:

@@ -340,7 +340,7 @@ def evidence_located(t: Ledger) -> DataFrame:
 
 
 @query(_LINES + """, used AS (SELECT doc_id, s AS t FROM lines WHERE line % 3 = 1 AND s <> ''), shown AS (SELECT * FROM lines WHERE s <> '')
- SELECT doc_id, COUNT(*) AS lines, COUNT(*) FILTER (EXISTS (SELECT 1 FROM used u WHERE u.doc_id = shown.doc_id AND (u.t = s OR (length(u.t) > 12 AND length(s) > 12 AND (contains(u.t, s) OR contains(s, u.t)))))) AS matched FROM shown GROUP BY 1""")
+ SELECT doc_id, COUNT(*) AS lines, COUNT(*) FILTER (EXISTS (SELECT 1 FROM used u WHERE u.doc_id = shown.doc_id AND (contains(u.t, s) OR (length(u.t) > 12 AND contains(s, u.t))))) AS matched FROM shown GROUP BY 1""")
 def source_coverage(t: Ledger) -> DataFrame:
     """How many lines of each document every third of them, taken as rows, account for."""
     lines = _document_lines(t)

@@ -35,6 +35,8 @@ fx AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS rate_date, CAST(120 + dayofy
 def sql(body: str) -> str:
     """``body`` after the ledger tables; a body that begins with its own tables continues the list."""
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {PRELUDE}, {body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {PRELUDE}, {body[5:]}"
     return f"WITH {PRELUDE} {body}"

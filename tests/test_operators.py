@@ -301,7 +301,7 @@ def test_names_and_keys(spark):
     get = lambda c: one.select(c.alias("v")).first().v
     assert get(names.name_words(F.lit("Bought BMO  Rty Income ETF 20 yr 1000 AB-123456 10 $5.00 50.00 rest"))) == ["BMO", "REALTY", "INCOME", "20", "YEAR"]
     assert get(names.strip_leading(F.lit(" Dividend:  BOUGHT  Acme  corp"))) == "Acme corp" and get(names.made_symbol(F.lit("SOLD ACME Corp. of the north 1,000.5"))) == "ACME_CORP_OF_THE"
-    assert get(names.made_symbol(F.lit(None).cast("string"))) == "UNKNOWN" and get(names.layout_text(F.lit("a\u00a0\u2013  b"))) == "a - b" and get(names.shares_hint(F.lit("div on 1,200 shs"))) == 1200.0
+    assert get(names.made_symbol(F.lit(None).cast("string"))) == "UNKNOWN" and get(text.layout_text(F.lit("a\u00a0\u2013  b"))) == "a - b" and get(names.shares_hint(F.lit("div on 1,200 shs"))) == 1200.0
     rules = [("GOLD", "G", "equity"), ("BARRICK", "ABX", "equity")]
     assert get(names.resolved(F.lit("Barrick  gold"), rules)).ticker == "ABX" and get(names.resolved(F.lit("silver"), rules)) is None
     key = lambda **kw: get(identity.instrument_key(*(F.lit(v) for v in kw.values())))
