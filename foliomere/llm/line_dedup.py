@@ -7,8 +7,10 @@ share a token in their prefixes; length, position and a bit signature bound the
 possible; what is left is verified on the whole sets. Equal sets are one class before any pair is made.
 
 A line goes if an earlier line, by (doc_id, text hash, line), is equal or similar enough, whether
-that one stays or not. So a set is done once one earlier match is known: in lists of more than SHORT
-sets all meet a few early ones first, and only those without a match so far meet the others.
+that one stays or not. Sets of a token's list meet each other; a list of more than SHORT sets is parted by
+their sizes first, as only sizes near each other can match. Where such a part is still longer, all its
+sets meet a few early ones, and only those without a match so far meet the others, in cells of a
+bounded size: a set is done once one earlier match is known. None of this changes which lines go.
 Lines without words stay and match nothing.
 
 A row is known by its doc_id and 64 bits of its text's hash, so texts that share an id (or have
@@ -21,6 +23,7 @@ table gives no rows; extra columns of any name are kept.
 
 from __future__ import annotations
 
+import math
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
@@ -31,13 +34,17 @@ from .common import scratch, stage_table, whole_text
 #: Similarity of word sets, in percent.
 PERCENT = 90
 #: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
-BITS = 16
-#: Sets of a token's list up to which all are paired at once, and the early ones that the sets of longer lists meet first.
-SHORT, PIVOTS = 16, 4
+BITS = 20
+#: Sets of a token's list up to which all are paired at once, the early ones that the sets of longer lists meet first, and sets of a cell.
+SHORT, PIVOTS, CELL = 64, 4, 2048
+#: Tokens of long lists that may be broadcast, 10 MB; more are joined by a shuffle.
+BROADCAST_KEYS = 300_000
 #: One in so many tokens is in the second signature of a set; all are in the first, which large sets fill.
 FEW = 4
 #: Lines whose places may be broadcast to fetch their words; more are joined by a shuffle.
 BROADCAST_LINES = 500_000
+#: Numbers that the lines to take out may make in a broadcast, some 20 MB.
+BROADCAST_GONE = 5_000_000
 _MISSING = -(2**63)
 _PLACES = 2**31
 _ROWS = Decimal(2**63)
@@ -59,12 +66,12 @@ def bucket(h: Column) -> Column:
 
 
 def rarity_classes(docs: DataFrame) -> DataFrame:
-    """One row, ``classes``: for each bucket the power of two of its tokens' occurrences."""
+    """One row, ``classes``: for each bucket the power of two of its tokens' occurrences, where a key has it."""
     lines = docs.select(F.explode(F.split(whole_text(), "\n", -1)).alias("t"))
     seen = lines.select(F.explode(tokens(F.col("t"))).alias("w"))
     counts = seen.groupBy(bucket(F.xxhash64("w")).alias("b")).count()
     every = docs.sparkSession.range(2**BITS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
-    power = F.ceil(F.log2(F.sum("count") + 1)).cast("tinyint").alias("c")
+    power = F.shiftleft(F.ceil(F.log2(F.sum("count") + 1)).cast("long"), 57).alias("c")
     filled = every.union(counts).groupBy("b").agg(power)  # 2**BITS rows, whatever the corpus
     row = filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "c"))), lambda x: x["c"]).alias("classes"))
     return stage_table(row, "rarity")
@@ -72,7 +79,8 @@ def rarity_classes(docs: DataFrame) -> DataFrame:
 
 def keys(hashes: Column, classes: Column) -> Column:
     """Sorted keys of token hashes, the rarest first."""
-    rare = lambda h: F.shiftleft(F.get(classes, bucket(h)).cast("long"), 57)
+    # never null, so that keys are sorted as plain numbers
+    rare = lambda h: F.coalesce(F.get(classes, bucket(h)), F.lit(0).cast("long"))
     return F.sort_array(F.transform(hashes, lambda h: rare(h).bitwiseOR(F.shiftrightunsigned(h, 7))))
 
 
@@ -98,7 +106,7 @@ def within_id() -> Column:
 
 def signature(k: Column) -> Column:
     """64 bits, one for each of the tokens, which several may share."""
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 4).bitwiseAND(F.lit(63)).cast("int"))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
     return F.aggregate(k, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(bit(x)))
 
 
@@ -116,7 +124,7 @@ def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
     # a set that one more token would already part from all others has no prefix
     listed = 100 * n >= PERCENT * (n + 1)
     prefix = F.slice("k", 1, n - F.ceil(PERCENT * n / 100).cast("int") + 1)
-    some = F.filter("k", lambda x: x.bitwiseAND(F.lit(FEW - 1)) == 0)
+    some = F.filter("k", lambda x: x.bitwiseAND(F.lit(64 * (FEW - 1))) == 0)
     marks = [F.when(listed, c).alias(name) for name, c in (("prefix", prefix), ("bits", signature(F.col("k"))), ("few", signature(some)))]
     return rows.select("_d", "_r", "line", *named(F.col("k")), n.alias("n"), *marks)
 
@@ -127,10 +135,24 @@ def distinct_sets(lines: DataFrame) -> DataFrame:
 
 
 def postings(sets: DataFrame) -> DataFrame:
-    """key, s1, d, low, n, at, bits, few, m: for each token that m > 1 prefixes hold, those sets; (d, low) orders them by first place."""
-    post = sets.filter("prefix is not null").select("s1", "d", within_id().alias("low"), "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
-    held = post.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    return post.join(held, "key").select("key", "s1", "d", "low", "n", "at", "bits", "few", "m")
+    """key, s1, d, low, n, at, bits, few of each token in a set's prefix; (s1, d, low) is a set's name, and (d, low) its first place."""
+    return sets.filter("prefix is not null").select("s1", "d", within_id().alias("low"), "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
+
+
+def size_band(n: Column) -> Column:
+    """Number of a range of sizes; rises with n, and partners lie in one or two of them."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT)).cast("int")
+
+
+def parted_by_size(long: DataFrame) -> DataFrame:
+    """Postings of long lists as lists of (key, band) with their number m; a set is its band's own and visits those of smaller partners.
+
+    The smaller set of a pair meets the other in its own band alone, so of two visitors none need be paired."""
+    least = F.ceil(F.col("n") * PERCENT / 100 - 1e-9)
+    bands = F.sequence(size_band(least), size_band(F.col("n")))
+    rows = long.withColumn("band", F.explode(bands)).withColumn("own", F.col("band") == size_band(F.col("n")))
+    sizes = rows.groupBy("key", "band").agg(F.count("*").alias("m"), F.count_if("own").alias("owns")).filter("m > 1 and owns > 0")
+    return rows.join(sizes.drop("owns"), ["key", "band"])
 
 
 def may_match(a: str, b: str) -> Column:
@@ -144,58 +166,69 @@ def may_match(a: str, b: str) -> Column:
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & (reach >= need) & (shared("bits") >= need) & (shared("few") >= need)
 
 
-def joined(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """a, b: sets that share a key and may match, where b has the earlier first place."""
+_NAME = ["s1", "d", "low"]
+
+
+def joined(later: DataFrame, earlier: DataFrame, on: list[str]) -> DataFrame:
+    """Names of sets a and b (columns s1, d, low with suffixes _a, _b) that share a list and may match, where b has the earlier first place."""
     same_id = F.col("b.d") == F.col("a.d")
-    # equal places (texts of one id whose hashes share 32 bits) are told apart by name, as ``matched`` does
+    # equal places (texts of one id whose hashes share 32 bits) are told apart by s1
     before = (F.col("b.d") < F.col("a.d")) | (same_id & (F.col("b.low") < F.col("a.low"))) | (same_id & (F.col("b.low") == F.col("a.low")) & (F.col("b.s1") < F.col("a.s1")))
-    on = (F.col("a.key") == F.col("b.key")) & before & may_match("a", "b")
-    return later.alias("a").join(earlier.alias("b"), on).select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b"))
+    match = before & may_match("a", "b")
+    if "band" in on:
+        match &= F.col("a.own") | F.col("b.own")
+    for c in on:
+        match = (F.col(f"a.{c}") == F.col(f"b.{c}")) & match
+    return later.alias("a").join(earlier.alias("b"), match).select(*(F.col(f"{t}.{c}").alias(f"{c}_{t}") for t in "ab" for c in _NAME))
 
 
-def words_of(docs: DataFrame, sets: DataFrame, classes: DataFrame, names: DataFrame) -> DataFrame:
-    """s1, s2, first, h: sets called ``names`` (s1) with their tokens' hashes, from the lines at their first places."""
-    low = within_id()
-    line = low.bitwiseAND(F.lit(_PLACES - 1)).cast("int")
-    places = sets.join(names, "s1", "left_semi").select(F.col("d").alias("_d"), F.shiftright(low, 31).alias("_o"), F.struct(line.alias("line"), "s1", "s2", "first").alias("x"))
-    places = stage_table(places, "line-places")
+def words_of(docs: DataFrame, names: DataFrame, classes: DataFrame) -> DataFrame:
+    """s1, d, low, h: the sets called ``names`` with their tokens' hashes, from the lines at their first places."""
+    places = stage_table(names, "line-places")
     few = places.count() <= BROADCAST_LINES
-    asked = places.groupBy("_d", "_o").agg(F.collect_list("x").alias("asked"))
+    line = F.col("low").bitwiseAND(F.lit(_PLACES - 1)).cast("int")
+    asked = places.groupBy(F.col("d").alias("_d"), F.shiftright("low", 31).alias("_o")).agg(F.collect_list(F.struct(line.alias("line"), *_NAME)).alias("asked"))
     d, r = row_key()
     own = docs.select(d, order_part(r).alias("_o"), whole_text().alias("_t")).join(F.broadcast(asked) if few else asked, ["_d", "_o"])
     # only the lines asked for leave their texts
     own = own.select(F.split("_t", "\n", -1).alias("_all"), "asked")
     own = own.select(F.explode(F.transform("asked", lambda x: F.struct(x.alias("x"), F.get("_all", x["line"]).alias("t")))).alias("y"))
-    got = own.select("y.x.s1", "y.x.s2", "y.x.first", token_hashes(F.col("y.t")).alias("h")).withColumn("_c", classes.scalar())
+    got = own.select("y.x.*", token_hashes(F.col("y.t")).alias("h")).withColumn("_c", classes.scalar())
     # another text of that id and order is told by the name
-    s1, s2 = named(keys(F.col("h"), F.col("_c")))
-    return stage_table(got.filter((s1 == F.col("s1")) & (s2 == F.col("s2"))).drop("_c").dropDuplicates(["s1", "s2"]), "line-words")
+    s1, _ = named(keys(F.col("h"), F.col("_c")))
+    return stage_table(got.filter(s1 == F.col("s1")).select(*_NAME, "h").dropDuplicates(_NAME), "line-words")
 
 
-def matched(docs: DataFrame, sets: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """s1, s2: of each of ``pairs`` that is similar enough, the later set."""
+def matched(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """s1, d, low of the later set of each of ``pairs`` that is similar enough."""
     pairs = stage_table(pairs.distinct(), "line-pairs")
-    names = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    whole = words_of(docs, sets, classes, names)
-    side = lambda x: whole.select(F.col("s1").alias(x), F.struct("first", "s1", "s2").alias(f"{x}_set"), F.col("h").alias(f"{x}_h"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    i = F.size(F.array_intersect("a_h", "b_h"))
-    good = both.filter(100 * i >= PERCENT * (F.size("a_h") + F.size("b_h") - i))
-    return stage_table(good.select(F.greatest("a_set", "b_set").alias("x")).select("x.s1", "x.s2").distinct(), "line-links")
+    side = lambda t: pairs.select(*(F.col(f"{c}_{t}").alias(c) for c in _NAME))
+    whole = words_of(docs, side("a").union(side("b")).distinct(), classes)
+    of = lambda t: whole.select(*(F.col(c).alias(f"{c}_{t}") for c in _NAME), F.col("h").alias(f"h_{t}"))
+    both = pairs
+    for t in "ab":
+        both = both.join(of(t), [f"{c}_{t}" for c in _NAME])
+    i = F.size(F.array_intersect("h_a", "h_b"))
+    good = both.filter(100 * i >= PERCENT * (F.size("h_a") + F.size("h_b") - i))
+    return stage_table(good.select(*(F.col(f"{c}_a").alias(c) for c in _NAME)).distinct(), "line-links")
 
 
 def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """s1, s2: the sets that an earlier one matches.
-
-    In a list of more than SHORT all sets meet the earliest of each of PIVOTS shares of it, and
-    those that none of these matches meet all earlier ones. Whether a set has a match is exact either way."""
-    lists = stage_table(postings(sets), "line-lists")
-    short, long = lists.filter(F.col("m") <= SHORT), lists.filter(F.col("m") > SHORT)
-    early = F.min(F.struct("d", "low", "s1", "n", "at", "bits", "few"))
-    pivots = long.groupBy("key", F.pmod("s1", F.lit(PIVOTS)).alias("part")).agg(early.alias("p")).select("key", "p.*")
-    found = matched(docs, sets, classes, joined(short, short).union(joined(long, pivots)))
-    left = long.join(found.select("s1"), "s1", "left_anti")
-    return found.union(matched(docs, sets, classes, joined(left, long)))
+    """s1, d, low of the sets that an earlier one matches."""
+    post = postings(sets)
+    often = stage_table(post.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHORT).select("key", F.lit(True).alias("often")), "long-lists")
+    lists = post.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key", "left")
+    short = lists.filter("often is null").drop("often")
+    bands = stage_table(parted_by_size(lists.filter("often").drop("often")), "line-lists")
+    near, far = bands.filter(F.col("m") <= SHORT), bands.filter(F.col("m") > SHORT)
+    part = ["key", "band"]
+    early = F.min(F.struct("d", "low", "s1", "n", "at", "bits", "few", "own"))
+    pivots = far.groupBy(*part, F.pmod("s1", F.lit(PIVOTS)).alias("share")).agg(early.alias("p")).select(*part, "p.*")
+    found = matched(docs, classes, joined(short, short, ["key"]).union(joined(near, near, part)).union(joined(far, pivots, part)))
+    cells = F.ceil(F.col("m") / CELL).cast("int")
+    left = far.join(found, _NAME, "left_anti").withColumn("cell", F.pmod("s1", cells).cast("int"))
+    rest = far.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
+    return found.union(matched(docs, classes, joined(left, rest, [*part, "cell"])))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -206,14 +239,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession, "line-matches"):
         near = stage_table(earlier_matches(docs, sets, classes).distinct(), "line-matches", keep=True)
     near = near.withColumn("near", F.lit(True))
-    last = sets.select("s1", "s2", "first", "c").join(near, ["s1", "s2"], "left").filter("c > 1 or near")
+    last = sets.select("s1", "s2", "first", "c", "d", within_id().alias("low")).join(near, _NAME, "left").filter("c > 1 or near").drop("d", "low")
     hit = lines.select("_d", "_r", "line", "s1", "s2").join(last.drop("c"), ["s1", "s2"]).filter(F.col("near").isNotNull() | (place() > F.col("first")))
     return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
 
 
 def deduped(docs: DataFrame) -> DataFrame:
     """_row (the row of ``docs``, later matching lines taken out of its text), _gone (their numbers), _n_lines."""
-    rows = docs.select(F.struct("*").alias("_row"), *row_key()).join(removed_lines(docs), ["_d", "_r"], "left")
+    gone = stage_table(removed_lines(docs), "lines-gone")
+    # texts are not shuffled while the lines to take out of them are few
+    side = F.broadcast(gone) if (gone.agg(F.sum(F.size("_gone") + 4)).first()[0] or 0) <= BROADCAST_GONE else gone
+    rows = docs.select(F.struct("*").alias("_row"), *row_key()).join(side, ["_d", "_r"], "left")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     lines = F.split(F.col("_row.text"), "\n", -1)
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
