@@ -1,7 +1,7 @@
 """Canonical keys of instruments, statements and evidence, as columns.
 
-Text is taken as it is stored: compatibility forms of Unicode are not folded, as no built-in
-function does so; keys of ASCII text are not touched by that.
+Compatibility forms of Unicode are folded where a character has another single one; forms of several
+characters (ligatures, fractions) stay as they are, as no built-in function folds these.
 """
 
 from __future__ import annotations
@@ -32,10 +32,17 @@ def instrument_key(kind: Column, symbol: Column, currency: Column, root=None, ex
     return F.when(token == "OPTION", option).otherwise(F.concat_ws("|", F.lit("ik1"), token, quoted_token(symbol, True), quoted_token(currency)))
 
 
+def ascii_json(x: Column) -> Column:
+    """JSON text with each UTF-16 unit beyond ASCII written as \\uXXXX."""
+    units = F.regexp_extract_all(F.hex(F.encode(x, "UTF-16BE")), F.lit("[0-9A-F]{4}"), F.lit(0))
+    shown = lambda u: F.when(u < "0080", F.char(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
+    return F.when(F.regexp_like(x, F.lit(r"[^\x00-\x7F]")), F.array_join(F.transform(units, shown), "")).otherwise(x)
+
+
 def _digest(version: str, fields: dict[str, Column]) -> Column:
     """SHA-256 of the fields as compact JSON in the order of their names."""
     ordered = F.struct(*(fields[k].alias(k) for k in sorted(fields)))
-    return F.concat(F.lit(f"{version}:"), F.sha2(F.to_json(ordered, {"ignoreNullFields": "false"}), 256))
+    return F.concat(F.lit(f"{version}:"), F.sha2(ascii_json(F.to_json(ordered, {"ignoreNullFields": "false"})), 256))
 
 
 def statement_key(source: Column, institution: Column, account: Column, start: Column, end: Column, kind: Column) -> Column:

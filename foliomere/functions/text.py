@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def identity_token(x: Column, compact: bool = False) -> Column:
     """Upper-case key part: white space collapsed (or taken out when compact)."""
     gap = "" if compact else " "
-    return F.upper(F.regexp_replace(F.trim(F.coalesce(x, F.lit(""))), r"\s+", gap))
+    return F.upper(F.regexp_replace(F.trim(compatible(F.coalesce(x, F.lit("")))), r"\s+", gap))
 
 
 @functools.cache
@@ -77,7 +77,7 @@ def parse_money(x: Column) -> Column:
     bare = F.trim(F.regexp_replace(x, "[$,]", ""))
     dash, number = "[-\u2013\u2212]", r"(?:\d+\.?\d*|\.\d+)"
     form = rf"^(?:{dash}?\s*{number}\s*{dash}?|\(\s*{dash}?\s*{number}\s*{dash}?\s*\))$"
-    value = F.regexp_replace(bare, r"[()\s\u2013\u2212-]", "").try_cast("decimal(18,4)")
+    value = F.regexp_replace(bare, r"[()\s\u2013\u2212-]", "").try_cast("decimal(28,10)")
     return F.when(F.regexp_like(bare, F.lit(form)), F.when(F.regexp_like(bare, F.lit(rf"^\(|{dash}")), -value).otherwise(value))
 
 
@@ -93,7 +93,7 @@ def third_friday(year: Column, month: Column) -> Column:
     return F.date_add(first, F.pmod(F.lit(6) - F.dayofweek(first), F.lit(7)) + 14)
 
 
-#: Printed date forms in the order in which they are tried.
+# Printed date forms in the order in which they are tried.
 DATE_FORMS = ("yyyy-M-d", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "MMM d yyyy", "MMMM d yyyy", "M/d/yyyy", "M/d/yy", "d/M/yyyy")
 # Two-letter months of option contracts.
 OPTION_MONTHS = {"JA": 1, "FE": 2, "FB": 2, "MR": 3, "AP": 4, "MY": 5, "JN": 6, "JL": 7, "AU": 8, "SP": 9, "OC": 10, "NV": 11, "DC": 12}
@@ -104,10 +104,15 @@ def title_months(x: Column) -> Column:
     return F.initcap(F.lower(x))
 
 
+def two_digit_year(day: Column) -> Column:
+    """A day read with two digits of its year as one of 1969 to 2068."""
+    return F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+
+
 def parse_date(x: Column, year: Column | None = None) -> Column:
     """A printed date in any of DATE_FORMS, else a month and day of the given year; null if none fits."""
     bare = title_months(F.rtrim(F.trim(x), F.lit(",")))
-    found = [F.try_to_date(bare, form) for form in DATE_FORMS]
+    found = [two_digit_year(F.try_to_date(bare, form)) if form.endswith("/yy") else F.try_to_date(bare, form) for form in DATE_FORMS]
     if year is not None:
         month, day = (F.regexp_extract(bare, r"^([A-Za-z]{3})[a-z]*[ .-]+(\d{1,2})\b", k) for k in (1, 2))
         found.append(F.try_to_date(F.concat_ws(" ", year.cast("string"), month, day), "yyyy MMM d"))
@@ -123,7 +128,7 @@ def option_month(x: Column) -> Column:
 def option_expiry(x: Column) -> Column:
     """Expiry of a contract: m/d/y as it is; a year and month in either order mean the third Friday."""
     token = F.trim(x)
-    day = F.coalesce(F.try_to_date(token, "M/d/yyyy"), F.try_to_date(token, "M/d/yy"))
+    day = F.coalesce(F.try_to_date(token, "M/d/yyyy"), two_digit_year(F.try_to_date(token, "M/d/yy")))
     part = lambda form, k: F.nullif(F.regexp_extract(token, form, k), F.lit(""))
     first, last = r"^(\d{2})\s*([A-Za-z]{2,3})$", r"^([A-Za-z]{2,3})\s*(\d{2})$"
     year = F.coalesce(part(first, 1), part(last, 2)).cast("int") + 2000

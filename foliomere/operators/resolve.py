@@ -39,52 +39,60 @@ def ladder(rows: DataFrame, steps: list[tuple[str, str, DataFrame]]) -> DataFram
 def by_name(trades: DataFrame, observed: DataFrame) -> DataFrame:
     """row_id, instrument, score, scope, status of trades that print a name only.
 
-    ``trades``: row_id, account_id, trade_date, line; ``observed``: account_id, instrument, as_of, line of
-    holdings. Names meet by what a score asks for, and each two names are scored once."""
-    asked = trades.select("row_id", "account_id", "trade_date", names.name_words(F.col("line")).alias("w")).filter(F.size("w") > 0)
-    known = observed.select("account_id", "instrument", "as_of", names.name_words(F.col("line")).alias("w")).filter(F.size("w") > 0).distinct()
+    ``trades``: row_id, account_id, currency, trade_date, line; ``observed``: account_id, currency, instrument, as_of, line of
+    holdings. A trade is held against all its account has held in its currency; only where no name there is alike at all,
+    against those of any account. The best must lead the next instrument by MARGIN, and in the portfolio say enough:
+    PORTFOLIO, with two telling words in common or the one that both names consist of. Names meet by what a score asks
+    for, and each two names are scored once."""
+    asked = trades.select("row_id", "account_id", "currency", "trade_date", names.name_words(F.col("line")).alias("w"))
+    known = observed.select("account_id", "currency", "instrument", "as_of", names.name_words(F.col("line")).alias("w")).filter(F.size("w") > 0).distinct()
     asked, known = (df.withColumn("s", F.array_join("w", " ")) for df in (asked, known))
     telling = lambda w: ~w.isin(*names.GENERIC)
-    a = asked.select("s", "w").distinct().withColumn("key", F.explode(meeting_keys(F.col("w"))))
+    a = asked.filter(F.size("w") > 0).select("s", "w").distinct().withColumn("key", F.explode(meeting_keys(F.col("w"))))
     b = known.select(F.col("s").alias("z"), F.col("w").alias("v")).distinct().withColumn("key", F.explode(meeting_keys(F.col("v"))))
     met = a.join(b, "key").select("s", "w", "z", "v").distinct()
-    scores = met.withColumn("score", name_similarity(F.col("w"), F.col("v"), names.GENERIC)).filter(f"score >= {ACCOUNT}")
-    scores = scores.select("s", "z", "score", F.size(F.filter(F.array_intersect("w", "v"), telling)).alias("distinct_words"))
-    rows = asked.join(scores, "s").join(known.select("instrument", "as_of", F.col("account_id").alias("held_by"), F.col("s").alias("z")), "z")
-    own = F.col("held_by") == F.col("account_id")
-    fits = rows.filter(own | ((F.col("score") >= PORTFOLIO) & (F.col("distinct_words") >= 2)))
+    common = F.size(F.filter(F.array_intersect("w", "v"), telling))
+    one = (F.array_sort("w") == F.array_sort("v")) & (common == 1)
+    scores = met.select("s", "z", name_similarity(F.col("w"), F.col("v"), names.GENERIC).alias("score"), ((common >= 2) | one).alias("says_enough")).filter("score > 0")
+    rows = asked.join(scores, "s").join(known.select("instrument", "currency", "as_of", F.col("account_id").alias("held_by"), F.col("s").alias("z")), ["z", "currency"])
     gap = F.coalesce(F.abs(F.datediff("trade_date", "as_of")), F.lit(10**9))
-    best = F.max(F.struct(own.alias("own"), F.col("score"), (-gap).alias("near"))).alias("x")
-    each = fits.groupBy("row_id", "instrument").agg(best).select("row_id", "instrument", "x.own", "x.score", "x.near")
-    # an account's own holdings go before those of others
+    best = F.max(F.struct("score", (-gap).alias("near"), "says_enough")).alias("x")
+    each = rows.withColumn("own", F.col("held_by") == F.col("account_id")).groupBy("row_id", "instrument", "own").agg(best).select("row_id", "instrument", "own", "x.*")
+    # an account's own holdings go before all others, also where they settle nothing
     most = Window.partitionBy("row_id")
-    each = each.withColumn("any_own", F.max(F.col("own").cast("int")).over(most)).filter("any_own = 0 or own")
-    order = most.orderBy(F.desc("score"), F.desc("near"), "instrument")
+    each = each.withColumn("any_own", F.max(F.col("own").cast("int")).over(most)).filter((F.col("any_own") == 0) | F.col("own"))
+    order = most.orderBy(F.desc("score"), "instrument")
     ranked = each.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).filter("k = 1")
-    clear = F.col("next").isNull() | (F.round(F.col("score") - F.col("next"), 6) >= MARGIN)
-    return ranked.select(
-        "row_id", F.when(clear, F.col("instrument")).alias("instrument"), "score", F.when(F.col("own"), "account").otherwise("portfolio").alias("scope"), F.when(clear, "resolved").otherwise("ambiguous").alias("status")
-    )
+    clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= MARGIN)
+    clear &= F.when(F.col("own"), F.col("score") >= ACCOUNT).otherwise((F.col("score") >= PORTFOLIO) & F.col("says_enough"))
+    found = ranked.select("row_id", F.when(clear, F.col("instrument")).alias("instrument"), "score", F.when(F.col("own"), "account").otherwise("portfolio").alias("scope"), F.when(clear, "resolved").otherwise("ambiguous").alias("status"))
+    return asked.select("row_id").join(found, "row_id", "left").fillna("unmatched", ["status"])
+
+
+# Points of a holding that may be what a description means, the least sum, and how near quantities must be.
+POINTS = {"word": 6, "all_words": 35, "name": 45, "symbol": 35, "quantity": 25, "currency": 8, "plain": 8}
+LEAST, NEAR = 35, 0.001
 
 
-def by_holdings(trades: DataFrame, held: DataFrame, least: float = 35) -> DataFrame:
+def by_holdings(trades: DataFrame, held: DataFrame, least: float = LEAST) -> DataFrame:
     """row_id, instrument, score: the holding of a trade's own statement that fits its line best, from ``least`` on.
 
     ``trades``: row_id, statement_id, line, quantity, currency; ``held``: statement_id, instrument, name, symbol,
-    quantity, currency, plain (whether the symbol is one)."""
+    quantity, currency, plain (whether the symbol is one), seq (their order; of equal scores the first counts). A row's own quantity goes before one that its line
+    prints; without telling words on either side there is no score."""
     rows = trades.select("row_id", "statement_id", "line", F.col("quantity").alias("q"), F.col("currency").alias("c")).join(held, "statement_id")
-    asked, words = names.name_words(F.col("line")), names.name_words(F.col("name"))
-    rows = rows.withColumn("w", asked).withColumn("v", words)
+    rows = rows.withColumn("w", names.holding_words(F.col("line"))).withColumn("v", names.holding_words(F.col("name"))).filter((F.size("w") > 0) & (F.size("v") > 0))
     common = F.size(F.array_intersect("w", "v"))
-    hint = F.coalesce(names.shares_hint(F.col("line")), F.abs("q"))
+    hint = F.coalesce(F.abs("q"), names.shares_hint(F.col("line")))
+    title = names.holding_name(F.col("name"))
     points = (
-        6 * common
-        + F.when((F.size("v") >= 2) & (common == F.size("v")), 35).otherwise(0)
-        + F.when(F.contains(names.plain_line(F.col("line")), names.plain_line(F.col("name"))) & (F.col("name") != ""), 45).otherwise(0)
-        + F.when(F.array_contains("w", F.col("symbol")), 35).otherwise(0)
-        + F.when(F.abs(hint - F.abs("quantity")) <= 0.001, 25).otherwise(0)
-        + F.when(F.col("c") == F.col("currency"), 8).otherwise(0)
-        + F.when(F.col("plain"), 8).otherwise(0)
+        POINTS["word"] * common
+        + F.when((F.size("v") >= 2) & (common == F.size("v")), POINTS["all_words"]).otherwise(0)
+        + F.when(F.contains(names.holding_name(F.col("line")), title) & (title != ""), POINTS["name"]).otherwise(0)
+        + F.when(F.array_contains("w", F.upper("symbol")), POINTS["symbol"]).otherwise(0)
+        + F.when(F.abs(hint - F.abs("quantity")) < NEAR, POINTS["quantity"]).otherwise(0)
+        + F.when(F.col("c") == F.col("currency"), POINTS["currency"]).otherwise(0)
+        + F.when(F.col("plain"), POINTS["plain"]).otherwise(0)
     )
-    best = F.max(F.struct(points.cast("double").alias("score"), (-F.xxhash64("instrument")).alias("tie"), "instrument")).alias("x")
+    best = F.max(F.struct(points.cast("double").alias("score"), (-F.col("seq")).alias("tie"), "instrument")).alias("x")
     return rows.groupBy("row_id").agg(best).select("row_id", "x.instrument", "x.score").filter(F.col("score") >= least)

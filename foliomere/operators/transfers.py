@@ -20,7 +20,7 @@ REACH = 7
 
 def pair_transfers(moves: DataFrame, keys: list[str]) -> DataFrame:
     """out_id, in_id, days, status of outgoing rows. ``moves``: keys, row_id, account_id, day, quantity (out < 0)."""
-    rows = moves.filter(F.col("quantity") != 0).withColumn("size", F.round(F.abs("quantity"), 8))
+    rows = moves.filter(F.col("quantity") != 0).withColumn("size", F.bround(F.abs("quantity"), 8))
     rows = rows.select(F.to_json(F.struct(*keys, "size")).alias("g"), "row_id", F.col("account_id").cast("string").alias("account"), F.unix_date(F.col("day").cast("date")).alias("day"), "quantity")
     out = rows.filter("quantity < 0").select("g", "day", F.lit(1).alias("side"), "account", "row_id", F.lit(0).cast("long").alias("n"), F.col("day").alias("turn"))
     into = rows.filter("quantity > 0 and day is not null").groupBy("g", "day", "account").agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))

@@ -58,12 +58,12 @@ def made_symbols(t: Ledger) -> DataFrame:
     return t.raw("part").select("p_partkey", names.made_symbol(described).alias("symbol"), names.plain_line(F.concat(F.lit(" "), "p_type", F.lit("  "))).alias("line"))
 
 
-@query("""SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS worded, CAST(o_orderdate AS DATE) AS slashed, CAST(o_orderdate AS DATE) AS hinted FROM orders""")
+@query("""SELECT DISTINCT CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS worded, CAST(o_orderdate AS DATE) AS slashed, CAST(o_orderdate AS DATE) AS short, CAST(o_orderdate AS DATE) AS hinted FROM orders""")
 def printed_dates(t: Ledger) -> DataFrame:
     """Days printed in several forms and read back."""
     d = F.to_date("o_orderdate")
     rows = t.raw("orders").select(d.alias("day")).distinct()
-    shown = {"iso": "yyyy/MM/dd", "worded": "MMMM d, yyyy", "slashed": "M/d/yyyy"}
+    shown = {"iso": "yyyy/MM/dd", "worded": "MMMM d, yyyy", "slashed": "M/d/yyyy", "short": "MM/dd/yy"}
     read = [text.parse_date(F.upper(F.date_format("day", form))).alias(k) for k, form in shown.items()]
     return rows.select("day", *read, text.parse_date(F.date_format("day", "MMM d"), F.year("day")).alias("hinted"))
 
@@ -377,15 +377,38 @@ def holdings_replay(t: Ledger) -> DataFrame:
     return replay.by_lineage(out)
 
 
-@query()
+_CURRENCY_OF = "CASE WHEN p_partkey % 3 = 0 THEN 'USD' ELSE 'CAD' END"
+
+
+@query(f"""WITH named AS (SELECT p_partkey, p_brand, p_size, {_CURRENCY_OF} AS currency, list_distinct(string_split(upper(p_name), ' ')) AS w, string_split(upper(p_name), ' ')[1] AS f FROM part),
+ held AS (SELECT p_brand AS held_by, currency, p_partkey AS instrument, p_size AS gap, w AS v, f AS g FROM named WHERE p_size % 2 = 1),
+ met AS (SELECT a.p_partkey AS row_id, held_by = a.p_brand AS own, instrument, gap, len(list_intersect(w, v)) AS both_n, len(list_distinct(list_concat(w, v))) AS either_n, least(len(w), len(v)) AS small, f, g FROM named a JOIN held b ON a.currency = b.currency WHERE a.p_size % 2 = 0),
+ scored AS (SELECT *, CASE WHEN both_n = either_n THEN 1.0::DOUBLE WHEN both_n >= 2 AND both_n = small THEN 0.97::DOUBLE WHEN both_n >= 2 AND 100 * both_n >= 55 * either_n AND 100 * both_n >= 75 * small THEN 0.9::DOUBLE WHEN f = g AND length(f) >= 5 THEN 0.86::DOUBLE ELSE 0 END AS score FROM met),
+ scoped AS (SELECT *, bool_or(own) OVER (PARTITION BY row_id) AS any_own FROM scored WHERE score > 0),
+ each AS (SELECT row_id, own, instrument, MAX(score) AS score, MAX(both_n) AS both_n FROM scoped WHERE own OR NOT any_own GROUP BY ALL),
+ ranked AS (SELECT *, lead(score) OVER (PARTITION BY row_id ORDER BY score DESC, instrument) AS nxt FROM each QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY score DESC, instrument) = 1),
+ judged AS (SELECT *, COALESCE(score - nxt >= 0.1, TRUE) AND (own OR (score >= 0.97 AND both_n >= 2)) AS clear FROM ranked)
+SELECT p_partkey AS row_id, CASE WHEN clear THEN instrument END AS instrument, score, CASE WHEN own THEN 'account' WHEN NOT own THEN 'portfolio' END AS scope, CASE WHEN clear THEN 'resolved' WHEN NOT clear THEN 'ambiguous' ELSE 'unmatched' END AS status
+FROM named LEFT JOIN judged ON row_id = p_partkey WHERE p_size % 2 = 0""")
 def trade_names(t: Ledger) -> DataFrame:
-    """Trades by the name of a part alone, against what the accounts of its brand hold. Held against all pairs in tests."""
-    p = t.raw("part").select("p_partkey", "p_brand", "p_size", "p_name")
-    trades = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("account_id"), F.lit("2024-01-31").cast("date").alias("trade_date"), F.concat(F.lit("BOUGHT "), "p_name", F.lit(" 10 5.00 50.00")).alias("line"))
-    held = p.filter("p_size % 2 = 1").select(F.col("p_brand").alias("account_id"), F.col("p_partkey").alias("instrument"), F.date_sub(F.lit("2024-01-31").cast("date"), F.col("p_size")).alias("as_of"), F.col("p_name").alias("line"))
+    """Trades by the name of a part alone, against what the accounts of its brand hold, else any account."""
+    p = t.raw("part").select("p_partkey", "p_brand", "p_size", "p_name", F.expr(_CURRENCY_OF).alias("currency"))
+    trades = p.filter("p_size % 2 = 0").select(F.col("p_partkey").alias("row_id"), F.col("p_brand").alias("account_id"), "currency", F.lit("2024-01-31").cast("date").alias("trade_date"), F.concat(F.lit("BOUGHT "), "p_name", F.lit(" 10 5.00 50.00")).alias("line"))
+    held = p.filter("p_size % 2 = 1").select(F.col("p_brand").alias("account_id"), "currency", F.col("p_partkey").alias("instrument"), F.date_sub(F.lit("2024-01-31").cast("date"), F.col("p_size")).alias("as_of"), F.col("p_name").alias("line"))
     return resolve.by_name(trades, held)
 
 
+@query("""WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL), shown AS (SELECT DISTINCT doc_id, raw FROM lines),
+ quoted AS (SELECT doc_id, raw, concat('{"kind":"LINE","occurrence":1,"raw":', to_json(raw), ',"rule":"a","source":"b.txt"}') AS j FROM shown)
+SELECT doc_id, sha256(raw) AS raw_sha, concat('ev2:', sha256(list_aggregate(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN printf('\\u%04x', unicode(c))
+ ELSE printf('\\u%04x\\u%04x', 55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)) END), 'string_agg', ''))) AS evidence_key FROM quoted""")
+def line_evidence_keys(t: Ledger) -> DataFrame:
+    """Keys of all distinct lines of documents, whose letters beyond ASCII are hashed escaped."""
+    rows = t.raw("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("raw")).distinct()
+    key = identity.evidence_key(F.lit("b.txt"), F.lit("line"), F.lit(1), F.col("raw"), F.lit("a"))
+    return rows.select("doc_id", F.sha2("raw", 256).alias("raw_sha"), key.alias("evidence_key"))
+
+
 def _statement_texts(t: Ledger) -> DataFrame:
     """relpath, page, line, text: each statement printed with its headings and movements."""
     s = t.statements().select(F.col("statement_id").alias("relpath"), *cash.SCOPE, "period_start", "period_end")

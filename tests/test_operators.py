@@ -338,7 +338,6 @@ def test_instrument_rules_and_quarantine(spark):
 
 
 def test_trades_by_name_equal_all_pairs(spark):
-    import itertools
     import random
 
     from foliomere.operators import resolve
@@ -346,48 +345,73 @@ def test_trades_by_name_equal_all_pairs(spark):
     rng = random.Random(5)
     words = ["BARRICK", "GOLD", "MINING", "GLOBAL", "ENERGY", "NORTH", "RES", "BOND"]
     line = lambda: " ".join(rng.sample(words, rng.randrange(1, 4)))
-    trades = [(k, rng.randrange(3), D(2024, 1, rng.randrange(1, 28)), line()) for k in range(60)]
-    held = [(rng.randrange(3), rng.randrange(12), D(2024, 1, rng.randrange(1, 28)), line()) for _ in range(40)]
-    a = spark.createDataFrame(trades, "row_id int, account_id int, trade_date date, line string")
-    b = spark.createDataFrame(held, "account_id int, instrument int, as_of date, line string")
+    trades = [(k, rng.randrange(4), rng.choice(["CAD", "USD"]), D(2024, 1, rng.randrange(1, 28)), line()) for k in range(90)] + [(90, 9, "CAD", None, "10 5 50"), (91, 9, "CAD", D(2024, 1, 1), "ENERGY")]
+    held = [(rng.randrange(3), rng.choice(["CAD", "USD"]), rng.randrange(12), D(2024, 1, rng.randrange(1, 28)), line()) for _ in range(40)]
+    held += [(7, "CAD", 50, None, "NORTH BOND ENERGY"), (8, "EUR", 60, D(2024, 1, 1), "GOLD MINING"), (6, "EUR", 61, D(2024, 1, 1), "ENERGY")]
+    trades += [(92, 1, "EUR", D(2024, 1, 1), "GOLD MINING NORTH"), (93, 1, "EUR", D(2024, 1, 1), "ENERGY")]
+    a = spark.createDataFrame(trades, "row_id int, account_id int, currency string, trade_date date, line string")
+    b = spark.createDataFrame(held, "account_id int, currency string, instrument int, as_of date, line string")
     full = {"RES": "RESOURCES"}
 
     def score(x, y):
-        x, y = ([full.get(w, w) for w in s.split()] for s in (x, y))
         both, either = len(set(x) & set(y)), len(set(x) | set(y))
-        distinct = len(set(x) & set(y) - {"GLOBAL"})
         if set(x) == set(y):
-            return 1.0, distinct
+            return 1.0
         if both >= 2 and both == min(len(x), len(y)):
-            return 0.97, distinct
+            return 0.97
         if both >= 2 and both / either >= 0.55 and both / min(len(x), len(y)) >= 0.75:
-            return 0.9, distinct
-        return (0.86 if x[0] == y[0] and x[0] != "GLOBAL" and len(x[0]) >= 5 else 0.0), distinct
-
-    want = {}
-    for k, account, day, text_ in trades:
-        best = {}
-        for other, instrument, at, name in held:
-            s, n = score(text_, name)
-            if (other == account and s >= 0.85) or (other != account and s >= 0.97 and n >= 2):
-                best[instrument] = max(best.get(instrument, (False, 0, 0)), (other == account, s, -abs((day - at).days)))
-        if any(own for own, *_ in best.values()):
-            best = {i: v for i, v in best.items() if v[0]}
-        order = sorted(best.items(), key=lambda x: (-x[1][1], -x[1][2], x[0]))
-        if order:
-            clear = len(order) == 1 or round(order[0][1][1] - order[1][1][1], 6) >= 0.1
-            want[k] = (order[0][0] if clear else None, order[0][1][1], "resolved" if clear else "ambiguous")
-    got = {r.row_id: (r.instrument, r.score, r.status) for r in resolve.by_name(a, b).collect()}
-    assert got == want and {v[2] for v in want.values()} == {"resolved", "ambiguous"}
-    assert any(True for _ in itertools.islice(got, 1))
+            return 0.9
+        return 0.86 if x[0] == y[0] and x[0] != "GLOBAL" and len(x[0]) >= 5 else 0.0
+
+    want, said = {}, lambda t: [full.get(w, w) for w in t.split() if not w.isdigit()]
+    for k, account, currency, day, text_ in trades:
+        x = said(text_)
+        for scope in ("account", "portfolio"):
+            best = {}
+            for other, c, instrument, at, name in held:
+                if x and c == currency and (scope == "portfolio" or other == account) and (s := score(x, said(name))):
+                    gap = -abs((day - at).days) if day and at else -(10**9)
+                    both = set(x) & set(said(name)) - {"GLOBAL"}
+                    best[instrument] = max(best.get(instrument, (0,)), (s, gap, len(both) >= 2 or (set(x) == set(said(name)) and len(both) == 1)))
+            order = sorted(best.items(), key=lambda i: (-i[1][0], i[0]))
+            if order:
+                (top, (s, _, enough)), after = order[0], order[1:]
+                clear = (not after or s - after[0][1][0] >= 0.1) and (scope == "account" or (s >= 0.97 and enough))
+                want[k] = (top if clear else None, s, scope, "resolved" if clear else "ambiguous")
+                break
+        else:
+            want[k] = (None, None, None, "unmatched")
+    got = {r.row_id: (r.instrument, r.score, r.scope, r.status) for r in resolve.by_name(a, b).collect()}
+    assert got == want and len({v[2:] for v in want.values()}) == 5
+    # a close rival keeps a portfolio name open; a single telling word that is the whole name does not
+    assert got[92] == (60, 0.97, "portfolio", "resolved") and got[93] == (61, 1.0, "portfolio", "resolved")
 
 
 def test_best_holding_of_the_statement(spark):
     from foliomere.operators import resolve
 
-    trades = spark.createDataFrame([(1, 9, "DIVIDEND Acme Corp Energy ON 40 SHS", None, "CAD"), (2, 9, "nothing alike", 1.0, "CAD")], "row_id int, statement_id int, line string, quantity double, currency string")
-    held = spark.createDataFrame([(9, 5, "ACME ENERGY", "AE", 40.0, "CAD", True), (9, 6, "ACME MINING", "AM", 7.0, "USD", False)], "statement_id int, instrument int, name string, symbol string, quantity double, currency string, plain boolean")
-    assert [(r.row_id, r.instrument, r.score) for r in resolve.by_holdings(trades, held).collect()] == [(1, 5, 12 + 35 + 25 + 8 + 8)]
+    trades = spark.createDataFrame([(1, 9, "DIVIDEND Acme Corp Energy ON 40 SHS", None, "CAD"), (2, 9, "nothing alike", 1.0, "CAD"), (3, 9, "Acme Mining ON 40 SHS", 7.0, "EUR"), (4, 9, "1,000 - $5", 40.0, "CAD")], "row_id int, statement_id int, line string, quantity double, currency string")
+    held = spark.createDataFrame([(9, 5, "ACME ENERGY", "AE", 40.0, "CAD", True, 1), (9, 6, "ACME MINING", "AM", 7.0, "USD", False, 2), (9, 7, "", "X", 40.0, "CAD", True, 3)], "statement_id int, instrument int, name string, symbol string, quantity double, currency string, plain boolean, seq int")
+    got = {r.row_id: (r.instrument, r.score) for r in resolve.by_holdings(trades, held).collect()}
+    assert got == {1: (5, 12 + 35 + 25 + 8 + 8), 3: (6, 12 + 35 + 45 + 25)}  # a row's own quantity goes before the printed one
+
+
+def test_printed_values_and_keys(spark):
+    import hashlib
+    import json
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("v")).first().v
+    assert [get(text.parse_money(F.lit(x)).cast("double")) for x in ("0.123456", "123456789012345.5", "(0.00000001)")] == [0.123456, 123456789012345.5, -1e-8]
+    assert [get(text.parse_date(F.lit(x))) for x in ("01/17/98", "1/2/03", "12/31/68", "1/1/69", "2/29/96")] == [D(1998, 1, 17), D(2003, 1, 2), D(2068, 12, 31), D(1969, 1, 1), D(1996, 2, 29)]
+    raw = "Caf\u00e9 \u2013 1 \U0001f600"
+    fields = {"kind": "POSITION", "occurrence": 2, "raw": raw, "rule": "", "source": "a.txt"}
+    want = "ev2:" + hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    assert get(identity.evidence_key(F.lit("a.txt"), F.lit("position"), F.lit(2), F.lit(raw), F.lit(None).cast("string"))) == want
+    assert get(identity.quoted_token(F.lit(" \uff21\u00a0b "))) == "A%20B"
+    assert [get(names.made_symbol(F.lit(x))) for x in ("Acme 5YR note 2,000.5", "5 Acme", "---")] == ["ACMEYR_NOTE", "5_ACME", "UNKNOWN"]
+    assert [get(names.name_prefix(F.lit(x))) for x in ("BOUGHT Acme|Corp WO-123456 10 5.00 $50.00 rest", "sell 3 for one", "Bought")] == ["ACME CORP", "3 FOR ONE", "BOUGHT"]
+
 
 
 def test_evidence_places_and_boxes(spark):
