@@ -8,9 +8,9 @@ possible; what is left is verified on the whole sets. Equal sets are one class b
 
 A line goes if an earlier line, by (doc_id, text hash, line), is equal or similar enough, whether
 that one stays or not. Sets of a token's list meet each other; a list of more than SHORT sets is parted by
-their sizes first, as only sizes near each other can match. A set is done once one earlier match is known, so
-each meets the earliest set with its rarest token before all, and where a part of a list is still long, its
-sets meet a few early ones, and only those without a match so far meet the others, in cells of a bounded size. None of this changes which lines go.
+their sizes first, as only sizes near each other can match. Where such a part is still longer, all its
+sets meet a few early ones, and only those without a match so far meet the others, in cells of a
+bounded size: a set is done once one earlier match is known. None of this changes which lines go.
 Lines without words stay and match nothing.
 
 A row is known by its doc_id and 64 bits of its text's hash, so texts that share an id (or have
@@ -170,13 +170,11 @@ _NAME = ["s1", "d", "low"]
 
 
 def joined(later: DataFrame, earlier: DataFrame, on: list[str]) -> DataFrame:
-    """Names of sets a and b (columns s1, d, low with suffixes _a, _b) that share a list and may match, where b has the earlier first place.
-
-    Sets that are done already are not asked for, but others may still match them."""
+    """Names of sets a and b (columns s1, d, low with suffixes _a, _b) that share a list and may match, where b has the earlier first place."""
     same_id = F.col("b.d") == F.col("a.d")
     # equal places (texts of one id whose hashes share 32 bits) are told apart by s1
     before = (F.col("b.d") < F.col("a.d")) | (same_id & (F.col("b.low") < F.col("a.low"))) | (same_id & (F.col("b.low") == F.col("a.low")) & (F.col("b.s1") < F.col("a.s1")))
-    match = ~F.col("a.done") & before & may_match("a", "b")
+    match = before & may_match("a", "b")
     if "band" in on:
         match &= F.col("a.own") | F.col("b.own")
     for c in on:
@@ -201,11 +199,8 @@ def words_of(docs: DataFrame, names: DataFrame, classes: DataFrame) -> DataFrame
     return stage_table(got.filter(s1 == F.col("s1")).select(*_NAME, "h").dropDuplicates(_NAME), "line-words")
 
 
-def matched(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """s1, d, low of the later set of each of ``pairs`` that is similar enough."""
-    pairs = stage_table(pairs.distinct(), "line-pairs")
-    side = lambda t: pairs.select(*(F.col(f"{c}_{t}").alias(c) for c in _NAME))
-    whole = words_of(docs, side("a").union(side("b")).distinct(), classes)
+def matched(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """s1, d, low of the later set of each of ``pairs`` that is similar enough; ``whole`` has the words of their sets."""
     of = lambda t: whole.select(*(F.col(c).alias(f"{c}_{t}") for c in _NAME), F.col("h").alias(f"h_{t}"))
     both = pairs
     for t in "ab":
@@ -215,31 +210,27 @@ def matched(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     return stage_table(good.select(*(F.col(f"{c}_a").alias(c) for c in _NAME)).distinct(), "line-links")
 
 
-def first_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """s1, d, low of sets that match the earliest set with the same rarest token: most of a group of near copies, in one pair each."""
-    own = sets.filter("prefix is not null").select(F.get("prefix", F.lit(0)).alias("key"), "s1", "d", within_id().alias("low"), "n", F.lit(0).alias("at"), "bits", "few")
-    first = own.groupBy("key").agg(F.min(F.struct("d", "low", "s1", "n", "at", "bits", "few")).alias("p"), F.count("*").alias("m")).filter("m > 1").select("key", "p.*")
-    return matched(docs, classes, joined(own.withColumn("done", F.lit(False)), first, ["key"]))
-
-
 def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """s1, d, low of the sets that an earlier one matches."""
-    done = first_matches(docs, sets, classes)
-    marks = done.withColumn("done", F.lit(True))
-    post = postings(sets).join(F.broadcast(marks) if done.count() <= BROADCAST_LINES else marks, _NAME, "left").fillna(False, ["done"])
+    post = postings(sets)
     often = stage_table(post.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHORT).select("key", F.lit(True).alias("often")), "long-lists")
     lists = post.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key", "left")
     short = lists.filter("often is null").drop("often")
-    bands = stage_table(parted_by_size(lists.filter("often").drop("often")), "line-lists")
+    long = stage_table(lists.filter("often").drop("often"), "long-postings")
+    bands = stage_table(parted_by_size(long), "line-lists")
     near, far = bands.filter(F.col("m") <= SHORT), bands.filter(F.col("m") > SHORT)
     part = ["key", "band"]
     early = F.min(F.struct("d", "low", "s1", "n", "at", "bits", "few", "own"))
     pivots = far.groupBy(*part, F.pmod("s1", F.lit(PIVOTS)).alias("share")).agg(early.alias("p")).select(*part, "p.*")
-    found = matched(docs, classes, joined(short, short, ["key"]).union(joined(near, near, part)).union(joined(far, pivots, part)))
+    pairs = stage_table(joined(short, short, ["key"]).union(joined(near, near, part)).union(joined(far, pivots, part)).distinct(), "line-pairs")
+    side = lambda t: pairs.select(*(F.col(f"{c}_{t}").alias(c) for c in _NAME))
+    # the sets of long parts come along, so the texts are read once for both rounds
+    whole = words_of(docs, side("a").union(side("b")).union(far.select(*_NAME)).distinct(), classes)
+    found = matched(pairs, whole)
     cells = F.ceil(F.col("m") / CELL).cast("int")
     left = far.join(found, _NAME, "left_anti").withColumn("cell", F.pmod("s1", cells).cast("int"))
     rest = far.withColumn("cell", F.explode(F.sequence(F.lit(0), cells - 1)))
-    return done.union(found).union(matched(docs, classes, joined(left, rest, [*part, "cell"])))
+    return found.union(matched(joined(left, rest, [*part, "cell"]).distinct(), whole))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
