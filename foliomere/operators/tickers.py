@@ -59,12 +59,15 @@ def walked(edges: DataFrame) -> DataFrame:
     known = F.col("up").isNotNull()
     state = up.select("id", F.coalesce("up", "id").alias("up"), F.when(known, 1).otherwise(0).alias("steps"), F.least("id", "up").alias("ring"), F.col("seq").alias("last"), (~known).alias("ended"))
     state = cut(state)
-    for _ in range(max(1, math.ceil(math.log2(state.count() + 1)))):
-        if state.filter("not ended").isEmpty():
-            break
+    for _ in range(math.ceil(math.log2(state.count() + 1)) + 1):
         other = state.select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("steps").alias("_steps"), F.col("ring").alias("_ring"), F.col("last").alias("_last"), F.col("ended").alias("_ended"))
         both = state.join(other, F.col("up") == F.col("_id"))
-        state = cut(both.select("id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("ring", "_ring").alias("ring"), F.greatest("last", "_last").alias("last"), F.col("_ended").alias("ended")))
+        moved = (F.col("_ring") < F.col("ring")) | (F.col("_ended") != F.col("ended"))
+        state = cut(both.select("id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"), F.least("ring", "_ring").alias("ring"), F.greatest("last", "_last").alias("last"), F.col("_ended").alias("ended"), (moved & ~F.col("ended")).alias("moved")))
+        # where no chain has ended and no ring found a smaller instrument, the steps go all the way round
+        if state.filter("moved").isEmpty():
+            break
+        state = state.drop("moved")
     inside = lambda c: F.when(~F.col("ended"), F.col(c)).alias(c)
     return state.select(F.col("id").alias("instrument_id"), F.when(F.col("ended"), F.col("up")).alias("root"), F.when(F.col("ended"), F.col("steps")).alias("steps"), inside("ring"), inside("last"))
 
