@@ -36,7 +36,7 @@ PERCENT = 90
 #: Buckets of the occurrence count, as a power of two: its size does not depend on the corpus.
 BITS = 20
 #: Sets of a token's list up to which all are paired at once, the early ones that the sets of longer lists meet first, and sets of a cell.
-SHORT, PIVOTS, CELL = 64, 4, 2048
+SHORT, PIVOTS, CELL = 128, 4, 2048
 #: Tokens of long lists that may be broadcast, 10 MB; more are joined by a shuffle.
 BROADCAST_KEYS = 300_000
 #: One in so many tokens is in the second signature of a set; all are in the first, which large sets fill.
