@@ -88,10 +88,10 @@ def recorded(changes: DataFrame, instruments: DataFrame) -> DataFrame:
         rings = cut(places.filter("ring is not null").select("instrument_id", "ring", "last"))
         if rings.isEmpty():
             break
-        # a record that was refused may hold once a ring is broken; rings that none of these touches are broken at once
-        idle = tried.filter("not holds")
-        ends = idle.select(F.col("from_id").alias("instrument_id")).union(idle.select("to_id"))
-        touched = rings.join(ends, "instrument_id", "left_semi").select("ring").distinct().withColumn("_t", F.lit(True))
+        # a record that was refused may hold once a ring is broken; rings that none of these leads out of are broken at once
+        of = lambda c: rings.select(F.col("instrument_id").alias(c), F.col("ring").alias(f"_{c}"))
+        idle = tried.filter("not holds").join(of("from_id"), "from_id", "left").join(of("to_id"), "to_id", "left").filter("not (_from_id <=> _to_id)")
+        touched = idle.select(F.explode(F.array_compact(F.array("_from_id", "_to_id"))).alias("ring")).distinct().withColumn("_t", F.lit(True))
         each = rings.groupBy("ring").agg(F.max("last").alias("last")).join(touched, "ring", "left")
         least = each.filter("_t").agg(F.min("last").alias("m")).first()["m"]
         drop = cut(each.filter(F.col("_t").isNull() | (F.col("last") == F.lit(least))).select(F.col("last").alias("seq")))
