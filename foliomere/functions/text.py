@@ -11,6 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(x: Column, f) -> Column:
+    """``f`` of a value that is computed a single time, however often ``f`` names it.
+
+    Inside lambdas and conditions Spark computes a repeated expression anew at each place."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def identity_token(x: Column, compact: bool = False) -> Column:
     """Upper-case key part: white space collapsed (or taken out when compact)."""
     gap = "" if compact else " "
@@ -74,11 +81,14 @@ def parse_money(x: Column) -> Column:
     """Amount of a printed figure; null if it is not one.
 
     $ and commas are dropped; brackets, or a leading or trailing dash, negate; no other dash may stand in it."""
-    bare = F.trim(F.regexp_replace(x, "[$,]", ""))
     dash, number = "[-\u2013\u2212]", r"(?:\d+\.?\d*|\.\d+)"
     form = rf"^(?:{dash}?\s*{number}\s*{dash}?|\(\s*{dash}?\s*{number}\s*{dash}?\s*\))$"
-    value = F.regexp_replace(bare, r"[()\s\u2013\u2212-]", "").try_cast("decimal(28,10)")
-    return F.when(F.regexp_like(bare, F.lit(form)), F.when(F.regexp_like(bare, F.lit(rf"^\(|{dash}")), -value).otherwise(value))
+
+    def read(bare: Column) -> Column:
+        value = F.regexp_replace(bare, r"[()\s\u2013\u2212-]", "").try_cast("decimal(28,10)")
+        return F.when(F.regexp_like(bare, F.lit(form)), F.when(F.regexp_like(bare, F.lit(rf"^\(|{dash}")), -value).otherwise(value))
+
+    return once(F.trim(F.regexp_replace(x, "[$,]", "")), read)
 
 
 def parse_percent(x: Column) -> Column:
@@ -99,6 +109,11 @@ DATE_FORMS = ("yyyy-M-d", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "d MMMM yyyy",
 OPTION_MONTHS = {"JA": 1, "FE": 2, "FB": 2, "MR": 3, "AP": 4, "MY": 5, "JN": 6, "JL": 7, "AU": 8, "SP": 9, "OC": 10, "NV": 11, "DC": 12}
 
 
+def _shape(form: str) -> str:
+    """What every text of a date form has: a letter or none at its start, and its marks in their order."""
+    return ("^[^0-9]" if form[0] == "M" and form.startswith("MMM") else "^[^A-Za-z]") + ".*" + ".*".join(c for c in form if c in "-/, ")
+
+
 def title_months(x: Column) -> Column:
     """Words with a capital first letter alone, as date forms ask for."""
     return F.initcap(F.lower(x))
@@ -111,12 +126,19 @@ def two_digit_year(day: Column) -> Column:
 
 def parse_date(x: Column, year: Column | None = None) -> Column:
     """A printed date in any of DATE_FORMS, else a month and day of the given year; null if none fits."""
-    bare = title_months(F.rtrim(F.trim(x), F.lit(",")))
-    found = [two_digit_year(F.try_to_date(bare, form)) if form.endswith("/yy") else F.try_to_date(bare, form) for form in DATE_FORMS]
-    if year is not None:
-        month, day = (F.regexp_extract(bare, r"^([A-Za-z]{3})[a-z]*[ .-]+(\d{1,2})\b", k) for k in (1, 2))
-        found.append(F.try_to_date(F.concat_ws(" ", year.cast("string"), month, day), "yyyy MMM d"))
-    return F.coalesce(*found)
+
+    def read(bare: Column) -> Column:
+        found = []
+        for form in DATE_FORMS:
+            day = F.try_to_date(bare, form)
+            # a failed parse costs far more than a look at the marks that the form asks for
+            found.append(F.when(F.regexp_like(bare, F.lit(_shape(form))), two_digit_year(day) if form.endswith("/yy") else day))
+        if year is not None:
+            month, day = (F.regexp_extract(bare, r"^([A-Za-z]{3})[a-z]*[ .-]+(\d{1,2})\b", k) for k in (1, 2))
+            found.append(F.try_to_date(F.concat_ws(" ", year.cast("string"), month, day), "yyyy MMM d"))
+        return F.coalesce(*found)
+
+    return once(title_months(F.rtrim(F.trim(x), F.lit(","))), read)
 
 
 def option_month(x: Column) -> Column:
