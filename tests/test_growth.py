@@ -16,3 +16,10 @@ def optimized(df) -> str:
 def test_a_name_is_split_once(spark):
     df = spark.createDataFrame([("Bought hot ring Inc rty AB-123456 100 $12.50 1,250.00 left",)], "x string").select(F.array_join(names.name_words(F.col("x")), " ").alias("w"))
     assert optimized(df).count("split(") == 1 and df.first().w == "HOT RING REALTY"
+
+
+def test_lines_of_all_brokers_are_made_once(spark):
+    from foliomere.operators import brokers
+
+    lines = spark.createDataFrame([("a", 1, 0, "TD Direct Investing"), ("a", 1, 1, "Account number: A1")], "relpath string, page int, line int, text string")
+    assert optimized(brokers.parsed(lines.filter("text != 'zzz'"), brokers.cash)).count("zzz") == 0
