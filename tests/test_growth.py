@@ -23,3 +23,43 @@ def test_lines_of_all_brokers_are_made_once(spark):
 
     lines = spark.createDataFrame([("a", 1, 0, "TD Direct Investing"), ("a", 1, 1, "Account number: A1")], "relpath string, page int, line int, text string")
     assert optimized(brokers.parsed(lines.filter("text != 'zzz'"), brokers.cash)).count("zzz") == 0
+
+
+def test_a_line_is_as_long_as_its_print(spark):
+    from foliomere.operators import evidence
+
+    lines = spark.createDataFrame([("a", 1, 0, "x abcdef ghijß y")], "relpath string, page int, line int, text string")
+    used = spark.createDataFrame([("a", "abcdef ghijß")], "relpath string, raw string")
+    assert [(r.lines, r.matched) for r in evidence.coverage(lines, used).collect()] == [(1, 0)]  # 12 characters are no more than 12
+    assert spark.range(1).select(names.plain_line(F.lit("straße  ﬁt ᾳ"))).first()[0] == "STRAẞE ﬁT ᾼ"
+
+
+def test_classes_of_names_stand_for_all_pairs(spark):
+    from foliomere.operators import listing
+
+    texts = ["RED RING", "RING RED", "RED RING BOLT", "HOT", "LARGE", "LARGE RED", ""]
+    rows = spark.createDataFrame([(k, texts[k * k % 7]) for k in range(140)], "id int, x string").select("id", text.name_tokens(F.col("x")).alias("t"))
+    out = listing.similar_classes(rows).collect()
+    head = {r.id: r.id for r in rows.filter("size(t) > 0").collect()}
+    of = {r.id: tuple(r.t) for r in rows.collect()}
+    head |= {r.right_id: r.left_id for r in out if of[r.left_id] == of[r.right_id]}
+    score = {(r.left_id, r.right_id): r.score for r in out}
+    every = {(r.left_id, r.right_id): r.score for r in listing.similar_names(rows).collect()}
+    back = {}
+    for i in head:
+        for j in head:
+            if i < j and (s := 1.0 if head[i] == head[j] else score.get(tuple(sorted((head[i], head[j]))))):
+                back[i, j] = s
+    assert back == every and len(out) < 160 < len(every)
+
+
+def test_pairs_of_parts_are_told_by_classes(spark):
+    from foliomere.operators import listing
+
+    data = [(k, "b" if k % 5 else "c", k % 3, k % 2) for k in range(60)] + [(100, "z", 1, 0), (101, None, 1, 0)]
+    rows = listing.paired_classes(spark.createDataFrame(data, "id int, brand string, size int, side int"), "id", ["brand", "size"], "side").collect()
+    links = {k: sum(1 for j, b, s, d in data if (b, s) == (brand, size) and d != side) for k, brand, size, side in data if brand}
+    assert {r.id: r.links for r in rows} == links and links[100] == 0
+    first = {r.id: r.class_id for r in rows}
+    where = {k: x for k, *x in data}
+    assert all(where[r.class_id] == where[r.id] and (r.paired_class is None) == (r.links == 0) for r in rows) and all(first[c] == c for c in first.values())
