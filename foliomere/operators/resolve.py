@@ -54,19 +54,39 @@ def by_name(trades: DataFrame, observed: DataFrame) -> DataFrame:
     common = F.size(F.filter(F.array_intersect("w", "v"), telling))
     one = (F.array_sort("w") == F.array_sort("v")) & (common == 1)
     scores = met.select("s", "z", name_similarity(F.col("w"), F.col("v"), names.GENERIC).alias("score"), ((common >= 2) | one).alias("says_enough")).filter("score > 0")
-    rows = asked.join(scores, "s").join(known.select("instrument", "currency", "as_of", F.col("account_id").alias("held_by"), F.col("s").alias("z")), ["z", "currency"])
-    gap = F.coalesce(F.abs(F.datediff("trade_date", "as_of")), F.lit(10**9))
-    best = F.max(F.struct("score", (-gap).alias("near"), "says_enough")).alias("x")
-    each = rows.withColumn("own", F.col("held_by") == F.col("account_id")).groupBy("row_id", "instrument", "own").agg(best).select("row_id", "instrument", "own", "x.*")
+    # trades that ask the same are answered once
+    ask = ["s", "account_id", "currency", "trade_date"]
+    asked = asked.withColumn("q", F.to_json(F.struct(*ask)))
+    asks = asked.filter(F.size("w") > 0).select("q", *ask).distinct()
+    # the best and the next instrument are among the two smallest of each name and scope: what of a name goes before its third has at least its score
+    own = _two(known, ["s", "currency", "account_id"]).select(F.col("s").alias("z"), "currency", "account_id", F.explode("two").alias("instrument"))
+    any_ = _two(known, ["s", "currency"]).select(F.col("s").alias("z"), "currency", F.explode("two").alias("instrument"))
+    met = asks.join(scores, "s")
+    inside = met.join(own, ["z", "currency", "account_id"]).withColumn("own", F.lit(True))
     # an account's own holdings go before all others, also where they settle nothing
-    most = Window.partitionBy("row_id")
-    each = each.withColumn("any_own", F.max(F.col("own").cast("int")).over(most)).filter((F.col("any_own") == 0) | F.col("own"))
-    order = most.orderBy(F.desc("score"), "instrument")
+    left = asks.filter("account_id is not null").join(inside.select("q"), "q", "left_anti")
+    outside = left.join(scores, "s").join(any_, ["z", "currency"]).withColumn("own", F.lit(False))
+    cols = ["q", *ask, "own", "instrument", "score"]
+    each = inside.select(*cols).unionByName(outside.select(*cols)).groupBy(*cols[:-1]).agg(F.max("score").alias("score"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "instrument")
     ranked = each.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).filter("k = 1")
+    # of the names that give the best its score, that held nearest to the trade tells whether it says enough
+    held = known.select(F.col("s").alias("z"), "currency", "instrument", "as_of", F.col("account_id").alias("held_by"))
+    top = ranked.filter("not own").join(scores, ["s", "score"]).join(held, ["z", "currency", "instrument"])
+    gap = F.coalesce(F.abs(F.datediff("trade_date", "as_of")), F.lit(10**9))
+    enough = top.groupBy("q").agg(F.max(F.struct((-gap).alias("near"), "says_enough"))["says_enough"].alias("says_enough"))
+    ranked = ranked.join(enough, "q", "left")
     clear = F.col("next").isNull() | (F.col("score") - F.col("next") >= MARGIN)
     clear &= F.when(F.col("own"), F.col("score") >= ACCOUNT).otherwise((F.col("score") >= PORTFOLIO) & F.col("says_enough"))
-    found = ranked.select("row_id", F.when(clear, F.col("instrument")).alias("instrument"), "score", F.when(F.col("own"), "account").otherwise("portfolio").alias("scope"), F.when(clear, "resolved").otherwise("ambiguous").alias("status"))
-    return asked.select("row_id").join(found, "row_id", "left").fillna("unmatched", ["status"])
+    found = ranked.select("q", F.when(clear, F.col("instrument")).alias("instrument"), "score", F.when(F.col("own"), "account").otherwise("portfolio").alias("scope"), F.when(clear, "resolved").otherwise("ambiguous").alias("status"))
+    return asked.join(found, "q", "left").select("row_id", "instrument", "score", "scope", "status").fillna("unmatched", ["status"])
+
+
+def _two(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and two: their two smallest instruments."""
+    one = rows.groupBy(*keys).agg(F.min("instrument").alias("least"))
+    nxt = rows.join(one, keys).filter("instrument > least").groupBy(*keys).agg(F.min("instrument").alias("second"))
+    return one.join(nxt, keys, "left").select(*keys, F.array_compact(F.array("least", "second")).alias("two"))
 
 
 # Points of a holding that may be what a description means, the least sum, and how near quantities must be.

@@ -63,3 +63,13 @@ def test_pairs_of_parts_are_told_by_classes(spark):
     first = {r.id: r.class_id for r in rows}
     where = {k: x for k, *x in data}
     assert all(where[r.class_id] == where[r.id] and (r.paired_class is None) == (r.links == 0) for r in rows) and all(first[c] == c for c in first.values())
+
+
+def test_trades_by_name_meet_two_instruments_of_a_name(spark):
+    from foliomere.operators import resolve
+
+    a = spark.createDataFrame([(k, k % 2, "CAD", None if k == 3 else D(2024, 1, 1), "RED RING") for k in range(40)], "row_id int, account_id int, currency string, trade_date date, line string")
+    b = spark.createDataFrame([(1, "CAD", k, D(2024, 1, 1), "RED RING") for k in range(300)] + [(5, "CAD", 300, D(2024, 1, 1), "BLUE RING")], "account_id int, currency string, instrument int, as_of date, line string")
+    assert {(r.row_id % 2, r.instrument, r.score, r.scope, r.status) for r in resolve.by_name(a, b).collect()} == {(0, None, 1.0, "portfolio", "ambiguous"), (1, None, 1.0, "account", "ambiguous")}
+    two = {(r.s, tuple(r.two)) for r in resolve._two(b.withColumnRenamed("line", "s"), ["s"]).collect()}
+    assert two == {("RED RING", (0, 1)), ("BLUE RING", (300,))}
