@@ -36,14 +36,19 @@ def allowed_pages(owners: list[DataFrame], pages: DataFrame) -> DataFrame:
     return rows.groupBy("relpath", "row_id").agg(F.array_sort(F.collect_set("page")).alias("allowed"))
 
 
+def _word_tokens(s: str) -> Column:
+    """Tokens of a line, each with the number of its word."""
+    token = lambda word, k: F.transform(layout_tokens(word), lambda t: F.struct(t.alias("t"), k.alias("w")))
+    return F.flatten(F.transform(F.split(s, " ", -1), token))
+
+
 def numbered(lines: DataFrame) -> DataFrame:
     """relpath, idx (place in the document), page, line, s, tokens (structs t, w: the word a token is of), base (tokens before), joins.
 
     ``lines``: relpath, page, line, text, top, bottom. ``joins`` is the next line's tokens and this line's, where both share a visual row."""
     w = Window.partitionBy("relpath").orderBy("page", "line")
-    token = lambda word, k: F.transform(layout_tokens(word), lambda t: F.struct(t.alias("t"), k.alias("w")))
     rows = lines.select(*_DOC, "page", "line", "top", "bottom", layout_text(F.col("text")).alias("s"))
-    rows = rows.withColumn("tokens", F.flatten(F.transform(F.split("s", " ", -1), token)))
+    rows = rows.withColumn("tokens", _word_tokens("s"))
     after = lambda c: F.lead(c).over(w)
     beside = (after("page") == F.col("page")) & (F.greatest("top", after("top")) <= F.least("bottom", after("bottom")))
     beside &= F.col("top").isNotNull() & F.col("bottom").isNotNull() & after("top").isNotNull() & after("bottom").isNotNull()
@@ -112,21 +117,32 @@ def token_windows(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """relpath, tid, n_windows, places, ranges: the narrowest windows of lines that hold a text's tokens, and the one if single.
 
     The rarest pair of neighbouring tokens (the token, if there is one only) leads to the places that are compared."""
-    at = lines.select(*_DOC, "idx", "base", F.posexplode("tokens").alias("off", "x")).select(*_DOC, "idx", "off", (F.col("base") + F.col("off")).alias("pos"), "x.t")
-    after = F.lead("t").over(Window.partitionBy("relpath").orderBy("pos"))
-    at = at.withColumn("next", after)
-    listed = at.select(*_DOC, "pos", F.explode(F.array_compact(F.array(F.concat(F.lit("1 "), "t"), F.concat(F.lit("2 "), "t", F.lit(" "), "next")))).alias("key"))
-    often = listed.groupBy(*_DOC, "key").agg(F.count("*").alias("c"))
     needles = texts.select(*_TEXT, "allowed", layout_tokens(F.array_join("parts", " ")).alias("needle")).filter(F.size("needle") > 0)
     pairs = F.transform(F.slice("needle", 2, F.size("needle")), lambda t, i: F.concat(F.lit("2 "), F.get("needle", i), F.lit(" "), t))
     keys = F.when(F.size("needle") == 1, F.transform("needle", lambda t: F.concat(F.lit("1 "), t))).otherwise(pairs)
-    asked = needles.select(*_TEXT, F.size(keys).alias("asked"), F.posexplode(keys).alias("j", "key")).join(often, [*_DOC, "key"])
-    rarest = asked.groupBy(*_TEXT, "asked").agg(F.count("*").alias("met"), F.min(F.struct("c", "j", "key")).alias("x")).filter("met = asked")
-    near = rarest.select(*_TEXT, "x.j", "x.key").join(listed, [*_DOC, "key"]).select(*_TEXT, (F.col("pos") - F.col("j")).alias("pos"))
-    w = Window.partitionBy("relpath").orderBy("idx").rowsBetween(0, WIDEST - 1)
-    held = F.collect_list(F.struct("page", "tokens")).over(w)
-    around = lines.select(*_DOC, "idx", held.alias("ls"))
-    begun = near.join(at.select(*_DOC, "pos", "idx", "off"), [*_DOC, "pos"]).join(needles, _TEXT).join(around, [*_DOC, "idx"])
+    each = needles.select(*_TEXT, F.size(keys).alias("asked"), F.posexplode(keys).alias("j", "key"))
+    # tokens go out by what a text of their document asks for, not by all they could be asked
+    wanted = each.groupBy(*_DOC).agg(F.collect_set("key").alias("_keys"))
+    down = Window.partitionBy("relpath").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.get("tokens", F.lit(0))["t"], ignorenulls=True).over(down)
+    rows = lines.select(*_DOC, "idx", "base", F.transform("tokens", lambda x: x["t"]).alias("ts"), after.alias("after")).filter(F.size("ts") > 0).join(wanted, _DOC)
+    one = lambda t: F.concat(F.lit("1 "), t)
+    two = lambda t, i: F.concat(F.lit("2 "), t, F.lit(" "), F.coalesce(F.get("ts", i + 1), F.col("after")))
+    of_token = lambda t, i: F.array(*(F.struct((F.col("base") + i).alias("pos"), k.alias("key")) for k in (one(t), two(t, i))))
+    rows = rows.select(*_DOC, "_keys", F.flatten(F.transform("ts", of_token)).alias("at"))
+    rows = rows.withColumn("_met", F.array_intersect(F.transform("at", lambda x: x["key"]), "_keys"))
+    listed = rows.select(*_DOC, F.inline(F.filter("at", lambda x: F.array_contains("_met", x["key"]))))
+    often = listed.groupBy(*_DOC, "key").agg(F.count("*").alias("c"))
+    rarest = each.join(often, [*_DOC, "key"]).groupBy(*_TEXT, "asked").agg(F.count("*").alias("met"), F.min(F.struct("c", "j", "key")).alias("x")).filter("met = asked")
+    near = rarest.select(*_TEXT, "x.j", "x.key").join(listed, [*_DOC, "key"]).select(*_TEXT, (F.col("pos") - F.col("j")).alias("pos")).filter("pos >= 0")
+    bases = lines.filter(F.size("tokens") > 0).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("base", "idx"))).alias("_bs"))  # a document's lines
+    near = near.join(bases, _DOC).withColumn("_l", F.get(F.reverse(F.filter("_bs", lambda b: b["base"] <= F.col("pos"))), F.lit(0)))
+    near = near.select(*_TEXT, F.col("_l.idx").alias("idx"), (F.col("pos") - F.col("_l.base")).cast("int").alias("off"))
+    # only the lines of windows that begin somewhere are brought together
+    begins = near.select(*_DOC, "idx").distinct().select(*_DOC, F.col("idx").alias("start"), F.explode(F.sequence(F.col("idx"), F.col("idx") + WIDEST - 1)).alias("idx"))
+    shown = begins.join(lines.select(*_DOC, "idx", "page", "s"), [*_DOC, "idx"]).withColumn("tokens", _word_tokens("s"))
+    around = shown.groupBy(*_DOC, F.col("start").alias("idx")).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "page", "tokens"))), lambda x: F.struct(x["page"].alias("page"), x["tokens"].alias("tokens"))).alias("ls"))
+    begun = near.join(needles, _TEXT).join(around, [*_DOC, "idx"])
     flat = F.flatten(F.transform("ls", lambda x, k: F.transform(x["tokens"], lambda t: F.struct(t["t"].alias("t"), t["w"].alias("w"), k.alias("k")))))
     found = begun.withColumn("own", F.slice(flat, F.col("off") + 1, F.size("needle"))).filter(F.transform("own", lambda x: x["t"]) == F.col("needle"))
     found = found.withColumn("width", F.array_max(F.transform("own", lambda x: x["k"])) + 1)
