@@ -73,3 +73,13 @@ def test_trades_by_name_meet_two_instruments_of_a_name(spark):
     assert {(r.row_id % 2, r.instrument, r.score, r.scope, r.status) for r in resolve.by_name(a, b).collect()} == {(0, None, 1.0, "portfolio", "ambiguous"), (1, None, 1.0, "account", "ambiguous")}
     two = {(r.s, tuple(r.two)) for r in resolve._two(b.withColumnRenamed("line", "s"), ["s"]).collect()}
     assert two == {("RED RING", (0, 1)), ("BLUE RING", (300,))}
+
+
+def test_texts_of_rows_and_lines_are_folded_once(spark):
+    from foliomere.operators import locator
+
+    rows = spark.createDataFrame([("d", 1, 1, "cccc dddd eeee"), ("d", 2, 2, "aaaa bbbb cccc dddd"), ("d", 3, 3, "cccc dddd eeee")], "statement_id string, row_id int, seq int, raw string").filter("raw != 'zzz'")
+    lines = spark.createDataFrame([("d", 1, k, x) for k, x in enumerate(["aaaa bbbb cccc  dddd", "cccc dddd eeee", "see cccc dddd eeee"])], "statement_id string, page int, line int, text string").filter("text != 'zzz'")
+    out = locator.source_places(rows, lines)
+    assert optimized(out).count("zzz") == 0  # no step reads the sources again
+    assert {(r.row_id, r.line) for r in out.collect()} == {(1, 1), (2, 0), (3, 2)}
