@@ -83,3 +83,30 @@ def test_texts_of_rows_and_lines_are_folded_once(spark):
     out = locator.source_places(rows, lines)
     assert optimized(out).count("zzz") == 0  # no step reads the sources again
     assert {(r.row_id, r.line) for r in out.collect()} == {(1, 1), (2, 0), (3, 2)}
+
+
+def test_lines_are_read_without_failed_parses(spark):
+    import re
+
+    from foliomere.operators import activity, statements
+
+    months = [("Jan", "5", D(1995, 1, 5)), ("dec", "31", D(1994, 12, 31)), ("Feb", "30", None), ("Feb", "", None), ("Xyz", "1", None), (None, None, None)]
+    rows = spark.createDataFrame([(m, d, D(1995, 3, 31), x) for m, d, x in months], "m string, d string, e date, want date")
+    got = rows.select("want", activity.with_year(F.col("m"), F.col("d"), F.col("e")).alias("got"))
+    assert "gettimestamp" not in optimized(got) and all(r.want == r.got for r in got.collect())
+    assert not re.search(text._shape("MMM d, yyyy"), "January 31, 1995") and re.search(text._shape("MMMM d, yyyy"), "January 31, 1995")
+    layout = statements.Layout()
+    said = spark.createDataFrame([("SOLD SHORT 5", "short_sell"), ("sold 5", "sell"), ("SOLDIER", None), ("", None)], "x string, want string").filter("x != 'zzz'").select("want", statements.verb(F.col("x"), layout).alias("got"))
+    assert optimized(said).count("regexp") == 1 and all(r.want == r.got for r in said.collect())
+    parts = spark.createDataFrame([("Jan 5 A\x1fB 1.00 2.00",), ("Jan 5 none",)], "t string").select(text.groups(F.col("t"), layout.dated, 4).alias("p"))
+    assert [r.p for r in parts.collect()] == [["Jan", "5", "A\x1fB", " 1.00 2.00"], None]
+
+
+def test_scopes_read_lines_once(spark):
+    from foliomere.operators import statements
+
+    layout = statements.Layout()
+    said = ["Account number: A-1", "Canadian dollar account", "Holdings", "junk 1.00 2.00", "Activity", "Closing balance 5.00"]
+    lines = spark.createDataFrame([("d", 1, k, x) for k, x in enumerate(said)], "relpath string, page int, line int, text string").filter("text != 'zzz'")
+    out = statements.scopes(statements.carried(lines, layout), layout)
+    assert optimized(out).count("zzz") == 1 and {(r.section, r.completeness) for r in out.collect()} == {("positions", "partial"), ("cash", "complete")}
