@@ -27,13 +27,21 @@ def latest_observed(statements: DataFrame, at: Column) -> DataFrame:
     return latest_at(statements, SCOPE, "period_end", ["statement_id", "completeness"], at)
 
 
+def of_statement(positions: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``positions`` of the statements ``chosen`` (SCOPE, statement_id and others), few of each scope.
+
+    Both sides lie by scope, so the statement is a condition and no key: as a key it would have all positions dealt anew."""
+    rows = chosen.withColumnRenamed("statement_id", "_own")
+    return positions.join(rows, SCOPE).filter((F.col("statement_id") >= F.col("_own")) & (F.col("statement_id") <= F.col("_own"))).drop("_own")
+
+
 def holdings_at(statements: DataFrame, positions: DataFrame, moves: DataFrame, at: Column) -> DataFrame:
     """Quantity of each instrument: the anchor's, plus later movements up to the date.
 
     An instrument that a complete anchor omits is cleared. A movement without a known effect
     marks the holding incomplete. Holdings of nothing are left out."""
     anchor = anchors(statements, at).withColumnRenamed("period_end", "anchor_date")
-    base = positions.join(anchor.select("statement_id", "anchor_date"), "statement_id").select("account_id", "currency", "instrument_id", F.col("quantity").alias("q"), F.lit(0).alias("moved"), F.lit(0).alias("unknown"))
+    base = of_statement(positions, anchor.select(*SCOPE, "statement_id", "anchor_date")).select("account_id", "currency", "instrument_id", F.col("quantity").alias("q"), F.lit(0).alias("moved"), F.lit(0).alias("unknown"))
     later = moves.filter(F.col("trade_date") <= at).join(anchor.select(*SCOPE, "anchor_date"), SCOPE, "left")
     later = later.filter(F.col("anchor_date").isNull() | (F.col("trade_date") > F.col("anchor_date")))
     step = later.select("account_id", "currency", "instrument_id", F.coalesce("position_delta", F.lit(0.0)).alias("q"), F.lit(1).alias("moved"), F.col("position_delta").isNull().cast("int").alias("unknown"))

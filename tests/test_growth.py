@@ -110,3 +110,20 @@ def test_scopes_read_lines_once(spark):
     lines = spark.createDataFrame([("d", 1, k, x) for k, x in enumerate(said)], "relpath string, page int, line int, text string").filter("text != 'zzz'")
     out = statements.scopes(statements.carried(lines, layout), layout)
     assert optimized(out).count("zzz") == 1 and {(r.section, r.completeness) for r in out.collect()} == {("positions", "partial"), ("cash", "complete")}
+
+
+def test_positions_are_not_dealt_by_statement(spark):
+    from foliomere.operators import checkpoints, sweep
+
+    s = spark.createDataFrame([(k, 1, "CAD", D(2024, k, 1), D(2024, k, 28), "complete") for k in (1, 2, 3)], "statement_id long, account_id long, currency string, period_start date, period_end date, completeness string")
+    p = spark.createDataFrame([(k, 1, "CAD", 7, 10.0 * k) for k in (1, 2, 3)], "statement_id long, account_id long, currency string, instrument_id long, quantity double")
+    m = spark.createDataFrame([(1, "CAD", 7, D(2024, 3, 30), 5.0)], "account_id long, currency string, instrument_id long, trade_date date, position_delta double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        held = [checkpoints.holdings_at(s, p, m, F.lit("2024-02-28").cast("date")), sweep.holdings_over(s, p, m, sweep.checkpoint_dates(s))]
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in held]
+        rows = [{(r.anchor_date, r.quantity) for r in df.collect()} for df in held]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("hashpartitioning(statement_id" in x for x in plans)
+    assert rows == [{(D(2024, 2, 28), 20.0)}, {(D(2024, k, 28), 10.0 * k) for k in (1, 2, 3)}]
