@@ -249,8 +249,9 @@ def validation_scopes(t: Ledger) -> DataFrame:
     s = t.statements()
     rows = s.select("statement_id", F.lit("positions").alias("section_type"), F.lit("default").alias("scope_key"), "completeness", F.when(F.col("statement_id") % 3 == 0, 1).otherwise(0).alias("blocking"), F.lit(0).alias("other"), F.lit(1).alias("rows"))
     own = validation.issues(rows.withColumn("statement_id", F.col("statement_id").cast("string")), validation.scope_rules(), "statement_id")
-    twice = validation.repeated(s, ["account_id", "period_end"], "duplicate_snapshot_scope")
-    return own.unionByName(twice).unionByName(validation.undeclared(s, s.filter("statement_id % 5 != 0"), ["statement_id"]))
+    twice = validation.repeated(t.dealt(s, "account_id"), ["account_id", "period_end"], "duplicate_snapshot_scope")
+    named = t.dealt(s, "statement_id")
+    return own.unionByName(twice).unionByName(validation.undeclared(named, named.filter("statement_id % 5 != 0"), ["statement_id"]))
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, c_mktsegment AS name, CASE WHEN c_custkey % 2 = 0 THEN c_name END AS nick, c_custkey % 3 AS flag FROM customer WHERE c_custkey % 4 <> 0),

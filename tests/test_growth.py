@@ -127,3 +127,25 @@ def test_positions_are_not_dealt_by_statement(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert not any("hashpartitioning(statement_id" in x for x in plans)
     assert rows == [{(D(2024, 2, 28), 20.0)}, {(D(2024, k, 28), 10.0 * k) for k in (1, 2, 3)}]
+
+
+def held_to_sql(spark, name, lines, monkeypatch):
+    """The query on the smallest tables dealt as if they were large, held against its SQL; its plan."""
+    import oracle
+
+    import __spark_entry__ as e
+    from foliomere.sources import ledger
+
+    monkeypatch.setattr(ledger, "TASK_LINES", lines, raising=False)
+    sf = "/root/testdata/sf0.001"
+    assert oracle.compare(e.queries()[name](spark, sf), oracle.connect(sf), e.oracle_sql()[name]) == ""
+    return e.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scopes_of_a_larger_source_take_more_tasks(spark, monkeypatch):
+    import re
+
+    plan = held_to_sql(spark, "validation_scopes", 500, monkeypatch)
+    dealt = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
+    tasks = {n for keys, n in dealt if "orderkey" not in keys}
+    assert dealt and len(tasks) == 1 and int(tasks.pop()) > 4  # conftest sets 4
