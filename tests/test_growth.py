@@ -149,3 +149,23 @@ def test_scopes_of_a_larger_source_take_more_tasks(spark, monkeypatch):
     dealt = re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)
     tasks = {n for keys, n in dealt if "orderkey" not in keys}
     assert dealt and len(tasks) == 1 and int(tasks.pop()) > 4  # conftest sets 4
+
+
+def dealt_at_size(spark, name, monkeypatch):
+    """What the query's rows are dealt by, and to how many tasks, with joins by broadcast switched off as at larger sizes."""
+    import re
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = held_to_sql(spark, name, 1000, monkeypatch)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return {(re.sub(r"#\d+L?", "", keys), int(n)) for keys, n in re.findall(r"hashpartitioning\((.*?), (\d+)\)", plan)}
+
+
+#: Nothing is dealt to the 4 tasks of conftest, and no page twice.
+PAGES = {("l_orderkey", 6), ("o_orderkey", 6), ("account_id, currency", 6), ("relpath, page", 24)}
+
+
+def test_pages_and_words_of_a_larger_source_take_more_tasks(spark, monkeypatch):
+    assert dealt_at_size(spark, "column_cash", monkeypatch) == PAGES
