@@ -50,12 +50,19 @@ def cash_effects(words: DataFrame) -> DataFrame:
     return lines.filter("has_figure").drop("has_figure")
 
 
-def with_effects(rows: DataFrame, effects: DataFrame) -> DataFrame:
+def with_effects(rows: DataFrame, effects: DataFrame, tasks: int | None = None) -> DataFrame:
     """``rows`` (relpath, page, line, text and others) with the effect of their line; null where none is left.
 
-    Equal texts of a document take their effects one after another, in the order of pages and lines on both sides."""
+    Equal texts of a document take their effects one after another, in the order of pages and lines on both sides.
+    ``tasks``: how many tasks they are dealt to; by default Spark's own number."""
     key = F.upper(F.trim(F.regexp_replace("text", r"\s+", " ")))
     nth = F.row_number().over(Window.partitionBy("relpath", "_key").orderBy("page", "line"))
-    ours = rows.withColumn("_key", key).withColumn("_nth", nth)
-    theirs = effects.withColumn("_key", key).withColumn("_nth", nth).select("relpath", "_key", "_nth", "effect")
-    return ours.join(theirs, ["relpath", "_key", "_nth"], "left").drop("_key", "_nth")
+
+    def dealt(df: DataFrame, *keys: str) -> DataFrame:
+        return df.repartition(tasks, *keys) if tasks else df
+
+    def numbered(df: DataFrame) -> DataFrame:
+        return dealt(dealt(df.withColumn("_key", key), "relpath", "_key").withColumn("_nth", nth), "relpath", "_key", "_nth")
+
+    theirs = numbered(effects).select("relpath", "_key", "_nth", "effect")
+    return numbered(rows).join(theirs, ["relpath", "_key", "_nth"], "left").drop("_key", "_nth")

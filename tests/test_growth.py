@@ -169,3 +169,7 @@ PAGES = {("l_orderkey", 6), ("o_orderkey", 6), ("account_id, currency", 6), ("re
 
 def test_pages_and_words_of_a_larger_source_take_more_tasks(spark, monkeypatch):
     assert dealt_at_size(spark, "column_cash", monkeypatch) == PAGES
+
+
+def test_rows_and_effects_of_a_larger_source_take_more_tasks(spark, monkeypatch):
+    assert dealt_at_size(spark, "column_cash_taken", monkeypatch) == PAGES | {("relpath, _key", 6), ("relpath, _key, _nth", 6)}
