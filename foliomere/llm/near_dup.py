@@ -137,23 +137,30 @@ def confirmed(pairs: DataFrame, marks: DataFrame, full: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, made: DataFrame, wanted: DataFrame) -> DataFrame:
-    """class, full, least of the ``wanted`` classes, from one text each, by the smallest id."""
+    """class, full, least, id (a number) of the ``wanted`` classes, from one text each, by the smallest id.
+
+    Sets are written where they are made. Only ids that texts share give a class twice or one not wanted; only then are sets dealt by class to leave these out."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     first = made.join(wanted, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_k")).select("_k").distinct()
     first = stage_table(first, "set-ids")
     few = first.count() <= BROADCAST_IDS
     texts = docs.select(key.alias("_k"), "doc_id", "text").join(F.broadcast(first) if few else first, "_k", "left_semi")
-    full = sketches(texts, True).join(wanted, "class", "left_semi").dropDuplicates(["class"])
-    return stage_table(full.select("class", "full", "least"), "sets")
+    sets = sketches(texts, True).filter("class is not null").select("class", "full", "least", F.monotonically_increasing_id().alias("id"))
+    sets = stage_table(sets, "sets")
+    one = stage_table(sets.select("class", "id").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("id").alias("id")), "set-rows")
+    if one.count() == sets.count():
+        return sets
+    return stage_table(sets.join(one.select("id"), "id", "left_semi").select("class", "full", "least", "id"), "sets")
 
 
 def shared_shingles(sets: DataFrame) -> DataFrame:
-    """class, n, e: e counts the shingles that some other of these classes has.
+    """class, n, e of sets (class, full, id): e counts the shingles that some other of these classes has.
 
     Classes that can't reach the similarity with so few go; they can't be anyone's partner."""
-    once = sets.select("class", F.explode("full").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("class").alias("class")).filter("df = 1")
-    lone = once.groupBy("class").agg(F.count("*").alias("lone"))
-    rows = sets.select("class", F.size("full").alias("n")).join(lone, "class", "left").select("class", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("e"))
+    # a shingle goes out with the set's number, which packs far better than the class's fingerprint
+    once = sets.select("id", F.explode("full").alias("h")).groupBy("h").agg(F.count("*").alias("df"), F.min("id").alias("id")).filter("df = 1")
+    lone = once.groupBy("id").agg(F.count("*").alias("lone"))
+    rows = sets.select("id", "class", F.size("full").alias("n")).join(lone, "id", "left").select("class", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("e"))
     return stage_table(rows.filter(100 * F.col("e") >= PERCENT * F.col("n")), "shared")
 
 

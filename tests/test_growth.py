@@ -173,3 +173,28 @@ def test_pages_and_words_of_a_larger_source_take_more_tasks(spark, monkeypatch):
 
 def test_rows_and_effects_of_a_larger_source_take_more_tasks(spark, monkeypatch):
     assert dealt_at_size(spark, "column_cash_taken", monkeypatch) == PAGES | {("relpath, _key", 6), ("relpath, _key, _nth", 6)}
+
+
+def test_full_sets_are_not_dealt_by_class(spark, monkeypatch):
+    from foliomere.llm import near_dup
+
+    staged = []
+
+    def spied(df, name, keep=False, real=near_dup.stage_table):
+        staged.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name, keep)
+
+    monkeypatch.setattr(near_dup, "stage_table", spied)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*base[: 50 + k % 3], f"x{k}"])) for k in range(8)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for more in ([], [(3, " ".join(base)), (3, "a lone text of some few words"), (9, rows[3][1]), (2, None)]):
+            staged.clear()
+            out = near_dup.near_duplicates(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()
+            assert {r.component_id for r in out if r.n_shingles > 40} == {0} and len(out) == 8 + len(more)
+            sets = [plan for name, plan in staged if name == "sets"]
+            assert "hashpartitioning(class" not in sets[0] and len(sets) == 1 + bool(more)  # again only where texts share ids
+            assert all("SortAggregate" not in plan for name, plan in staged if name == "shared")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
