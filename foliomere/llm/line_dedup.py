@@ -130,13 +130,19 @@ def line_sets(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def distinct_sets(lines: DataFrame) -> DataFrame:
-    """s1, s2, n, prefix, bits, few, d, first, c: each set once, with its first place, the id there, and its lines."""
-    return lines.groupBy("s1", "s2", "n", "prefix", "bits", "few").agg(F.min("_d").alias("d"), F.min(place()).alias("first"), F.count("*").alias("c"))
+    """s1, s2, n, prefix, bits, few, d, low, c: each set once, with its first place (d, low) and its lines."""
+    sets = lines.groupBy("s1", "s2", "n", "prefix", "bits", "few").agg(F.min("_d").alias("d"), F.min(place()).alias("first"), F.count("*").alias("c"))
+    return sets.withColumn("low", within_id()).drop("first")
 
 
 def postings(sets: DataFrame) -> DataFrame:
     """key, s1, d, low, n, at, bits, few of each token in a set's prefix; (s1, d, low) is a set's name, and (d, low) its first place."""
-    return sets.filter("prefix is not null").select("s1", "d", within_id().alias("low"), "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
+    return sets.filter("prefix is not null").select("s1", "d", "low", "n", "bits", "few", F.posexplode("prefix").alias("at", "key"))
+
+
+def may_be_long() -> Column:
+    """Whether a key's list may have more than SHORT sets: it has no more than its token's bucket has occurrences, which the key's class bounds."""
+    return F.col("key") >= F.lit((SHORT + 1).bit_length() << 57)
 
 
 def size_band(n: Column) -> Column:
@@ -213,7 +219,7 @@ def matched(pairs: DataFrame, whole: DataFrame) -> DataFrame:
 def earlier_matches(docs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
     """s1, d, low of the sets that an earlier one matches."""
     post = postings(sets)
-    often = stage_table(post.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHORT).select("key", F.lit(True).alias("often")), "long-lists")
+    often = stage_table(post.filter(may_be_long()).groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SHORT).select("key", F.lit(True).alias("often")), "long-lists")
     lists = post.join(F.broadcast(often) if often.count() <= BROADCAST_KEYS else often, "key", "left")
     short = lists.filter("often is null").drop("often")
     long = stage_table(lists.filter("often").drop("often"), "long-postings")
@@ -241,8 +247,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     with scratch(docs.sparkSession, "line-matches"):
         near = stage_table(earlier_matches(docs, sets, classes).distinct(), "line-matches", keep=True)
     near = near.withColumn("near", F.lit(True))
-    last = sets.select("s1", "s2", "first", "c", "d", within_id().alias("low")).join(near, _NAME, "left").filter("c > 1 or near").drop("d", "low")
-    hit = lines.select("_d", "_r", "line", "s1", "s2").join(last.drop("c"), ["s1", "s2"]).filter(F.col("near").isNotNull() | (place() > F.col("first")))
+    last = sets.select("s1", "s2", "c", "d", "low").join(near, _NAME, "left").filter("c > 1 or near")
+    low = order_part(F.col("_r")) * _PLACES + F.col("line")
+    after = (F.col("_d") > F.col("d")) | ((F.col("_d") == F.col("d")) & (low > F.col("low")))
+    hit = lines.select("_d", "_r", "line", "s1", "s2").join(last.drop("c"), ["s1", "s2"]).filter(F.col("near").isNotNull() | after)
     return hit.groupBy("_d", "_r").agg(F.sort_array(F.collect_set("line")).alias("_gone"))
 
 

@@ -215,3 +215,16 @@ def test_staged_tables_can_be_dropped(spark):
     assert left > 0 and drop_staged(spark) == 0
     with pytest.raises(Exception):
         out.count()
+
+
+def test_lists_that_may_be_long(spark):
+    """Every list of more than SHORT sets is among those to count, and those of rare tokens are not."""
+    n = 2 * line_dedup.SHORT
+    docs = spark.createDataFrame([(k, " ".join(["often", *(f"x{k}-{j}" for j in range(9))])) for k in range(n)], "doc_id long, text string")
+    sets = line_dedup.distinct_sets(line_dedup.line_sets(docs, line_dedup.rarity_classes(docs)))
+    whole = sets.withColumn("prefix", F.sequence(F.lit(0), F.lit(0)).cast("array<long>"))
+    assert line_dedup.postings(whole).filter(line_dedup.may_be_long()).count() == 0
+    lists = line_dedup.postings(sets).groupBy("key").count().withColumn("long", line_dedup.may_be_long())
+    assert lists.filter("not long").count() == lists.count() > n and lists.filter(f"count > {line_dedup.SHORT} and not long").count() == 0
+    least = (line_dedup.SHORT + 1).bit_length()
+    assert 2 ** (least - 1) - 1 <= line_dedup.SHORT < 2**least - 1
