@@ -198,3 +198,33 @@ def test_full_sets_are_not_dealt_by_class(spark, monkeypatch):
             assert all("SortAggregate" not in plan for name, plan in staged if name == "shared")
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+#: Patterns as first written: what they find, the present ones must.
+WRITTEN = {"mail": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "card": r"(?<![\w])\d(?:[\x20-]?\d){12,}(?![\w])"}
+
+
+def test_long_runs_need_no_deep_stack(spark):
+    """In a task a stack that overflows ends the executor; here it would be an error of the call."""
+    from foliomere.llm import pii
+
+    pattern = spark._jvm.java.util.regex.Pattern.compile(pii.PATTERN)
+    for run in ("1" * 200_000, ("1234 " * 40_000).strip(), "1-" * 100_000 + "1", "a@b" + ".cc" * 60_000):
+        found = pattern.matcher(f"see {run} there")
+        assert found.find() and found.group() == run and not found.find()
+
+
+def test_long_runs_find_what_the_patterns_say(spark):
+    import random
+
+    from foliomere.llm import pii
+
+    r = random.Random(4)
+    kinds = [["1", "22", "4111", "5500 ", "-", " ", "a", "_", ".", "@", "+", "A1", "(", "é", "1234567", "DE89 3704", "\n"], ["1", "22", "333 ", "4444-", "5", "a ", " ", "_"], ["a", "b.", "@", "@c", "-", "_", " ", "1", ".d", "+"]]
+    rows = [("".join(r.choice(kinds[k % 3]) for _ in range(r.randint(3, 50))),) for k in range(6000)]
+    written = "|".join(f"(?:{p})" for p in (pii.PATTERNS | WRITTEN).values())
+    whole = [F.regexp_like("m", F.lit(f"^(?:{p[k]})$")) for k in WRITTEN for p in (pii.PATTERNS, WRITTEN)]
+    df = spark.createDataFrame(rows, "t string").select(F.regexp_extract_all("t", F.lit(written), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(pii.PATTERN), F.lit(0)).alias("b"))
+    assert df.filter(F.col("a") != F.col("b")).count() == 0 and df.agg(F.sum(F.size("a"))).first()[0] > 300
+    each = df.select(F.explode("a").alias("m")).select("m", *(c.alias(f"c{k}") for k, c in enumerate(whole)))
+    assert each.filter("c0 != c1 or c2 != c3").count() == 0 and each.filter("c0").count() > 20 and each.filter("c2").count() > 20
