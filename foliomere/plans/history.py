@@ -23,7 +23,7 @@ _SWEPT = f"""dates AS (SELECT DISTINCT period_end AS as_of FROM statements WHERE
 
 def _holdings(t: Ledger) -> DataFrame:
     s = t.statements()
-    return sweep.holdings_over(s, t.positions(), t.transactions(), sweep.checkpoint_dates(s))
+    return sweep.holdings_over(s, t.positions(), t.effects(), sweep.checkpoint_dates(s))
 
 
 @query(f"""WITH {_SWEPT}
@@ -39,7 +39,8 @@ def holdings_over_dates(t: Ledger) -> DataFrame:
 SELECT as_of, currency, CAST(COALESCE(v, 0) AS BIGINT) AS value_cents, COALESCE(n, 0) AS holdings, COALESCE(u, 0) AS unpriced FROM dates JOIN (SELECT DISTINCT currency FROM held) ON TRUE LEFT JOIN sums USING (as_of, currency)""")
 def performance_total(t: Ledger) -> DataFrame:
     """Value held on every checkpoint date by currency; dates on which nothing is held are 0."""
-    return sweep.totals(sweep.valued_over(_holdings(t), t.prices()), sweep.checkpoint_dates(t.statements()))
+    dates = sweep.checkpoint_dates(t.statements())
+    return sweep.totals(sweep.valued_over(_holdings(t), t.prices(), dates), dates)
 
 
 @query(_BALANCES + """
