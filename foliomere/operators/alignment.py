@@ -19,6 +19,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from foliomere.functions.text import layout_text, layout_tokens
 
+from .asof import asof_join
+from .cut import cut
+
 #: Lines that a window of tokens may take.
 WIDEST = 4
 _BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
@@ -117,7 +120,7 @@ def token_windows(texts: DataFrame, lines: DataFrame) -> DataFrame:
     """relpath, tid, n_windows, places, ranges: the narrowest windows of lines that hold a text's tokens, and the one if single.
 
     The rarest pair of neighbouring tokens (the token, if there is one only) leads to the places that are compared."""
-    needles = texts.select(*_TEXT, "allowed", layout_tokens(F.array_join("parts", " ")).alias("needle")).filter(F.size("needle") > 0)
+    needles = cut(texts.select(*_TEXT, "allowed", layout_tokens(F.array_join("parts", " ")).alias("needle")).filter(F.size("needle") > 0))
     pairs = F.transform(F.slice("needle", 2, F.size("needle")), lambda t, i: F.concat(F.lit("2 "), F.get("needle", i), F.lit(" "), t))
     keys = F.when(F.size("needle") == 1, F.transform("needle", lambda t: F.concat(F.lit("1 "), t))).otherwise(pairs)
     each = needles.select(*_TEXT, F.size(keys).alias("asked"), F.posexplode(keys).alias("j", "key"))
@@ -131,13 +134,13 @@ def token_windows(texts: DataFrame, lines: DataFrame) -> DataFrame:
     of_token = lambda t, i: F.array(*(F.struct((F.col("base") + i).alias("pos"), k.alias("key")) for k in (one(t), two(t, i))))
     rows = rows.select(*_DOC, "_keys", F.flatten(F.transform("ts", of_token)).alias("at"))
     rows = rows.withColumn("_met", F.array_intersect(F.transform("at", lambda x: x["key"]), "_keys"))
-    listed = rows.select(*_DOC, F.inline(F.filter("at", lambda x: F.array_contains("_met", x["key"]))))
+    listed = cut(rows.select(*_DOC, F.inline(F.filter("at", lambda x: F.array_contains("_met", x["key"])))))
     often = listed.groupBy(*_DOC, "key").agg(F.count("*").alias("c"))
     rarest = each.join(often, [*_DOC, "key"]).groupBy(*_TEXT, "asked").agg(F.count("*").alias("met"), F.min(F.struct("c", "j", "key")).alias("x")).filter("met = asked")
     near = rarest.select(*_TEXT, "x.j", "x.key").join(listed, [*_DOC, "key"]).select(*_TEXT, (F.col("pos") - F.col("j")).alias("pos")).filter("pos >= 0")
-    bases = lines.filter(F.size("tokens") > 0).groupBy(*_DOC).agg(F.array_sort(F.collect_list(F.struct("base", "idx"))).alias("_bs"))  # a document's lines
-    near = near.join(bases, _DOC).withColumn("_l", F.get(F.reverse(F.filter("_bs", lambda b: b["base"] <= F.col("pos"))), F.lit(0)))
-    near = near.select(*_TEXT, F.col("_l.idx").alias("idx"), (F.col("pos") - F.col("_l.base")).cast("int").alias("off"))
+    # the line of a place is the last that begins at or before it
+    near = asof_join(near, lines.filter(F.size("tokens") > 0).select(*_DOC, "base", "idx"), _DOC, "pos", "base", ["idx", "base"])
+    near = cut(near.select(*_TEXT, "idx", (F.col("pos") - F.col("base")).cast("int").alias("off")))
     # only the lines of windows that begin somewhere are brought together
     begins = near.select(*_DOC, "idx").distinct().select(*_DOC, F.col("idx").alias("start"), F.explode(F.sequence(F.col("idx"), F.col("idx") + WIDEST - 1)).alias("idx"))
     shown = begins.join(lines.select(*_DOC, "idx", "page", "s"), [*_DOC, "idx"]).withColumn("tokens", _word_tokens("s"))
@@ -167,18 +170,20 @@ def aligned(rows: DataFrame, lines: DataFrame) -> DataFrame:
     ``rows``: relpath, row_id, raw, page_hint, line_hint, allowed (pages of its statement; null: all); ``lines``: relpath, page,
     line, text, top, bottom. ``places`` are lines counted from 0 in the document, ``ranges`` the words taken of each
     (null: the whole line). A text without tokens or lines is unmatched; a document without lines has no_coordinates."""
+    # what several steps read is written once: folded texts and lines, what equals them, what is left for the next step
     tid = F.sha2(F.to_json(F.struct("raw", "allowed")), 256)
-    asked = rows.select("relpath", "row_id", "raw", "page_hint", "line_hint", "allowed").withColumn("tid", tid)
+    asked = cut(rows.select("relpath", "row_id", "raw", "page_hint", "line_hint", "allowed").withColumn("tid", tid))
     parts = F.filter(F.transform(F.split(F.coalesce("raw", F.lit("")), _BREAKS, -1), layout_text), lambda x: x != "")
-    texts = asked.select(*_TEXT, "allowed", parts.alias("parts")).dropDuplicates(_TEXT).filter(F.size("parts") > 0)
-    shown = numbered(lines)
+    texts = cut(asked.dropDuplicates(_TEXT).select(*_TEXT, "allowed", parts.alias("parts")).filter(F.size("parts") > 0))
+    shown = cut(numbered(lines))
     each = texts.select(*_TEXT, "allowed", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "s"))
     hit, runs = equal_runs(each, shown)
+    runs = cut(runs)
     all_runs = runs.groupBy(*_TEXT).agg(F.count("*").alias("n_all"), F.min("start").alias("all"))
     page_runs = runs.groupBy(*_TEXT, F.col("page").alias("page_hint")).agg(F.count("*").alias("n_page"), F.min("start").alias("of_page"))
     line_runs = runs.groupBy(*_TEXT, F.col("page").alias("page_hint"), F.col("line").alias("line_hint")).agg(F.count("*").alias("n_line"), F.min("start").alias("of_line"))
-    left = texts.join(all_runs.select(*_TEXT), _TEXT, "left_anti")
-    paths = ordered_parts(each.join(left.select(*_TEXT), _TEXT, "left_semi"), hit.join(left.select(*_TEXT), _TEXT, "left_semi"), shown)
+    left = cut(texts.join(all_runs.select(*_TEXT), _TEXT, "left_anti"))
+    paths = cut(ordered_parts(each.join(left.select(*_TEXT), _TEXT, "left_semi"), hit.join(left.select(*_TEXT), _TEXT, "left_semi"), shown))
     firsts = paths.select(*_TEXT, F.explode("paths").alias("path")).select(*_TEXT, "path", F.get("path", F.lit(0)).alias("idx"))
     pages = firsts.join(shown.select(*_DOC, "idx", "page"), [*_DOC, "idx"]).groupBy(*_TEXT).agg(F.collect_list(F.struct("page", "path")).alias("chosen"))
     windows = token_windows(left.join(paths.select(*_TEXT), _TEXT, "left_anti"), shown)

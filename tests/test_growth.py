@@ -250,3 +250,14 @@ def test_prior_positions_are_those_of_the_statement_before(spark):
         (1, 7): (0.0, 10.0, "missing_prior"), (2, 7): (15.0, 15.0, "non_adjacent"), (2, 8): (0.0, 2.0, "non_adjacent"), (2, 9): (0.0, 0.0, "non_adjacent"), (3, 7): (15.0, 0.0, "current_incomplete"),
         (3, 8): (2.0, 0.0, "current_incomplete"), (4, 8): (0.0, 0.0, "prior_incomplete"), (9, 7): (0.0, 1.0, "missing_prior"),
     }
+
+
+def test_rows_and_lines_are_aligned_out_of_written_tables(spark):
+    from foliomere.operators import alignment
+
+    lines = spark.createDataFrame([("d", 0, k, x, 10.0 * k, 10.0 * k + 8) for k, x in enumerate(["aa bb cc", "dd ee", "ff gg", "dd ee"])], "relpath string, page int, line int, text string, top double, bottom double").filter("text != 'zzz'")
+    asked = [(1, "aa bb cc"), (2, "aa bb cc\nff gg"), (3, "cc dd"), (4, "dd ee"), (5, "ee ff gg dd"), (6, "none such"), (7, None)]
+    rows = spark.createDataFrame([("d", k, x, None, None, None) for k, x in asked], "relpath string, row_id int, raw string, page_hint int, line_hint int, allowed array<int>").filter("row_id != 777")
+    out = alignment.aligned(rows, lines)
+    assert optimized(out).count("zzz") == 0 and optimized(out).count("777") == 0  # no step reads the sources again
+    assert {(r.row_id, r.status, tuple(r.places or ())) for r in out.collect()} == {(1, "exact", (0,)), (2, "exact", (0, 2)), (3, "unique_tokens", (0, 1)), (4, "ambiguous", ()), (5, "unique_tokens", (1, 2, 3)), (6, "unmatched", ()), (7, "unmatched", ())}
