@@ -29,15 +29,17 @@ def routed(moves: DataFrame, anchors: DataFrame, held: DataFrame) -> DataFrame:
     instrument takes it, else the anchored one; without any it is ``default``."""
     pair = ["account_id", "currency"]
     known = anchors.select(*SCOPE).distinct().groupBy(*pair).agg(F.count("*").alias("_anchored"), F.min("scope_key").alias("_only"))
-    own = held.select(*SCOPE, "instrument").distinct().groupBy(*pair, "instrument").agg(F.count("*").alias("_holding"), F.min("scope_key").alias("_holder"))
-    rows = moves.join(known, pair, "left").join(own, [*pair, "instrument"], "left")
+    own = held.filter("instrument is not null").select(*SCOPE, "instrument").distinct().groupBy(*pair, "instrument").agg(F.count("*").alias("n"), F.min("scope_key").alias("holder"))
+    # an account's instruments are one row, so movements are dealt by account once
+    own = own.groupBy(*pair).agg(F.map_from_entries(F.collect_list(F.struct("instrument", F.struct("n", "holder")))).alias("_own"))
+    rows = moves.join(known, pair, "left").join(own, pair, "left")
     scope = (
         F.when(F.col("_anchored") > 1, F.lit(None).cast("string"))
-        .when(F.col("_holding") == 1, F.col("_holder"))
+        .when(F.col("_own")[F.col("instrument")]["n"] == 1, F.col("_own")[F.col("instrument")]["holder"])
         .when(F.col("_anchored") == 1, F.col("_only"))
         .otherwise("default")
     )
-    return rows.withColumn("scope_key", scope).drop("_anchored", "_only", "_holding", "_holder")
+    return rows.withColumn("scope_key", scope).drop("_anchored", "_only", "_own")
 
 
 def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

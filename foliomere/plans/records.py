@@ -366,7 +366,7 @@ def holdings_replay(t: Ledger) -> DataFrame:
     statements, moves = t.statements(), t.transactions()
     anchor = checkpoints.anchors(statements, day(AS_OF)).withColumnRenamed("period_end", "as_of").withColumn("scope_key", F.lit("default"))
     name = F.concat(F.lit("S"), "instrument_id").alias("instrument")
-    held = t.positions().select("statement_id", name, "quantity").join(anchor, "statement_id").select("account_id", "currency", "scope_key", "instrument", "quantity")
+    held = checkpoints.of_statement(t.positions().select("account_id", "currency", "statement_id", name, "quantity"), anchor).select("account_id", "currency", "scope_key", "instrument", "quantity")
     changed = moves.filter("instrument_id in (0, 10) and txn_type = 'stock_split'")
     number = F.xxhash64("row_id", "txn_type", "quantity").alias("move_id")
     rows = moves.select("account_id", "currency", name, "trade_date", number, "txn_type", "quantity", F.col("position_delta").alias("effect"))

@@ -261,3 +261,29 @@ def test_rows_and_lines_are_aligned_out_of_written_tables(spark):
     out = alignment.aligned(rows, lines)
     assert optimized(out).count("zzz") == 0 and optimized(out).count("777") == 0  # no step reads the sources again
     assert {(r.row_id, r.status, tuple(r.places or ())) for r in out.collect()} == {(1, "exact", (0,)), (2, "exact", (0, 2)), (3, "unique_tokens", (0, 1)), (4, "ambiguous", ()), (5, "unique_tokens", (1, 2, 3)), (6, "unmatched", ()), (7, "unmatched", ())}
+
+
+def test_lines_of_a_broker_are_carried_once(spark):
+    from foliomere.operators import brokers
+
+    said = ["TD Direct Investing", "March 1, 2024 to March 31, 2024", "Account number: A1", "Account type: Direct Trading - CDN", "Holdings in your account", "junk 1", "Activity in your account", "Ending cash balance 5.00"]
+    lines = spark.createDataFrame([("a", 1, k, x) for k, x in enumerate(said)], "relpath string, page int, line int, text string").filter("text != 'zzz'")
+    out = brokers.scopes(brokers.read_lines(brokers.dispatched(lines), brokers.TD), brokers.TD)
+    assert optimized(out).count("zzz") == 0 and {(r.section, r.completeness) for r in out.collect()} == {("positions", "partial"), ("cash", "complete")}
+
+
+def test_movements_meet_an_accounts_instruments_as_one_row(spark):
+    from foliomere.operators import replay
+
+    anchors = spark.createDataFrame([(1, "CAD", "a"), (2, "CAD", "a"), (2, "CAD", "b")], "account_id long, currency string, scope_key string")
+    held = spark.createDataFrame([(1, "CAD", "a", "S1"), (1, "CAD", "x", "S2"), (3, "CAD", "z", "S1"), (3, "CAD", "y", "S2"), (3, "CAD", "z", "S2"), (1, "CAD", "a", None)], "account_id long, currency string, scope_key string, instrument string")
+    moves = spark.createDataFrame([(k, i) for k in (1, 2, 3, 4) for i in ("S1", "S2", "S9")], "account_id long, instrument string").withColumn("currency", F.lit("CAD"))
+    out = replay.routed(moves, anchors, held)
+    got = {(r.account_id, r.instrument): r.scope_key for r in out.collect()}
+    assert [got[1, x] for x in ("S1", "S2", "S9")] == ["a", "x", "a"] and {got[2, x] for x in ("S1", "S2", "S9")} == {None} and [got[3, x] for x in ("S1", "S2", "S9")] == ["z", "default", "default"] and got[4, "S1"] == "default"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = replay.routed(moves, anchors, held)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Join [account_id") == 2 and "Join [account_id#" in plan and "instrument" not in "".join(x for x in plan.split("\n") if "Join [" in x)
